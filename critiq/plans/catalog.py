@@ -110,3 +110,167 @@ def best_segment(spark, sf_dir):
     return best.select("doc_id", F.col("b.seg_id").cast("bigint").alias("seg_id"),
                        F.col("b.n_sentences").cast("bigint").alias("n_sentences"),
                        F.col("b.segment").alias("segment"), round6("b.fit").alias("fitness"))
+
+
+# ---------------------------------------------------------------------------
+# Issue labels, groups, rationale/templates, questions, votes
+# ---------------------------------------------------------------------------
+from ..functions.prompts import render  # noqa: E402
+from ..functions.text import tokens as _tokens  # noqa: E402
+from ..operators import issues as iss  # noqa: E402
+from . import bindings  # noqa: E402
+
+_LABELED_SQL = (f"WITH src AS (SELECT doc_id, text, source, {bindings.issue_string_sql()} AS issue_types "
+                f"FROM documents), " + q.parse_labels_ctes("src", "doc_id", "issue_types", "text").strip())
+
+
+def _labeled(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    d = docs.withColumn("issue_types", bindings.issue_string())
+    return iss.label_rows(d, "doc_id", "issue_types", "text")
+
+
+@register("issue_labels", sql=f"""{_LABELED_SQL}
+SELECT doc_id, CAST(unnest(range(len(issues))) AS BIGINT) AS label_idx, unnest(issues) AS issue FROM labeled
+""")
+def issue_labels(spark, sf_dir):
+    """Parsed, ordered, de-duplicated labels."""
+    return iss.explode_labels(_labeled(spark, sf_dir), "doc_id").select(
+        "doc_id", F.col("label_idx").cast("bigint").alias("label_idx"), "issue")
+
+
+_GROUPS_SQL = f"""{_LABELED_SQL},
+lab AS (SELECT doc_id, unnest(issues) AS issue FROM labeled),
+groups AS (SELECT issue, CAST(count(*) AS BIGINT) AS n_segments, min(doc_id) AS first_doc FROM lab
+           WHERE issue <> '' GROUP BY issue)"""
+
+
+@register("issue_groups", sql=f"""{_GROUPS_SQL}
+SELECT issue, n_segments, first_doc, n_segments > 5 AS supported FROM groups
+""")
+def issue_groups(spark, sf_dir):
+    """A1 + A3: segments per issue and the support filter flag."""
+    g = iss.group_by_issue(_labeled(spark, sf_dir), "doc_id")
+    return g.select("issue", F.col("n_segments").cast("bigint").alias("n_segments"),
+                    F.col("first_key").alias("first_doc"),
+                    (F.col("n_segments") > 5).alias("supported"))
+
+
+_TOP_SQL = f"""{_GROUPS_SQL},
+top AS (SELECT issue, doc_id, CAST(row_number() OVER (PARTITION BY issue ORDER BY doc_id) AS BIGINT) AS rank
+        FROM lab WHERE issue <> '' QUALIFY rank <= 5)"""
+
+
+@register("issue_top_segments", sql=f"""{_TOP_SQL}
+SELECT issue, rank, doc_id FROM top
+""")
+def issue_top_segments(spark, sf_dir):
+    """A2: first five segments of every issue."""
+    t = iss.top_segments(_labeled(spark, sf_dir), "doc_id")
+    return t.select("issue", F.col("rank").cast("bigint").alias("rank"), "doc_id")
+
+
+_RAT_SQL = dims.sql_values(dims.rationale_rows(), ["issue", "reason"])
+_TPL_SQL = dims.sql_values(dims.template_rows(), ["template_key", "knowledge", "template"])
+
+
+@register("issue_catalog", sql=f"""{_GROUPS_SQL},
+rat AS (SELECT * FROM {_RAT_SQL}),
+tpl AS (SELECT regexp_replace({q.normalize_label('template_key')}, '^\\W+', '') AS issue, template_key, knowledge, template
+        FROM {_TPL_SQL})
+SELECT g.issue, g.n_segments, coalesce(nullif(r.reason, ''), {q.lit(dims.GENERIC_REASON)}) AS reason,
+       (r.reason IS NULL OR r.reason = '') AS generic_reason, t.template_key, t.knowledge,
+       md5(t.template) AS template_md5
+FROM groups g LEFT JOIN rat r ON g.issue = r.issue LEFT JOIN tpl t ON g.issue = t.issue
+""")
+def issue_catalog(spark, sf_dir):
+    """J2 + J3: every issue with its reason (generic when empty) and template."""
+    g = iss.group_by_issue(_labeled(spark, sf_dir), "doc_id")
+    r = dims.rationale_df(spark)
+    j = (g.join(F.broadcast(r), "issue", "left")
+         .withColumn("generic_reason", F.col("reason").isNull() | (F.col("reason") == "")))
+    j = j.withColumn("reason", F.coalesce(F.nullif("reason", F.lit("")), F.lit(dims.GENERIC_REASON)))
+    j = iss.attach_templates(j, dims.templates_df(spark))
+    return j.select("issue", F.col("n_segments").cast("bigint").alias("n_segments"), "reason",
+                    "generic_reason", "template_key", "knowledge", F.md5("template").alias("template_md5"))
+
+
+# question mining (M5) with the rules backend -------------------------------------------------
+
+_QSETS_SQL = f"""{_TOP_SQL},
+sup AS (SELECT issue, first_doc FROM groups WHERE n_segments > 5),
+kw AS (SELECT t.issue, list(lower(regexp_extract(d.text, '^\\s*(\\S+)', 1)) ORDER BY t.rank) AS kws
+       FROM top t JOIN documents d ON d.doc_id = t.doc_id JOIN sup s ON s.issue = t.issue GROUP BY t.issue),
+comp AS (SELECT issue, 'Questions: [' || array_to_string(list_transform(
+            list_concat(['Does the segment justify ''' || issue || '''?'],
+                        list_transform(kws[1:(2 + length(issue) % 3) - 1], lambda w: 'Does the segment use the word ''' || w || '''?')),
+            lambda x: '"' || x || '"'), ', ') || ']' AS completion FROM kw),
+qparsed AS (SELECT c.issue, regexp_extract_all(regexp_extract(completion, '(?s)\\[(.*?)\\]', 1), '"(.*?)"', 1) AS qs,
+                   CAST(dense_rank() OVER (ORDER BY s.first_doc, c.issue) - 1 AS INTEGER) AS issue_idx
+            FROM comp c JOIN sup s ON s.issue = c.issue WHERE regexp_matches(completion, '(?s)\\[.*?\\]')),
+questions AS (SELECT issue, issue_idx, CAST(unnest(range(len(qs))) AS INTEGER) AS q_idx, unnest(qs) AS question
+              FROM qparsed)"""
+
+
+def _question_table(spark, sf_dir):
+    """(issue, issue_idx, q_idx, question, keyword); an issue whose list
+    parsed to no question keeps its slot with NULL q_idx/question."""
+    lab = _labeled(spark, sf_dir)
+    groups = iss.supported(iss.group_by_issue(lab, "doc_id"))
+    top = iss.top_segments(lab, "doc_id").join(groups.select("issue"), "issue", "left_semi")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    kw = (top.join(docs, "doc_id")
+          .select("issue", "rank", F.lower(F.regexp_extract("text", r"^\s*(\S+)", 1)).alias("kw"))
+          .groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("rank", "kw"))).alias("_k"))
+          .select("issue", F.transform("_k", lambda x: x["kw"]).alias("kws")))
+    comp = kw.select("issue", iss.rules_question_completion("issue", "kws").alias("completion"))
+    return iss.question_table(comp, groups.select("issue", F.col("first_key").alias("order_key")))
+
+
+@register("question_sets", sql=f"""{_QSETS_SQL}
+SELECT issue, issue_idx, q_idx, question FROM questions
+""")
+def question_sets(spark, sf_dir):
+    """M5 (rules backend) + F9: questions per supported issue."""
+    return (_question_table(spark, sf_dir).filter(F.col("question").isNotNull())
+            .select("issue", "issue_idx", "q_idx", "question"))
+
+
+def _vote_code_sql(text: str, kw: str) -> str:
+    comp = (f"(CASE WHEN contains(lower({text}), {kw}) THEN '[[Yes]]' WHEN contains({text}, '!') THEN 'I cannot tell' "
+            f"WHEN length({text}) < 300 THEN '[[Other]]' WHEN length({text}) % 2 = 0 THEN 'NO' ELSE '[[No]]' END)")
+    return (f"(CASE WHEN contains(lower({comp}), 'yes') THEN 1 WHEN contains(lower({comp}), 'no') THEN -1 ELSE 0 END)")
+
+
+_VOTES_SQL = f"""{_QSETS_SQL},
+qk AS (SELECT issue_idx, q_idx, lower(regexp_extract(question, '''([^'']*)''', 1)) AS keyword FROM questions),
+slots AS (SELECT issue_idx FROM qparsed),
+v AS (SELECT d.doc_id, qk.issue_idx, qk.q_idx, {_vote_code_sql('d.text', 'qk.keyword')} AS vote
+      FROM documents d CROSS JOIN qk),
+di AS (SELECT d.doc_id, s.issue_idx FROM documents d CROSS JOIN slots s),
+per_issue AS (SELECT di.doc_id, di.issue_idx,
+                     coalesce(list(v.vote ORDER BY v.q_idx) FILTER (WHERE v.vote IS NOT NULL), []::INTEGER[]) AS inner_v
+              FROM di LEFT JOIN v ON v.doc_id = di.doc_id AND v.issue_idx = di.issue_idx
+              GROUP BY di.doc_id, di.issue_idx),
+per_doc AS (SELECT doc_id, max(len(inner_v)) AS w, list(inner_v ORDER BY issue_idx) AS nested FROM per_issue GROUP BY doc_id),
+vec AS (SELECT doc_id, flatten(list_transform(nested, lambda x: list_concat(x, list_transform(range(w - len(x)), lambda y: 0)))) AS features,
+               nested FROM per_doc)"""
+
+
+@register("vote_vectors", sql=f"""{_VOTES_SQL}
+SELECT doc_id, CAST(len(features) AS BIGINT) AS width, array_to_string(features, ',') AS features,
+       CAST(len(list_filter(features, lambda x: x = 1)) AS BIGINT) AS n_yes,
+       CAST(len(list_filter(features, lambda x: x = -1)) AS BIGINT) AS n_no,
+       CAST(len(nested) AS BIGINT) AS n_issues
+FROM vec
+""")
+def vote_vectors(spark, sf_dir):
+    """J4 + M6 (rules backend) + F8 + M7 + F19: every question of every
+    document, coded, nested per issue, padded and flattened."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    v = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir))
+    return v.select("doc_id", F.size("features").cast("bigint").alias("width"),
+                    F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"),
+                    F.size(F.filter("features", lambda x: x == 1)).cast("bigint").alias("n_yes"),
+                    F.size(F.filter("features", lambda x: x == -1)).cast("bigint").alias("n_no"),
+                    F.size("feature_vectors").cast("bigint").alias("n_issues"))

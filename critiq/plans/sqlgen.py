@@ -108,3 +108,35 @@ def fold(items: str, step) -> str:
              f"'out': list_append(acc.out, {{'tag': {tag}, 'seg': {seg}}})}}")
     init = "{'prev': '', 'seg': 0, 'out': []::STRUCT(tag VARCHAR, seg INTEGER)[]}"
     return f"(list_reduce({items}, {merge}, {init})).out"
+
+
+def normalize_label(x: str) -> str:
+    s = strip(x)
+    s = f"regexp_replace({s}, '^[''\"`]+|[''\"`]+$', '', 'g')"
+    s = f"regexp_replace({s}, '^[\\s\\W]*H\\d+\\.\\s*', '')"
+    s = f"regexp_replace({s}, '[\\\\/]', '', 'g')"
+    s = f"regexp_replace({s}, '[;,]+$', '')"
+    return strip(s)
+
+
+def distinct_ordered(lst: str) -> str:
+    return f"list_filter({lst}, lambda v, i: list_position({lst}, v) = i)"
+
+
+def parse_labels_ctes(src: str, key: str, col: str, seg: str | None = None) -> str:
+    """CTE chain producing (key, issues) like ``text.parse_labels`` (+ P6)."""
+    p1, p2 = fixed.PROTECTED_PHRASES
+    raw = f"coalesce({col}, 'Other')"
+    short = f"({seg} IS NULL OR length({strip(seg)}) < {fixed.SHORT_SEGMENT_CHARS})" if seg else "FALSE"
+    return f"""
+pl0 AS (SELECT {key}, {raw} AS raw, {short} AS short FROM {src}),
+pl1 AS (SELECT {key}, short, list_concat(
+          list_filter(list_transform(string_split_regex(replace(replace(raw, {lit(p1)}, ''), {lit(p2)}, ''), '[;,]'),
+                                     lambda p: {strip('p')}), lambda p: p <> ''),
+          list_filter([CASE WHEN contains(raw, {lit(p1)}) THEN {lit(p1)} END,
+                       CASE WHEN contains(raw, {lit(p2)}) THEN {lit(p2)} END], lambda p: p IS NOT NULL)) AS pieces
+        FROM pl0),
+pl2 AS (SELECT {key}, short, list_transform({distinct_ordered('pieces')}, lambda p: {normalize_label('p')}) AS n FROM pl1),
+pl3 AS (SELECT {key}, short, list_filter(n, lambda p: p <> '') AS n FROM pl2),
+labeled AS (SELECT {key}, CASE WHEN short THEN []::VARCHAR[] ELSE
+              list_filter({distinct_ordered('n')}, lambda p: p <> 'Other') END AS issues FROM pl3)"""
