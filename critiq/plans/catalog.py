@@ -274,3 +274,152 @@ def vote_vectors(spark, sf_dir):
                     F.size(F.filter("features", lambda x: x == 1)).cast("bigint").alias("n_yes"),
                     F.size(F.filter("features", lambda x: x == -1)).cast("bigint").alias("n_no"),
                     F.size("feature_vectors").cast("bigint").alias("n_issues"))
+
+
+# ---------------------------------------------------------------------------
+# Metrics (A4-A8, F5, F24, J7) on documents x labels
+# ---------------------------------------------------------------------------
+from ..functions.text import clean_gold  # noqa: E402
+from ..operators import metrics as met  # noqa: E402
+from ..operators import split as spl  # noqa: E402
+
+_GOLD_RAW = "CASE WHEN toxic = 1 THEN '\"Toxic\"' WHEN quality = 1 THEN 'Good' ELSE 'poor' END"
+_PRED_RAW = "CASE WHEN text LIKE '%!%' THEN 'toxic' WHEN n_chars > 2000 THEN '\"GOOD\"' ELSE 'Poor' END"
+_GOLD_SET = "list_filter([CASE WHEN quality = 1 THEN 'quality' END, CASE WHEN toxic = 1 THEN 'toxic' END], lambda x: x IS NOT NULL)"
+_PRED_SET = ("list_filter([CASE WHEN n_chars > 2000 THEN 'quality' END, CASE WHEN text LIKE '%!%' THEN 'toxic' END, "
+             "CASE WHEN lang <> 'en' THEN 'foreign' END], lambda x: x IS NOT NULL)")
+
+
+def _gold_pred(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "n_chars")
+    lab = table(spark, sf_dir, "labels")
+    j = lab.join(d, "doc_id")
+    nn = lambda *cs: F.filter(F.array(*cs), lambda x: x.isNotNull())
+    return j.select(
+        "doc_id",
+        clean_gold(F.expr(_GOLD_RAW)).alias("gold"), clean_gold(F.expr(_PRED_RAW)).alias("pred"),
+        nn(F.when(F.col("quality") == 1, "quality"), F.when(F.col("toxic") == 1, "toxic")).alias("gold_set"),
+        nn(F.when(F.col("n_chars") > 2000, "quality"), F.when(F.col("text").like("%!%"), "toxic"),
+           F.when(F.col("lang") != "en", "foreign")).alias("pred_set"))
+
+
+_GP_SQL = f"""gp AS (SELECT l.doc_id, lower(replace({_GOLD_RAW}, '"', '')) AS gold, lower(replace({_PRED_RAW}, '"', '')) AS pred,
+       {_GOLD_SET} AS gold_set, {_PRED_SET} AS pred_set FROM labels l JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+@register("label_metrics", sql=f"""WITH {_GP_SQL},
+lbl AS (SELECT gold AS label FROM gp UNION SELECT pred FROM gp),
+per AS (SELECT label, (SELECT count(*) FROM gp WHERE gold = label AND pred = label) AS tp,
+               (SELECT count(*) FROM gp WHERE pred = label) AS n_pred,
+               (SELECT count(*) FROM gp WHERE gold = label) AS n_true FROM lbl)
+SELECT CAST((SELECT count(*) FROM gp) AS BIGINT) AS n,
+       round((SELECT avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) FROM gp), 6) AS accuracy,
+       round(avg(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END), 6) AS precision_macro,
+       round(avg(CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END), 6) AS recall_macro,
+       round((SELECT avg(CASE WHEN gold = pred THEN 1.0 ELSE 0.0 END) FROM gp), 6) AS f1_micro
+FROM per
+""")
+def label_metrics(spark, sf_dir):
+    """A4 + F5: single-label accuracy, macro P/R, micro F1."""
+    m = met.single_label_metrics(_gold_pred(spark, sf_dir), "gold", "pred")
+    return m.select("n", *[round6(c).alias(c) for c in ["accuracy", "precision_macro", "recall_macro", "f1_micro"]])
+
+
+@register("per_class_metrics", sql=f"""WITH {_GP_SQL},
+t AS (SELECT doc_id, unnest(list_distinct(gold_set)) AS label FROM gp),
+p AS (SELECT doc_id, unnest(list_distinct(pred_set)) AS label FROM gp),
+j AS (SELECT coalesce(t.label, p.label) AS label, (t.doc_id IS NOT NULL AND p.doc_id IS NOT NULL)::INT AS tp,
+             (t.doc_id IS NULL)::INT AS fp, (p.doc_id IS NULL)::INT AS fn
+      FROM t FULL OUTER JOIN p ON t.doc_id = p.doc_id AND t.label = p.label),
+s AS (SELECT label, sum(tp) AS tp, sum(fp) AS fp, sum(fn) AS fn FROM j GROUP BY label)
+SELECT label, CAST(tp AS BIGINT) AS tp, CAST(fp AS BIGINT) AS fp, CAST(fn AS BIGINT) AS fn,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS recall
+FROM s
+""")
+def per_class_metrics(spark, sf_dir):
+    """A5 via J7 (full outer join of gold and predicted label cells)."""
+    m = met.per_class_relaxed(_gold_pred(spark, sf_dir), "doc_id", "gold_set", "pred_set")
+    return m.select("label", "tp", "fp", "fn", round6("precision").alias("precision"), round6("recall").alias("recall"))
+
+
+@register("multilabel_metrics", sql=f"""WITH {_GP_SQL},
+r AS (SELECT list_distinct(gold_set) AS t, list_distinct(pred_set) AS p FROM gp),
+x AS (SELECT t, p, len(list_intersect(t, p)) AS i FROM r),
+y AS (SELECT *, CASE WHEN len(p) > 0 THEN i / len(p) ELSE 0.0 END AS pr,
+                CASE WHEN len(t) > 0 THEN i / len(t) ELSE 0.0 END AS rc FROM x),
+z AS (SELECT count(*) AS n, avg(CASE WHEN i > 0 THEN 1.0 ELSE 0.0 END) AS ra, avg(pr) AS sp, avg(rc) AS sr,
+             avg(CASE WHEN pr + rc > 0 THEN 2 * pr * rc / (pr + rc) ELSE 0.0 END) AS sf,
+             sum(i) AS tp, sum(len(p) - i) AS fp, sum(len(t) - i) AS fn FROM y)
+SELECT CAST(n AS BIGINT) AS n, round(ra, 6) AS relaxed_accuracy, round(sp, 6) AS sample_precision,
+       round(sr, 6) AS sample_recall, round(sf, 6) AS sample_f1,
+       round(CASE WHEN 0.25 * sp + sr > 0 THEN 1.25 * sp * sr / (0.25 * sp + sr) ELSE 0.0 END, 6) AS sample_f05,
+       round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0.0 END, 6) AS micro_precision,
+       round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0.0 END, 6) AS micro_recall,
+       round(CASE WHEN 1.25 * tp + 0.25 * fn + fp > 0 THEN 1.25 * tp / (1.25 * tp + 0.25 * fn + fp) ELSE 0.0 END, 6) AS micro_f05
+FROM z
+""")
+def multilabel_metrics(spark, sf_dir):
+    """A6 + A7 + A8 + F24: relaxed accuracy, sample-averaged and micro scores."""
+    m = met.multilabel_summary(_gold_pred(spark, sf_dir), "gold_set", "pred_set", 0.5)
+    return m.select("n", *[round6(c).alias(c) for c in m.columns if c != "n"])
+
+
+# ---------------------------------------------------------------------------
+# Group split (G1, G2, J5, P7, A10-A12) on the labeled documents
+# ---------------------------------------------------------------------------
+
+def _issue_dataset(spark, sf_dir):
+    """Rows with at least one supported issue; group key = source."""
+    lab = _labeled(spark, sf_dir)
+    sup = iss.supported(iss.group_by_issue(lab, "doc_id")).select(F.collect_list("issue")).scalar()
+    return lab.filter(F.arrays_overlap("issues", sup)).select("doc_id", "source", "issues")
+
+
+_DS_SQL = f"""{_GROUPS_SQL},
+ds AS (SELECT l.doc_id, s.source, l.issues FROM labeled l JOIN src s ON s.doc_id = l.doc_id
+       WHERE len(list_intersect(l.issues, (SELECT list(issue) FROM groups WHERE n_segments > 5))) > 0),
+grows AS (SELECT source, count(*) AS n_rows FROM ds GROUP BY source),
+glab AS (SELECT source, label, count(*) AS n_lab FROM (SELECT source, unnest(list_distinct(issues)) AS label FROM ds) GROUP BY ALL),
+labels_all AS (SELECT label, sum(n_lab) AS tot_lab FROM glab GROUP BY label)"""
+
+
+def _diff_sql(assign: str, by: str) -> str:
+    return f"""(SELECT {by}, avg(abs((tot_lab - coalesce(test_lab, 0)) / (tot_rows - test_rows) - coalesce(test_lab, 0) / test_rows)) AS diff
+  FROM (SELECT {by}, sum(r.n_rows) AS test_rows, (SELECT sum(n_rows) FROM grows) AS tot_rows FROM {assign} a JOIN grows r ON r.source = a.source GROUP BY {by}) k
+  CROSS JOIN labels_all la
+  LEFT JOIN (SELECT {by}, g.label, sum(g.n_lab) AS test_lab FROM {assign} a JOIN glab g ON g.source = a.source GROUP BY {by}, g.label) tl
+    USING ({by}, label)
+  GROUP BY {by})"""
+
+
+@register("group_split", sql=f"""{_DS_SQL},
+tr AS (SELECT source, t AS trial, {q.det_uniform('42', 't', 'source')} AS u FROM grows, range(1000) r(t)),
+test AS (SELECT trial, source FROM (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY u, source) AS rk FROM tr)
+         WHERE rk <= (SELECT greatest(1, floor(count(*) * 0.1)) FROM grows)),
+diffs AS {_diff_sql('test', 'trial')},
+best AS (SELECT trial, diff FROM diffs ORDER BY round(diff, 9), trial LIMIT 1)
+SELECT g.source, CASE WHEN t.source IS NOT NULL THEN 'test' ELSE 'train' END AS side,
+       CAST((SELECT trial FROM best) AS INTEGER) AS trial, round((SELECT diff FROM best), 6) AS diff
+FROM grows g LEFT JOIN (SELECT source FROM test WHERE trial = (SELECT trial FROM best)) t ON t.source = g.source
+""")
+def group_split(spark, sf_dir):
+    """G1 (10 % of groups, 1000 trials, seed 42) + P7 + J5 + A10-A12."""
+    s = spl.stratified_group_split(_issue_dataset(spark, sf_dir), "issues", "source",
+                                   test_size=0.1, n_trials=1000, seed=42)
+    return s.select("source", "side", F.col("trial").cast("int").alias("trial"), round6("diff").alias("diff"))
+
+
+@register("group_kfold", sql=f"""{_DS_SQL},
+tr AS (SELECT source, t AS trial, {q.det_uniform('42', "'kfold'", 't', 'source')} AS u FROM grows, range(100) r(t)),
+folds AS (SELECT trial, source, CAST((row_number() OVER (PARTITION BY trial ORDER BY u, source) - 1) % 5 AS INTEGER) AS fold FROM tr),
+per_fold AS {_diff_sql('folds', 'trial, fold')},
+score AS (SELECT trial, avg(diff) AS score FROM per_fold GROUP BY trial),
+best AS (SELECT trial, score FROM score ORDER BY round(score, 9), trial LIMIT 1)
+SELECT source, fold, CAST(trial AS INTEGER) AS trial, round((SELECT score FROM best), 6) AS score
+FROM folds WHERE trial = (SELECT trial FROM best)
+""")
+def group_kfold(spark, sf_dir):
+    """5 group folds, best of 100 seeded trials."""
+    k = spl.stratified_group_kfold(_issue_dataset(spark, sf_dir), "issues", "source", 5, 100, 42)
+    return k.select("source", "fold", F.col("trial").cast("int").alias("trial"), round6("score").alias("score"))
