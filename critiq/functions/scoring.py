@@ -10,7 +10,7 @@ from .text import col_of, tokens, sentence_marks
 
 __all__ = [
     "length_score", "template_adherence", "reading_ease", "forbidden_penalty",
-    "fitness", "det_uniform", "gumbel", "sample_prf", "round6",
+    "fitness", "word_count", "syllables", "det_uniform", "gumbel", "sample_prf", "round6",
 ]
 
 
@@ -29,22 +29,30 @@ def template_adherence(text, template) -> Column:
     return F.size(F.array_intersect(t, tokens(text))) / F.greatest(F.size(t), F.lit(1))
 
 
-def _syllables(words: Column) -> Column:
-    # at least one syllable per word; a syllable is a run of vowels (incl. y)
-    return F.aggregate(words, F.lit(0).cast("long"),
-                       lambda acc, w: acc + F.greatest(
-                           F.lit(1), F.regexp_count(F.lower(w), F.lit("[aeiouy]+"))))
+def word_count(text) -> Column:
+    """Number of whitespace tokens, without building the token array."""
+    return F.regexp_count(col_of(text), F.lit(r"\S+"))
+
+
+def syllables(text) -> Column:
+    """Sum over words of max(1, runs of vowels incl. y).
+
+    Vowel runs never cross whitespace, so this is the number of vowel runs in
+    the whole text plus the number of words without any vowel: two regex
+    passes over the text instead of one regex per word."""
+    s = F.lower(col_of(text))
+    return (F.regexp_count(s, F.lit("[aeiouy]+"))
+            + F.regexp_count(s, F.lit(r"(?<!\S)[^aeiouy\s]+(?!\S)")))
 
 
 def reading_ease(text) -> Column:
     """F16: Flesch reading ease, 206.835 - 1.015 w/s - 84.6 syl/w; empty -> 0."""
-    words = tokens(text)
-    n_words = F.size(words)
+    n_words = word_count(text)
     n_sent = F.greatest(sentence_marks(text), F.lit(1))
     return F.when(n_words == 0, F.lit(0.0)).otherwise(
         F.lit(fixed.FLESCH_BASE)
         - F.lit(fixed.FLESCH_WPS) * (n_words / n_sent)
-        - F.lit(fixed.FLESCH_SPW) * (_syllables(words) / n_words))
+        - F.lit(fixed.FLESCH_SPW) * (syllables(text) / n_words))
 
 
 def forbidden_penalty(text, word_bounded: bool = False) -> Column:
@@ -59,7 +67,7 @@ def forbidden_penalty(text, word_bounded: bool = False) -> Column:
             total = total + F.regexp_count(s, F.lit(r"\b" + t + r"\b"))
         else:
             total = total + F.floor((F.length(s) - F.length(F.replace(s, F.lit(t), F.lit("")))) / len(t))
-    return total / F.greatest(F.size(tokens(text)), F.lit(1))
+    return total / F.greatest(word_count(text), F.lit(1))
 
 
 def fitness(text, template, length_sign: int = 1, read_scale: float = 1.0,

@@ -102,7 +102,7 @@ def validate_bio(c) -> Column:
 
 def tokens(c) -> Column:
     """whitespace tokens (Python ``str.split()``)."""
-    return F.filter(F.split(col_of(c), r"\s+"), lambda x: x != "")
+    return F.array_remove(F.split(col_of(c), r"\s+"), "")
 
 
 def sentence_marks(c) -> Column:

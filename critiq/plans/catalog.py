@@ -423,3 +423,150 @@ def group_kfold(spark, sf_dir):
     """5 group folds, best of 100 seeded trials."""
     k = spl.stratified_group_kfold(_issue_dataset(spark, sf_dir), "issues", "source", 5, 100, 42)
     return k.select("source", "fold", F.col("trial").cast("int").alias("trial"), round6("score").alias("score"))
+
+
+# ---------------------------------------------------------------------------
+# Feedback generation (template backend) and judging
+# ---------------------------------------------------------------------------
+from .. import fixed as _fx  # noqa: E402
+from ..operators import feedback as fb  # noqa: E402
+from ..operators import judge as jd  # noqa: E402
+
+
+def _pairs(spark, sf_dir):
+    """(doc_id, issue, segment, template, knowledge, base) for every parsed
+    label that has a template (J3); unmatched labels have no template."""
+    lab = iss.explode_labels(_labeled(spark, sf_dir), "doc_id").select("doc_id", "issue")
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("segment"))
+    p = iss.attach_templates(lab, dims.templates_df(spark)).filter(F.col("template").isNotNull())
+    return (p.join(docs, "doc_id")
+            .select("doc_id", "issue", "segment", "template", "knowledge",
+                    fb.fill_template("template", "segment").alias("base")))
+
+
+_PAIRS_SQL = f"""{_LABELED_SQL},
+tpl AS (SELECT regexp_replace({q.normalize_label('template_key')}, '^\\W+', '') AS issue, knowledge, template
+        FROM {_TPL_SQL}),
+lab AS (SELECT doc_id, unnest(issues) AS issue FROM labeled),
+pairs AS (SELECT l.doc_id, l.issue, d.text AS segment, t.template, t.knowledge,
+                 replace(t.template, {q.lit(_fx.TEMPLATE_PLACEHOLDER)}, d.text) AS base
+          FROM lab l JOIN tpl t ON t.issue = l.issue JOIN documents d ON d.doc_id = l.doc_id)"""
+
+
+def _pick_sql(options, idx: str) -> str:
+    return f"([{', '.join(q.lit(o) for o in options)}])[({idx}) % {len(options)} + 1]"
+
+
+def _cand_sql(base: str, c: str) -> str:
+    return f"({_pick_sql(fb.OPENINGS, f'({c}) // {len(fb.CLOSINGS)}')} || {base} || {_pick_sql(fb.CLOSINGS, c)})"
+
+
+def _argmax_sql(src: str, keys: str) -> str:
+    return f"""SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY {keys} ORDER BY round(fitness, 9) DESC, cand_id) AS _rn
+                FROM {src}) WHERE _rn = 1"""
+
+
+_BASELINES_SQL = f"""{_PAIRS_SQL},
+one AS (SELECT doc_id, issue, template, 0 AS cand_id,
+               'Regarding ''' || issue || ''': please support the point "' || segment || '" with evidence.' AS text FROM pairs),
+tmp AS (SELECT doc_id, issue, template, 0 AS cand_id, {_cand_sql('base', '0')} AS text FROM pairs),
+pln AS (SELECT doc_id, issue, template, 0 AS cand_id,
+               'knowledge_source: ' || coalesce(knowledge, 'Template') || '; justification: the issue is ''' || issue || '''.' || ' ' || base AS text FROM pairs),
+bon_c AS (SELECT doc_id, issue, template, c AS cand_id, {_cand_sql('base', 'c')} AS text FROM pairs, range(15) r(c)),
+bon AS ({_argmax_sql(f"(SELECT *, {q.fitness('text', 'template', 1)} AS fitness FROM bon_c)", 'doc_id, issue')}),
+sr_c AS (SELECT doc_id, issue, template, c AS cand_id,
+                {_cand_sql('base', 'c')} || {_pick_sql(fb.REFINEMENTS, 'c')} || {_pick_sql(fb.REFINEMENTS, 'c + 1')}
+                || {_pick_sql(fb.REFINEMENTS, 'c + 2')} AS text FROM pairs, range(5) r(c)),
+srf AS ({_argmax_sql(f"(SELECT *, {q.fitness('text', 'template', 1)} AS fitness FROM sr_c)", 'doc_id, issue')}),
+allc AS (SELECT '1-pass' AS strategy, doc_id, issue, cand_id, text, {q.fitness('text', 'template', 1)} AS fitness FROM one
+         UNION ALL SELECT 'Temp', doc_id, issue, cand_id, text, {q.fitness('text', 'template', 1)} FROM tmp
+         UNION ALL SELECT 'Plan', doc_id, issue, cand_id, text, {q.fitness('text', 'template', 1)} FROM pln
+         UNION ALL SELECT 'BoN', doc_id, issue, cand_id, text, fitness FROM bon
+         UNION ALL SELECT 'Self-Ref.', doc_id, issue, cand_id, text, fitness FROM srf)"""
+
+
+@register("feedback_baselines", sql=f"""{_BASELINES_SQL}
+SELECT doc_id, issue, strategy, CAST(cand_id AS BIGINT) AS cand_id, round(fitness, 6) AS fitness, md5(text) AS text_md5
+FROM allc
+""")
+def feedback_baselines(spark, sf_dir):
+    """M12 + M13 + M14 + M15 + M16 + M17 (template backend), F18, W3, J3, F21."""
+    return _baselines(spark, sf_dir).select(
+        "doc_id", "issue", "strategy", F.col("cand_id").cast("bigint").alias("cand_id"),
+        round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
+
+
+def _baselines(spark, sf_dir):
+    p = _pairs(spark, sf_dir)
+    keys = ["doc_id", "issue"]
+    one = p.select(*keys, "template", F.lit(0).alias("cand_id"),
+                   fb.template_one_pass("segment", "issue").alias("text"))
+    tmp = p.select(*keys, "template", F.lit(0).alias("cand_id"), fb.template_candidate("base", F.lit(0)).alias("text"))
+    pln = p.select(*keys, "template", F.lit(0).alias("cand_id"),
+                   F.concat_ws(" ", fb.template_plan("issue", "knowledge"), "base").alias("text"))
+    simple = [(name, d.withColumn("fitness", fitness("text", "template", 1)).drop("template"))
+              for name, d in [("1-pass", one), ("Temp", tmp), ("Plan", pln)]]
+    out = [d.withColumn("strategy", F.lit(name)) for name, d in simple]
+    out.append(fb.best_of_n(p, keys).withColumn("strategy", F.lit("BoN")))
+    out.append(fb.self_refine(p, keys).withColumn("strategy", F.lit("Self-Ref.")))
+    res = out[0]
+    for d in out[1:]:
+        res = res.unionByName(d)     # U2
+    return res
+
+
+def _evolution_sql(n_cand=_fx.N_CANDIDATES, n_gen=_fx.N_GENERATIONS, n_par=_fx.N_PARENTS, seed=_fx.SEED):
+    parts = [f"pop0 AS (SELECT doc_id, issue, template, c AS cand_id, {_cand_sql('base', 'c')} AS text FROM pairs, range({n_cand}) r(c))"]
+    for g in range(n_gen):
+        parts.append(f"""s{g} AS (SELECT *, {q.fitness('text', 'template', -1)} AS fitness FROM pop{g}),
+par{g} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, issue ORDER BY
+             round(fitness, 9) / 1.0 + {q.gumbel(str(seed), 'doc_id', 'issue', str(g), 'cand_id')} DESC, cand_id) AS rank FROM s{g})
+           WHERE rank <= {n_par}),
+ch{g} AS (SELECT doc_id, issue, template, {n_cand + g} AS cand_id,
+                 ps[1] || ' ' || ({q.sentences('ps[2]')})[-1] AS text
+          FROM (SELECT doc_id, issue, template, list(text ORDER BY rank) AS ps FROM par{g} GROUP BY doc_id, issue, template)),
+pop{g + 1} AS (SELECT doc_id, issue, template, cand_id, text FROM pop{g} UNION ALL SELECT * FROM ch{g})""")
+    parts.append(f"fin AS ({_argmax_sql(f'(SELECT *, {q.fitness(chr(116) + chr(101) + chr(120) + chr(116), chr(116) + chr(101) + chr(109) + chr(112) + chr(108) + chr(97) + chr(116) + chr(101), -1)} AS fitness FROM pop{n_gen})', 'doc_id, issue')})")
+    return ",\n".join(parts)
+
+
+@register("feedback_evolution", sql=f"""{_PAIRS_SQL},
+{_evolution_sql()}
+SELECT doc_id, issue, CAST(cand_id AS BIGINT) AS cand_id, round(fitness, 6) AS fitness, md5(text) AS text_md5 FROM fin
+""")
+def feedback_evolution(spark, sf_dir):
+    """M9 + W4 + M10 + M11 + U1 + W3: 10 candidates, 3 generations, 5 parents."""
+    e = fb.evolve(_pairs(spark, sf_dir), ["doc_id", "issue"])
+    return e.select("doc_id", "issue", F.col("cand_id").cast("bigint").alias("cand_id"),
+                    round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
+
+
+def _judge_sql_dim(i: int, d: str, seg: str, out: str) -> str:
+    k = f"((length({out}) + length({seg}) + {i}) % 4)"
+    score = f"CAST(length({out}) % 5 + 1 AS VARCHAR)"
+    reason = f"('The feedback has ' || CAST(len(string_split({out}, ' ')) AS VARCHAR) || ' words.')"
+    comp = (f"(CASE WHEN {k} = 0 THEN 'Feedback: ' || {reason} || ' [RESULT] ' || {score} "
+            f"WHEN {k} = 1 THEN 'Notes.' || chr(10) || '### ' || {reason} || chr(10) || '[RESULT] ' || {score} "
+            f"WHEN {k} = 2 THEN {reason} || ' [RESULT] 3 [RESULT] ' || {score} ELSE {reason} END)")
+    parts = f"string_split((string_split({comp}, '###'))[-1], '[RESULT]')"
+    fbk = f"(CASE WHEN len({parts}) = 2 THEN replace({q.strip(f'({parts})[1]')}, chr(10), ' ') ELSE '' END)"
+    sc = f"(CASE WHEN len({parts}) = 2 THEN replace({q.strip(f'({parts})[2]')}, chr(10), ' ') ELSE '' END)"
+    dl = d.lower()
+    return (f"{fbk} AS {dl}_feedback, {sc} AS {dl}_score, "
+            f"CASE WHEN regexp_full_match({sc}, '[1-5]') THEN CAST({sc} AS INTEGER) END AS {dl}_score_int")
+
+
+@register("judge_scores", sql=f"""{_BASELINES_SQL},
+ji AS (SELECT doc_id, issue, string_split(p.segment, ';')[1] AS segment, t.text AS outputs
+       FROM tmp t JOIN pairs p USING (doc_id, issue))
+SELECT doc_id, issue, {', '.join(_judge_sql_dim(i, d, 'segment', 'outputs') for i, d in enumerate(_fx.JUDGE_DIMENSIONS))},
+       'template' AS prompt
+FROM ji
+""")
+def judge_scores(spark, sf_dir):
+    """M18 (rules backend) + F10 + F11 + P2 + P10 + P11 on the template-guided
+    feedback of every (document, issue) pair."""
+    p = _pairs(spark, sf_dir)
+    ji = p.select("doc_id", "issue", "segment", fb.template_candidate("base", F.lit(0)).alias("outputs"))
+    j = jd.judge_wide(jd.judge_input(ji, "segment", "outputs"), "segment", "outputs", "template")
+    return j.drop("segment", "outputs")
