@@ -570,3 +570,111 @@ def judge_scores(spark, sf_dir):
     ji = p.select("doc_id", "issue", "segment", fb.template_candidate("base", F.lit(0)).alias("outputs"))
     j = jd.judge_wide(jd.judge_input(ji, "segment", "outputs"), "segment", "outputs", "template")
     return j.drop("segment", "outputs")
+
+
+# ---------------------------------------------------------------------------
+# Review tagging on conversations
+# conv_id = review, turn = position, role = section, text = sentence; the
+# review's sections are its 'user' and 'assistant' turns, so 'system' turns
+# are skipped with a reason (section missing from the review).
+# ---------------------------------------------------------------------------
+_REVIEW_SECTIONS = ("user", "assistant")
+_GOLD_SECTION = ("CASE WHEN text LIKE '%!%' THEN 'summary_of_strengthes' WHEN role = 'assistant' "
+                 "THEN 'comments,_suggestions_and_typos' ELSE 'summary_of_weaknesses' END")
+_GOLD_BIO = "CASE WHEN turn = 0 THEN 'B' WHEN length(text) < 100 THEN 'O' ELSE 'I' END"
+
+
+def _review_tags(spark, sf_dir):
+    conv = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())   # P1
+    # P4/P5 as a join: the review's sections, keyed by (review, section name)
+    sections = (conv.filter(F.col("role").isin(*_REVIEW_SECTIONS))
+                .select("conv_id", "role").distinct()
+                .withColumn("has_section", F.lit(True)))
+    rows = (conv.join(sections, ["conv_id", "role"], "left")
+            .select("conv_id", "turn", "role", "text", F.coalesce("has_section", F.lit(False)).alias("has_section")))
+    processed = rows.filter("has_section")
+    pred = tagging.tag_review_rows(processed, "conv_id", "turn", "text")
+    out = rows.join(pred, ["conv_id", "turn"], "left")                                  # J6
+    return out.select(
+        "conv_id", "turn", "role", "text",
+        F.coalesce("section_pred", F.lit("")).alias("section_pred"),                    # P9
+        F.coalesce("bio_pred", F.lit("")).alias("bio_pred"),
+        "seg_id",
+        F.when(~F.col("has_section"), F.lit("section missing from review")).alias("skip_reason"))  # P12
+
+
+_RT_SQL = f"""WITH conv AS (SELECT * FROM conversations WHERE text IS NOT NULL),
+secs AS (SELECT DISTINCT conv_id, role AS section FROM conv WHERE role IN ('user', 'assistant')),
+rows AS (SELECT c.*, s.section IS NOT NULL AS has_section FROM conv c LEFT JOIN secs s ON s.conv_id = c.conv_id AND s.section = c.role),
+g AS (SELECT conv_id, list(turn ORDER BY turn) AS turns,
+             list({q.sentence_features('text')} ORDER BY turn) AS f FROM rows WHERE has_section GROUP BY conv_id),
+t AS (SELECT conv_id, turns, {q.fold('f', q.rules_bio)} AS b, {q.fold('f', q.rules_section)} AS s FROM g),
+x AS (SELECT conv_id, unnest(turns) AS turn, unnest(b) AS bi, unnest(s) AS si FROM t),
+rt AS (SELECT r.conv_id, r.turn, r.role, r.text, coalesce(x.si.tag, '') AS section_pred, coalesce(x.bi.tag, '') AS bio_pred,
+              x.bi.seg AS seg_id, CASE WHEN NOT r.has_section THEN 'section missing from review' END AS skip_reason
+       FROM rows r LEFT JOIN x ON x.conv_id = r.conv_id AND x.turn = r.turn)"""
+
+
+@register("review_tags", sql=f"""{_RT_SQL}
+SELECT conv_id, turn, section_pred, bio_pred, CAST(seg_id AS BIGINT) AS seg_id, skip_reason FROM rt
+""")
+def review_tags(spark, sf_dir):
+    """M3 + M4 chained taggers (rules backend) per review, skipped rows kept
+    with a reason and empty predictions."""
+    return _review_tags(spark, sf_dir).select("conv_id", "turn", "section_pred", "bio_pred",
+                                              F.col("seg_id").cast("bigint").alias("seg_id"), "skip_reason")
+
+
+def _a4_sql(gold: str, pred: str, prefix: str) -> str:
+    return f"""(SELECT round(avg(CASE WHEN g = p THEN 1.0 ELSE 0.0 END), 4) AS {prefix}_accuracy,
+        round(avg(CASE WHEN g = p THEN 1.0 ELSE 0.0 END), 4) AS {prefix}_f1,
+        round((SELECT avg(CASE WHEN n_pred > 0 THEN tp / n_pred ELSE 0.0 END) FROM
+               (SELECT l, (SELECT count(*) FROM ev WHERE {gold} = l AND {pred} = l) AS tp,
+                       (SELECT count(*) FROM ev WHERE {pred} = l) AS n_pred
+                FROM (SELECT {gold} AS l FROM ev UNION SELECT {pred} FROM ev))), 4) AS {prefix}_precision,
+        round((SELECT avg(CASE WHEN n_true > 0 THEN tp / n_true ELSE 0.0 END) FROM
+               (SELECT l, (SELECT count(*) FROM ev WHERE {gold} = l AND {pred} = l) AS tp,
+                       (SELECT count(*) FROM ev WHERE {gold} = l) AS n_true
+                FROM (SELECT {gold} AS l FROM ev UNION SELECT {pred} FROM ev))), 4) AS {prefix}_recall
+       FROM (SELECT {gold} AS g, {pred} AS p FROM ev))"""
+
+
+@register("review_tag_metrics", sql=f"""{_RT_SQL},
+ev AS (SELECT lower(replace({_GOLD_SECTION}, '"', '')) AS gs, lower(replace(section_pred, '"', '')) AS ps,
+              {_GOLD_BIO} AS gb, bio_pred AS pb FROM rt WHERE skip_reason IS NULL)
+SELECT * FROM {_a4_sql('gs', 'ps', 'section')} a, {_a4_sql('gb', 'pb', 'bio')} b
+""")
+def review_tag_metrics(spark, sf_dir):
+    """A4 + F5 + S7: section and BIO accuracy, macro P/R, micro F1 at 4
+    decimals, over the processed rows."""
+    t = _review_tags(spark, sf_dir).filter(F.col("skip_reason").isNull())
+    ev = t.select(clean_gold(F.expr(_GOLD_SECTION)).alias("gs"), clean_gold("section_pred").alias("ps"),
+                  F.expr(_GOLD_BIO).alias("gb"), F.col("bio_pred").alias("pb"))
+    s = met.single_label_metrics(ev, "gs", "ps")
+    b = met.single_label_metrics(ev, "gb", "pb")
+    r4 = lambda c: F.round(c, 4)
+    s = s.select(r4("accuracy").alias("section_accuracy"), r4("f1_micro").alias("section_f1"),
+                 r4("precision_macro").alias("section_precision"), r4("recall_macro").alias("section_recall"))
+    b = b.select(r4("accuracy").alias("bio_accuracy"), r4("f1_micro").alias("bio_f1"),
+                 r4("precision_macro").alias("bio_precision"), r4("recall_macro").alias("bio_recall"))
+    return s.join(b)   # two one-row frames
+
+
+@register("review_segments", sql=f"""{_RT_SQL},
+w AS (SELECT conv_id, turn, text, bio_pred,
+             sum(CASE WHEN bio_pred = 'B' OR (bio_pred = 'I' AND coalesce(prev, '') IN ('', 'O')) THEN 1 ELSE 0 END)
+               OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS seg_id
+      FROM (SELECT *, lag(bio_pred) OVER (PARTITION BY conv_id ORDER BY turn) AS prev FROM rt WHERE skip_reason IS NULL))
+SELECT conv_id, CAST(seg_id AS BIGINT) AS seg_id, CAST(count(*) AS BIGINT) AS n_sentences, min(turn) AS first_turn,
+       md5(string_agg(text, ' ' ORDER BY turn)) AS segment_md5
+FROM w WHERE bio_pred <> 'O' GROUP BY conv_id, seg_id
+""")
+def review_segments(spark, sf_dir):
+    """W2 with windows (lag + running sum of openers) on the predicted tags,
+    then segment texts in position order."""
+    t = _review_tags(spark, sf_dir).filter(F.col("skip_reason").isNull()).drop("seg_id")
+    w = tagging.assign_segments(t, "conv_id", "turn", "bio_pred")
+    s = tagging.segments_from_tags(w, "conv_id", pos="turn", seg="seg_id", tag="bio_pred", text="text")
+    return s.select("conv_id", F.col("seg_id").cast("bigint").alias("seg_id"),
+                    F.col("n_sentences").cast("bigint").alias("n_sentences"),
+                    F.col("first_pos").alias("first_turn"), F.md5("segment").alias("segment_md5"))
