@@ -170,13 +170,18 @@ def vote_vectors(segments: DataFrame, key: str, seg_col: str, questions: DataFra
             .withColumn("features", pad_flatten("feature_vectors")))
 
 
-def votes_to_vectors(votes: DataFrame, key: str) -> DataFrame:
+def votes_to_vectors(votes: DataFrame, key: str, slots: DataFrame = None) -> DataFrame:
     """M7 for a long vote table (key, issue_idx, q_idx, vote), e.g. the output
-    of a model backend: sort explicitly, never rely on collect order."""
+    of a model backend: sort explicitly, never rely on collect order.
+    ``slots`` (key, issue_idx) keeps issues that were asked no question as
+    empty inner lists, as the original does."""
     per_issue = (votes.groupBy(key, "issue_idx")
-                 .agg(F.array_sort(F.collect_list(F.struct("q_idx", "vote"))).alias("_q")))
+                 .agg(F.array_sort(F.collect_list(F.struct("q_idx", "vote"))).alias("_q"))
+                 .select(key, "issue_idx", F.transform("_q", lambda x: x["vote"]).alias("v")))
+    if slots is not None:
+        per_issue = (slots.join(per_issue, [key, "issue_idx"], "left")
+                     .withColumn("v", F.coalesce("v", F.array().cast("array<int>"))))
     return (per_issue.groupBy(key)
-            .agg(F.array_sort(F.collect_list(F.struct("issue_idx", F.transform("_q", lambda x: x["vote"]).alias("v"))))
-                 .alias("_i"))
+            .agg(F.array_sort(F.collect_list(F.struct("issue_idx", "v"))).alias("_i"))
             .select(key, F.transform("_i", lambda x: x["v"]).alias("feature_vectors"))
             .withColumn("features", pad_flatten("feature_vectors")))

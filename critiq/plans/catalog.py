@@ -678,3 +678,61 @@ def review_segments(spark, sf_dir):
     return s.select("conv_id", F.col("seg_id").cast("bigint").alias("seg_id"),
                     F.col("n_sentences").cast("bigint").alias("n_sentences"),
                     F.col("first_pos").alias("first_turn"), F.md5("segment").alias("segment_md5"))
+
+
+# ---------------------------------------------------------------------------
+# M0 with a Python batch backend: the vote stage through model_map
+# ---------------------------------------------------------------------------
+from ..functions.prompts import PROMPTS  # noqa: E402
+from ..operators.backend import BackendFactory, model_map  # noqa: E402
+
+
+def _python_vote_backend():
+    """A stand-in for a model: reads segment and question back out of the
+    rendered vote prompt and answers with the same rules as the native
+    backend (so the result must equal ``vote_vectors``)."""
+    import re
+    seg_re = re.compile(r"^Segment: (.*)\nQuestion: (.*)\nAnswer ", re.S)
+
+    def answer(prompts):
+        out = []
+        for p in prompts:
+            m = seg_re.match(p)
+            seg, question = m.group(1), m.group(2)
+            kw = re.search(r"'([^']*)'", question)
+            kw = kw.group(1).lower() if kw else ""
+            if kw in seg.lower():
+                out.append("[[Yes]]")
+            elif "!" in seg:
+                out.append("I cannot tell")
+            elif len(seg) < 300:
+                out.append("[[Other]]")
+            elif len(seg) % 2 == 0:
+                out.append("NO")
+            else:
+                out.append("[[No]]")
+        return out
+    return answer
+
+
+@register("vote_vectors_model", sql=ORACLE["vote_vectors"])
+def vote_vectors_model(spark, sf_dir):
+    """M0 + J4 + M6 + F8 + M7 + F19 through a Python batch backend: pairs are
+    exploded from the bounded question array, distinct prompts are sent once
+    in Arrow batches, votes are re-assembled with an explicit sort."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    qt = _question_table(spark, sf_dir)
+    pairs = (docs.select("doc_id", "text", iss.question_array(qt).alias("_qs"))
+             .select("doc_id", "text", F.inline("_qs")))
+    slots = pairs.select("doc_id", "issue_idx").distinct()
+    asked = pairs.filter(F.col("question").isNotNull()).withColumn(
+        "prompt", render("yes_no_vote", segment="text", question="question"))
+    answered = model_map(asked.select("doc_id", "issue_idx", "q_idx", "prompt"), "prompt",
+                         BackendFactory("rules-vote", _python_vote_backend), "completion")
+    votes = answered.select("doc_id", "issue_idx", "q_idx", iss.vote_code("completion").alias("vote"))
+    v = iss.votes_to_vectors(votes, "doc_id", slots=slots)
+    return v.select("doc_id", F.size("features").cast("bigint").alias("width"),
+                    F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"),
+                    F.size(F.filter("features", lambda x: x == 1)).cast("bigint").alias("n_yes"),
+                    F.size(F.filter("features", lambda x: x == -1)).cast("bigint").alias("n_no"),
+                    F.size("feature_vectors").cast("bigint").alias("n_issues"))
