@@ -736,3 +736,58 @@ def vote_vectors_model(spark, sf_dir):
                     F.size(F.filter("features", lambda x: x == 1)).cast("bigint").alias("n_yes"),
                     F.size(F.filter("features", lambda x: x == -1)).cast("bigint").alias("n_no"),
                     F.size("feature_vectors").cast("bigint").alias("n_issues"))
+
+
+# ---------------------------------------------------------------------------
+# Scaling and classifiers
+# ---------------------------------------------------------------------------
+from ..operators import models as mdl  # noqa: E402
+
+
+@register("embedding_standardize", sql="""
+WITH e AS (SELECT vec_id, label, embedding FROM embeddings),
+x AS (SELECT vec_id, unnest(range(len(embedding))) AS i, unnest(embedding)::DOUBLE AS v FROM e),
+st AS (SELECT i, avg(v) AS m, stddev_pop(v) AS s FROM x GROUP BY i),
+z AS (SELECT x.vec_id, CASE WHEN st.s > 0 THEN (x.v - st.m) / st.s ELSE 0.0 END AS z FROM x JOIN st USING (i))
+SELECT vec_id, round(sum(z), 6) AS z_sum, round(sum(z * z), 6) AS z_sq, round(max(abs(z)), 6) AS z_max FROM z GROUP BY vec_id
+""")
+def embedding_standardize(spark, sf_dir):
+    """Per-dimension standard scaling of the embeddings (population std,
+    constant dimensions -> 0)."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    z = mdl.standardize(e, "embedding")
+    return z.select("vec_id",
+                    round6(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x)).alias("z_sum"),
+                    round6(F.aggregate("scaled", F.lit(0.0), lambda a, x: a + x * x)).alias("z_sq"),
+                    round6(F.array_max(F.transform("scaled", F.abs))).alias("z_max"))
+
+
+_HOLDOUT_MODELS = ["Logistic Regression (L2)", "Gaussian Naive Bayes"]
+
+
+@register("classifier_holdout")
+def classifier_holdout(spark, sf_dir):
+    """J1 + G1 + F19 + G3 + G4 + G6 + A8: vote vectors joined to the labeled
+    rows, group hold-out split, standardised features, binary relevance per
+    supported issue for two MLlib classifiers, micro F0.5 on the test side.
+    Trained models are not SQL-expressible: rows-only check."""
+    ds = _issue_dataset(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
+    # J1; checkpointed (shared checkpoint folder) so the split's subqueries
+    # and every per-label fit start from the materialized rows
+    data = ds.join(vec, "doc_id", "left").checkpoint(eager=True)
+    sides = spl.stratified_group_split(data, "issues", "source", 0.1, 1000, 42)
+    train, test = spl.split_sides(data, sides, "source")
+    train = mdl.standardize(train, "features", out="x")
+    test = mdl.standardize(test, "features", fit=data.join(sides.filter("side = 'train'"), "source", "left_semi"),
+                           out="x")
+    vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
+             .orderBy("issue").collect()]          # bounded label vocabulary
+    out = None
+    for name in _HOLDOUT_MODELS:
+        cells = mdl.binary_relevance(train, test, "doc_id", "x", "issues", vocab, mdl.CLASSIFIERS[name])
+        s = mdl.holdout_scores(cells).select(F.lit(name).alias("model"), round6("f05").alias("f05"),
+                                             round6("precision").alias("precision"), round6("recall").alias("recall"))
+        out = s if out is None else out.unionByName(s)
+    return out

@@ -1,0 +1,8 @@
+"""Streaming.
+
+The original tool has no streaming operator: every input is a finite file
+or a command-line value, and nothing uses watermarks, event-time windows or
+state across batches.  No streaming operator is built here.  The batch
+operators are plain DataFrame functions, so a user who receives review files
+incrementally can call them inside ``writeStream.foreachBatch``.
+"""
