@@ -106,8 +106,10 @@ def tokens(c) -> Column:
 
 
 def sentence_marks(c) -> Column:
-    """number of ``.``, ``!`` and ``?`` characters."""
-    return F.regexp_count(col_of(c), F.lit(r"[.!?]"))
+    """number of ``.``, ``!`` and ``?`` characters (a character map,
+    no regex)."""
+    s = col_of(c)
+    return F.length(s) - F.length(F.translate(s, ".!?", ""))
 
 
 def split_sentences(c) -> Column:

@@ -143,3 +143,40 @@ def self_refine(pairs: DataFrame, keys: Sequence[str], template: str = "template
     for step in range(n_gen):
         d = d.withColumn("text", template_refine(F.col("text"), F.col("cand_id") + step))
     return argmax_first(d.withColumn("fitness", fitness("text", template, 1)), keys)
+
+
+def baseline_candidates(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
+                        segment: str = "segment", issue: str = "issue", knowledge: str = "knowledge",
+                        strategies: Sequence[str] = fixed.BASELINES, n: int = fixed.BON_N,
+                        n_gen: int = fixed.BON_GEN) -> DataFrame:
+    """M12-M17 with the template backend in one plan: every candidate of every
+    chosen strategy is built in-row and exploded once, so the pairs are read
+    once and scored in one projection; ``select_baselines`` then keeps the
+    best candidate per (pair, strategy)."""
+    b = F.col(base)
+    def cand(name, c, text):
+        return F.struct(F.lit(name).alias("strategy"), c.cast("int").alias("cand_id"), text.alias("text"))
+    parts = []
+    if "1-pass" in strategies:
+        parts.append(F.array(cand("1-pass", F.lit(0), template_one_pass(segment, issue))))
+    if "Temp" in strategies:
+        parts.append(F.array(cand("Temp", F.lit(0), template_candidate(b, F.lit(0)))))
+    if "Plan" in strategies:
+        parts.append(F.array(cand("Plan", F.lit(0), F.concat_ws(" ", template_plan(issue, knowledge), b))))
+    if "BoN" in strategies:
+        parts.append(F.transform(F.sequence(F.lit(0), F.lit(n * n_gen - 1)),
+                                 lambda c: cand("BoN", c, template_candidate(b, c))))
+    if "Self-Ref." in strategies:
+        def refined(c):
+            t = template_candidate(b, c)
+            for step in range(n_gen):
+                t = template_refine(t, c + step)
+            return t
+        parts.append(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: cand("Self-Ref.", c, refined(c))))
+    return pairs.select(*keys, template, F.inline(F.concat(*parts)))
+
+
+def select_baselines(cands: DataFrame, keys: Sequence[str], template: str = "template") -> DataFrame:
+    """F18 (baseline sign) + W3 per (pair, strategy)."""
+    scored = cands.withColumn("fitness", fitness("text", template, 1))
+    return argmax_first(scored, [*keys, "strategy"])

@@ -497,22 +497,8 @@ def feedback_baselines(spark, sf_dir):
 
 
 def _baselines(spark, sf_dir):
-    p = _pairs(spark, sf_dir)
     keys = ["doc_id", "issue"]
-    one = p.select(*keys, "template", F.lit(0).alias("cand_id"),
-                   fb.template_one_pass("segment", "issue").alias("text"))
-    tmp = p.select(*keys, "template", F.lit(0).alias("cand_id"), fb.template_candidate("base", F.lit(0)).alias("text"))
-    pln = p.select(*keys, "template", F.lit(0).alias("cand_id"),
-                   F.concat_ws(" ", fb.template_plan("issue", "knowledge"), "base").alias("text"))
-    simple = [(name, d.withColumn("fitness", fitness("text", "template", 1)).drop("template"))
-              for name, d in [("1-pass", one), ("Temp", tmp), ("Plan", pln)]]
-    out = [d.withColumn("strategy", F.lit(name)) for name, d in simple]
-    out.append(fb.best_of_n(p, keys).withColumn("strategy", F.lit("BoN")))
-    out.append(fb.self_refine(p, keys).withColumn("strategy", F.lit("Self-Ref.")))
-    res = out[0]
-    for d in out[1:]:
-        res = res.unionByName(d)     # U2
-    return res
+    return fb.select_baselines(fb.baseline_candidates(_pairs(spark, sf_dir), keys), keys)
 
 
 def _evolution_sql(n_cand=_fx.N_CANDIDATES, n_gen=_fx.N_GENERATIONS, n_par=_fx.N_PARENTS, seed=_fx.SEED):
