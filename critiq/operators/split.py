@@ -16,10 +16,16 @@ from ..functions.scoring import det_uniform
 
 
 def group_label_counts(df: DataFrame, group: str, labels: str):
-    """Per-group row counts and per-(group, label) counts (one pass)."""
-    rows = df.groupBy(group).agg(F.count(F.lit(1)).alias("n_rows"))
-    lab = (df.select(group, F.explode(F.array_distinct(labels)).alias("label"))
-           .groupBy(group, "label").agg(F.count(F.lit(1)).alias("n_lab")))
+    """Per-group row counts and per-(group, label) counts in one aggregation
+    (a NULL label stands for the row itself).  The result is small (groups x
+    labels) and is read by every trial and several scalar subqueries, so it
+    is checkpointed to the shared checkpoint folder: the rows are scanned
+    once."""
+    cells = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(labels))
+    cnt = (df.select(group, F.explode(cells).alias("label"))
+           .groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))).checkpoint(eager=True)
+    rows = cnt.filter(F.col("label").isNull()).select(group, F.col("n").alias("n_rows"))
+    lab = cnt.filter(F.col("label").isNotNull()).select(group, "label", F.col("n").alias("n_lab"))
     return rows, lab
 
 

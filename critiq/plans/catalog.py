@@ -125,7 +125,8 @@ _LABELED_SQL = (f"WITH src AS (SELECT doc_id, text, source, {bindings.issue_stri
 
 
 def _labeled(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+    # label parsing is cheap per row: no need to spread the scan
+    docs = table(spark, sf_dir, "documents", heavy=False).select("doc_id", "text", "lang", "source", "n_chars")
     d = docs.withColumn("issue_types", bindings.issue_string())
     return iss.label_rows(d, "doc_id", "issue_types", "text")
 

@@ -24,6 +24,8 @@ def spread(df: DataFrame) -> DataFrame:
     return df
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> DataFrame:
+    """Scan a driver table; ``heavy`` (per-row text work follows) spreads a
+    single-split text table over the cores."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
-    return spread(df) if name in TEXT_TABLES else df
+    return spread(df) if heavy and name in TEXT_TABLES else df
