@@ -777,3 +777,100 @@ def classifier_holdout(spark, sf_dir):
                                              round6("precision").alias("precision"), round6("recall").alias("recall"))
         out = s if out is None else out.unionByName(s)
     return out
+
+
+# ---------------------------------------------------------------------------
+# M5 prompt render, M19 vote sweep, A14 count report
+# ---------------------------------------------------------------------------
+from ..functions.text import safe_name  # noqa: E402
+
+
+@register("question_prompts", sql=f"""{_TOP_SQL},
+rat AS (SELECT * FROM {_RAT_SQL}),
+segs AS (SELECT t.issue, string_agg(d.text, chr(10) ORDER BY t.rank) AS segments
+         FROM top t JOIN documents d ON d.doc_id = t.doc_id GROUP BY t.issue),
+p AS (SELECT g.issue, {q.lit(PROMPTS['question_mining'].split('{issue}')[0])} || g.issue
+             || {q.lit(PROMPTS['question_mining'].split('{issue}')[1].split('{reason}')[0])}
+             || coalesce(nullif(r.reason, ''), {q.lit(dims.GENERIC_REASON)})
+             || {q.lit(PROMPTS['question_mining'].split('{reason}')[1].split('{segments}')[0])}
+             || s.segments || {q.lit(PROMPTS['question_mining'].split('{segments}')[1])} AS prompt
+      FROM groups g JOIN segs s ON s.issue = g.issue LEFT JOIN rat r ON r.issue = g.issue WHERE g.n_segments > 5)
+SELECT issue, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS prompt_md5 FROM p
+""")
+def question_prompts(spark, sf_dir):
+    """M5 render (F22): per supported issue, label + reason (J2) + its first
+    five segments in position order (A2)."""
+    lab = _labeled(spark, sf_dir)
+    groups = iss.supported(iss.group_by_issue(lab, "doc_id")).select("issue")
+    top = iss.top_segments(lab, "doc_id").join(groups, "issue", "left_semi")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    segs = (top.join(docs, "doc_id").groupBy("issue")
+            .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_s"))
+            .select("issue", F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("segments")))
+    withr = iss.attach_rationale(segs, dims.rationale_df(spark))
+    p = withr.select("issue", render("question_mining", issue="issue", reason="reason", segments="segments").alias("prompt"))
+    return p.select("issue", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+_SWEEP = [("rules/substring v1", "substring"), ("rules/tag v1", "tag")]
+
+
+def _vote_code_tag_sql(text: str, kw: str) -> str:
+    comp = (f"(CASE WHEN contains(lower({text}), {kw}) THEN '[[Yes]]' WHEN contains({text}, '!') THEN 'I cannot tell' "
+            f"WHEN length({text}) < 300 THEN '[[Other]]' WHEN length({text}) % 2 = 0 THEN 'NO' ELSE '[[No]]' END)")
+    return (f"(CASE WHEN contains(lower({comp}), '[[yes]]') THEN 1 WHEN contains(lower({comp}), '[[no]]') THEN -1 ELSE 0 END)")
+
+
+def _sweep_sql() -> str:
+    base = _VOTES_SQL
+    tag = base.replace(_vote_code_sql('d.text', 'qk.keyword'), _vote_code_tag_sql('d.text', 'qk.keyword'))
+    def sel(src_sql, model):
+        return (f"SELECT {q.lit(model)} AS raw_model, doc_id, array_to_string(features, ',') AS features FROM "
+                f"({src_sql} SELECT * FROM vec)")
+    return (f"SELECT regexp_replace(raw_model, '[^a-zA-Z0-9_-]', '_', 'g') AS model, doc_id, features FROM ("
+            f"{sel(base, _SWEEP[0][0])} UNION ALL {sel(tag, _SWEEP[1][0])})")
+
+
+@register("vote_sweep", sql=_sweep_sql())
+def vote_sweep(spark, sf_dir):
+    """The vote stage once per backend, unioned with a file-safe model
+    name (S8) -- the column a ``partitionBy('model')`` write would use."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    qt = _question_table(spark, sf_dir)
+    out = None
+    for model, mode in _SWEEP:
+        v = iss.vote_vectors(docs, "doc_id", "text", qt, mode=mode).select(
+            safe_name(F.lit(model)).alias("model"), "doc_id",
+            F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
+        out = v if out is None else out.unionByName(v)
+    return out
+
+
+@register("split_counts", sql=f"""{_DS_SQL},
+tr AS (SELECT source, t AS trial, {q.det_uniform('42', 't', 'source')} AS u FROM grows, range(1000) r(t)),
+test AS (SELECT trial, source FROM (SELECT *, row_number() OVER (PARTITION BY trial ORDER BY u, source) AS rk FROM tr)
+         WHERE rk <= (SELECT greatest(1, floor(count(*) * 0.1)) FROM grows)),
+diffs AS {_diff_sql('test', 'trial')},
+best AS (SELECT trial FROM diffs ORDER BY round(diff, 9), trial LIMIT 1),
+tg AS (SELECT source FROM test WHERE trial = (SELECT trial FROM best))
+SELECT CAST((SELECT count(*) FROM labeled) AS BIGINT) AS n_rows,
+       CAST((SELECT count(*) FROM ds) AS BIGINT) AS n_filtered,
+       CAST((SELECT count(*) FROM grows) AS BIGINT) AS n_groups,
+       CAST((SELECT count(*) FROM tg) AS BIGINT) AS n_test_groups,
+       CAST((SELECT count(*) FROM ds WHERE source NOT IN (SELECT source FROM tg)) AS BIGINT) AS n_train,
+       CAST((SELECT count(*) FROM ds WHERE source IN (SELECT source FROM tg)) AS BIGINT) AS n_test
+""")
+def split_counts(spark, sf_dir):
+    """A14 + A12: rows, filtered rows (P7), groups, test groups and the sizes
+    of both sides of the G1 split, as one row (count_if over one pass)."""
+    lab = _labeled(spark, sf_dir)
+    ds = _issue_dataset(spark, sf_dir)
+    sides = spl.stratified_group_split(ds, "issues", "source", 0.1, 1000, 42)
+    per = ds.join(sides.select("source", "side"), "source")
+    c = per.agg(F.count(F.lit(1)).alias("n_filtered"),
+                F.count_distinct("source").alias("n_groups"),
+                F.count_distinct(F.when(F.col("side") == "test", F.col("source"))).alias("n_test_groups"),
+                F.count_if(F.col("side") == "train").alias("n_train"),
+                F.count_if(F.col("side") == "test").alias("n_test"))
+    return c.select(lab.select(F.count(F.lit(1))).scalar().cast("bigint").alias("n_rows"),
+                    *[F.col(x).cast("bigint").alias(x) for x in c.columns])
