@@ -9,11 +9,16 @@ every fit itself is a distributed MLlib job.
 from __future__ import annotations
 
 from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+import pandas as pd
 from typing import Callable, Dict, Sequence
 
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
+from pyspark.ml import Pipeline
+from pyspark.ml.feature import PCA, PolynomialExpansion
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -47,31 +52,113 @@ def _n_rows_reg(n: int) -> float:
 
 
 # MLlib stand-ins for the compared classifiers (see README for the
-# ones that are approximations).  Each factory takes the training row count.
-CLASSIFIERS: Dict[str, Callable[[int], object]] = {
-    "Logistic Regression (L2)": lambda n: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=0.0,
+# ones that are approximations).  Each factory takes the training row count
+# and the feature width.
+CLASSIFIERS: Dict[str, Callable[[int, int], object]] = {
+    "Logistic Regression (L2)": lambda n, d: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=0.0,
                                                              maxIter=2000, standardization=False),
-    "Logistic Regression (L1)": lambda n: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=1.0,
+    "Logistic Regression (L1)": lambda n, d: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=1.0,
                                                              maxIter=2000, standardization=False),
-    "Random Forest": lambda n: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30,
+    "Random Forest": lambda n, d: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30,
                                                       seed=fixed.SEED),
-    "Decision Tree": lambda n: DecisionTreeClassifier(maxDepth=30, seed=fixed.SEED),
-    "SVM (Linear)": lambda n: LinearSVC(maxIter=100, regParam=_n_rows_reg(n)),
-    "Gradient Boosting": lambda n: GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=fixed.SEED),
-    "Extra Trees": lambda n: RandomForestClassifier(numTrees=100, bootstrap=False, featureSubsetStrategy="sqrt",
+    "Decision Tree": lambda n, d: DecisionTreeClassifier(maxDepth=30, seed=fixed.SEED),
+    "SVM (Linear)": lambda n, d: LinearSVC(maxIter=100, regParam=_n_rows_reg(n)),
+    "Gradient Boosting": lambda n, d: GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=fixed.SEED),
+    "Extra Trees": lambda n, d: RandomForestClassifier(numTrees=100, bootstrap=False, featureSubsetStrategy="sqrt",
                                                     maxDepth=30, seed=fixed.SEED),
-    "Gaussian Naive Bayes": lambda n: NaiveBayes(modelType="gaussian"),
-    "Stochastic Gradient Descent (SGD)": lambda n: LogisticRegression(regParam=1e-4, maxIter=1000, tol=1e-3),
+    "Gaussian Naive Bayes": lambda n, d: NaiveBayes(modelType="gaussian"),
+    "Stochastic Gradient Descent (SGD)": lambda n, d: LogisticRegression(regParam=1e-4, maxIter=1000, tol=1e-3),
 }
 
 
-def mlp(width: int, seed: int = fixed.SEED):
-    """One hidden layer of 100 units."""
-    return MultilayerPerceptronClassifier(layers=[width, 100, 2], maxIter=500, seed=seed)
+CLASSIFIERS["Multi-layer Perceptron (MLP)"] = lambda n, d: MultilayerPerceptronClassifier(
+    layers=[d, 100, 2], maxIter=500, seed=fixed.SEED)                                   # C12
+CLASSIFIERS["SVM (RBF)"] = lambda n, d: RFFLinearSVC(d, n)                               # C6
+CLASSIFIERS["SVM (Poly)"] = lambda n, d: Pipeline(stages=[                              # C8
+    PCA(k=min(16, d), inputCol="features", outputCol="_pca"),
+    PolynomialExpansion(degree=3, inputCol="_pca", outputCol="_poly"),
+    LinearSVC(featuresCol="_poly", maxIter=100, regParam=_n_rows_reg(n))])
+CLASSIFIERS["AdaBoost"] = lambda n, d: AdaBoostStumps(rounds=100, learning_rate=1.0)      # C10
+
+
+class RFFLinearSVC:
+    """C6 (approximate): random Fourier features of an RBF kernel (Rahimi and
+    Recht, 2007) followed by a linear SVM.  gamma = 1 / width (the 'scale'
+    default on standardised inputs); the projection matrix is seeded and
+    small (width x n_components), the projection itself runs in Arrow
+    batches with numpy on the executors."""
+
+    def __init__(self, width: int, n_rows: int, n_components: int = 256, seed: int = fixed.SEED):
+        rng = np.random.RandomState(seed)
+        gamma = 1.0 / max(width, 1)
+        self.w = rng.normal(0.0, np.sqrt(2 * gamma), size=(width, n_components))
+        self.b = rng.uniform(0, 2 * np.pi, size=n_components)
+        self.n_rows = n_rows
+
+    def _project(self, df: DataFrame) -> DataFrame:
+        w, b = self.w, self.b
+        scale = np.sqrt(2.0 / w.shape[1])
+
+        @F.pandas_udf("array<double>")
+        def rff(x: pd.Series) -> pd.Series:
+            m = np.vstack(x.map(np.asarray).values) if len(x) else np.zeros((0, w.shape[0]))
+            z = scale * np.cos(m @ w + b)
+            return pd.Series(list(z))
+
+        return df.withColumn("_rff", array_to_vector(rff(vector_to_array("features"))))
+
+    def fit(self, df: DataFrame):
+        self.model = LinearSVC(featuresCol="_rff", maxIter=100, regParam=_n_rows_reg(self.n_rows)).fit(self._project(df))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.model.transform(self._project(df)).drop("_rff")
+
+
+class AdaBoostStumps:
+    """Binary SAMME boosting over depth-1 trees with a weight column.
+
+    Each round fits a stump on the current weights, computes the weighted
+    error with one aggregation and updates the weights as a column; the
+    weighted frame is checkpointed every ``checkpoint_every`` rounds so the
+    lineage stays short."""
+
+    def __init__(self, rounds: int = 100, learning_rate: float = 1.0, checkpoint_every: int = 10):
+        self.rounds, self.lr, self.every = rounds, learning_rate, checkpoint_every
+
+    def fit(self, df: DataFrame):
+        n = df.count()
+        cur = df.select("features", "label").withColumn("w", F.lit(1.0 / max(n, 1)))
+        self.stumps = []
+        for m in range(self.rounds):
+            stump = DecisionTreeClassifier(maxDepth=1, weightCol="w", seed=fixed.SEED).fit(cur)
+            pred = stump.transform(cur).withColumn("_miss", (F.col("prediction") != F.col("label")).cast("double"))
+            err = pred.select((F.sum(F.col("w") * F.col("_miss")) / F.sum("w")).alias("e")).first()["e"] or 0.0
+            if err >= 0.5:
+                break
+            alpha = self.lr * float(np.log((1 - err) / max(err, 1e-12)))
+            self.stumps.append((stump, alpha))
+            if err <= 0:
+                break
+            cur = pred.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("w"))
+            if self.every and (m + 1) % self.every == 0:
+                cur = cur.checkpoint(eager=True)
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        out = df.withColumn("_s", F.lit(0.0))
+        for i, (stump, alpha) in enumerate(self.stumps):
+            p = stump.setPredictionCol(f"_p{i}").setRawPredictionCol(f"_r{i}").setProbabilityCol(f"_q{i}")
+            out = p.transform(out).withColumn("_s", F.col("_s") + F.lit(alpha) * (2 * F.col(f"_p{i}") - 1)) \
+                .drop(f"_p{i}", f"_r{i}", f"_q{i}")
+        prob = 1 / (1 + F.exp(-2 * F.col("_s")))
+        return (out.withColumn("prediction", (F.col("_s") > 0).cast("double"))
+                .withColumn("rawPrediction", array_to_vector(F.array(-F.col("_s"), F.col("_s"))))
+                .withColumn("probability", array_to_vector(F.array(1 - prob, prob))).drop("_s"))
 
 
 def binary_relevance(train: DataFrame, test: DataFrame, key: str, features: str, labels: str,
-                     vocab: Sequence[str], make: Callable[[int], object], threads: int = 4) -> DataFrame:
+                     vocab: Sequence[str], make: Callable[[int, int], object], threads: int = 4) -> DataFrame:
     """G4 + G6: fit one binary model per label of ``vocab`` on ``train`` and
     predict ``test``.  Returns long cells (key, label, y_true, y_pred, score);
     a label constant in training predicts that constant."""
@@ -79,6 +166,7 @@ def binary_relevance(train: DataFrame, test: DataFrame, key: str, features: str,
     te = test.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels).cache()
     n = tr.count()
     te.count()   # materialize both sides before the concurrent fits share them
+    width = tr.select(F.size(vector_to_array("features")).alias("d")).first()["d"] if n else 0
 
     def one(label):
         y = F.array_contains(labels, label).cast("double")
@@ -89,8 +177,9 @@ def binary_relevance(train: DataFrame, test: DataFrame, key: str, features: str,
             const = 1.0 if pos == n else 0.0
             return t.select(key, F.lit(label).alias("label_name"), F.col("label").alias("y_true"),
                             F.lit(const).alias("y_pred"), F.lit(const).alias("score"))
-        model = make(n).fit(trl)
+        model = make(n, width).fit(trl)
         p = model.transform(t)
+        # decision score: probability where the model has one, else the raw margin
         score_col = "probability" if "probability" in p.columns else "rawPrediction"
         return p.select(key, F.lit(label).alias("label_name"), F.col("label").alias("y_true"),
                         F.col("prediction").alias("y_pred"), vector_to_array(score_col)[1].alias("score"))
@@ -109,7 +198,7 @@ def holdout_scores(cells: DataFrame, beta: float = 0.5) -> DataFrame:
 
 
 def cross_validate(df: DataFrame, key: str, features: str, labels: str, fold_col: str,
-                   vocab: Sequence[str], models: Dict[str, Callable[[int], object]], n_folds: int) -> DataFrame:
+                   vocab: Sequence[str], models: Dict[str, Callable[[int, int], object]], n_folds: int) -> DataFrame:
     """G5 + A9: for each model and fold, train on the other folds, score the
     fold (micro F0.5, precision, recall); then the mean per model."""
     rows = []
