@@ -874,3 +874,22 @@ def split_counts(spark, sf_dir):
                 F.count_if(F.col("side") == "test").alias("n_test"))
     return c.select(lab.select(F.count(F.lit(1))).scalar().cast("bigint").alias("n_rows"),
                     *[F.col(x).cast("bigint").alias(x) for x in c.columns])
+
+
+@register("classifier_cv")
+def classifier_cv(spark, sf_dir):
+    """G2 + G5 + A9: group folds (best of 100 seeded trials), binary relevance
+    per supported issue trained on four folds and scored on the fifth, mean
+    micro F0.5 / precision / recall per model.  Rows-only check."""
+    ds = _issue_dataset(spark, sf_dir)
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
+    data = ds.join(vec, "doc_id", "left").checkpoint(eager=True)
+    folds = spl.stratified_group_kfold(data, "issues", "source", 5, 100, 42).select("source", "fold")
+    withf = data.join(folds, "source").checkpoint(eager=True)
+    vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
+             .orderBy("issue").collect()]          # bounded label vocabulary
+    res = mdl.cross_validate(withf, "doc_id", "features", "issues", "fold", vocab,
+                             {"Gaussian Naive Bayes": mdl.CLASSIFIERS["Gaussian Naive Bayes"]}, 5)
+    return res.select("model", round6("mean_f05").alias("mean_f05"), round6("mean_precision").alias("mean_precision"),
+                      round6("mean_recall").alias("mean_recall"))
