@@ -52,6 +52,15 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
     return normalize_nulls(df)
 
 
+def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
+    """A stable 0-based position for rows that have no key of their own
+    (a TSV read in file order).  ``zipWithIndex`` numbers rows partition by
+    partition without moving them to one task (a global ``row_number`` would);
+    it is meant for ingest, where the id then becomes the join key."""
+    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.LongType(), False)])
+    return df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)).toDF(schema)
+
+
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
     """The template JSON object -> (template_key, knowledge, template)."""
     raw = spark.read.text(path, wholetext=True)

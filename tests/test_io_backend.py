@@ -50,3 +50,29 @@ def test_model_map_dedupes(spark):
     assert sorted((r["k"], r["completion"]) for r in out.collect()) == [(1, "P"), (2, "P"), (3, "Q")]
     plain = model_map(df, "prompt", lambda xs: [x + "!" for x in xs], keys=["k"], dedupe=False)
     assert sorted(r["completion"] for r in plain.collect()) == ["p!", "p!", "q!"]
+
+
+def test_row_ids_and_sinks(spark):
+    d = tempfile.mkdtemp(prefix="critiq-test-")
+    df = spark.createDataFrame([("a", [1, 2]), ("b", [3])], "s string, v array<int>").repartition(2)
+    ids = io.with_row_id(df)
+    assert sorted(r["row_id"] for r in ids.collect()) == [0, 1]
+    io.write_tsv(df, os.path.join(d, "out"))
+    back = spark.read.option("sep", "\t").option("header", True).csv(os.path.join(d, "out"))
+    assert sorted((r["s"], r["v"]) for r in back.collect()) == [("a", "[1,2]"), ("b", "[3]")]
+    m = spark.createDataFrame([(0.5, 0.25)], "section_accuracy double, bio_f1 double")
+    io.write_report(m, os.path.join(d, "rep"))
+    line = spark.read.text(os.path.join(d, "rep")).first()["value"]
+    assert line == "section_accuracy: 0.5000, bio_f1: 0.2500"
+
+
+def test_chat_and_knowledge(spark):
+    from critiq.functions.prompts import chat, render
+    from critiq.operators.feedback import knowledge_context
+    df = spark.createDataFrame([("Paper summary + Abstract", "S", "A", "{feedback} 100%")],
+                               "k string, s string, a string, seg string")
+    r = df.select(chat(F.lit("hi"), "sys").alias("m"), knowledge_context("k", "s", "a").alias("c"),
+                  render("judge", dimension=F.lit("Relevance"), weakness="seg", feedback=F.lit("fb")).alias("p")).first()
+    assert [(x["role"], x["content"]) for x in r["m"]] == [("system", "sys"), ("user", "hi")]
+    assert r["c"] == "S\nA"
+    assert "Weakness: {feedback} 100%\nFeedback: fb" in r["p"]          # no second substitution (B25)
