@@ -33,14 +33,16 @@ def is_opener(tag: Column, prev: Column) -> Column:
     return (tag == "B") | ((tag == "I") & (prev.isNull() | prev.isin("", "O")))
 
 
-def fold_tags(items, step: Step) -> Column:
+def fold_tags(items, step: Step, init_prev=None, init_seg=None) -> Column:
     """W1+W2: ordered fold of ``step(prev_tag, item) -> tag`` over an array.
 
     Returns ``array<struct<tag, seg>>`` aligned with ``items``; ``seg`` counts
     segment openers so far (sentences tagged O keep the current count and are
-    dropped by ``segments_from_tags``)."""
-    init = F.struct(F.lit("").alias("prev"), F.lit(0).alias("seg"),
-                    F.array().cast(TAGGED).alias("out"))
+    dropped by ``segments_from_tags``).  ``init_prev``/``init_seg`` start the
+    fold mid-review (chunked scan)."""
+    p0 = F.lit("") if init_prev is None else col_of(init_prev)
+    s0 = F.lit(0) if init_seg is None else col_of(init_seg).cast("int")
+    init = F.struct(p0.alias("prev"), s0.alias("seg"), F.array().cast(TAGGED).alias("out"))
 
     def merge(acc, x):
         tag = step(acc["prev"], x)
@@ -52,6 +54,18 @@ def fold_tags(items, step: Step) -> Column:
     return F.aggregate(col_of(items), init, merge, lambda acc: acc["out"])
 
 
+def fold_summary(items, step: Step, entry) -> Column:
+    """Exit state and number of segment openers of a fold started in state
+    ``entry`` (no per-item output: cheap)."""
+    init = F.struct(col_of(entry).alias("prev"), F.lit(0).alias("seg"))
+
+    def merge(acc, x):
+        tag = step(acc["prev"], x)
+        return F.struct(tag.alias("prev"), (acc["seg"] + is_opener(tag, acc["prev"]).cast("int")).alias("seg"))
+
+    return F.aggregate(col_of(items), init, merge)
+
+
 # --- rules backend taggers (deterministic, native columns) ----------------------
 
 def sentence_features(sentence) -> Column:
@@ -134,22 +148,74 @@ def assign_segments(tags: DataFrame, key: str, pos: str = "pos", tag: str = "tag
 
 # --- reviews stored one row per sentence -------------------------------------------
 
+BIO_STATES = ["", *fixed.BIO_TAGS]
+SECTION_STATES = ["", *fixed.SECTION_NAMES]
+
+
+def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_rows: int = 1024) -> DataFrame:
+    """W1 for reviews stored one row per sentence, without gathering a whole
+    review into one task.
+
+    The taggers are finite-state (each output depends on the previous output
+    only), so the fold is a parallel scan in three steps:
+      1. rows are cut into chunks of ``chunk_rows`` positions; each chunk is
+         folded once per possible entry state (exit state + opener count);
+      2. per review, only those small chunk summaries are chained in order to
+         find every chunk's real entry state and segment offset;
+      3. each chunk is folded once more from its entry state, emitting tags.
+    ``chains`` maps an output prefix to (step, states); the result has
+    ``{prefix}_tag`` and ``{prefix}_seg`` per row."""
+    chunks = (rows.withColumn("_chunk", F.floor(F.col(pos) / chunk_rows))
+              .groupBy(key, "_chunk")
+              .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col(feats).alias("f")))).alias("_r")))
+    items = F.transform("_r", lambda x: x["f"])
+    def summarize(step):
+        return lambda e: fold_summary(items, step, e)
+    summ = chunks.select(key, "_chunk", *[
+        F.transform(F.array(*[F.lit(st) for st in states]), summarize(step)).alias(f"_s_{name}")
+        for name, (step, states) in chains.items()])
+    per_review = summ.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", *[f"_s_{n}" for n in chains]))).alias("_c"))
+    entries = per_review
+    def chainer(name, st):
+        def merge(acc, c):
+            here = F.element_at(c[f"_s_{name}"], F.array_position(st, acc["prev"]).cast("int"))
+            return F.struct(here["prev"].alias("prev"), (acc["seg"] + here["seg"]).alias("seg"),
+                            F.concat(acc["out"], F.array(F.struct(c["_chunk"].cast("bigint").alias("chunk"),
+                                                                  acc["prev"].alias("prev"), acc["seg"].alias("seg"))))
+                            .alias("out"))
+        return merge
+
+    for name, (step, states) in chains.items():
+        st = F.array(*[F.lit(x) for x in states])
+        init = F.struct(F.lit("").alias("prev"), F.lit(0).alias("seg"),
+                        F.array().cast("array<struct<chunk:bigint,prev:string,seg:int>>").alias("out"))
+        entries = entries.withColumn(f"_e_{name}", F.aggregate("_c", init, chainer(name, st), lambda a: a["out"]))
+    starts = entries.select(key, F.posexplode(f"_e_{next(iter(chains))}").alias("_i", "_x"), *[f"_e_{n}" for n in chains])
+    starts = starts.select(key, F.col("_x.chunk").alias("_chunk"), *[
+        F.col(f"_e_{n}")[F.col("_i")].alias(f"_st_{n}") for n in chains])
+    joined = chunks.join(starts, [key, "_chunk"])
+    out = joined.select(key, "_r", *[fold_tags(items, step, F.col(f"_st_{n}.prev"), F.col(f"_st_{n}.seg")).alias(f"_t_{n}")
+                                     for n, (step, _) in chains.items()])
+    z = F.arrays_zip("_r", *[f"_t_{n}" for n in chains])
+    ex = out.select(key, F.inline(z))
+    cols = [F.col("_r.p").alias(pos)]
+    for n in chains:
+        cols += [F.col(f"_t_{n}.tag").alias(f"{n}_tag"), F.col(f"_t_{n}.seg").alias(f"{n}_seg")]
+    return ex.select(key, *cols)
+
+
 def tag_review_rows(rows: DataFrame, key: str, pos: str, sentence: str,
                     bio_step: Step = rules_bio_step,
-                    section_step: Step = rules_section_step) -> DataFrame:
-    """M3 + M4 (chained): gather each review's processed rows in position
-    order, fold both taggers, and explode back to (key, pos, section_pred,
-    bio_pred, seg_id).  Skipped rows must be filtered out before (rule B5: the
-    context is the last *processed* row)."""
-    g = (rows.select(key, pos, sentence_features(sentence).alias("f"))
-         .groupBy(key)
-         .agg(F.array_sort(F.collect_list(F.struct(F.col(pos).alias("p"), F.col("f").alias("f")))).alias("r")))
-    feats = F.transform("r", lambda x: x["f"])
-    out = g.select(key, "r", fold_tags(feats, bio_step).alias("b"),
-                   fold_tags(feats, section_step).alias("s"))
-    return out.select(key, F.posexplode(F.arrays_zip("r", "b", "s")).alias("i", "z")).select(
-        key, F.col("z.r.p").alias(pos), F.col("z.s.tag").alias("section_pred"),
-        F.col("z.b.tag").alias("bio_pred"), F.col("z.b.seg").alias("seg_id"))
+                    section_step: Step = rules_section_step, chunk_rows: int = 1024) -> DataFrame:
+    """M3 + M4 (chained) per review -> (key, pos, section_pred, bio_pred,
+    seg_id).  Skipped rows must be filtered out before (rule B5: the context is
+    the last *processed* row).  A review is never gathered whole: see
+    ``chunked_scan``."""
+    f = rows.select(key, pos, sentence_features(sentence).alias("_f"))
+    t = chunked_scan(f, key, pos, "_f", {"bio": (bio_step, BIO_STATES), "section": (section_step, SECTION_STATES)},
+                     chunk_rows)
+    return t.select(key, pos, F.col("section_tag").alias("section_pred"), F.col("bio_tag").alias("bio_pred"),
+                    F.col("bio_seg").alias("seg_id"))
 
 
 def tag_rows_independent(rows: DataFrame, sentence: str,

@@ -40,3 +40,33 @@ def test_document_fold_matches_row_fold(spark):
     b = tagging.tag_review_rows(rows, "doc_id", "pos", "sentence").orderBy("pos").collect()
     assert [r["tag"] for r in a] == [r["bio_pred"] for r in b]
     assert [r["seg_id"] for r in a] == [r["seg_id"] for r in b]
+
+
+def test_chunked_scan_equals_whole_fold(spark):
+    import random
+    rnd = random.Random(3)
+    words = ["alpha", "beta", "gamma!", "delta,", "eps"]
+    rows = []
+    for rid in range(4):
+        for p in range(rnd.randint(1, 40)):
+            n = rnd.choice([1, 2, 4, 6, 12, 25])
+            rows.append((rid, p * 3, " ".join(rnd.choice(words) for _ in range(n))))
+    df = spark.createDataFrame(rows, "rid int, pos int, text string")
+    whole = {(r["rid"], r["pos"]): (r["bio_pred"], r["section_pred"], r["seg_id"])
+             for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=10 ** 9).collect()}
+    for k in (3, 7, 16):
+        chunked = {(r["rid"], r["pos"]): (r["bio_pred"], r["section_pred"], r["seg_id"])
+                   for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=k).collect()}
+        assert chunked == whole, k
+    # and the whole fold equals the in-row document fold
+    docs = {}
+    for rid, p, t in sorted(rows):
+        docs.setdefault(rid, []).append(t)
+    d = spark.createDataFrame([(rid, ts) for rid, ts in docs.items()], "rid int, s array<string>")
+    ref = d.select("rid", F.posexplode(tagging.fold_tags(F.transform("s", tagging.sentence_features),
+                                                         tagging.rules_bio_step)).alias("i", "t")).collect()
+    by_pos = {}
+    for rid, p, t in sorted(rows):
+        by_pos.setdefault(rid, []).append(p)
+    for r in ref:
+        assert whole[(r["rid"], by_pos[r["rid"]][r["i"]])][0] == r["t"]["tag"]
