@@ -893,3 +893,44 @@ def classifier_cv(spark, sf_dir):
                              {"Gaussian Naive Bayes": mdl.CLASSIFIERS["Gaussian Naive Bayes"]}, 5)
     return res.select("model", round6("mean_f05").alias("mean_f05"), round6("mean_precision").alias("mean_precision"),
                       round6("mean_recall").alias("mean_recall"))
+
+
+# ---------------------------------------------------------------------------
+# k nearest neighbours (C1, J8, W5) on the embeddings, leave-one-out
+# ---------------------------------------------------------------------------
+from ..operators import neighbors as nbr  # noqa: E402
+
+_KNN_SQL = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
+pairs AS (SELECT a.vec_id AS q, b.vec_id AS t,
+                 sqrt(list_sum(list_transform(range(len(a.v)), lambda i: (a.v[i + 1] - b.v[i + 1]) * (a.v[i + 1] - b.v[i + 1])))) AS dist
+          FROM e a, e b WHERE a.vec_id <> b.vec_id),
+nn AS (SELECT * FROM (SELECT q, t, dist, row_number() OVER (PARTITION BY q ORDER BY round(dist, 9), t) AS rank FROM pairs)
+       WHERE rank <= 5)"""
+
+
+@register("knn_neighbors", sql=f"""{_KNN_SQL}
+SELECT q AS vec_id, CAST(rank AS INTEGER) AS rank, t AS neighbor_id, round(dist, 5) AS dist FROM nn
+""")
+def knn_neighbors(spark, sf_dir):
+    """W5 + J8: the 5 nearest other embeddings of every embedding, exact,
+    through a widening band join on a random projection."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    e2 = e.withColumnRenamed("vec_id", "qid")
+    n = nbr.knn(e.withColumnRenamed("vec_id", "tid"), e2, "tid", "qid", "embedding", 5, exclude_self=True)
+    return n.select(F.col("qid").alias("vec_id"), F.col("rank").cast("int").alias("rank"),
+                    F.col("tid").alias("neighbor_id"), F.round("dist", 5).alias("dist"))
+
+
+@register("knn_predict", sql=f"""{_KNN_SQL},
+lab AS (SELECT nn.q, e.label, count(*) AS c FROM nn JOIN e ON e.vec_id = nn.t GROUP BY nn.q, e.label),
+pred AS (SELECT q, label AS predicted FROM (SELECT *, row_number() OVER (PARTITION BY q ORDER BY c DESC, label) AS r FROM lab) WHERE r = 1)
+SELECT e.vec_id, e.label, p.predicted, e.label = p.predicted AS correct FROM e JOIN pred p ON p.q = e.vec_id
+""")
+def knn_predict(spark, sf_dir):
+    """Leave-one-out 5-NN label vote on the embeddings."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    n = nbr.knn(e.withColumnRenamed("vec_id", "tid"), e.withColumnRenamed("vec_id", "qid"),
+                "tid", "qid", "embedding", 5, exclude_self=True)
+    p = nbr.knn_vote(n, e.withColumnRenamed("vec_id", "tid"), "qid", "tid", "label")
+    return (e.select("vec_id", "label").join(p.withColumnRenamed("qid", "vec_id"), "vec_id")
+            .select("vec_id", "label", "predicted", (F.col("label") == F.col("predicted")).alias("correct")))

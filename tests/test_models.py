@@ -41,3 +41,20 @@ def test_constant_label_predicts_constant(spark, votes):
     allx = votes.withColumn("labels", F.array(F.lit("x")))
     cells = mdl.binary_relevance(allx, allx, "k", "f", "labels", ["x"], mdl.CLASSIFIERS["Decision Tree"])
     assert cells.filter("y_pred != 1.0").count() == 0
+
+
+def test_knn_exact_against_brute_force(spark):
+    import math
+    import random
+    from critiq.operators import neighbors as nbr
+    rnd = random.Random(5)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(6)]) for i in range(150)]
+    pts += [(150 + i, list(pts[3][1])) for i in range(8)]          # duplicates of one point
+    df = spark.createDataFrame(pts, "id int, v array<double>")
+    got = {}
+    for r in nbr.knn(df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q"), "t", "q", "v", 5,
+                     exclude_self=True, target=8).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["t"]))
+    for qi, qv in pts:
+        d = sorted((round(math.dist(qv, tv), 9), ti) for ti, tv in pts if ti != qi)[:5]
+        assert [t for _, t in sorted(got[qi])] == [t for _, t in d], qi
