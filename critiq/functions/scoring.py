@@ -43,7 +43,9 @@ def syllables(text) -> Column:
     passes over the text instead of one regex per word."""
     s = F.lower(col_of(text))
     return (F.regexp_count(s, F.lit("[aeiouy]+"))
-            + F.regexp_count(s, F.lit(r"(?<!\S)[^aeiouy\s]+(?!\S)")))
+            # a vowel-less word: starts at whitespace (or the start), possessive
+            # run so a failed match never backtracks through the word
+            + F.regexp_count(s, F.lit(r"(?:^|\s)[^aeiouy\s]++(?=\s|$)")))
 
 
 def reading_ease(text) -> Column:

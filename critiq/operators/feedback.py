@@ -105,28 +105,37 @@ def boltzmann_parents(pop: DataFrame, keys: Sequence[str], n_parents: int, tau:
 def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
            n_candidates: int = fixed.N_CANDIDATES, n_generations: int = fixed.N_GENERATIONS,
            n_parents: int = fixed.N_PARENTS, tau: float = fixed.TAU, seed: int = fixed.SEED,
-           checkpoint_every: int = 1) -> DataFrame:
+           checkpoint: bool = True) -> DataFrame:
     """Initial population, then per generation select parents (W4),
     cross over (M10) and append the child (U1); the best candidate at the end
-    (W3).  Fitness (GA sign: minus length score) is computed once per
-    candidate and carried.  All pairs advance together; every
-    ``checkpoint_every`` generations the population is checkpointed to the
-    shared checkpoint folder, which cuts the lineage (no generation is
-    recomputed by later ones) and survives executor loss."""
+    (W3).  All pairs advance together.
+
+    Fitness (GA sign: minus length score) is computed once per candidate and
+    carried.  With ``checkpoint`` the initial population and every child
+    generation are checkpointed once, to the shared checkpoint folder, and
+    each generation's population is the union of those parts: no generation
+    recomputes an earlier one (the lineage would otherwise double per
+    generation), nothing is rewritten, and a lost executor costs one step."""
     keep = [*keys, template]
     score = lambda df: df.withColumn("fitness", fitness("text", template, -1))
-    pop = score(expand_candidates(pairs.select(*keep, base), n_candidates, base)
-                .select(*keep, "cand_id", "text"))
+    cut = (lambda df: df.checkpoint(eager=True)) if checkpoint else (lambda df: df)
+    parts = [cut(score(expand_candidates(pairs.select(*keep, base), n_candidates, base)
+                       .select(*keep, "cand_id", "text")))]
+
+    def population():
+        pop = parts[0]
+        for p in parts[1:]:
+            pop = pop.unionByName(p)
+        return pop
+
     for gen in range(n_generations):
-        parents = boltzmann_parents(pop, keys, n_parents, tau, seed, gen)
+        parents = boltzmann_parents(population(), keys, n_parents, tau, seed, gen)
         child = score(parents.groupBy(*keep)
                       .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_p"))
                       .select(*keep, F.lit(n_candidates + gen).alias("cand_id"),
                               template_crossover("_p").alias("text")))
-        pop = pop.unionByName(child)
-        if checkpoint_every and (gen + 1) % checkpoint_every == 0 and gen + 1 < n_generations:
-            pop = pop.checkpoint(eager=True)
-    return argmax_first(pop, keys)
+        parts.append(cut(child) if gen + 1 < n_generations else child)
+    return argmax_first(population(), keys)
 
 
 def best_of_n(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
