@@ -220,3 +220,25 @@ def cross_validate(df: DataFrame, key: str, features: str, labels: str, fold_col
         res = res.unionByName(r)
     return res.groupBy("model").agg(F.avg("f05").alias("mean_f05"), F.avg("precision").alias("mean_precision"),
                                     F.avg("recall").alias("mean_recall"))
+
+
+def _with_params(est, param_map: dict):
+    """Set grid values by parameter name (a grid built on another instance
+    carries that instance's Param objects, which ``copy`` would ignore)."""
+    for p, v in param_map.items():
+        est.set(est.getParam(p.name), v)
+    return est
+
+
+def grid_search(df: DataFrame, key: str, features: str, labels: str, fold_col: str, vocab: Sequence[str],
+                name: str, make: Callable[[int, int], object], param_maps: Sequence[dict], n_folds: int,
+                threads: int = 5) -> DataFrame:
+    """Score every parameter map (e.g. from ``ParamGridBuilder().build()``)
+    with the same folds (G5) and report the means per combination, best
+    first.  The original keeps its grids disabled; this is the same loop."""
+    models = {}
+    for pm in param_maps:
+        label = name + " " + ", ".join(f"{p.name}={v}" for p, v in sorted(pm.items(), key=lambda x: x[0].name))
+        models[label] = (lambda pm: (lambda n, d: _with_params(make(n, d), pm)))(pm)
+    res = cross_validate(df, key, features, labels, fold_col, vocab, models, n_folds, threads)
+    return res.orderBy(F.desc("mean_f05"), "model")

@@ -934,3 +934,48 @@ def knn_predict(spark, sf_dir):
     p = nbr.knn_vote(n, e.withColumnRenamed("vec_id", "tid"), "qid", "tid", "label")
     return (e.select("vec_id", "label").join(p.withColumnRenamed("qid", "vec_id"), "vec_id")
             .select("vec_id", "label", "predicted", (F.col("label") == F.col("predicted")).alias("correct")))
+
+
+# ---------------------------------------------------------------------------
+# S4 + P4 + P5: review bodies as Python dict literals, parsed back and looked up
+# ---------------------------------------------------------------------------
+from ..sources import io as sio  # noqa: E402
+
+
+def _py_str_literal(c):
+    """Single-quoted Python string literal of a column (backslash, quote and
+    control characters escaped as ``repr`` would)."""
+    s = F.replace(c, F.lit("\\"), F.lit("\\\\"))
+    for a, b in [("'", "\\'"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")]:
+        s = F.replace(s, F.lit(a), F.lit(b))
+    return F.concat(F.lit("'"), s, F.lit("'"))
+
+
+@register("review_dict_sections", sql="""
+WITH conv AS (SELECT * FROM conversations WHERE text IS NOT NULL),
+secs AS (SELECT conv_id, role AS section, string_agg(text, ' ' ORDER BY turn) AS section_text
+         FROM conv WHERE role IN ('user', 'assistant') GROUP BY conv_id, role)
+SELECT c.conv_id, c.turn, s.section IS NOT NULL AS has_section,
+       CAST(length(s.section_text) AS BIGINT) AS section_chars, md5(s.section_text) AS section_md5
+FROM conv c LEFT JOIN secs s ON s.conv_id = c.conv_id AND s.section = c.role
+""")
+def review_dict_sections(spark, sf_dir):
+    """S4 + P4 + P5: each review's sections written as a Python dict literal
+    (the original's ``Review`` column), parsed back to a map (JVM JSON path,
+    ``literal_eval`` fallback for the rest), then every sentence row checks
+    and looks up its own section."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    secs = (conv.filter(F.col("role").isin(*_REVIEW_SECTIONS))
+            .groupBy("conv_id", "role")
+            .agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))),
+                                          lambda x: x["text"]), " ").alias("section_text")))
+    literal = (secs.groupBy("conv_id")
+               .agg(F.concat(F.lit("{"), F.array_join(F.array_sort(F.collect_list(
+                   F.concat(_py_str_literal(F.col("role")), F.lit(": "), _py_str_literal(F.col("section_text"))))), ", "),
+                   F.lit("}")).alias("review")))
+    parsed = sio.parse_review_dict(literal, "review", "review_map").select("conv_id", "review_map")
+    rows = conv.join(parsed, "conv_id", "left")
+    sec = F.try_element_at("review_map", F.col("role"))                                   # P5
+    return rows.select("conv_id", "turn",
+                       F.coalesce(F.map_contains_key("review_map", F.col("role")), F.lit(False)).alias("has_section"),  # P4
+                       F.length(sec).cast("bigint").alias("section_chars"), F.md5(sec).alias("section_md5"))

@@ -58,3 +58,14 @@ def test_knn_exact_against_brute_force(spark):
     for qi, qv in pts:
         d = sorted((round(math.dist(qv, tv), 9), ti) for ti, tv in pts if ti != qi)[:5]
         assert [t for _, t in sorted(got[qi])] == [t for _, t in d], qi
+
+
+def test_grid_search(spark, votes):
+    from pyspark.ml.classification import LogisticRegression
+    from pyspark.ml.tuning import ParamGridBuilder
+    lr = LogisticRegression()
+    grid = ParamGridBuilder().addGrid(lr.regParam, [0.01, 10.0]).build()
+    df = votes.withColumn("fold", (F.col("k") % 2).cast("int"))
+    r = mdl.grid_search(df, "k", "f", "labels", "fold", ["x"], "LR",
+                        lambda n, d: LogisticRegression(maxIter=50), grid, 2).collect()
+    assert len(r) == 2 and all("regParam" in x["model"] for x in r)
