@@ -12,9 +12,22 @@ from typing import Callable, Dict
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import fixed as _fx
+from ..functions.prompts import PROMPTS, render
 from ..functions.scoring import fitness, round6
+from ..functions.text import clean_gold, safe_name
+from ..operators import feedback as fb
+from ..operators import issues as iss
+from ..operators import judge as jd
+from ..operators import metrics as met
+from ..operators import models as mdl
+from ..operators import neighbors as nbr
+from ..operators import split as spl
 from ..operators import tagging
+from ..operators.backend import BackendFactory, model_map
 from ..sources import dimensions as dims
+from ..sources import io as sio
+from . import bindings
 from . import sqlgen as q
 from .tables import table
 
@@ -115,10 +128,6 @@ def best_segment(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Issue labels, groups, rationale/templates, questions, votes
 # ---------------------------------------------------------------------------
-from ..functions.prompts import render  # noqa: E402
-from ..functions.text import tokens as _tokens  # noqa: E402
-from ..operators import issues as iss  # noqa: E402
-from . import bindings  # noqa: E402
 
 _LABELED_SQL = (f"WITH src AS (SELECT doc_id, text, source, {bindings.issue_string_sql()} AS issue_types "
                 f"FROM documents), " + q.parse_labels_ctes("src", "doc_id", "issue_types", "text").strip())
@@ -279,9 +288,6 @@ def vote_vectors(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Metrics (A4-A8, F5, F24, J7) on documents x labels
 # ---------------------------------------------------------------------------
-from ..functions.text import clean_gold  # noqa: E402
-from ..operators import metrics as met  # noqa: E402
-from ..operators import split as spl  # noqa: E402
 
 _GOLD_RAW = "CASE WHEN toxic = 1 THEN '\"Toxic\"' WHEN quality = 1 THEN 'Good' ELSE 'poor' END"
 _PRED_RAW = "CASE WHEN text LIKE '%!%' THEN 'toxic' WHEN n_chars > 2000 THEN '\"GOOD\"' ELSE 'Poor' END"
@@ -428,9 +434,6 @@ def group_kfold(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Feedback generation (template backend) and judging
 # ---------------------------------------------------------------------------
-from .. import fixed as _fx  # noqa: E402
-from ..operators import feedback as fb  # noqa: E402
-from ..operators import judge as jd  # noqa: E402
 
 
 def _pairs(spark, sf_dir):
@@ -512,7 +515,8 @@ ch{g} AS (SELECT doc_id, issue, template, {n_cand + g} AS cand_id,
                  ps[1] || ' ' || ({q.sentences('ps[2]')})[-1] AS text
           FROM (SELECT doc_id, issue, template, list(text ORDER BY rank) AS ps FROM par{g} GROUP BY doc_id, issue, template)),
 pop{g + 1} AS (SELECT doc_id, issue, template, cand_id, text FROM pop{g} UNION ALL SELECT * FROM ch{g})""")
-    parts.append(f"fin AS ({_argmax_sql(f'(SELECT *, {q.fitness(chr(116) + chr(101) + chr(120) + chr(116), chr(116) + chr(101) + chr(109) + chr(112) + chr(108) + chr(97) + chr(116) + chr(101), -1)} AS fitness FROM pop{n_gen})', 'doc_id, issue')})")
+    scored = f"(SELECT *, {q.fitness('text', 'template', -1)} AS fitness FROM pop{n_gen})"
+    parts.append(f"fin AS ({_argmax_sql(scored, 'doc_id, issue')})")
     return ",\n".join(parts)
 
 
@@ -669,8 +673,6 @@ def review_segments(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # M0 with a Python batch backend: the vote stage through model_map
 # ---------------------------------------------------------------------------
-from ..functions.prompts import PROMPTS  # noqa: E402
-from ..operators.backend import BackendFactory, model_map  # noqa: E402
 
 
 def _python_vote_backend():
@@ -727,7 +729,6 @@ def vote_vectors_model(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # Scaling and classifiers
 # ---------------------------------------------------------------------------
-from ..operators import models as mdl  # noqa: E402
 
 
 @register("embedding_standardize", sql="""
@@ -782,7 +783,6 @@ def classifier_holdout(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # M5 prompt render, M19 vote sweep, A14 count report
 # ---------------------------------------------------------------------------
-from ..functions.text import safe_name  # noqa: E402
 
 
 @register("question_prompts", sql=f"""{_TOP_SQL},
@@ -898,7 +898,6 @@ def classifier_cv(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # k nearest neighbours (C1, J8, W5) on the embeddings, leave-one-out
 # ---------------------------------------------------------------------------
-from ..operators import neighbors as nbr  # noqa: E402
 
 _KNN_SQL = """WITH e AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, label FROM embeddings),
 pairs AS (SELECT a.vec_id AS q, b.vec_id AS t,
@@ -939,7 +938,6 @@ def knn_predict(spark, sf_dir):
 # ---------------------------------------------------------------------------
 # S4 + P4 + P5: review bodies as Python dict literals, parsed back and looked up
 # ---------------------------------------------------------------------------
-from ..sources import io as sio  # noqa: E402
 
 
 def _py_str_literal(c):
