@@ -15,6 +15,7 @@ constant as the data grows.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,7 +36,7 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
     """W5 + J8: (qid, rank, tid, dist) for the k nearest training points of
     every query (Euclidean; ties by training id).  With ``exclude_self`` a
     query never matches the training row with the same id (leave-one-out)."""
-    tr = train.select(F.col(tid).alias("_t"), F.col(vec).cast("array<double>").alias("_tv"))
+    tr = train.select(F.col(tid).cast("long").alias("_t"), F.col(vec).cast("array<double>").alias("_tv"))
     width = tr.select(F.max(F.size("_tv"))).first()[0] or 0
     u = np.random.RandomState(seed).normal(size=width)
     u = u / (np.linalg.norm(u) or 1.0)
@@ -44,17 +45,26 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
     span = max(st["hi"] - st["lo"], 1e-12)
     w = span * min(1.0, target / max(st["n"], 1))
     need = min(k, st["n"] - (1 if exclude_self else 0))
-    queries = (test.select(F.col(qid).alias("_q"), F.col(vec).cast("array<double>").alias("_qv"))
+    queries = (test.select(F.col(qid).cast("long").alias("_q"), F.col(vec).cast("array<double>").alias("_qv"))
                .withColumn("_qp", _dot(F.col("_qv"), u)))
     t = tr.withColumn("_b", F.floor(F.col("_tp") / w))
 
     def top_k(q):
-        cand = q.join(t, "_b")
-        if exclude_self:
-            cand = cand.filter(F.col("_q") != F.col("_t"))
-        cand = cand.select("_q", "_t", euclid(F.col("_qv"), F.col("_tv")).alias("dist"))
+        """Exact top-k of each query among the training points of the
+        buckets it is exploded to.  Distances are computed in numpy per
+        (bucket, query chunk) group -- queries of one bucket are cut into
+        chunks of ``QUERY_CHUNK`` and the bucket's training rows are sent to
+        each chunk -- and each group returns its local top-k; a window then
+        keeps the global top-k."""
+        n_q = q.select("_q").distinct().count()
+        chunks = max(1, -(-n_q // QUERY_CHUNK))
+        qs = q.select("_b", (F.abs(F.xxhash64("_q")) % chunks).cast("long").alias("_qc"), "_q", "_qv")
+        ts = t.select("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("_qc"),
+                      "_t", "_tv")
+        local = (qs.groupBy("_b", "_qc").cogroup(ts.groupBy("_b", "_qc"))
+                 .applyInPandas(_block_top_k(k, exclude_self), "_q long, _t long, dist double"))
         win = Window.partitionBy("_q").orderBy(F.round("dist", 9), "_t")
-        return cand.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
+        return local.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
 
     # round 1: own bucket and both neighbours
     first = top_k(queries.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_qp") / w) + d for d in (-1, 0, 1)]))))
@@ -73,6 +83,37 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
     return out.select(F.col("_q").alias(qid), "rank", F.col("_t").alias(tid), "dist")
 
 
+QUERY_CHUNK = 4096
+
+
+def _block_top_k(k: int, exclude_self: bool):
+    def run(qdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
+        if qdf.empty or tdf.empty:
+            return pd.DataFrame({"_q": [], "_t": [], "dist": []})
+        tid = tdf["_t"].to_numpy(dtype=np.int64)
+        tv = np.stack(tdf["_tv"].to_numpy())
+        out_q, out_t, out_d = [], [], []
+        for s in range(0, len(qdf), 512):
+            part = qdf.iloc[s:s + 512]
+            qid = part["_q"].to_numpy(dtype=np.int64)
+            qv = np.stack(part["_qv"].to_numpy())
+            acc = np.zeros((len(qid), len(tid)))
+            for d in range(qv.shape[1]):            # same left-to-right sum as the SQL fold
+                diff = qv[:, d][:, None] - tv[:, d][None, :]
+                acc = acc + diff * diff
+            dist = np.sqrt(acc)
+            if exclude_self:
+                dist = np.where(qid[:, None] == tid[None, :], np.inf, dist)
+            for i in range(len(qid)):
+                order = np.lexsort((tid, np.round(dist[i], 9)))[:k]
+                order = order[np.isfinite(dist[i][order])]
+                out_q.extend([qid[i]] * len(order))
+                out_t.extend(tid[order].tolist())
+                out_d.extend(dist[i][order].tolist())
+        return pd.DataFrame({"_q": out_q, "_t": out_t, "dist": out_d})
+    return run
+
+
 def knn_vote(neighbors: DataFrame, train_labels: DataFrame, qid: str, tid: str, label: str) -> DataFrame:
     """C1 prediction: majority label among the neighbours (uniform weights),
     ties -> smallest label."""
