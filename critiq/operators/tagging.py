@@ -226,3 +226,65 @@ def tag_rows_independent(rows: DataFrame, sentence: str,
     f = sentence_features(sentence)
     return (rows.withColumn("section_pred", section_step(F.lit(""), f))
             .withColumn("bio_pred", bio_step(F.lit(""), f)))
+
+
+# --- taggers backed by a user model (M0) -----------------------------------------
+
+def tag_rows_with_model(rows: DataFrame, sentence: str, review: str, backend) -> DataFrame:
+    """M1 + M2 with a model: every sentence's two prompts (section text and
+    sentence, no context) go through ``model_map`` in Arrow batches, then F6 /
+    F7 validate the completions."""
+    from ..functions.prompts import render
+    from .backend import model_map
+    r = (rows.withColumn("_ps", render("section_chained", review=review, context=F.lit(""), sentence=sentence))
+         .withColumn("_pb", render("bio_chained", review=review, context=F.lit(""), sentence=sentence)))
+    r = model_map(r, "_ps", backend, "_cs")
+    r = model_map(r, "_pb", backend, "_cb")
+    return (r.withColumn("section_pred", validate_section("_cs")).withColumn("bio_pred", validate_bio("_cb"))
+            .drop("_ps", "_pb", "_cs", "_cb"))
+
+
+def tag_reviews_with_model(rows: DataFrame, key: str, pos: str, sentence: str, review: str, backend) -> DataFrame:
+    """M3 + M4 with a model: each prompt carries the previous *prediction*, so
+    within one review the calls are sequential by definition; reviews run in
+    parallel (``groupBy(review).applyInPandas``).  Validation (F6/F7) is the
+    same rule as the native path, applied in the task before the next prompt
+    is built.  Returns (key, pos, section_pred, bio_pred)."""
+    import pandas as pd
+    from ..functions.prompts import PROMPTS
+    from .backend import BackendFactory
+
+    sec_names, sec_default = list(fixed.SECTION_NAMES), fixed.SECTION_DEFAULT
+    alias = {fixed.SECTION_STRENGTHS_DATA: fixed.SECTION_NAMES[0], fixed.SECTION_COMMENTS_PROMPT: fixed.SECTION_NAMES[2]}
+
+    def check_section(x: str) -> str:
+        x = alias.get(x.strip(), x.strip())
+        return x if x in sec_names else sec_default
+
+    def check_bio(x: str) -> str:
+        x = x.strip()
+        return x if x in fixed.BIO_TAGS else fixed.BIO_DEFAULT
+
+    def fill(name, **kv):
+        out = PROMPTS[name]
+        for k, v in kv.items():   # values never contain placeholders of later keys: filled left to right
+            out = out.replace("{" + k + "}", v)
+        return out
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        fn = backend.get() if isinstance(backend, BackendFactory) else backend
+        pdf = pdf.sort_values(pos)
+        prev_s, prev_b, secs, bios = "", "", [], []
+        for sent, body in zip(pdf[sentence].fillna(""), pdf[review].fillna("")):
+            ctx_s = f"Previous label: {prev_s}\n" if prev_s else ""
+            ctx_b = f"Previous label: {prev_b}\n" if prev_b else ""
+            out = fn([fill("section_chained", review=body, context=ctx_s, sentence=sent),
+                      fill("bio_chained", review=body, context=ctx_b, sentence=sent)])
+            prev_s, prev_b = check_section(out[0]), check_bio(out[1])
+            secs.append(prev_s)
+            bios.append(prev_b)
+        return pd.DataFrame({key: pdf[key].to_numpy(), pos: pdf[pos].to_numpy(), "section_pred": secs, "bio_pred": bios})
+
+    schema = (f"{key} {rows.schema[key].dataType.simpleString()}, {pos} {rows.schema[pos].dataType.simpleString()}, "
+              "section_pred string, bio_pred string")
+    return rows.select(key, pos, sentence, review).groupBy(key).applyInPandas(run, schema)

@@ -70,3 +70,50 @@ def test_chunked_scan_equals_whole_fold(spark):
         by_pos.setdefault(rid, []).append(p)
     for r in ref:
         assert whole[(r["rid"], by_pos[r["rid"]][r["i"]])][0] == r["t"]["tag"]
+
+
+def test_model_taggers_match_native(spark):
+    def _python_rules_backend(prompts):
+        """Answers the tagging prompts with the same rules as the native taggers
+        (reads the sentence and the previous label back out of the prompt)."""
+        import re
+        out = []
+        for p in prompts:
+            sent = re.search(r"Sentence: (.*)\n(?:Label|Tag): $", p, re.S).group(1)
+            m = re.search(r"Previous label: (.*)\n", p)
+            prev = m.group(1) if m else ""
+            n = len(sent.split())
+            if p.startswith("Mark where"):
+                if n < 3:
+                    out.append("O")
+                elif prev in ("", "O"):
+                    out.append("B ")
+                elif n > 20 or (prev == "I" and sent.endswith("!")):
+                    out.append("B")
+                elif "," in sent and n < 5:
+                    out.append("i")
+                else:
+                    out.append("I")
+            else:
+                if n < 4 and prev:
+                    out.append(prev)
+                elif "," in sent and n > 15:
+                    out.append("comments_suggestions_and_typos")
+                elif sent.endswith("!"):
+                    out.append("summary_of_strengths")
+                else:
+                    out.append("summary_of_weaknesses")
+        return out
+
+    conv = spark.read.parquet("/root/testdata/sf0.001/conversations.parquet").withColumn("body", F.lit("section"))
+    native = {(r["conv_id"], r["turn"]): (r["section_pred"], r["bio_pred"])
+              for r in tagging.tag_review_rows(conv, "conv_id", "turn", "text").collect()}
+    model = {(r["conv_id"], r["turn"]): (r["section_pred"], r["bio_pred"])
+             for r in tagging.tag_reviews_with_model(conv, "conv_id", "turn", "text", "body",
+                                                     _python_rules_backend).collect()}
+    assert model == native
+    ind_native = {(r["conv_id"], r["turn"]): (r["section_pred"], r["bio_pred"])
+                  for r in tagging.tag_rows_independent(conv, "text").collect()}
+    ind_model = {(r["conv_id"], r["turn"]): (r["section_pred"], r["bio_pred"])
+                 for r in tagging.tag_rows_with_model(conv, "text", "body", _python_rules_backend).collect()}
+    assert ind_model == ind_native
