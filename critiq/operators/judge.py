@@ -50,19 +50,33 @@ def judge_wide(df: DataFrame, segment: str, outputs: str, prompt_type: str) -> D
     return out.withColumn("prompt", F.lit(prompt_type))
 
 
-def judge_long(df: DataFrame, key: str, segment: str, outputs: str) -> DataFrame:
-    """(key, dimension, prompt) rows for a model backend: the four dimensions
-    are a literal array, exploded per row (map-only)."""
+def _keys(key):
+    return [key] if isinstance(key, str) else list(key)
+
+
+def judge_long(df: DataFrame, key, segment: str, outputs: str) -> DataFrame:
+    """(keys..., dimension, prompt) rows for a model backend: the four
+    dimensions are a literal array, exploded per row (map-only)."""
     dims = F.array(*[F.struct(F.lit(d).alias("dimension"), judge_prompt(d, F.col(segment), F.col(outputs)).alias("prompt"))
                      for d in fixed.JUDGE_DIMENSIONS])
-    return df.select(key, F.inline(dims))
+    return df.select(*_keys(key), F.inline(dims))
+
+
+def judge_with_model(df: DataFrame, key, segment: str, outputs: str, backend, prompt_type: str) -> DataFrame:
+    """M18 with a model: P2 + P10, four prompts per row through ``model_map``
+    (Arrow batches; the original batches 16 prompts per call), F10 + F11, A13
+    pivot back to one row per input row, P11 tag."""
+    from .backend import model_map
+    long = judge_long(judge_input(df, segment, outputs), key, segment, outputs)
+    done = model_map(long, "prompt", backend, "completion")
+    return pivot_judgements(done, key).withColumn("prompt", F.lit(prompt_type))
 
 
-def pivot_judgements(long: DataFrame, key: str, completion: str = "completion") -> DataFrame:
-    """(key, dimension, completion) -> 8 wide columns (+ parsed ints)."""
-    parsed = long.select(key, "dimension", judge_feedback(completion).alias("feedback"),
+def pivot_judgements(long: DataFrame, key, completion: str = "completion") -> DataFrame:
+    """(keys..., dimension, completion) -> 8 wide columns (+ parsed ints)."""
+    parsed = long.select(*_keys(key), "dimension", judge_feedback(completion).alias("feedback"),
                          judge_score(completion).alias("score"))
-    wide = parsed.groupBy(key).pivot("dimension", fixed.JUDGE_DIMENSIONS).agg(
+    wide = parsed.groupBy(*_keys(key)).pivot("dimension", fixed.JUDGE_DIMENSIONS).agg(
         F.first("feedback").alias("feedback"), F.first("score").alias("score"))
     for d in fixed.JUDGE_DIMENSIONS:
         wide = (wide.withColumnRenamed(f"{d}_feedback", f"{d.lower()}_feedback")

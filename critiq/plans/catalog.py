@@ -977,3 +977,35 @@ def review_dict_sections(spark, sf_dir):
     return rows.select("conv_id", "turn",
                        F.coalesce(F.map_contains_key("review_map", F.col("role")), F.lit(False)).alias("has_section"),  # P4
                        F.length(sec).cast("bigint").alias("section_chars"), F.md5(sec).alias("section_md5"))
+
+
+def _python_judge_backend():
+    """Stand-in judge model: reads dimension, weakness and feedback back out
+    of the rendered prompt and answers with the native rules backend's four
+    completion shapes (so the result must equal ``judge_scores``)."""
+    dims_ = list(_fx.JUDGE_DIMENSIONS)
+
+    def answer(prompts):
+        out = []
+        for p in prompts:
+            dim = p[len("Rate the feedback on "):].split(" from 1 to 5", 1)[0]
+            body = p.split("\nWeakness: ", 1)[1]
+            seg, fbk = body.rsplit("\nFeedback: ", 1)
+            fbk = fbk[:-1] if fbk.endswith("\n") else fbk
+            k = (len(fbk) + len(seg) + dims_.index(dim)) % 4
+            score = str(len(fbk) % 5 + 1)
+            reason = f"The feedback has {len(fbk.split(' '))} words."
+            out.append([f"Feedback: {reason} [RESULT] {score}", f"Notes.\n### {reason}\n[RESULT] {score}",
+                        f"{reason} [RESULT] 3 [RESULT] {score}", reason][k])
+        return out
+    return answer
+
+
+@register("judge_scores_model", sql=ORACLE["judge_scores"])
+def judge_scores_model(spark, sf_dir):
+    """M18 through M0 with a Python judge backend + A13 pivot; same result
+    as ``judge_scores``."""
+    p = _pairs(spark, sf_dir)
+    ji = p.select("doc_id", "issue", "segment", fb.template_candidate("base", F.lit(0)).alias("outputs"))
+    return jd.judge_with_model(ji, ["doc_id", "issue"], "segment", "outputs",
+                               BackendFactory("rules-judge", _python_judge_backend), "template")
