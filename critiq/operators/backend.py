@@ -42,21 +42,28 @@ def _resolve(backend) -> Backend:
 
 
 def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
-              keys: Optional[Sequence[str]] = None, dedupe: bool = True) -> DataFrame:
+              keys: Optional[Sequence[str]] = None, dedupe: bool = True, seed: Optional[str] = None) -> DataFrame:
     """M0: add ``out`` = backend(prompt) to every row.
 
     With ``dedupe`` the distinct prompts are sent once (duplicate segments
     ask the same question once) and the completions are joined back on the
-    prompt text.  Without it, ``keys`` plus the prompt cross into Python."""
+    prompt text.  Without it, ``keys`` plus the prompt cross into Python.
+    With ``seed`` (an integer column, e.g. the candidate id) the backend is
+    called as ``fn(prompts, seeds)`` so a sampling model draws different
+    candidates for the same prompt; de-duplication is then on (prompt, seed)."""
     if dedupe:
-        distinct = df.select(F.col(prompt).alias("_prompt")).filter(F.col("_prompt").isNotNull()).distinct()
-        done = _map_prompts(distinct, "_prompt", backend, out)
-        return df.join(done, df[prompt] == done["_prompt"], "left").drop("_prompt")
-    cols = list(keys or []) + [prompt]
-    return _map_prompts(df.select(*cols), prompt, backend, out)
-
-
-def _map_prompts(df: DataFrame, prompt: str, backend, out: str) -> DataFrame:
+        cols = [F.col(prompt).alias("_prompt")] + ([F.col(seed).alias("_seed")] if seed else [])
+        distinct = df.select(*cols).filter(F.col("_prompt").isNotNull()).distinct()
+        done = _map_prompts(distinct, "_prompt", backend, out, "_seed" if seed else None)
+        cond = df[prompt] == done["_prompt"]
+        if seed:
+            cond = cond & (df[seed] == done["_seed"])
+        return df.join(done, cond, "left").drop("_prompt", "_seed")
+    cols = list(keys or []) + [prompt] + ([seed] if seed else [])
+    return _map_prompts(df.select(*cols), prompt, backend, out, seed)
+
+
+def _map_prompts(df: DataFrame, prompt: str, backend, out: str, seed: Optional[str] = None) -> DataFrame:
     from pyspark.sql.types import StringType, StructField, StructType
     schema = StructType(list(df.schema.fields) + [StructField(out, StringType(), True)])
 
@@ -64,7 +71,7 @@ def _map_prompts(df: DataFrame, prompt: str, backend, out: str) -> DataFrame:
         fn = _resolve(backend)
         for pdf in batches:
             texts = pdf[prompt].fillna("").astype(str).tolist()
-            res = fn(texts)
+            res = fn(texts, pdf[seed].astype("int64").tolist()) if seed else fn(texts)
             if len(res) != len(texts):
                 raise ValueError(f"backend returned {len(res)} completions for {len(texts)} prompts")
             pdf[out] = pd.Series(res, index=pdf.index, dtype="object")

@@ -1009,3 +1009,36 @@ def judge_scores_model(spark, sf_dir):
     ji = p.select("doc_id", "issue", "segment", fb.template_candidate("base", F.lit(0)).alias("outputs"))
     return jd.judge_with_model(ji, ["doc_id", "issue"], "segment", "outputs",
                                BackendFactory("rules-judge", _python_judge_backend), "template")
+
+
+def _python_candidate_backend():
+    """Stand-in sampling model for the template-guided prompt: the seed picks
+    the wording variant exactly as the native template backend does."""
+    openings, closings, ph = list(fb.OPENINGS), list(fb.CLOSINGS), _fx.TEMPLATE_PLACEHOLDER
+
+    def answer(prompts, seeds):
+        out = []
+        for p, c in zip(prompts, seeds):
+            body = p.split("\nSegment: ", 1)[1]
+            seg, rest = body.split("\nIssue: ", 1)
+            tmpl = rest.split("\nTemplate: ", 1)[1]
+            tmpl = tmpl[:-len("\nFeedback:")] if tmpl.endswith("\nFeedback:") else tmpl
+            out.append(openings[(c // len(closings)) % len(openings)] + tmpl.replace(ph, seg) + closings[c % len(closings)])
+        return out
+    return answer
+
+
+@register("feedback_bon_model", sql=f"SELECT * FROM ({ORACLE['feedback_baselines']}) b WHERE strategy = 'BoN'")
+def feedback_bon_model(spark, sf_dir):
+    """M15 through M0: 15 seeded candidates per (segment, issue) from the
+    template-guided prompt, scored (F18) and the best kept (W3); equal to the
+    BoN rows of ``feedback_baselines``."""
+    p = _pairs(spark, sf_dir)
+    keys = ["doc_id", "issue"]
+    c = (p.select(*keys, "template", "segment", F.explode(F.sequence(F.lit(0), F.lit(_fx.BON_N * _fx.BON_GEN - 1))).alias("cand_id"))
+         .withColumn("prompt", render("template_guided", segment="segment", issue="issue", template="template")))
+    c = model_map(c.select(*keys, "template", "cand_id", "prompt"), "prompt",
+                  BackendFactory("template-sampler", _python_candidate_backend), "text", seed="cand_id")
+    best = fb.argmax_first(c.withColumn("fitness", fitness("text", "template", 1)), keys)
+    return best.select("doc_id", "issue", F.lit("BoN").alias("strategy"), F.col("cand_id").cast("bigint").alias("cand_id"),
+                       round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))

@@ -76,3 +76,9 @@ def test_chat_and_knowledge(spark):
     assert [(x["role"], x["content"]) for x in r["m"]] == [("system", "sys"), ("user", "hi")]
     assert r["c"] == "S\nA"
     assert "Weakness: {feedback} 100%\nFeedback: fb" in r["p"]          # no second substitution (B25)
+
+
+def test_model_map_with_seed(spark):
+    df = spark.createDataFrame([(1, "p", 0), (2, "p", 1), (3, "p", 0)], "k int, prompt string, c int")
+    out = model_map(df, "prompt", lambda xs, seeds: [f"{x}{s}" for x, s in zip(xs, seeds)], seed="c")
+    assert sorted((r["k"], r["completion"]) for r in out.collect()) == [(1, "p0"), (2, "p1"), (3, "p0")]
