@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import (col_of, split_sentences, tokens, validate_bio,
+from ..functions.text import (col_of, sentence_marks, split_sentences, tokens, validate_bio,
                               validate_section)
 
 Step = Callable[[Column, Column], Column]
@@ -110,16 +110,36 @@ def rules_section_step(prev: Column, x: Column) -> Column:
 
 # --- documents: in-row tagging ----------------------------------------------------
 
+# documents with more sentences than this go through the chunked scan: the
+# in-row fold copies its growing output array at every step (quadratic in the
+# document's sentence count), the scan is linear
+INROW_MAX_SENTENCES = 4096
+
+
 def tag_document_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                           step: Step = rules_bio_step) -> DataFrame:
-    """Split each text into sentences and fold the tagger over them in the
-    same row; one output row per sentence: (key, pos, sentence, tag, seg)."""
+                           step: Step = rules_bio_step, states=None,
+                           inrow_max: int = INROW_MAX_SENTENCES) -> DataFrame:
+    """Split each text into sentences and tag them with the chained tagger;
+    one output row per sentence: (key, pos, sentence, tag, seg_id).
+
+    Ordinary documents are folded inside their own row (map-only: no shuffle,
+    no grouping).  A document with more than ``inrow_max`` sentences is
+    exploded and tagged by ``chunked_scan``, so even one enormous document is
+    spread over many tasks with linear work."""
+    states = states or BIO_STATES
+    # route on a cheap upper bound of the sentence count (a split needs a mark)
+    bound = sentence_marks(text) + 1
     feats = F.transform(split_sentences(text), sentence_features)
-    tagged = docs.select(key, feats.alias("f")).select(
-        key, "f", fold_tags("f", step).alias("t"))
-    return tagged.select(key, F.posexplode(F.arrays_zip(F.col("f"), F.col("t"))).alias("pos", "z")).select(
+    small = docs.filter(bound <= inrow_max).select(key, feats.alias("f"))
+    small = small.select(key, "f", fold_tags("f", step).alias("t"))
+    small = small.select(key, F.posexplode(F.arrays_zip(F.col("f"), F.col("t"))).alias("pos", "z")).select(
         key, "pos", F.col("z.f.text").alias("sentence"), F.col("z.t.tag").alias("tag"),
         F.col("z.t.seg").alias("seg_id"))
+    rows = docs.filter(bound > inrow_max).select(key, F.posexplode(feats).alias("pos", "_f"))
+    big = chunked_scan(rows, key, "pos", "_f", {"bio": (step, states)}, keep_items=True)
+    big = big.select(key, "pos", F.col("_item.text").alias("sentence"), F.col("bio_tag").alias("tag"),
+                     F.col("bio_seg").alias("seg_id"))
+    return small.unionByName(big)
 
 
 def segments_from_tags(tagged: DataFrame, key: str, pos: str = "pos", seg: str = "seg_id",
@@ -152,7 +172,8 @@ BIO_STATES = ["", *fixed.BIO_TAGS]
 SECTION_STATES = ["", *fixed.SECTION_NAMES]
 
 
-def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_rows: int = 1024) -> DataFrame:
+def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_rows: int = 1024,
+                 keep_items: bool = False) -> DataFrame:
     """W1 for reviews stored one row per sentence, without gathering a whole
     review into one task.
 
@@ -198,7 +219,7 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
                                      for n, (step, _) in chains.items()])
     z = F.arrays_zip("_r", *[f"_t_{n}" for n in chains])
     ex = out.select(key, F.inline(z))
-    cols = [F.col("_r.p").alias(pos)]
+    cols = [F.col("_r.p").alias(pos)] + ([F.col("_r.f").alias("_item")] if keep_items else [])
     for n in chains:
         cols += [F.col(f"_t_{n}.tag").alias(f"{n}_tag"), F.col(f"_t_{n}.seg").alias(f"{n}_seg")]
     return ex.select(key, *cols)

@@ -117,3 +117,13 @@ def test_model_taggers_match_native(spark):
     ind_model = {(r["conv_id"], r["turn"]): (r["section_pred"], r["bio_pred"])
                  for r in tagging.tag_rows_with_model(conv, "text", "body", _python_rules_backend).collect()}
     assert ind_model == ind_native
+
+
+def test_document_big_path_equals_inrow(spark):
+    text = " ".join(f"Sentence number {i} has {'many words here' * (i % 3)} end{'!' if i % 4 == 0 else '.'}"
+                    for i in range(60))
+    d = spark.createDataFrame([(1, text), (2, "Short one. Two words here. x.")], "doc_id int, text string")
+    a = {(r["doc_id"], r["pos"]): (r["tag"], r["seg_id"], r["sentence"]) for r in tagging.tag_document_sentences(d).collect()}
+    b = {(r["doc_id"], r["pos"]): (r["tag"], r["seg_id"], r["sentence"])
+         for r in tagging.tag_document_sentences(d, inrow_max=5).collect()}
+    assert a == b and len(a) == 63
