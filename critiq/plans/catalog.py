@@ -771,12 +771,18 @@ def classifier_holdout(spark, sf_dir):
                            out="x")
     vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
              .orderBy("issue").collect()]          # bounded label vocabulary
-    out = None
-    for name in _HOLDOUT_MODELS:
+    train, test = train.checkpoint(eager=True), test.checkpoint(eager=True)
+
+    def fit(name):   # models are independent: their fits are submitted concurrently
         cells = mdl.binary_relevance(train, test, "doc_id", "x", "issues", vocab, mdl.CLASSIFIERS[name])
-        s = mdl.holdout_scores(cells).select(F.lit(name).alias("model"), round6("f05").alias("f05"),
-                                             round6("precision").alias("precision"), round6("recall").alias("recall"))
-        out = s if out is None else out.unionByName(s)
+        return mdl.holdout_scores(cells).select(F.lit(name).alias("model"), round6("f05").alias("f05"),
+                                                round6("precision").alias("precision"), round6("recall").alias("recall"))
+    from concurrent.futures import ThreadPoolExecutor
+    with ThreadPoolExecutor(max_workers=len(_HOLDOUT_MODELS)) as ex:
+        parts = list(ex.map(fit, _HOLDOUT_MODELS))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
     return out
 
 
