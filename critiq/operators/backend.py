@@ -42,23 +42,28 @@ def _resolve(backend) -> Backend:
 
 
 def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
-              keys: Optional[Sequence[str]] = None, dedupe: bool = True, seed: Optional[str] = None) -> DataFrame:
+              keys: Optional[Sequence[str]] = None, dedupe: bool = True, seed: Optional[str] = None,
+              keep_prompt: bool = True) -> DataFrame:
     """M0: add ``out`` = backend(prompt) to every row.
 
-    With ``dedupe`` the distinct prompts are sent once (duplicate segments
-    ask the same question once) and the completions are joined back on the
-    prompt text.  Without it, ``keys`` plus the prompt cross into Python.
-    With ``seed`` (an integer column, e.g. the candidate id) the backend is
-    called as ``fn(prompts, seeds)`` so a sampling model draws different
-    candidates for the same prompt; de-duplication is then on (prompt, seed)."""
+    With ``dedupe`` each distinct prompt is sent once (duplicate segments ask
+    the same question once).  Prompts are keyed by SHA-256: the distinct step
+    ships each prompt text once, and the completions are joined back on the
+    key, so the join moves (row, key) and (key, completion), never the prompt
+    text twice; ``keep_prompt=False`` also drops the prompt from the rows
+    before that join.  Without ``dedupe``, ``keys`` plus the prompt cross
+    into Python.  With ``seed`` (an integer column, e.g. the candidate id)
+    the backend is called as ``fn(prompts, seeds)`` so a sampling model draws
+    different candidates for the same prompt; de-duplication is then on
+    (prompt, seed)."""
     if dedupe:
-        cols = [F.col(prompt).alias("_prompt")] + ([F.col(seed).alias("_seed")] if seed else [])
-        distinct = df.select(*cols).filter(F.col("_prompt").isNotNull()).distinct()
-        done = _map_prompts(distinct, "_prompt", backend, out, "_seed" if seed else None)
-        cond = df[prompt] == done["_prompt"]
-        if seed:
-            cond = cond & (df[seed] == done["_seed"])
-        return df.join(done, cond, "left").drop("_prompt", "_seed")
+        jk = ["_h"] + ([seed] if seed else [])
+        keyed = df.withColumn("_h", F.sha2(F.col(prompt), 256))
+        distinct = (keyed.filter(F.col(prompt).isNotNull())
+                    .select(*jk, prompt).dropDuplicates(jk))
+        done = _map_prompts(distinct, prompt, backend, out, seed).select(*jk, out)
+        rows = keyed if keep_prompt else keyed.drop(prompt)
+        return rows.join(done, jk, "left").drop("_h")
     cols = list(keys or []) + [prompt] + ([seed] if seed else [])
     return _map_prompts(df.select(*cols), prompt, backend, out, seed)
 

@@ -68,7 +68,7 @@ def judge_with_model(df: DataFrame, key, segment: str, outputs: str, backend, pr
     pivot back to one row per input row, P11 tag."""
     from .backend import model_map
     long = judge_long(judge_input(df, segment, outputs), key, segment, outputs)
-    done = model_map(long, "prompt", backend, "completion")
+    done = model_map(long, "prompt", backend, "completion", keep_prompt=False)
     return pivot_judgements(done, key).withColumn("prompt", F.lit(prompt_type))
 
 

@@ -716,7 +716,7 @@ def vote_vectors_model(spark, sf_dir):
     asked = pairs.filter(F.col("question").isNotNull()).withColumn(
         "prompt", render("yes_no_vote", segment="text", question="question"))
     answered = model_map(asked.select("doc_id", "issue_idx", "q_idx", "prompt"), "prompt",
-                         BackendFactory("rules-vote", _python_vote_backend), "completion")
+                         BackendFactory("rules-vote", _python_vote_backend), "completion", keep_prompt=False)
     votes = answered.select("doc_id", "issue_idx", "q_idx", iss.vote_code("completion").alias("vote"))
     v = iss.votes_to_vectors(votes, "doc_id", slots=slots)
     return v.select("doc_id", F.size("features").cast("bigint").alias("width"),
@@ -1044,7 +1044,8 @@ def feedback_bon_model(spark, sf_dir):
     c = (p.select(*keys, "template", "segment", F.explode(F.sequence(F.lit(0), F.lit(_fx.BON_N * _fx.BON_GEN - 1))).alias("cand_id"))
          .withColumn("prompt", render("template_guided", segment="segment", issue="issue", template="template")))
     c = model_map(c.select(*keys, "template", "cand_id", "prompt"), "prompt",
-                  BackendFactory("template-sampler", _python_candidate_backend), "text", seed="cand_id")
+                  BackendFactory("template-sampler", _python_candidate_backend), "text", seed="cand_id",
+                  keep_prompt=False)
     best = fb.argmax_first(c.withColumn("fitness", fitness("text", "template", 1)), keys)
     return best.select("doc_id", "issue", F.lit("BoN").alias("strategy"), F.col("cand_id").cast("bigint").alias("cand_id"),
                        round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
