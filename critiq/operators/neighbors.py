@@ -57,11 +57,16 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
         each chunk -- and each group returns its local top-k; a window then
         keeps the global top-k."""
         n_q = q.select("_q").distinct().count()
-        chunks = max(1, -(-n_q // QUERY_CHUNK))
-        qs = q.select("_b", (F.abs(F.xxhash64("_q")) % chunks).cast("long").alias("_qc"), "_q", "_qv")
-        ts = t.select("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(chunks - 1).cast("long"))).alias("_qc"),
-                      "_t", "_tv")
-        local = (qs.groupBy("_b", "_qc").cogroup(ts.groupBy("_b", "_qc"))
+        q_chunks = max(1, -(-n_q // QUERY_CHUNK))
+        # a hot bucket (say, many copies of one vector) is cut on the training
+        # side too, so no group holds more than about CHUNK x CHUNK pairs
+        biggest = t.groupBy("_b").count().agg(F.max("count")).first()[0] or 0
+        t_chunks = max(1, -(-biggest // TRAIN_CHUNK))
+        qs = (q.select("_b", (F.abs(F.xxhash64("_q")) % q_chunks).cast("long").alias("_qc"), "_q", "_qv")
+              .withColumn("_tc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_chunks - 1).cast("long")))))
+        ts = (t.select("_b", (F.abs(F.xxhash64("_t")) % t_chunks).cast("long").alias("_tc"), "_t", "_tv")
+              .withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_chunks - 1).cast("long")))))
+        local = (qs.groupBy("_b", "_qc", "_tc").cogroup(ts.groupBy("_b", "_qc", "_tc"))
                  .applyInPandas(_block_top_k(k, exclude_self), "_q long, _t long, dist double"))
         win = Window.partitionBy("_q").orderBy(F.round("dist", 9), "_t")
         return local.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
@@ -84,6 +89,7 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
 
 
 QUERY_CHUNK = 4096
+TRAIN_CHUNK = 4096
 
 
 def _block_top_k(k: int, exclude_self: bool):

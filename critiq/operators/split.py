@@ -63,7 +63,10 @@ def stratified_group_split(df: DataFrame, labels: str, group: str, test_size: fl
     Returns (group, side, trial, diff) for every group; ``side`` is 'test' or
     'train'.  ``n_test = max(1, floor(n_groups * test_size))`` (rule B18)."""
     rows, lab = group_label_counts(df, group, labels)
-    n_test = rows.select(F.greatest(F.lit(1), F.floor(F.count(F.lit(1)) * F.lit(test_size))).cast("int")).scalar()
+    # a literal (one count over the checkpointed aggregate), so that
+    # ``row_number() <= n_test`` is planned as a window group limit: every task
+    # keeps only its first n_test groups per trial before the shuffle
+    n_test = max(1, int(rows.count() * test_size))
     trials = (rows.select(group).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
               .withColumn("u", det_uniform(F.lit(seed), F.col("trial"), F.col(group))))
     w = Window.partitionBy("trial").orderBy("u", group)

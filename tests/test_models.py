@@ -69,3 +69,21 @@ def test_grid_search(spark, votes):
     r = mdl.grid_search(df, "k", "f", "labels", "fold", ["x"], "LR",
                         lambda n, d: LogisticRegression(maxIter=50), grid, 2).collect()
     assert len(r) == 2 and all("regParam" in x["model"] for x in r)
+
+
+def test_knn_chunked_groups(spark, monkeypatch):
+    import math
+    import random
+    from critiq.operators import neighbors as nbr
+    monkeypatch.setattr(nbr, "QUERY_CHUNK", 7)
+    monkeypatch.setattr(nbr, "TRAIN_CHUNK", 5)
+    rnd = random.Random(9)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(3)]) for i in range(60)] + [(60 + i, [0.5, 0.5, 0.5]) for i in range(20)]
+    df = spark.createDataFrame(pts, "id int, v array<double>")
+    got = {}
+    for r in nbr.knn(df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q"), "t", "q", "v", 4,
+                     exclude_self=True, target=6).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["t"]))
+    for qi, qv in pts:
+        d = sorted((round(math.dist(qv, tv), 9), ti) for ti, tv in pts if ti != qi)[:4]
+        assert [t for _, t in sorted(got[qi])] == [t for _, t in d], qi
