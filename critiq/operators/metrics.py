@@ -16,27 +16,40 @@ def _div(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
-def single_label_metrics(df: DataFrame, gold: str, pred: str) -> DataFrame:
+def single_label_metrics(df: DataFrame, gold: str, pred: str, by=None) -> DataFrame:
     """A4: accuracy, macro precision/recall over the union of gold and
     predicted labels (undefined -> 0) and micro F1 (= accuracy here).
 
-    One row: n, accuracy, precision_macro, recall_macro, f1_micro."""
-    conf = df.groupBy(F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("c"))
-    per_label = (conf.select(F.explode(F.array(
+    One row (per ``by`` value): n, accuracy, precision_macro, recall_macro,
+    f1_micro."""
+    by = list(by or [])
+    conf = df.groupBy(*by, F.col(gold).alias("g"), F.col(pred).alias("p")).agg(F.count(F.lit(1)).alias("c"))
+    per_label = (conf.select(*by, F.explode(F.array(
         F.struct(F.col("g").alias("label"), F.col("c").alias("n_true"), F.lit(0).cast("long").alias("n_pred"),
                  F.when(F.col("g") == F.col("p"), F.col("c")).otherwise(0).alias("tp")),
         F.struct(F.col("p").alias("label"), F.lit(0).cast("long").alias("n_true"), F.col("c").alias("n_pred"),
                  F.lit(0).cast("long").alias("tp")))).alias("x"))
-        .groupBy("x.label").agg(F.sum("x.n_true").alias("n_true"), F.sum("x.n_pred").alias("n_pred"),
-                                F.sum("x.tp").alias("tp")))
-    macro = per_label.agg(F.avg(_div(F.col("tp"), F.col("n_pred"))).alias("precision_macro"),
-                          F.avg(_div(F.col("tp"), F.col("n_true"))).alias("recall_macro"),
-                          F.sum("tp").alias("tp"), F.sum("n_true").alias("n"))
+        .groupBy(*by, "x.label").agg(F.sum("x.n_true").alias("n_true"), F.sum("x.n_pred").alias("n_pred"),
+                                     F.sum("x.tp").alias("tp")))
+    macro = per_label.groupBy(*by).agg(F.avg(_div(F.col("tp"), F.col("n_pred"))).alias("precision_macro"),
+                                       F.avg(_div(F.col("tp"), F.col("n_true"))).alias("recall_macro"),
+                                       F.sum("tp").alias("tp"), F.sum("n_true").alias("n"))
     acc = _div(F.col("tp"), F.col("n"))
-    return macro.select(F.col("n").cast("bigint").alias("n"), acc.alias("accuracy"), "precision_macro",
+    return macro.select(*by, F.col("n").cast("bigint").alias("n"), acc.alias("accuracy"), "precision_macro",
                         "recall_macro", acc.alias("f1_micro"))
 
 
+def single_label_report(df: DataFrame, tasks: dict) -> DataFrame:
+    """A4 for several (gold, pred) column pairs in one pass, as one row with
+    ``{task}_{metric}`` columns (no join between the tasks' results)."""
+    long = df.select(F.explode(F.array(*[
+        F.struct(F.lit(t).alias("task"), F.col(g).alias("gold"), F.col(p).alias("pred"))
+        for t, (g, p) in tasks.items()])).alias("x")).select("x.*")
+    m = single_label_metrics(long, "gold", "pred", by=["task"])
+    metrics = ["n", "accuracy", "precision_macro", "recall_macro", "f1_micro"]
+    return m.agg(*[F.max(F.when(F.col("task") == t, F.col(c))).alias(f"{t}_{c}") for t in tasks for c in metrics])
+
+
 def label_matches(df: DataFrame, key: str, true_col: str, pred_col: str) -> DataFrame:
     """Full outer join of the exploded gold and predicted label sets on
     (row, label): both sides = TP, predicted only = FP, gold only = FN."""

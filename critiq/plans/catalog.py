@@ -640,14 +640,13 @@ def review_tag_metrics(spark, sf_dir):
     t = _review_tags(spark, sf_dir).filter(F.col("skip_reason").isNull())
     ev = t.select(clean_gold(F.expr(_GOLD_SECTION)).alias("gs"), clean_gold("section_pred").alias("ps"),
                   F.expr(_GOLD_BIO).alias("gb"), F.col("bio_pred").alias("pb"))
-    s = met.single_label_metrics(ev, "gs", "ps")
-    b = met.single_label_metrics(ev, "gb", "pb")
-    r4 = lambda c: F.round(c, 4)
-    s = s.select(r4("accuracy").alias("section_accuracy"), r4("f1_micro").alias("section_f1"),
-                 r4("precision_macro").alias("section_precision"), r4("recall_macro").alias("section_recall"))
-    b = b.select(r4("accuracy").alias("bio_accuracy"), r4("f1_micro").alias("bio_f1"),
-                 r4("precision_macro").alias("bio_precision"), r4("recall_macro").alias("bio_recall"))
-    return s.join(b)   # two one-row frames
+    r = met.single_label_report(ev, {"section": ("gs", "ps"), "bio": ("gb", "pb")})
+    out = []
+    for t in ("section", "bio"):
+        out += [F.round(f"{t}_accuracy", 4).alias(f"{t}_accuracy"), F.round(f"{t}_f1_micro", 4).alias(f"{t}_f1"),
+                F.round(f"{t}_precision_macro", 4).alias(f"{t}_precision"),
+                F.round(f"{t}_recall_macro", 4).alias(f"{t}_recall")]
+    return r.select(*out)
 
 
 @register("review_segments", sql=f"""{_RT_SQL},
