@@ -26,7 +26,9 @@ def length_score(text) -> Column:
 def template_adherence(text, template) -> Column:
     """distinct shared tokens / distinct template tokens (at least 1)."""
     t = F.array_distinct(tokens(template))
-    return F.size(F.array_intersect(t, tokens(text))) / F.greatest(F.size(t), F.lit(1))
+    # the hash set is built from the second argument: keep the small template
+    # set there and stream the (long) text tokens through it
+    return F.size(F.array_intersect(tokens(text), t)) / F.greatest(F.size(t), F.lit(1))
 
 
 def word_count(text) -> Column:

@@ -87,3 +87,9 @@ def test_keys_and_names(spark):
     key = "H14. \U0001F195 The authors should compare to a 'closed' model X"
     assert one(spark, key, template_key_norm) == "The authors should compare to a 'closed' model X"
     assert one(spark, "org/model-7B v1.0", safe_name) == "org_model-7B_v1_0"
+
+
+def test_multi_hot(spark):
+    from critiq.functions.text import multi_hot
+    df = spark.createDataFrame([(["b", "z"], ["a", "b", "c"])], "l array<string>, v array<string>")
+    assert df.select(multi_hot("l", "v").alias("r")).first()["r"] == [0, 1, 0]   # unknown label ignored
