@@ -63,6 +63,19 @@ def top_segments(labeled: DataFrame, key: str, k: int = fixed.TOP_SEGMENTS_PER_I
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
+# an issue vocabulary larger than this is not a label taxonomy any more
+MAX_ISSUES = 10_000
+
+
+def issue_list(issues: DataFrame, col: str = "issue") -> Column:
+    """The (bounded) issue vocabulary as one array value (scalar subquery),
+    failing loudly beyond ``MAX_ISSUES``; used by P7's ``arrays_overlap``."""
+    arr = F.collect_list(col)
+    checked = F.when(F.size(arr) <= MAX_ISSUES, arr).otherwise(
+        F.raise_error(F.lit(f"issue vocabulary exceeds {MAX_ISSUES} labels")))
+    return issues.select(checked).scalar()
+
+
 def template_key_norm(c) -> Column:
     """J3 key cleaning: F1, then any leading non-word characters (an emoji
     after the prefix)."""

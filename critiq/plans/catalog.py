@@ -378,7 +378,7 @@ def multilabel_metrics(spark, sf_dir):
 def _issue_dataset(spark, sf_dir):
     """Rows with at least one supported issue; group key = source."""
     lab = _labeled(spark, sf_dir)
-    sup = iss.supported(iss.group_by_issue(lab, "doc_id")).select(F.collect_list("issue")).scalar()
+    sup = iss.issue_list(iss.supported(iss.group_by_issue(lab, "doc_id")))
     return lab.filter(F.arrays_overlap("issues", sup)).select("doc_id", "source", "issues")
 
 
