@@ -18,6 +18,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import checkpointed
 from ..functions.scoring import fitness, gumbel
 from ..functions.text import col_of, split_sentences
 
@@ -118,7 +119,7 @@ def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", ba
     generation), nothing is rewritten, and a lost executor costs one step."""
     keep = [*keys, template]
     score = lambda df: df.withColumn("fitness", fitness("text", template, -1))
-    cut = (lambda df: df.checkpoint(eager=True)) if checkpoint else (lambda df: df)
+    cut = checkpointed if checkpoint else (lambda df: df)
     parts = [cut(score(expand_candidates(pairs.select(*keep, base), n_candidates, base)
                        .select(*keep, "cand_id", "text")))]
 

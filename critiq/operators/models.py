@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import checkpointed
 from .metrics import micro_fbeta_cells
 
 
@@ -142,7 +143,7 @@ class AdaBoostStumps:
                 break
             cur = pred.select("features", "label", (F.col("w") * F.exp(F.lit(alpha) * F.col("_miss"))).alias("w"))
             if self.every and (m + 1) % self.every == 0:
-                cur = cur.checkpoint(eager=True)
+                cur = checkpointed(cur)
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:

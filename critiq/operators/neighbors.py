@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
+from ..session import checkpointed
 
 
 def _dot(v: Column, u) -> Column:
@@ -40,7 +41,7 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
     width = tr.select(F.max(F.size("_tv"))).first()[0] or 0
     u = np.random.RandomState(seed).normal(size=width)
     u = u / (np.linalg.norm(u) or 1.0)
-    tr = tr.withColumn("_tp", _dot(F.col("_tv"), u)).checkpoint(eager=True)
+    tr = checkpointed(tr.withColumn("_tp", _dot(F.col("_tv"), u)))
     st = tr.agg(F.min("_tp").alias("lo"), F.max("_tp").alias("hi"), F.count(F.lit(1)).alias("n")).first()
     span = max(st["hi"] - st["lo"], 1e-12)
     w = span * min(1.0, target / max(st["n"], 1))
@@ -73,7 +74,7 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
 
     # round 1: own bucket and both neighbours
     first = top_k(queries.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_qp") / w) + d for d in (-1, 0, 1)]))))
-    first = first.checkpoint(eager=True)
+    first = checkpointed(first)
     stat = first.groupBy("_q").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("kth"))
     sure = stat.filter((F.col("c") >= need) & (F.col("kth") < w)).select("_q")
     done = first.join(sure, "_q", "left_semi")

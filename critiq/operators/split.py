@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.scoring import det_uniform
+from ..session import checkpointed
 
 
 def group_label_counts(df: DataFrame, group: str, labels: str):
@@ -22,8 +23,8 @@ def group_label_counts(df: DataFrame, group: str, labels: str):
     is checkpointed to the shared checkpoint folder: the rows are scanned
     once."""
     cells = F.concat(F.array(F.lit(None).cast("string")), F.array_distinct(labels))
-    cnt = (df.select(group, F.explode(cells).alias("label"))
-           .groupBy(group, "label").agg(F.count(F.lit(1)).alias("n"))).checkpoint(eager=True)
+    cnt = checkpointed(df.select(group, F.explode(cells).alias("label"))
+                       .groupBy(group, "label").agg(F.count(F.lit(1)).alias("n")))
     rows = cnt.filter(F.col("label").isNull()).select(group, F.col("n").alias("n_rows"))
     lab = cnt.filter(F.col("label").isNotNull()).select(group, "label", F.col("n").alias("n_lab"))
     return rows, lab

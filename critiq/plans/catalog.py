@@ -27,6 +27,7 @@ from ..operators import tagging
 from ..operators.backend import BackendFactory, model_map
 from ..sources import dimensions as dims
 from ..sources import io as sio
+from ..session import checkpointed
 from . import bindings
 from . import sqlgen as q
 from .tables import table
@@ -762,7 +763,7 @@ def classifier_holdout(spark, sf_dir):
     vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
     # J1; checkpointed (shared checkpoint folder) so the split's subqueries
     # and every per-label fit start from the materialized rows
-    data = ds.join(vec, "doc_id", "left").checkpoint(eager=True)
+    data = checkpointed(ds.join(vec, "doc_id", "left"))
     sides = spl.stratified_group_split(data, "issues", "source", 0.1, 1000, 42)
     train, test = spl.split_sides(data, sides, "source")
     train = mdl.standardize(train, "features", out="x")
@@ -770,7 +771,7 @@ def classifier_holdout(spark, sf_dir):
                            out="x")
     vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
              .orderBy("issue").collect()]          # bounded label vocabulary
-    train, test = train.checkpoint(eager=True), test.checkpoint(eager=True)
+    train, test = checkpointed(train), checkpointed(test)
 
     def fit(name):   # models are independent: their fits are submitted concurrently
         cells = mdl.binary_relevance(train, test, "doc_id", "x", "issues", vocab, mdl.CLASSIFIERS[name])
@@ -889,9 +890,9 @@ def classifier_cv(spark, sf_dir):
     ds = _issue_dataset(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
-    data = ds.join(vec, "doc_id", "left").checkpoint(eager=True)
+    data = checkpointed(ds.join(vec, "doc_id", "left"))
     folds = spl.stratified_group_kfold(data, "issues", "source", 5, 100, 42).select("source", "fold")
-    withf = data.join(folds, "source").checkpoint(eager=True)
+    withf = checkpointed(data.join(folds, "source"))
     vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
              .orderBy("issue").collect()]          # bounded label vocabulary
     res = mdl.cross_validate(withf, "doc_id", "features", "issues", "fold", vocab,

@@ -8,7 +8,7 @@ from __future__ import annotations
 import os
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings the engine relies on; every one is a public Spark option.
 DEFAULT_CONF = {
@@ -49,3 +49,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(d)
     return d
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Reliable, eager checkpoint of ``df`` into the session's checkpoint
+    folder (``spark.checkpoint.dir``; a scratch folder only when unset).
+    Cuts the lineage and survives executor loss; never ``localCheckpoint``."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
