@@ -153,14 +153,20 @@ def question_array(questions: DataFrame) -> Column:
     return questions.select(checked.alias("qs")).scalar()
 
 
-def rules_vote_completion(segment, q) -> Column:
-    """Rules backend for M6: answers in the formats a model produces."""
+def segment_vote_features(segment) -> Column:
+    """Per-segment inputs of the rules vote backend, computed once per row."""
     s = col_of(segment)
-    ls = F.lower(s)
-    return (F.when(ls.contains(q["keyword"]), F.lit("[[Yes]]"))
-            .when(s.contains("!"), F.lit("I cannot tell"))
-            .when(F.length(s) < 300, F.lit("[[Other]]"))
-            .when(F.length(s) % 2 == 0, F.lit("NO"))
+    return F.struct(F.lower(s).alias("_low"), s.contains("!").alias("_bang"), F.length(s).alias("_n"))
+
+
+def rules_vote_completion(seg, q) -> Column:
+    """Rules backend for M6: answers in the formats a model produces.
+    ``seg`` is the struct of ``segment_vote_features``."""
+    n = seg["_n"]
+    return (F.when(seg["_low"].contains(q["keyword"]), F.lit("[[Yes]]"))
+            .when(seg["_bang"], F.lit("I cannot tell"))
+            .when(n < 300, F.lit("[[Other]]"))
+            .when(n % 2 == 0, F.lit("NO"))
             .otherwise(F.lit("[[No]]")))
 
 
@@ -171,14 +177,17 @@ def vote_vectors(segments: DataFrame, key: str, seg_col: str, questions: DataFra
     padded per row and flattened.
 
     The nesting is built in one pass over the question array, so each vote is
-    computed once (a computed column referenced inside a lambda of a later
-    projection would be inlined and recomputed per element)."""
-    segments = segments.select(key, seg_col, question_array(questions).alias("_qs"))
-    qs = F.col("_qs")
+    computed once.  The per-segment inputs (lower-cased text, flags) sit
+    behind a one-row generator: a column computed in a projection and read
+    inside a lambda of the next one would otherwise be inlined into the lambda
+    and recomputed for every question."""
+    segments = segments.select(key, question_array(questions).alias("_qs"),
+                               F.inline(F.array(F.struct(segment_vote_features(seg_col).alias("_sf")))))
+    qs, sf = F.col("_qs"), F.col("_sf")
     issue_ids = F.array_distinct(F.transform(qs, lambda q: q["issue_idx"]))
     nested = F.transform(issue_ids, lambda i: F.transform(
         F.filter(qs, lambda q: (q["issue_idx"] == i) & q["question"].isNotNull()),
-        lambda q: vote_code(rules_vote_completion(F.col(seg_col), q), mode)))
+        lambda q: vote_code(rules_vote_completion(sf, q), mode)))
     return (segments.select(key, nested.alias("feature_vectors"))
             .withColumn("features", pad_flatten("feature_vectors")))
 
