@@ -163,10 +163,12 @@ def binary_relevance(train: DataFrame, test: DataFrame, key: str, features: str,
     """G4 + G6: fit one binary model per label of ``vocab`` on ``train`` and
     predict ``test``.  Returns long cells (key, label, y_true, y_pred, score);
     a label constant in training predicts that constant."""
-    tr = train.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels).cache()
-    te = test.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels).cache()
+    # both sides are materialized once (checkpoint: on the shared folder, so
+    # nothing is pinned in executor memory and a lost executor costs nothing)
+    # before the concurrent fits share them
+    tr = checkpointed(train.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels))
+    te = checkpointed(test.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels))
     n = tr.count()
-    te.count()   # materialize both sides before the concurrent fits share them
     width = tr.select(F.size(vector_to_array("features")).alias("d")).first()["d"] if n else 0
 
     def one(label):
