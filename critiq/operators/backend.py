@@ -43,7 +43,7 @@ def _resolve(backend) -> Backend:
 
 def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
               keys: Optional[Sequence[str]] = None, dedupe: bool = True, seed: Optional[str] = None,
-              keep_prompt: bool = True) -> DataFrame:
+              keep_prompt: bool = True, materialize: bool = True) -> DataFrame:
     """M0: add ``out`` = backend(prompt) to every row.
 
     With ``dedupe`` each distinct prompt is sent once (duplicate segments ask
@@ -55,17 +55,24 @@ def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
     into Python.  With ``seed`` (an integer column, e.g. the candidate id)
     the backend is called as ``fn(prompts, seeds)`` so a sampling model draws
     different candidates for the same prompt; de-duplication is then on
-    (prompt, seed)."""
+    (prompt, seed).
+
+    With ``materialize`` (default) the completions are checkpointed as soon
+    as they exist: model calls are the expensive step, and a sampling model
+    may answer differently when a lost partition is recomputed, so they are
+    made once and read back from the shared checkpoint folder afterwards."""
+    from ..session import checkpointed
+    keep = checkpointed if materialize else (lambda d: d)
     if dedupe:
         jk = ["_h"] + ([seed] if seed else [])
         keyed = df.withColumn("_h", F.sha2(F.col(prompt), 256))
         distinct = (keyed.filter(F.col(prompt).isNotNull())
                     .select(*jk, prompt).dropDuplicates(jk))
-        done = _map_prompts(distinct, prompt, backend, out, seed).select(*jk, out)
+        done = keep(_map_prompts(distinct, prompt, backend, out, seed).select(*jk, out))
         rows = keyed if keep_prompt else keyed.drop(prompt)
         return rows.join(done, jk, "left").drop("_h")
     cols = list(keys or []) + [prompt] + ([seed] if seed else [])
-    return _map_prompts(df.select(*cols), prompt, backend, out, seed)
+    return keep(_map_prompts(df.select(*cols), prompt, backend, out, seed))
 
 
 def _map_prompts(df: DataFrame, prompt: str, backend, out: str, seed: Optional[str] = None) -> DataFrame:
