@@ -33,6 +33,7 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8,
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     ensure_checkpoint_dir(spark)
+    ship_package(spark)
     return spark
 
 
@@ -57,3 +58,30 @@ def checkpointed(df: DataFrame) -> DataFrame:
     Cuts the lineage and survives executor loss; never ``localCheckpoint``."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+_SHIPPED: set = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``critiq`` importable in the Python workers: the package is
+    zipped once and added with ``SparkContext.addPyFile`` (Spark ships it to
+    every executor).  Needed for the steps that run Python (model map, dict
+    literal fallback, numpy blocks) when the workers do not already have the
+    package on their path."""
+    import zipfile
+
+    sc = spark.sparkContext
+    ident = sc.applicationId
+    if ident in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    out = os.path.join(tempfile.mkdtemp(prefix="critiq-pkg-"), "critiq.zip")
+    with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    sc.addPyFile(out)
+    _SHIPPED.add(ident)
