@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import (bracket_items, col_of, has_bracket_list, normalize_label,
-                              pad_flatten, parse_labels, strip, tokens, vote_code)
+                              pad_flatten, parse_labels, strip, vote_code)
 from ..sources.dimensions import GENERIC_REASON
 
 # a question table larger than this is not a dimension any more
