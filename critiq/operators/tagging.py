@@ -172,8 +172,69 @@ BIO_STATES = ["", *fixed.BIO_TAGS]
 SECTION_STATES = ["", *fixed.SECTION_NAMES]
 
 
+def _identity(st: Column) -> Column:
+    return F.transform(st, lambda e: F.struct(e.alias("prev"), F.lit(0).alias("seg")))
+
+
+def _compose(a: Column, b: Column, st: Column) -> Column:
+    """Summary of "a then b": for every entry state, follow a's exit into b."""
+    def via(x):
+        y = F.element_at(b, F.array_position(st, x["prev"]).cast("int"))
+        return F.struct(y["prev"].alias("prev"), (x["seg"] + y["seg"]).alias("seg"))
+    return F.transform(a, via)
+
+
+def _chain_entries(summ: DataFrame, key: str, idx: str, chains: dict, limit: int, level: int = 0) -> DataFrame:
+    """Entry state and segment offset of every item of a review, given the
+    items' summaries (``_s_{chain}``: for each possible entry state, the exit
+    state and the number of openers).  At most ``limit`` items are chained in
+    one group: longer reviews are cut into groups of ``limit`` whose composed
+    summaries are chained recursively first.  Returns (key, idx, _st_{chain})."""
+    names = list(chains)
+    lits = {n: F.array(*[F.lit(x) for x in chains[n]]) for n in names}
+    biggest = summ.groupBy(key).count().agg(F.max("count")).first()[0] or 0
+    out_t = "array<struct<i:bigint,prev:string,seg:int>>"
+
+    def chain_from(items: Column, n: str, prev0: Column, seg0: Column) -> Column:
+        st = lits[n]
+
+        def merge(acc, c):
+            here = F.element_at(c[f"_s_{n}"], F.array_position(st, acc["prev"]).cast("int"))
+            return F.struct(here["prev"].alias("prev"), (acc["seg"] + here["seg"]).alias("seg"),
+                            F.concat(acc["out"], F.array(F.struct(c["_i"].cast("bigint").alias("i"),
+                                                                  acc["prev"].alias("prev"), acc["seg"].alias("seg"))))
+                            .alias("out"))
+        init = F.struct(prev0.alias("prev"), seg0.cast("int").alias("seg"), F.array().cast(out_t).alias("out"))
+        return F.aggregate(items, init, merge, lambda a: a["out"])
+
+    def expand(df: DataFrame) -> DataFrame:
+        first = names[0]
+        ex = df.select(key, F.posexplode(f"_o_{first}").alias("_p", "_x"), *[f"_o_{n}" for n in names])
+        return ex.select(key, F.col("_x.i").alias(idx),
+                         *[F.struct(F.col(f"_o_{n}")[F.col("_p")]["prev"].alias("prev"),
+                                    F.col(f"_o_{n}")[F.col("_p")]["seg"].alias("seg")).alias(f"_st_{n}") for n in names])
+
+    items = F.struct(F.col(idx).alias("_i"), *[F.col(f"_s_{n}") for n in names])
+    if biggest <= limit:
+        per = summ.groupBy(key).agg(F.array_sort(F.collect_list(items)).alias("_c"))
+        per = per.select(key, *[chain_from(F.col("_c"), n, F.lit(""), F.lit(0)).alias(f"_o_{n}") for n in names])
+        return expand(per)
+    sup = f"_sup{level}"
+    grouped = (summ.withColumn(sup, F.floor(F.col(idx) / limit))
+               .groupBy(key, sup).agg(F.array_sort(F.collect_list(items)).alias("_g")))
+    def composer(n):
+        return lambda acc, x: _compose(acc, x[f"_s_{n}"], lits[n])
+    composed = grouped.select(key, F.col(sup).alias(idx), *[
+        F.aggregate(F.col("_g"), _identity(lits[n]), composer(n)).alias(f"_s_{n}") for n in names])
+    upper = _chain_entries(composed, key, idx, chains, limit, level + 1).withColumnRenamed(idx, sup)
+    j = grouped.join(upper, [key, sup])
+    j = j.select(key, *[chain_from(F.col("_g"), n, F.col(f"_st_{n}.prev"), F.col(f"_st_{n}.seg")).alias(f"_o_{n}")
+                        for n in names])
+    return expand(j)
+
+
 def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_rows: int = 1024,
-                 keep_items: bool = False) -> DataFrame:
+                 keep_items: bool = False, chain_limit: int = 100_000) -> DataFrame:
     """W1 for reviews stored one row per sentence, without gathering a whole
     review into one task.
 
@@ -195,25 +256,7 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
     summ = chunks.select(key, "_chunk", *[
         F.transform(F.array(*[F.lit(st) for st in states]), summarize(step)).alias(f"_s_{name}")
         for name, (step, states) in chains.items()])
-    per_review = summ.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("_chunk", *[f"_s_{n}" for n in chains]))).alias("_c"))
-    entries = per_review
-    def chainer(name, st):
-        def merge(acc, c):
-            here = F.element_at(c[f"_s_{name}"], F.array_position(st, acc["prev"]).cast("int"))
-            return F.struct(here["prev"].alias("prev"), (acc["seg"] + here["seg"]).alias("seg"),
-                            F.concat(acc["out"], F.array(F.struct(c["_chunk"].cast("bigint").alias("chunk"),
-                                                                  acc["prev"].alias("prev"), acc["seg"].alias("seg"))))
-                            .alias("out"))
-        return merge
-
-    for name, (step, states) in chains.items():
-        st = F.array(*[F.lit(x) for x in states])
-        init = F.struct(F.lit("").alias("prev"), F.lit(0).alias("seg"),
-                        F.array().cast("array<struct<chunk:bigint,prev:string,seg:int>>").alias("out"))
-        entries = entries.withColumn(f"_e_{name}", F.aggregate("_c", init, chainer(name, st), lambda a: a["out"]))
-    starts = entries.select(key, F.posexplode(f"_e_{next(iter(chains))}").alias("_i", "_x"), *[f"_e_{n}" for n in chains])
-    starts = starts.select(key, F.col("_x.chunk").alias("_chunk"), *[
-        F.col(f"_e_{n}")[F.col("_i")].alias(f"_st_{n}") for n in chains])
+    starts = _chain_entries(summ, key, "_chunk", {n: states for n, (_, states) in chains.items()}, chain_limit)
     joined = chunks.join(starts, [key, "_chunk"])
     out = joined.select(key, "_r", *[fold_tags(items, step, F.col(f"_st_{n}.prev"), F.col(f"_st_{n}.seg")).alias(f"_t_{n}")
                                      for n, (step, _) in chains.items()])
@@ -227,14 +270,15 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
 
 def tag_review_rows(rows: DataFrame, key: str, pos: str, sentence: str,
                     bio_step: Step = rules_bio_step,
-                    section_step: Step = rules_section_step, chunk_rows: int = 1024) -> DataFrame:
+                    section_step: Step = rules_section_step, chunk_rows: int = 1024,
+                    chain_limit: int = 100_000) -> DataFrame:
     """M3 + M4 (chained) per review -> (key, pos, section_pred, bio_pred,
     seg_id).  Skipped rows must be filtered out before (rule B5: the context is
     the last *processed* row).  A review is never gathered whole: see
     ``chunked_scan``."""
     f = rows.select(key, pos, sentence_features(sentence).alias("_f"))
     t = chunked_scan(f, key, pos, "_f", {"bio": (bio_step, BIO_STATES), "section": (section_step, SECTION_STATES)},
-                     chunk_rows)
+                     chunk_rows, chain_limit=chain_limit)
     return t.select(key, pos, F.col("section_tag").alias("section_pred"), F.col("bio_tag").alias("bio_pred"),
                     F.col("bio_seg").alias("seg_id"))
 

@@ -54,10 +54,11 @@ def test_chunked_scan_equals_whole_fold(spark):
     df = spark.createDataFrame(rows, "rid int, pos int, text string")
     whole = {(r["rid"], r["pos"]): (r["bio_pred"], r["section_pred"], r["seg_id"])
              for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=10 ** 9).collect()}
-    for k in (3, 7, 16):
+    for k, limit in ((3, 100_000), (7, 100_000), (16, 100_000), (2, 2), (3, 3)):
+        # a small limit forces the recursive chaining of chunk summaries
         chunked = {(r["rid"], r["pos"]): (r["bio_pred"], r["section_pred"], r["seg_id"])
-                   for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=k).collect()}
-        assert chunked == whole, k
+                   for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=k, chain_limit=limit).collect()}
+        assert chunked == whole, (k, limit)
     # and the whole fold equals the in-row document fold
     docs = {}
     for rid, p, t in sorted(rows):
