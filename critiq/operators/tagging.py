@@ -243,7 +243,9 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
       1. rows are cut into chunks of ``chunk_rows`` positions; each chunk is
          folded once per possible entry state (exit state + opener count);
       2. per review, only those small chunk summaries are chained in order to
-         find every chunk's real entry state and segment offset;
+         find every chunk's real entry state and segment offset (above
+         ``chain_limit`` chunks they are composed in groups and chained
+         recursively, see ``_chain_entries``);
       3. each chunk is folded once more from its entry state, emitting tags.
     ``chains`` maps an output prefix to (step, states); the result has
     ``{prefix}_tag`` and ``{prefix}_seg`` per row."""
