@@ -8,10 +8,16 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from critiq.llm import linededup, mixing, simhash
+from critiq.llm import decontam, langid, linededup, mixing, simhash
 from critiq.llm.common import load, prepare, shared_table
 
 
+def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Texts in no language go."""
+    prepare(spark)
+    return langid.identified(docs)
+
+
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages; documents of which nothing is left go."""
     prepare(spark)
@@ -25,6 +31,12 @@ def dedup_near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return simhash.keep_one(docs).select(*docs.columns)
 
 
+def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark item go."""
+    prepare(spark)
+    return decontam.decontaminate(docs, load(spark, sf_dir, "benchmark"))
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the mix takes it (column ``copy``)."""
     prepare(spark)
@@ -32,8 +44,10 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [
+    ("language ID", identify_language),
     ("line dedup", dedup_lines),
     ("near dedup", dedup_near),
+    ("decontamination", decontaminate),
     ("mixing", mix_sources),
 ]
 
