@@ -124,15 +124,15 @@ def _without_udf():
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` (all its columns) with the later copies of repeated passages cut
     out of ``text``, and n_lines, n_removed (long; columns of these names are replaced)."""
-    found = covered(docs).withColumnRenamed("n_lines", "__n")
+    found = covered(docs).withColumnsRenamed({"n_lines": "__n", "removed": "__removed"})
     named = docs.withColumn("__hash", text_hash(F.col("text")))
     out = named.join(found, same_row(named, found), "left")
-    hit = F.size("removed") > 0
-    cut = _without_udf()(F.when(hit, F.col("text")), F.when(hit, F.col("removed")))
+    hit = F.size("__removed") > 0
+    cut = _without_udf()(F.when(hit, F.col("text")), F.when(hit, F.col("__removed")))
     return (out.withColumn("__cut", cut)
             .withColumn("text", F.when(hit, F.col("__cut")).otherwise(F.col("text")))
             .withColumn("n_lines", F.coalesce("__n", F.lit(0).cast("long")))
-            .withColumn("n_removed", F.when(hit, F.size("removed")).otherwise(0).cast("long"))
+            .withColumn("n_removed", F.when(hit, F.size("__removed")).otherwise(0).cast("long"))
             .select(*[F.col(c) for c in docs.columns if c not in ("n_lines", "n_removed")], "n_lines", "n_removed"))
 
 
