@@ -210,7 +210,8 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, max_bits: int = MAX
                     group_limit: int = GROUP_LIMIT) -> DataFrame:
     """One row per document: (doc_id, fp long, component_id long)."""
     fps = shared_table(fingerprints(docs, shingle), "fps")
-    classes = _classes(fps, max_bits, group_limit).withColumnRenamed("fp", "cfp")
+    # As a table of its own the join's both sides are plain shuffles, so a hot fingerprint can be split.
+    classes = shared_table(_classes(fps, max_bits, group_limit).withColumnRenamed("fp", "cfp"), "classes")
     return fps.join(classes, fps["fp"] == classes["cfp"]).select("doc_id", "fp", "component_id")
 
 
