@@ -73,11 +73,10 @@ def render(name_or_template: str, **cols) -> Column:
     return F.concat(*parts)
 
 
-def context_line(prev, label: str = "Previous label") -> Column:
-    """Context line of the chained prompts, omitted when there is no previous
-    output."""
-    p = col_of(prev)
-    return F.when(p.isNull() | (p == ""), F.lit("")).otherwise(F.concat(F.lit(label + ": "), p, F.lit("\n")))
+def fill(name: str, **values: str) -> str:
+    """``render`` for one Python string (inside a model's task): the template is
+    split once, so a placeholder inside a value is never filled (rule B25)."""
+    return _PH.sub(lambda m: values[m.group(1)], PROMPTS[name])
 
 
 def chat(prompt, system: str | None = None) -> Column:

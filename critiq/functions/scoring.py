@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .. import fixed
-from .text import col_of, tokens, sentence_marks
+from .text import SPACE, col_of, tokens, sentence_marks
 
 __all__ = [
     "length_score", "template_adherence", "reading_ease", "forbidden_penalty",
@@ -46,7 +46,7 @@ def syllables(text) -> Column:
     start) and its possessive run never backtracks, and the two alternatives
     can never match the same characters."""
     s = F.lower(col_of(text))
-    return F.regexp_count(s, F.lit(r"[aeiouy]+|(?:^|\s)[^aeiouy\s]++(?=\s|$)"))
+    return F.regexp_count(s, F.lit(rf"[aeiouy]+|(?:^|[{SPACE}])[^aeiouy{SPACE}]++(?=[{SPACE}]|\z)"))
 
 
 def reading_ease(text) -> Column:

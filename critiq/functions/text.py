@@ -13,11 +13,16 @@ __all__ = [
     "clean_gold", "validate_section", "validate_bio", "tokens", "sentence_marks",
     "split_sentences", "vote_code", "bracket_items", "has_bracket_list",
     "judge_feedback", "judge_score", "score_int", "safe_name", "pad_flatten",
-    "multi_hot", "first_part", "SENTENCE_SPLIT",
+    "multi_hot", "first_part", "SENTENCE_SPLIT", "SPACE",
 ]
 
+# The characters Python's ``str.split()`` and ``str.strip()`` take
+# as whitespace, as the inside of a regex character class (Java's ``\\s`` is ASCII
+# only, and its Unicode form lacks four separators)
+SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+
 # sentence boundary: whitespace that follows a sentence mark
-SENTENCE_SPLIT = r"(?<=[.!?])\s+"
+SENTENCE_SPLIT = rf"(?<=[.!?])[{SPACE}]+"
 
 
 def col_of(c) -> Column:
@@ -27,7 +32,7 @@ def col_of(c) -> Column:
 def strip(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace on both ends (Spark ``trim``
     removes spaces only)."""
-    return F.regexp_replace(col_of(c), r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(col_of(c), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def normalize_label(c) -> Column:
@@ -35,10 +40,10 @@ def normalize_label(c) -> Column:
     (with any non-word characters before it), drop slashes, strip trailing
     ``;``/``,`` and whitespace."""
     s = strip(c)
-    s = F.regexp_replace(s, "^['\"`]+|['\"`]+$", "")
+    s = F.regexp_replace(s, r"^['\"`]+|['\"`]+\z", "")
     s = F.regexp_replace(s, r"(?U)^[\s\W]*H\d+\.\s*", "")
     s = F.regexp_replace(s, r"[\\/]", "")
-    s = F.regexp_replace(s, "[;,]+$", "")
+    s = F.regexp_replace(s, r"[;,]+\z", "")
     return strip(s)
 
 
@@ -102,7 +107,7 @@ def validate_bio(c) -> Column:
 
 def tokens(c) -> Column:
     """whitespace tokens (Python ``str.split()``)."""
-    return F.array_remove(F.split(col_of(c), r"\s+"), "")
+    return F.array_remove(F.split(col_of(c), f"[{SPACE}]+"), "")
 
 
 def sentence_marks(c) -> Column:

@@ -12,6 +12,7 @@ into Python; results are joined back on the key.
 """
 from __future__ import annotations
 
+import uuid
 from typing import Callable, Iterator, List, Optional, Sequence
 
 import pandas as pd
@@ -25,15 +26,16 @@ _CACHE: dict = {}
 
 class BackendFactory:
     """Wraps a zero-argument constructor so the backend is built once per
-    worker process (cached by ``name``)."""
+    worker process.  The cache is keyed by a token of this factory, not by its
+    name: two factories may share a name."""
 
     def __init__(self, name: str, make: Callable[[], Backend]):
-        self.name, self.make = name, make
+        self.name, self.make, self.token = name, make, uuid.uuid4().hex
 
     def get(self) -> Backend:
-        fn = _CACHE.get(self.name)
+        fn = _CACHE.get(self.token)
         if fn is None:
-            fn = _CACHE[self.name] = self.make()
+            fn = _CACHE[self.token] = self.make()
         return fn
 
 

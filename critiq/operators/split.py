@@ -67,7 +67,12 @@ def stratified_group_split(df: DataFrame, labels: str, group: str, test_size: fl
     # a literal (one count over the checkpointed aggregate), so that
     # ``row_number() <= n_test`` is planned as a window group limit: every task
     # keeps only its first n_test groups per trial before the shuffle
-    n_test = max(1, int(rows.count() * test_size))
+    n_groups = rows.count()
+    if n_groups < 2:
+        raise ValueError(f"a group split needs at least 2 groups, got {n_groups} (rule B18)")
+    n_test = max(1, int(n_groups * test_size))
+    if n_test >= n_groups:
+        raise ValueError(f"test_size {test_size} leaves no group for training")
     trials = (rows.select(group).withColumn("trial", F.explode(F.sequence(F.lit(0), F.lit(n_trials - 1))))
               .withColumn("u", det_uniform(F.lit(seed), F.col("trial"), F.col(group))))
     w = Window.partitionBy("trial").orderBy("u", group)

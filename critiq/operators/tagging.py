@@ -318,7 +318,7 @@ def tag_reviews_with_model(rows: DataFrame, key: str, pos: str, sentence: str, r
     same rule as the native path, applied in the task before the next prompt
     is built.  Returns (key, pos, section_pred, bio_pred)."""
     import pandas as pd
-    from ..functions.prompts import PROMPTS
+    from ..functions.prompts import fill
     from .backend import BackendFactory
 
     sec_names, sec_default = list(fixed.SECTION_NAMES), fixed.SECTION_DEFAULT
@@ -332,12 +332,6 @@ def tag_reviews_with_model(rows: DataFrame, key: str, pos: str, sentence: str, r
         x = x.strip()
         return x if x in fixed.BIO_TAGS else fixed.BIO_DEFAULT
 
-    def fill(name, **kv):
-        out = PROMPTS[name]
-        for k, v in kv.items():   # values never contain placeholders of later keys: filled left to right
-            out = out.replace("{" + k + "}", v)
-        return out
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         fn = backend.get() if isinstance(backend, BackendFactory) else backend
         pdf = pdf.sort_values(pos)

@@ -6,6 +6,7 @@ never parses or runs them.
 from __future__ import annotations
 
 from .. import fixed
+from ..functions.text import SPACE
 
 
 def lit(s: str) -> str:
@@ -13,11 +14,11 @@ def lit(s: str) -> str:
 
 
 def strip(x: str) -> str:
-    return f"regexp_replace({x}, '^\\s+|\\s+$', '', 'g')"
+    return f"regexp_replace({x}, '^[{SPACE}]+|[{SPACE}]+$', '', 'g')"
 
 
 def tokens(x: str) -> str:
-    return f"list_filter(string_split_regex({x}, '\\s+'), lambda w: w <> '')"
+    return f"list_filter(string_split_regex({x}, '[{SPACE}]+'), lambda w: w <> '')"
 
 
 def marks(x: str) -> str:
@@ -25,7 +26,7 @@ def marks(x: str) -> str:
 
 
 def sentences(x: str) -> str:
-    return f"string_split(regexp_replace({x}, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))"
+    return f"string_split(regexp_replace({x}, '([.!?])[{SPACE}]+', '\\1' || chr(1), 'g'), chr(1))"
 
 
 def length_score(x: str) -> str:

@@ -16,8 +16,9 @@ from pyspark.sql import types as T
 
 from ..functions.text import col_of, safe_name
 
-# values a pandas TSV read treats as missing; Spark's CSV reader knows one
-NULL_TOKENS = ["", "NA", "N/A", "NaN", "nan", "null", "NULL", "None", "<NA>", "n/a", "#N/A", "-NaN", "-nan"]
+# What a pandas TSV read treats as missing (Spark's CSV reader knows one)
+NULL_TOKENS = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>",
+               "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 
 REVIEW_SENTENCES = T.StructType([
     T.StructField("ID", T.StringType()), T.StructField("Review", T.StringType()),
