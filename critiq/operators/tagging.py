@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.text import (col_of, sentence_marks, split_sentences, tokens, validate_bio,
+from ..functions.text import (col_of, split_sentences, tokens, validate_bio,
                               validate_section)
 
 Step = Callable[[Column, Column], Column]
@@ -33,6 +33,38 @@ def is_opener(tag: Column, prev: Column) -> Column:
     return (tag == "B") | ((tag == "I") & (prev.isNull() | prev.isin("", "O")))
 
 
+# items of one slice of a fold
+SLICE = 64
+
+
+def _slices(items) -> Column:
+    """An array cut into slices of ``SLICE`` items (empty: no slice)."""
+    n = F.size(col_of(items))
+    starts = F.when(n > 0, F.sequence(F.lit(0), n - 1, F.lit(SLICE))).otherwise(F.array().cast("array<int>"))
+    return F.transform(starts, lambda i: F.slice(col_of(items), i + 1, F.lit(SLICE)))
+
+
+def _fold_two_levels(items, init: Column, merge, empty: Column) -> Column:
+    """Fold with one output per item, each slice into a short array of its own:
+    an array that grows by one item at a time is copied at every step, so the
+    outputs of slices are appended whole and flattened once.
+
+    ``merge(acc, x)`` -> (state fields, output); ``init`` is a struct of the
+    state fields; ``empty`` an empty array of outputs."""
+    state = init.alias("state")
+
+    def outer(acc, part):
+        start = F.struct(acc["state"].alias("state"), empty.alias("out"))
+        def inner(a, x):
+            st, out = merge(a["state"], x)
+            return F.struct(st.alias("state"), F.concat(a["out"], F.array(out)).alias("out"))
+        return F.aggregate(part, start, inner, lambda a: F.struct(
+            a["state"].alias("state"), F.concat(acc["out"], F.array(a["out"])).alias("out")))
+
+    return F.aggregate(_slices(items), F.struct(state, F.array(empty).alias("out")), outer,
+                       lambda acc: F.flatten(acc["out"]))
+
+
 def fold_tags(items, step: Step, init_prev=None, init_seg=None) -> Column:
     """W1+W2: ordered fold of ``step(prev_tag, item) -> tag`` over an array.
 
@@ -42,16 +74,13 @@ def fold_tags(items, step: Step, init_prev=None, init_seg=None) -> Column:
     fold mid-review (chunked scan)."""
     p0 = F.lit("") if init_prev is None else col_of(init_prev)
     s0 = F.lit(0) if init_seg is None else col_of(init_seg).cast("int")
-    init = F.struct(p0.alias("prev"), s0.alias("seg"), F.array().cast(TAGGED).alias("out"))
 
-    def merge(acc, x):
-        tag = step(acc["prev"], x)
-        seg = acc["seg"] + is_opener(tag, acc["prev"]).cast("int")
-        return F.struct(tag.alias("prev"), seg.alias("seg"),
-                        F.concat(acc["out"], F.array(F.struct(tag.alias("tag"), seg.alias("seg"))))
-                        .alias("out"))
+    def merge(st, x):
+        tag = step(st["prev"], x)
+        seg = st["seg"] + is_opener(tag, st["prev"]).cast("int")
+        return F.struct(tag.alias("prev"), seg.alias("seg")), F.struct(tag.alias("tag"), seg.alias("seg"))
 
-    return F.aggregate(col_of(items), init, merge, lambda acc: acc["out"])
+    return _fold_two_levels(items, F.struct(p0.alias("prev"), s0.alias("seg")), merge, F.array().cast(TAGGED))
 
 
 def fold_summary(items, step: Step, entry) -> Column:
@@ -110,36 +139,19 @@ def rules_section_step(prev: Column, x: Column) -> Column:
 
 # --- documents: in-row tagging ----------------------------------------------------
 
-# documents with more sentences than this go through the chunked scan: the
-# in-row fold copies its growing output array at every step (quadratic in the
-# document's sentence count), the scan is linear
-INROW_MAX_SENTENCES = 4096
-
-
 def tag_document_sentences(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                           step: Step = rules_bio_step, states=None,
-                           inrow_max: int = INROW_MAX_SENTENCES) -> DataFrame:
+                           step: Step = rules_bio_step) -> DataFrame:
     """Split each text into sentences and tag them with the chained tagger;
     one output row per sentence: (key, pos, sentence, tag, seg_id).
 
-    Ordinary documents are folded inside their own row (map-only: no shuffle,
-    no grouping).  A document with more than ``inrow_max`` sentences is
-    exploded and tagged by ``chunked_scan``, so even one enormous document is
-    spread over many tasks with linear work."""
-    states = states or BIO_STATES
-    # route on a cheap upper bound of the sentence count (a split needs a mark)
-    bound = sentence_marks(text) + 1
+    Every document is folded inside its own row: one scan, no shuffle, no
+    grouping; the fold's work is linear in the sentences (``_fold_two_levels``)."""
     feats = F.transform(split_sentences(text), sentence_features)
-    small = docs.filter(bound <= inrow_max).select(key, feats.alias("f"))
-    small = small.select(key, "f", fold_tags("f", step).alias("t"))
-    small = small.select(key, F.posexplode(F.arrays_zip(F.col("f"), F.col("t"))).alias("pos", "z")).select(
+    rows = docs.select(key, feats.alias("f"))
+    rows = rows.select(key, "f", fold_tags("f", step).alias("t"))
+    return rows.select(key, F.posexplode(F.arrays_zip(F.col("f"), F.col("t"))).alias("pos", "z")).select(
         key, "pos", F.col("z.f.text").alias("sentence"), F.col("z.t.tag").alias("tag"),
         F.col("z.t.seg").alias("seg_id"))
-    rows = docs.filter(bound > inrow_max).select(key, F.posexplode(feats).alias("pos", "_f"))
-    big = chunked_scan(rows, key, "pos", "_f", {"bio": (step, states)}, keep_items=True)
-    big = big.select(key, "pos", F.col("_item.text").alias("sentence"), F.col("bio_tag").alias("tag"),
-                     F.col("bio_seg").alias("seg_id"))
-    return small.unionByName(big)
 
 
 def segments_from_tags(tagged: DataFrame, key: str, pos: str = "pos", seg: str = "seg_id",
@@ -172,69 +184,34 @@ BIO_STATES = ["", *fixed.BIO_TAGS]
 SECTION_STATES = ["", *fixed.SECTION_NAMES]
 
 
-def _identity(st: Column) -> Column:
-    return F.transform(st, lambda e: F.struct(e.alias("prev"), F.lit(0).alias("seg")))
-
-
-def _compose(a: Column, b: Column, st: Column) -> Column:
-    """Summary of "a then b": for every entry state, follow a's exit into b."""
-    def via(x):
-        y = F.element_at(b, F.array_position(st, x["prev"]).cast("int"))
-        return F.struct(y["prev"].alias("prev"), (x["seg"] + y["seg"]).alias("seg"))
-    return F.transform(a, via)
-
-
-def _chain_entries(summ: DataFrame, key: str, idx: str, chains: dict, limit: int, level: int = 0) -> DataFrame:
-    """Entry state and segment offset of every item of a review, given the
-    items' summaries (``_s_{chain}``: for each possible entry state, the exit
-    state and the number of openers).  At most ``limit`` items are chained in
-    one group: longer reviews are cut into groups of ``limit`` whose composed
-    summaries are chained recursively first.  Returns (key, idx, _st_{chain})."""
+def _chain_entries(summ: DataFrame, key: str, idx: str, chains: dict) -> DataFrame:
+    """Entry state and segment offset of every chunk of a review, given the
+    chunks' summaries (``_s_{chain}``: for each possible entry state, the exit
+    state and the number of openers).  One short row per chunk of 1,024
+    sentences is chained per review, in linear work.  Returns (key, idx,
+    _st_{chain})."""
     names = list(chains)
-    lits = {n: F.array(*[F.lit(x) for x in chains[n]]) for n in names}
-    biggest = summ.groupBy(key).count().agg(F.max("count")).first()[0] or 0
     out_t = "array<struct<i:bigint,prev:string,seg:int>>"
 
-    def chain_from(items: Column, n: str, prev0: Column, seg0: Column) -> Column:
-        st = lits[n]
-
-        def merge(acc, c):
-            here = F.element_at(c[f"_s_{n}"], F.array_position(st, acc["prev"]).cast("int"))
-            return F.struct(here["prev"].alias("prev"), (acc["seg"] + here["seg"]).alias("seg"),
-                            F.concat(acc["out"], F.array(F.struct(c["_i"].cast("bigint").alias("i"),
-                                                                  acc["prev"].alias("prev"), acc["seg"].alias("seg"))))
-                            .alias("out"))
-        init = F.struct(prev0.alias("prev"), seg0.cast("int").alias("seg"), F.array().cast(out_t).alias("out"))
-        return F.aggregate(items, init, merge, lambda a: a["out"])
-
-    def expand(df: DataFrame) -> DataFrame:
-        first = names[0]
-        ex = df.select(key, F.posexplode(f"_o_{first}").alias("_p", "_x"), *[f"_o_{n}" for n in names])
-        return ex.select(key, F.col("_x.i").alias(idx),
-                         *[F.struct(F.col(f"_o_{n}")[F.col("_p")]["prev"].alias("prev"),
-                                    F.col(f"_o_{n}")[F.col("_p")]["seg"].alias("seg")).alias(f"_st_{n}") for n in names])
+    def chain_from(n: str) -> Column:
+        states = F.array(*[F.lit(x) for x in chains[n]])
+
+        def merge(st, c):
+            here = F.element_at(c[f"_s_{n}"], F.array_position(states, st["prev"]).cast("int"))
+            return (F.struct(here["prev"].alias("prev"), (st["seg"] + here["seg"]).alias("seg")),
+                    F.struct(c["_i"].cast("bigint").alias("i"), st["prev"].alias("prev"), st["seg"].alias("seg")))
+        init = F.struct(F.lit("").alias("prev"), F.lit(0).alias("seg"))
+        return _fold_two_levels("_c", init, merge, F.array().cast(out_t))
 
     items = F.struct(F.col(idx).alias("_i"), *[F.col(f"_s_{n}") for n in names])
-    if biggest <= limit:
-        per = summ.groupBy(key).agg(F.array_sort(F.collect_list(items)).alias("_c"))
-        per = per.select(key, *[chain_from(F.col("_c"), n, F.lit(""), F.lit(0)).alias(f"_o_{n}") for n in names])
-        return expand(per)
-    sup = f"_sup{level}"
-    grouped = (summ.withColumn(sup, F.floor(F.col(idx) / limit))
-               .groupBy(key, sup).agg(F.array_sort(F.collect_list(items)).alias("_g")))
-    def composer(n):
-        return lambda acc, x: _compose(acc, x[f"_s_{n}"], lits[n])
-    composed = grouped.select(key, F.col(sup).alias(idx), *[
-        F.aggregate(F.col("_g"), _identity(lits[n]), composer(n)).alias(f"_s_{n}") for n in names])
-    upper = _chain_entries(composed, key, idx, chains, limit, level + 1).withColumnRenamed(idx, sup)
-    j = grouped.join(upper, [key, sup])
-    j = j.select(key, *[chain_from(F.col("_g"), n, F.col(f"_st_{n}.prev"), F.col(f"_st_{n}.seg")).alias(f"_o_{n}")
-                        for n in names])
-    return expand(j)
-
-
-def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_rows: int = 1024,
-                 keep_items: bool = False, chain_limit: int = 100_000) -> DataFrame:
+    per = summ.groupBy(key).agg(F.array_sort(F.collect_list(items)).alias("_c"))
+    per = per.select(key, *[chain_from(n).alias(f"_o_{n}") for n in names])
+    ex = per.select(key, F.inline(F.arrays_zip(*[f"_o_{n}" for n in names])))
+    return ex.select(key, F.col(f"_o_{names[0]}.i").alias(idx), *[
+        F.struct(F.col(f"_o_{n}.prev").alias("prev"), F.col(f"_o_{n}.seg").alias("seg")).alias(f"_st_{n}") for n in names])
+
+
+def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_rows: int = 1024) -> DataFrame:
     """W1 for reviews stored one row per sentence, without gathering a whole
     review into one task.
 
@@ -243,9 +220,7 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
       1. rows are cut into chunks of ``chunk_rows`` positions; each chunk is
          folded once per possible entry state (exit state + opener count);
       2. per review, only those small chunk summaries are chained in order to
-         find every chunk's real entry state and segment offset (above
-         ``chain_limit`` chunks they are composed in groups and chained
-         recursively, see ``_chain_entries``);
+         find every chunk's real entry state and segment offset;
       3. each chunk is folded once more from its entry state, emitting tags.
     ``chains`` maps an output prefix to (step, states); the result has
     ``{prefix}_tag`` and ``{prefix}_seg`` per row."""
@@ -258,13 +233,13 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
     summ = chunks.select(key, "_chunk", *[
         F.transform(F.array(*[F.lit(st) for st in states]), summarize(step)).alias(f"_s_{name}")
         for name, (step, states) in chains.items()])
-    starts = _chain_entries(summ, key, "_chunk", {n: states for n, (_, states) in chains.items()}, chain_limit)
+    starts = _chain_entries(summ, key, "_chunk", {n: states for n, (_, states) in chains.items()})
     joined = chunks.join(starts, [key, "_chunk"])
     out = joined.select(key, "_r", *[fold_tags(items, step, F.col(f"_st_{n}.prev"), F.col(f"_st_{n}.seg")).alias(f"_t_{n}")
                                      for n, (step, _) in chains.items()])
     z = F.arrays_zip("_r", *[f"_t_{n}" for n in chains])
     ex = out.select(key, F.inline(z))
-    cols = [F.col("_r.p").alias(pos)] + ([F.col("_r.f").alias("_item")] if keep_items else [])
+    cols = [F.col("_r.p").alias(pos)]
     for n in chains:
         cols += [F.col(f"_t_{n}.tag").alias(f"{n}_tag"), F.col(f"_t_{n}.seg").alias(f"{n}_seg")]
     return ex.select(key, *cols)
@@ -272,15 +247,14 @@ def chunked_scan(rows: DataFrame, key: str, pos: str, feats: str, chains, chunk_
 
 def tag_review_rows(rows: DataFrame, key: str, pos: str, sentence: str,
                     bio_step: Step = rules_bio_step,
-                    section_step: Step = rules_section_step, chunk_rows: int = 1024,
-                    chain_limit: int = 100_000) -> DataFrame:
+                    section_step: Step = rules_section_step, chunk_rows: int = 1024) -> DataFrame:
     """M3 + M4 (chained) per review -> (key, pos, section_pred, bio_pred,
     seg_id).  Skipped rows must be filtered out before (rule B5: the context is
     the last *processed* row).  A review is never gathered whole: see
     ``chunked_scan``."""
     f = rows.select(key, pos, sentence_features(sentence).alias("_f"))
     t = chunked_scan(f, key, pos, "_f", {"bio": (bio_step, BIO_STATES), "section": (section_step, SECTION_STATES)},
-                     chunk_rows, chain_limit=chain_limit)
+                     chunk_rows)
     return t.select(key, pos, F.col("section_tag").alias("section_pred"), F.col("bio_tag").alias("bio_pred"),
                     F.col("bio_seg").alias("seg_id"))
 

@@ -54,11 +54,10 @@ def test_chunked_scan_equals_whole_fold(spark):
     df = spark.createDataFrame(rows, "rid int, pos int, text string")
     whole = {(r["rid"], r["pos"]): (r["bio_pred"], r["section_pred"], r["seg_id"])
              for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=10 ** 9).collect()}
-    for k, limit in ((3, 100_000), (7, 100_000), (16, 100_000), (2, 2), (3, 3)):
-        # a small limit forces the recursive chaining of chunk summaries
+    for k in (1, 3, 7, 16):
         chunked = {(r["rid"], r["pos"]): (r["bio_pred"], r["section_pred"], r["seg_id"])
-                   for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=k, chain_limit=limit).collect()}
-        assert chunked == whole, (k, limit)
+                   for r in tagging.tag_review_rows(df, "rid", "pos", "text", chunk_rows=k).collect()}
+        assert chunked == whole, k
     # and the whole fold equals the in-row document fold
     docs = {}
     for rid, p, t in sorted(rows):
@@ -120,11 +119,14 @@ def test_model_taggers_match_native(spark):
     assert ind_model == ind_native
 
 
-def test_document_big_path_equals_inrow(spark):
-    text = " ".join(f"Sentence number {i} has {'many words here' * (i % 3)} end{'!' if i % 4 == 0 else '.'}"
-                    for i in range(60))
-    d = spark.createDataFrame([(1, text), (2, "Short one. Two words here. x.")], "doc_id int, text string")
+def test_long_document_equals_review_rows(spark):
+    """More sentences than one slice of the fold, and exactly one slice."""
+    say = lambda i: f"Sentence number {i} has {'many words here' * (i % 3)} end{'!' if i % 4 == 0 else '.'}"
+    texts = [(1, " ".join(map(say, range(300)))), (2, "Short one. Two words here. x."),
+             (3, " ".join(map(say, range(tagging.SLICE)))), (4, ""), (5, None)]
+    d = spark.createDataFrame(texts, "doc_id int, text string")
     a = {(r["doc_id"], r["pos"]): (r["tag"], r["seg_id"], r["sentence"]) for r in tagging.tag_document_sentences(d).collect()}
-    b = {(r["doc_id"], r["pos"]): (r["tag"], r["seg_id"], r["sentence"])
-         for r in tagging.tag_document_sentences(d, inrow_max=5).collect()}
-    assert a == b and len(a) == 63
+    rows = spark.createDataFrame([(i, p, s) for (i, p), (_, _, s) in a.items()], "doc_id int, pos int, sentence string")
+    b = {(r["doc_id"], r["pos"]): (r["bio_pred"], r["seg_id"])
+         for r in tagging.tag_review_rows(rows, "doc_id", "pos", "sentence", chunk_rows=5).collect()}
+    assert {k: v[:2] for k, v in a.items()} == b and len(a) == 300 + 3 + tagging.SLICE + 1
