@@ -33,7 +33,7 @@ PROMPTS: Dict[str, str] = {
         "Answer [[Yes]], [[No]], or [[Other]] when the question does not apply. Nothing else."),
     "plan": (
         "Segment: {segment}\nIssue: {issue}\nSummary: {summary}\nStrengths: {strengths}\n"
-        "Template: {template}\nSay which knowledge (summary, abstract, template) the feedback "
+        "Context the template asks for: {context}\nTemplate: {template}\nSay which knowledge (summary, abstract, template) the feedback "
         "should use and why, as keys knowledge_source and justification."),
     "candidate": (
         "Write constructive feedback on this review segment.\nSegment: {segment}\n"
@@ -52,11 +52,28 @@ PROMPTS: Dict[str, str] = {
         "Template: {template}\nFeedback:"),
     "refine": "Make the feedback clearer and closer to the template.\nTemplate: {template}\nFeedback: {feedback}\nRefined:",
     "judge": (
-        "Rate the feedback on {dimension} from 1 to 5. Write your reasoning, then "
-        "'[RESULT] <score>'.\nWeakness: {weakness}\nFeedback: {feedback}\n"),
+        "Criterion: {dimension}. {question}\nScore 1: {s1}\nScore 2: {s2}\nScore 3: {s3}\nScore 4: {s4}\n"
+        "Score 5: {s5}\nWrite your reasoning, then '[RESULT] <score>'.\nWeakness: {weakness}\nFeedback: {feedback}\n"),
 }
 
-_PH = re.compile(r"\{([a-z_]+)\}")
+# the judge's rubrics, per dimension: what is asked, then what each score stands for
+RUBRICS: Dict[str, tuple] = {
+    "Conciseness": ("How little does the feedback waste the reviewer's time?",
+                    "rambling, most of it could go", "long, with much repetition", "some passages could be cut",
+                    "short, a few spare words", "every sentence is needed"),
+    "Relevance": ("Does the feedback speak about this very segment?",
+                  "about something else", "touches the segment by chance", "on the topic, but generic",
+                  "about the segment, with minor asides", "about the segment and its issue throughout"),
+    "Constructiveness": ("Does the feedback tell the reviewer what to do?",
+                         "only criticises", "hints at a change", "names a change, not how to make it",
+                         "names changes that can be made", "gives clear steps in a friendly tone"),
+    "Specificity": ("Does the feedback point at concrete places and facts?",
+                    "could be said of any review", "mentions the topic only", "names one concrete point",
+                    "names several concrete points", "quotes the segment and says exactly what is missing"),
+}
+JUDGE_SYSTEM = "You are a careful assistant who rates feedback on peer reviews by the criterion you are given, and by it alone."
+
+_PH = re.compile(r"\{([a-z_0-9]+)\}")
 
 
 def render(name_or_template: str, **cols) -> Column:

@@ -10,7 +10,7 @@ from .text import SPACE, col_of, tokens, sentence_marks
 
 __all__ = [
     "length_score", "template_adherence", "reading_ease", "forbidden_penalty",
-    "fitness", "word_count", "syllables", "det_uniform", "gumbel", "sample_prf", "round6",
+    "fitness", "let", "scored", "best_first", "word_count", "syllables", "det_uniform", "gumbel", "sample_prf", "round6",
 ]
 
 
@@ -23,12 +23,18 @@ def length_score(text) -> Column:
     return F.least(sentence_marks(text), F.lit(fixed.MAX_SENTENCES)) / F.lit(float(fixed.MAX_SENTENCES))
 
 
-def template_adherence(text, template) -> Column:
+def let(value, use) -> Column:
+    """``use(value)`` with ``value`` computed once: a lambda variable is never
+    inlined into the expressions that read it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
+def template_adherence(text, template, toks=None, ttoks=None) -> Column:
     """distinct shared tokens / distinct template tokens (at least 1)."""
-    t = F.array_distinct(tokens(template))
+    t = F.array_distinct(tokens(template)) if ttoks is None else ttoks
     # the hash set is built from the second argument: keep the small template
     # set there and stream the (long) text tokens through it
-    return F.size(F.array_intersect(tokens(text), t)) / F.greatest(F.size(t), F.lit(1))
+    return F.size(F.array_intersect(tokens(text) if toks is None else toks, t)) / F.greatest(F.size(t), F.lit(1))
 
 
 def word_count(text) -> Column:
@@ -37,7 +43,7 @@ def word_count(text) -> Column:
     return F.size(tokens(text))
 
 
-def syllables(text) -> Column:
+def syllables(text, low=None) -> Column:
     """Sum over words of max(1, runs of vowels incl. y).
 
     Vowel runs never cross whitespace, so this is the number of vowel runs in
@@ -45,45 +51,65 @@ def syllables(text) -> Column:
     regex pass: the second alternative starts only at whitespace (or the text
     start) and its possessive run never backtracks, and the two alternatives
     can never match the same characters."""
-    s = F.lower(col_of(text))
+    s = F.lower(col_of(text)) if low is None else low
     return F.regexp_count(s, F.lit(rf"[aeiouy]+|(?:^|[{SPACE}])[^aeiouy{SPACE}]++(?=[{SPACE}]|\z)"))
 
 
-def reading_ease(text) -> Column:
+def reading_ease(text, toks=None, low=None) -> Column:
     """F16: Flesch reading ease, 206.835 - 1.015 w/s - 84.6 syl/w; empty -> 0."""
-    n_words = word_count(text)
+    n_words = word_count(text) if toks is None else F.size(toks)
     n_sent = F.greatest(sentence_marks(text), F.lit(1))
     return F.when(n_words == 0, F.lit(0.0)).otherwise(
         F.lit(fixed.FLESCH_BASE)
         - F.lit(fixed.FLESCH_WPS) * (n_words / n_sent)
-        - F.lit(fixed.FLESCH_SPW) * (syllables(text) / n_words))
+        - F.lit(fixed.FLESCH_SPW) * (syllables(text, low) / n_words))
 
 
-def forbidden_penalty(text, word_bounded: bool = False) -> Column:
+def forbidden_penalty(text, word_bounded: bool = False, toks=None, low=None) -> Column:
     """occurrences of the forbidden terms / max(#words, 1).
 
     Default counts substrings (so "hi" is found in "this", rule B20); with
     ``word_bounded`` only whole words count."""
-    s = F.lower(col_of(text))
+    s = F.lower(col_of(text)) if low is None else low
     total = F.lit(0).cast("long")
     for t in fixed.FORBIDDEN_TERMS:
         if word_bounded:
             total = total + F.regexp_count(s, F.lit(r"\b" + t + r"\b"))
         else:
             total = total + F.floor((F.length(s) - F.length(F.replace(s, F.lit(t), F.lit("")))) / len(t))
-    return total / F.greatest(word_count(text), F.lit(1))
+    return total / F.greatest(word_count(text) if toks is None else F.size(toks), F.lit(1))
 
 
 def fitness(text, template, length_sign: int = 1, read_scale: float = 1.0,
-            word_bounded: bool = False) -> Column:
+            word_bounded: bool = False, toks=None, ttoks=None, low=None) -> Column:
     """length_sign*length + adherence + read_scale*reading - penalty.
 
     The evolutionary search uses ``length_sign=-1``, the baselines ``+1``
-    (rule B20); ``read_scale=1`` is the literal raw reading ease."""
+    (rule B20); ``read_scale=1`` is the literal raw reading ease.  ``toks``,
+    ``ttoks`` and ``low`` are the text's tokens, the template's distinct
+    tokens and the lower-cased text where they are known already."""
     return (F.lit(float(length_sign)) * length_score(text)
-            + template_adherence(text, template)
-            + F.lit(float(read_scale)) * reading_ease(text)
-            - forbidden_penalty(text, word_bounded))
+            + template_adherence(text, template, toks, ttoks)
+            + F.lit(float(read_scale)) * reading_ease(text, toks, low)
+            - forbidden_penalty(text, word_bounded, toks, low))
+
+
+def scored(cands, ttoks, length_sign: int = 1, fields=("cand_id",)) -> Column:
+    """F18 inside the row: array<struct<fields..., text>> -> the same structs
+    with ``fitness`` before ``text``; ``ttoks`` are the template's distinct tokens."""
+    def one(c):
+        return let(F.struct(tokens(c["text"]).alias("tk"), F.lower(c["text"]).alias("low")), lambda p: F.struct(
+            *[c[f].alias(f) for f in fields],
+            fitness(c["text"], None, length_sign, toks=p["tk"], ttoks=ttoks, low=p["low"]).alias("fitness"),
+            c["text"].alias("text")))
+    return F.transform(cands, one)
+
+
+def best_first(cands) -> Column:
+    """W3 inside the row: the struct of highest fitness; ties -> lowest
+    candidate id (``np.argmax``)."""
+    return F.array_max(F.transform(cands, lambda c: F.struct(
+        F.round(c["fitness"], 9).alias("r"), (-c["cand_id"]).alias("o"), c.alias("c"))))["c"]
 
 
 def det_uniform(*parts) -> Column:

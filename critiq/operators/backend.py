@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 Backend = Callable[[List[str]], List[str]]
 
 _CACHE: dict = {}
+# prompts in one call of a backend (list_map, sample_map)
+BATCH = 256
 
 
 class BackendFactory:
@@ -92,3 +94,59 @@ def _map_prompts(df: DataFrame, prompt: str, backend, out: str, seed: Optional[s
             yield pdf
 
     return df.mapInPandas(run, schema)
+
+
+def list_map(df: DataFrame, text: str, items: str, backend, out: str, prompt: Callable) -> DataFrame:
+    """M0 for several prompts about one text: ``out`` = the completions of
+    ``prompt(text, item)`` for every entry of the array column ``items``, in order.
+
+    The distinct (text, items) cross into Python once, keyed by SHA-256; the
+    prompts exist only inside the worker, which sends them in batches of
+    ``BATCH``.  Completions are checkpointed as in ``model_map``."""
+    from ..session import checkpointed
+    keyed = df.withColumn("_h", F.sha2(F.to_json(F.struct(text, items)), 256))
+    distinct = keyed.select("_h", F.col(text).alias("_text"), F.col(items).alias("_items")).dropDuplicates(["_h"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = _resolve(backend)
+        for pdf in batches:
+            lists = [[] if x is None else list(x) for x in pdf["_items"]]
+            prompts = [prompt(t, i) for t, x in zip(pdf["_text"], lists) for i in x]
+            answers: list = []
+            for k in range(0, len(prompts), BATCH):
+                answers += fn(prompts[k:k + BATCH])
+            if len(answers) != len(prompts):
+                raise ValueError(f"backend returned {len(answers)} completions for {len(prompts)} prompts")
+            ends = [0]
+            for x in lists:
+                ends.append(ends[-1] + len(x))
+            yield pd.DataFrame({"_h": pdf["_h"], out: [answers[a:b] for a, b in zip(ends, ends[1:])]})
+
+    done = checkpointed(distinct.mapInPandas(run, f"_h string, {out} array<string>"))
+    return keyed.join(done, "_h", "left").drop("_h")
+
+
+def sample_map(df: DataFrame, prompt: str, n: int, backend, out: str) -> DataFrame:
+    """M0 for a sampling model: ``out`` = array of ``n`` completions of the prompt,
+    drawn with seeds 0 .. n-1 (``fn(prompts, seeds)``).  A distinct prompt is
+    shuffled and crosses into Python once, whatever ``n``."""
+    from ..session import checkpointed
+    keyed = df.withColumn("_h", F.sha2(F.col(prompt), 256))
+    distinct = keyed.select("_h", F.col(prompt).alias("_p")).dropDuplicates(["_h"])
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = _resolve(backend)
+        for pdf in batches:
+            texts = pdf["_p"].fillna("").astype(str).tolist()
+            flat: list = []
+            per = max(1, BATCH // max(n, 1))
+            for k in range(0, len(texts), per):
+                part = texts[k:k + per]
+                got = fn([t for t in part for _ in range(n)], list(range(n)) * len(part))
+                if len(got) != n * len(part):
+                    raise ValueError(f"backend returned {len(got)} completions for {n * len(part)} prompts")
+                flat += got
+            yield pd.DataFrame({"_h": pdf["_h"], out: [flat[k * n:(k + 1) * n] for k in range(len(texts))]})
+
+    done = checkpointed(distinct.mapInPandas(run, f"_h string, {out} array<string>"))
+    return keyed.drop(prompt).join(done, "_h", "left").drop("_h")

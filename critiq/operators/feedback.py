@@ -1,14 +1,14 @@
-"""Feedback generation and selection.
+"""Feedback generation and selection
+with the native ``template`` backend.
 
-Candidates are rows ``(pair keys..., cand_id, text)``; scoring is the native
-fitness column, selection is an aggregation (W3) or a seeded Gumbel top-k
-window (W4) partitioned by the pair, so every segment is processed at once
-and no candidate list ever sits in one task or on the driver.
+A pair (segment, issue) is one row, and its candidates are an array in that
+row (at most a few dozen): building, scoring (F18), selecting (W3, W4),
+crossing over and appending (U1) are expressions on that array, so no
+candidate text is ever shuffled, sorted or checkpointed.
 
-The ``template`` backend is a deterministic generator used for tests and the
-oracle: it fills the template placeholder with the segment (F21) and varies
-the wording by candidate id.  A model backend replaces these functions with
-``critiq.operators.backend.model_map`` over the rendered prompts.
+The ``template`` backend is a deterministic generator: it fills the template
+placeholder with the segment (F21) and varies the wording by candidate id.
+The same operators over a user's model are in ``operators.generate``.
 """
 from __future__ import annotations
 
@@ -18,9 +18,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..session import checkpointed
-from ..functions.scoring import fitness, gumbel
-from ..functions.text import col_of, split_sentences
+from ..functions.scoring import best_first, gumbel, let, scored
+from ..functions.text import col_of, split_sentences, tokens
 
 # our own wording: openings and closings the template backend varies over
 OPENINGS = ["", "Hello reviewer. "]
@@ -68,16 +67,21 @@ def template_refine(text, step) -> Column:
 
 def template_crossover(parents) -> Column:
     """M10 with the template backend: the best parent plus the last sentence
-    of the second (parents sorted by rank)."""
-    p = col_of(parents)
-    second = F.when(F.size(p) > 1, F.element_at(split_sentences(p[1]["text"]), -1)).otherwise(F.lit(""))
-    return F.concat_ws(" ", p[0]["text"], second)
+    of every other one (parents sorted by rank)."""
+    p = col_of(parents) if isinstance(parents, str) else parents
+    rest = F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))),
+                       lambda x: F.element_at(split_sentences(x["text"]), -1))
+    return F.array_join(F.concat(F.array(p[0]["text"]), rest), " ")
 
 
-def expand_candidates(pairs: DataFrame, n: int, base: str = "base") -> DataFrame:
-    """``n`` candidates per pair (explode of a sequence; map-only)."""
-    return (pairs.withColumn("cand_id", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-            .withColumn("text", template_candidate(F.col(base), F.col("cand_id"))))
+def candidates(n: int, base: str = "base") -> Column:
+    """``n`` candidates of a pair as array<struct<cand_id, text>>."""
+    return F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: F.struct(
+        c.alias("cand_id"), template_candidate(F.col(base), c).alias("text")))
+
+
+def _template_tokens(template: str) -> Column:
+    return F.array_distinct(tokens(template))
 
 
 def argmax_first(cands: DataFrame, keys: Sequence[str], score: str = "fitness",
@@ -103,90 +107,85 @@ def boltzmann_parents(pop: DataFrame, keys: Sequence[str], n_parents: int, tau:
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= n_parents).drop("_key"))
 
 
+def parents_in_row(pop, keys: Sequence[str], n_parents: int, tau: float, seed: int, generation: int) -> Column:
+    """W4 inside the row (see ``boltzmann_parents``): the first ``n_parents`` by
+    f/tau + Gumbel noise, as array<struct<cand_id, text>>."""
+    def keyed(c):
+        g = gumbel(F.lit(seed), *[F.col(k) for k in keys], F.lit(generation), c["cand_id"])
+        return F.struct((-(F.round(c["fitness"], 9) / F.lit(tau) + g)).alias("k"), c["cand_id"].alias("cand_id"),
+                        c["text"].alias("text"))
+    return F.slice(F.sort_array(F.transform(pop, keyed)), 1, n_parents)
+
+
 def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
            n_candidates: int = fixed.N_CANDIDATES, n_generations: int = fixed.N_GENERATIONS,
-           n_parents: int = fixed.N_PARENTS, tau: float = fixed.TAU, seed: int = fixed.SEED,
-           checkpoint: bool = True) -> DataFrame:
+           n_parents: int = fixed.N_PARENTS, tau: float = fixed.TAU, seed: int = fixed.SEED) -> DataFrame:
     """Initial population, then per generation select parents (W4),
     cross over (M10) and append the child (U1); the best candidate at the end
-    (W3).  All pairs advance together.
-
-    Fitness (GA sign: minus length score) is computed once per candidate and
-    carried.  With ``checkpoint`` the initial population and every child
-    generation are checkpointed once, to the shared checkpoint folder, and
-    each generation's population is the union of those parts: no generation
-    recomputes an earlier one (the lineage would otherwise double per
-    generation), nothing is rewritten, and a lost executor costs one step."""
-    keep = [*keys, template]
-    score = lambda df: df.withColumn("fitness", fitness("text", template, -1))
-    cut = checkpointed if checkpoint else (lambda df: df)
-    parts = [cut(score(expand_candidates(pairs.select(*keep, base), n_candidates, base)
-                       .select(*keep, "cand_id", "text")))]
-
-    def population():
-        pop = parts[0]
-        for p in parts[1:]:
-            pop = pop.unionByName(p)
-        return pop
-
-    for gen in range(n_generations):
-        parents = boltzmann_parents(population(), keys, n_parents, tau, seed, gen)
-        child = score(parents.groupBy(*keep)
-                      .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_p"))
-                      .select(*keep, F.lit(n_candidates + gen).alias("cand_id"),
-                              template_crossover("_p").alias("text")))
-        parts.append(cut(child) if gen + 1 < n_generations else child)
-    return argmax_first(population(), keys)
+    (W3).  The population (``n_candidates`` + ``n_generations`` items at most) is
+    an array of the pair's row from beginning to end: map-only."""
+    def generation(tt, g):
+        def grown(pop):        # one parameter only: a second would be the array's index
+            def child(ps):
+                made = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), template_crossover(ps).alias("text")))
+                return F.concat(pop, scored(made, tt, -1))
+            return let(parents_in_row(pop, keys, n_parents, tau, seed, g), child)
+        return grown
+
+    def run(tt):
+        pop = scored(candidates(n_candidates, base), tt, -1)
+        for g in range(n_generations):
+            pop = let(pop, generation(tt, g))
+        return best_first(pop)
+
+    return pairs.select(*keys, let(_template_tokens(template), run).alias("_b")).select(*keys, "_b.*")
 
 
 def best_of_n(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
               n: int = fixed.BON_N, n_gen: int = fixed.BON_GEN) -> DataFrame:
     """N * n_gen candidates, best by baseline fitness (+ length)."""
-    c = expand_candidates(pairs.select(*keys, template, base), n * n_gen, base)
-    return argmax_first(c.withColumn("fitness", fitness("text", template, 1)), keys)
+    return _only(pairs, keys, "BoN", template, base, n, n_gen)
 
 
 def self_refine(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
                 n: int = fixed.BON_N, n_gen: int = fixed.BON_GEN) -> DataFrame:
     """N drafts, each refined n_gen times in sequence, best by fitness."""
-    d = expand_candidates(pairs.select(*keys, template, base), n, base)
-    for step in range(n_gen):
-        d = d.withColumn("text", template_refine(F.col("text"), F.col("cand_id") + step))
-    return argmax_first(d.withColumn("fitness", fitness("text", template, 1)), keys)
-
-
-def baseline_candidates(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
-                        segment: str = "segment", issue: str = "issue", knowledge: str = "knowledge",
-                        strategies: Sequence[str] = fixed.BASELINES, n: int = fixed.BON_N,
-                        n_gen: int = fixed.BON_GEN) -> DataFrame:
-    """M12-M17 with the template backend in one plan: every candidate of every
-    chosen strategy is built in-row and exploded once, so the pairs are read
-    once and scored in one projection; ``select_baselines`` then keeps the
-    best candidate per (pair, strategy)."""
+    return _only(pairs, keys, "Self-Ref.", template, base, n, n_gen)
+
+
+def _only(pairs, keys, strategy, template, base, n, n_gen):
+    return baselines(pairs, keys, template, base, strategies=[strategy], n=n, n_gen=n_gen).drop("strategy")
+
+
+def baselines(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
+              segment: str = "segment", issue: str = "issue", knowledge: str = "knowledge",
+              strategies: Sequence[str] = fixed.BASELINES, n: int = fixed.BON_N,
+              n_gen: int = fixed.BON_GEN) -> DataFrame:
+    """For every chosen strategy its candidates, F18 (baseline sign)
+    and W3, all inside the pair's row -> (keys..., strategy, cand_id, fitness,
+    text), one row per strategy (U2)."""
     b = F.col(base)
-    def cand(name, c, text):
-        return F.struct(F.lit(name).alias("strategy"), c.cast("int").alias("cand_id"), text.alias("text"))
-    parts = []
-    if "1-pass" in strategies:
-        parts.append(F.array(cand("1-pass", F.lit(0), template_one_pass(segment, issue))))
-    if "Temp" in strategies:
-        parts.append(F.array(cand("Temp", F.lit(0), template_candidate(b, F.lit(0)))))
-    if "Plan" in strategies:
-        parts.append(F.array(cand("Plan", F.lit(0), F.concat_ws(" ", template_plan(issue, knowledge), b))))
-    if "BoN" in strategies:
-        parts.append(F.transform(F.sequence(F.lit(0), F.lit(n * n_gen - 1)),
-                                 lambda c: cand("BoN", c, template_candidate(b, c))))
-    if "Self-Ref." in strategies:
-        def refined(c):
-            t = template_candidate(b, c)
-            for step in range(n_gen):
-                t = template_refine(t, c + step)
-            return t
-        parts.append(F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: cand("Self-Ref.", c, refined(c))))
-    return pairs.select(*keys, template, F.inline(F.concat(*parts)))
-
-
-def select_baselines(cands: DataFrame, keys: Sequence[str], template: str = "template") -> DataFrame:
-    """F18 (baseline sign) + W3 per (pair, strategy)."""
-    scored = cands.withColumn("fitness", fitness("text", template, 1))
-    return argmax_first(scored, [*keys, "strategy"])
+
+    def cand(c, text):
+        return F.struct(c.cast("int").alias("cand_id"), text.alias("text"))
+
+    def refined(c):
+        t = template_candidate(b, c)
+        for step in range(n_gen):
+            t = template_refine(t, c + step)
+        return t
+
+    made = {
+        "1-pass": lambda: F.array(cand(F.lit(0), template_one_pass(segment, issue))),
+        "Temp": lambda: F.array(cand(F.lit(0), template_candidate(b, F.lit(0)))),
+        "Plan": lambda: F.array(cand(F.lit(0), F.concat_ws(" ", template_plan(issue, knowledge), b))),
+        "BoN": lambda: candidates(n * n_gen, base),
+        "Self-Ref.": lambda: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: cand(c, refined(c))),
+    }
+
+    def best(name, tt):
+        return let(best_first(scored(made[name](), tt, 1)), lambda x: F.struct(
+            F.lit(name).alias("strategy"), x["cand_id"].alias("cand_id"), x["fitness"].alias("fitness"), x["text"].alias("text")))
+
+    chosen = let(_template_tokens(template), lambda tt: F.array(*[best(s, tt) for s in made if s in strategies]))
+    return pairs.select(*keys, F.inline(chosen))

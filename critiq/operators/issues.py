@@ -1,10 +1,10 @@
 """Issue labels, grouping, questions and votes (A1-A3, J1-J4, M5-M7, F8, F9,
 F19, F20, P6-P8, P13).
 
-Question sets are a dimension bounded by construction (issues x questions, a
-few hundred rows).  They are attached to segment rows as one array value
-through a scalar subquery whose size is checked, so asking every question of
-every segment is a per-row ``transform`` (no join, no shuffle).
+Question sets are cut into blocks of ``BLOCK_ISSUES`` issues; every block is
+attached to the segment rows as one array value through a scalar subquery, so
+asking every question of every segment is a per-row ``transform`` (no join, no
+shuffle) at any number of questions.
 """
 from __future__ import annotations
 
@@ -13,11 +13,13 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.text import (bracket_items, col_of, has_bracket_list, normalize_label,
-                              pad_flatten, parse_labels, strip, vote_code)
+                              pad_flatten, parse_labels, strip, tokens, vote_code)
 from ..sources.dimensions import GENERIC_REASON
 
-# a question table larger than this is not a dimension any more
-MAX_QUESTIONS = 10_000
+# issues whose questions make up one array value
+BLOCK_ISSUES = 200
+# questions mined per issue
+N_QUESTIONS = 10
 
 
 def short_segment(seg) -> Column:
@@ -34,9 +36,23 @@ def label_rows(df: DataFrame, key: str, issues_col: str, seg_col: str,
                          .otherwise(parsed))
 
 
-def explode_labels(df: DataFrame, key: str) -> DataFrame:
-    """(key, label_idx, issue) long form, label order kept."""
-    return df.select(key, F.posexplode("issues").alias("label_idx", "issue"))
+def explode_labels(df: DataFrame, key: str, carry=()) -> DataFrame:
+    """(key, carried columns..., label_idx, issue) long form, label order kept."""
+    return df.select(key, *carry, F.posexplode("issues").alias("label_idx", "issue"))
+
+
+def issue_segments(labeled: DataFrame, key: str, seg_col: str) -> DataFrame:
+    """A1 in full: (issue, pos, key, segment), the segments of every issue in
+    order of the key.  ``pos`` is counted in two steps, so a hot issue is cut into
+    buckets of the key and never ranked in one task."""
+    rows = explode_labels(labeled, key, [seg_col]).filter(F.col("issue") != "")
+    rows = rows.withColumn("_b", F.floor(F.col(key) / 10_000))
+    before = Window.partitionBy("issue").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
+    start = (rows.groupBy("issue", "_b").agg(F.count(F.lit(1)).alias("_n"))
+             .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
+    own = F.row_number().over(Window.partitionBy("issue", "_b").orderBy(key))
+    return (rows.withColumn("_own", own).join(start, ["issue", "_b"])
+            .select("issue", (F.col("_start") + F.col("_own") - 1).alias("pos"), key, F.col(seg_col).alias("segment")))
 
 
 def group_by_issue(labeled: DataFrame, key: str) -> DataFrame:
@@ -54,26 +70,22 @@ def supported(groups: DataFrame, min_support: int = fixed.MIN_SUPPORT,
     return groups.filter(F.col(count_col) > min_support)
 
 
-def top_segments(labeled: DataFrame, key: str, k: int = fixed.TOP_SEGMENTS_PER_ISSUE) -> DataFrame:
+def top_segments(labeled: DataFrame, key: str, k: int = fixed.TOP_SEGMENTS_PER_ISSUE, carry=()) -> DataFrame:
     """A2: the first k segments (by position) of each issue.  ``row_number <=
     k`` is planned as a window group limit, so each task keeps k rows per
     issue before the shuffle."""
     w = Window.partitionBy("issue").orderBy(key)
-    return (explode_labels(labeled, key).filter(F.col("issue") != "")
+    return (explode_labels(labeled, key, carry).filter(F.col("issue") != "")
             .withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k))
 
 
-# an issue vocabulary larger than this is not a label taxonomy any more
-MAX_ISSUES = 10_000
-
-
-def issue_list(issues: DataFrame, col: str = "issue") -> Column:
-    """The (bounded) issue vocabulary as one array value (scalar subquery),
-    failing loudly beyond ``MAX_ISSUES``; used by P7's ``arrays_overlap``."""
-    arr = F.collect_list(col)
-    checked = F.when(F.size(arr) <= MAX_ISSUES, arr).otherwise(
-        F.raise_error(F.lit(f"issue vocabulary exceeds {MAX_ISSUES} labels")))
-    return issues.select(checked).scalar()
+def with_supported_issue(labeled: DataFrame, issues: DataFrame, key: str, carry=()) -> DataFrame:
+    """Rows with at least one of ``issues`` (column issue), as (key, carried
+    columns..., issues); a semi join on the exploded labels, whatever the size
+    of the vocabulary."""
+    cols = [key, *carry, "issues"]
+    long = labeled.select(*cols, F.explode("issues").alias("issue")).join(issues.select("issue"), "issue", "left_semi")
+    return long.select(*cols).dropDuplicates([key])
 
 
 def template_key_norm(c) -> Column:
@@ -94,21 +106,51 @@ def attach_templates(issues: DataFrame, templates: DataFrame) -> DataFrame:
     return issues.join(F.broadcast(t), "issue", "left")
 
 
+def missing_templates(issues: DataFrame, templates: DataFrame) -> DataFrame:
+    """The issues that no template's cleaned key matches."""
+    t = templates.select(template_key_norm("template_key").alias("issue"))
+    return issues.join(F.broadcast(t), "issue", "left_anti")
+
+
 # --- question mining (M5): rules backend + parse (F9) --------------------------------
 
+def frequent_words(segments: DataFrame, issue: str = "issue", text: str = "text", k: int = N_QUESTIONS - 1) -> DataFrame:
+    """(issue, keywords): the ``k`` words that occur most often in the whole
+    texts of an issue's selected segments (ties: code point order)."""
+    words = segments.select(issue, F.explode(tokens(F.lower(col_of(text)))).alias("w"))
+    words = words.withColumn("w", F.replace("w", F.lit("'"), F.lit(""))).filter("w <> ''")
+    w = Window.partitionBy(issue).orderBy(F.desc("n"), "w")
+    top = (words.groupBy(issue, "w").agg(F.count(F.lit(1)).alias("n"))
+           .withColumn("r", F.row_number().over(w)).filter(F.col("r") <= k))
+    return top.groupBy(issue).agg(F.array_sort(F.collect_list(F.struct("r", "w"))).alias("_k")).select(
+        issue, F.transform("_k", lambda x: x["w"]).alias("keywords"))
+
+
 def rules_question_completion(issue, keywords) -> Column:
-    """Rules backend for M5: a bracketed list of 2-4 quoted questions.  The
+    """Rules backend for M5: a bracketed list of up to 10 quoted questions.  The
     first question quotes the label, so a label containing ']' cuts the list
     exactly as the original parser would (rule B27)."""
-    k = F.lit(2) + F.length(col_of(issue)) % 3
-    kws = F.slice(col_of(keywords), 1, k - 1)
     qs = F.concat(F.array(F.concat(F.lit("Does the segment justify '"), col_of(issue), F.lit("'?"))),
-                  F.transform(kws, lambda w: F.concat(F.lit("Does the segment use the word '"), w, F.lit("'?"))))
+                  F.transform(F.slice(col_of(keywords), 1, N_QUESTIONS - 1),
+                              lambda w: F.concat(F.lit("Does the segment use the word '"), w, F.lit("'?"))))
     return F.concat(F.lit("Questions: ["),
                     F.array_join(F.transform(qs, lambda x: F.concat(F.lit('"'), x, F.lit('"'))), ", "),
                     F.lit("]"))
 
 
+def mine_questions(segments: DataFrame, rationale: DataFrame, backend, issue: str = "issue", rank: str = "rank",
+                   text: str = "text") -> DataFrame:
+    """M5 with a model: (issue, completion) from the mining prompt over label,
+    reason (J2) and the selected segments in order."""
+    from ..functions.prompts import render
+    from .backend import model_map
+    per = (segments.groupBy(issue).agg(F.array_sort(F.collect_list(F.struct(rank, text))).alias("_s"))
+           .select(issue, F.array_join(F.transform("_s", lambda x: x[text]), "\n").alias("segments")))
+    per = attach_rationale(per, rationale).withColumn(
+        "prompt", render("question_mining", issue=issue, reason="reason", segments="segments"))
+    return model_map(per.select(issue, "prompt"), "prompt", backend, "completion", keep_prompt=False)
+
+
 def parse_questions(completions: DataFrame, issue_col: str = "issue", text_col: str = "completion") -> DataFrame:
     """F9 + posexplode: (issue, q_idx, question); issues whose completion has
     no bracketed list are absent."""
@@ -142,15 +184,21 @@ def keyword_of(question) -> Column:
 
 # --- voting (J4, M6, F8, M7, F19) ---------------------------------------------------------
 
-def question_array(questions: DataFrame) -> Column:
-    """The bounded question table as one sorted array value (scalar
-    subquery), failing loudly beyond ``MAX_QUESTIONS``."""
+def question_blocks(questions: DataFrame) -> list:
+    """The question table as sorted array values (scalar subqueries), one per
+    ``BLOCK_ISSUES`` issues; the number of blocks is one count on the driver."""
+    last = questions.agg(F.max("issue_idx")).first()[0]
+    n_blocks = 0 if last is None else last // BLOCK_ISSUES + 1
     arr = F.array_sort(F.collect_list(F.struct(
         F.col("issue_idx").cast("int").alias("issue_idx"), F.col("q_idx").cast("int").alias("q_idx"),
         F.col("question"), F.col("keyword"))))
-    checked = F.when(F.size(arr) <= MAX_QUESTIONS, arr).otherwise(
-        F.raise_error(F.lit(f"question table exceeds {MAX_QUESTIONS} rows")))
-    return questions.select(checked.alias("qs")).scalar()
+    block = F.floor(F.col("issue_idx") / BLOCK_ISSUES)
+    return [questions.filter(block == k).select(arr.alias("qs")).scalar() for k in range(n_blocks)]
+
+
+def question_width(questions: DataFrame) -> Column:
+    """The most questions that any issue of the set has."""
+    return questions.select(F.coalesce(F.max("q_idx") + 1, F.lit(0))).scalar()
 
 
 def segment_vote_features(segment) -> Column:
@@ -181,18 +229,46 @@ def vote_vectors(segments: DataFrame, key: str, seg_col: str, questions: DataFra
     behind a one-row generator: a column computed in a projection and read
     inside a lambda of the next one would otherwise be inlined into the lambda
     and recomputed for every question."""
-    segments = segments.select(key, question_array(questions).alias("_qs"),
+    blocks = question_blocks(questions)
+    segments = segments.select(key, *[b.alias(f"_q{k}") for k, b in enumerate(blocks)],
                                F.inline(F.array(F.struct(segment_vote_features(seg_col).alias("_sf")))))
-    qs, sf = F.col("_qs"), F.col("_sf")
-    issue_ids = F.array_distinct(F.transform(qs, lambda q: q["issue_idx"]))
-    nested = F.transform(issue_ids, lambda i: F.transform(
-        F.filter(qs, lambda q: (q["issue_idx"] == i) & q["question"].isNotNull()),
-        lambda q: vote_code(rules_vote_completion(sf, q), mode)))
-    return (segments.select(key, nested.alias("feature_vectors"))
-            .withColumn("features", pad_flatten("feature_vectors")))
-
-
-def votes_to_vectors(votes: DataFrame, key: str, slots: DataFrame = None) -> DataFrame:
+    sf = F.col("_sf")
+
+    def votes(qs):
+        issue_ids = F.array_distinct(F.transform(qs, lambda q: q["issue_idx"]))
+        return F.transform(issue_ids, lambda i: F.transform(
+            F.filter(qs, lambda q: (q["issue_idx"] == i) & q["question"].isNotNull()),
+            lambda q: vote_code(rules_vote_completion(sf, q), mode)))
+
+    nested = F.concat(*[votes(F.col(f"_q{k}")) for k in range(len(blocks))]) if blocks else F.array().cast("array<array<int>>")
+    return (segments.select(key, nested.alias("feature_vectors"), question_width(questions).alias("_w"))
+            .withColumn("features", pad_flatten("feature_vectors", F.col("_w"))).drop("_w"))
+
+
+def vote_with_model(segments: DataFrame, key: str, seg_col: str, questions: DataFrame, backend) -> DataFrame:
+    """M6 + F8 + M7 + F19 with a model.  A distinct text goes to Python once,
+    with the array of its questions; the worker renders the vote prompts of all
+    of them and returns the answers in order, so neither text x question rows
+    nor answers are shuffled.  Votes are re-assembled in the row."""
+    from ..functions.prompts import PROMPTS, fill
+    from .backend import list_map
+    blocks = question_blocks(questions)
+    qs = F.concat(*blocks) if blocks else F.array().cast("array<struct<issue_idx:int,q_idx:int,question:string,keyword:string>>")
+    asked = F.transform(F.filter("_qs", lambda q: q["question"].isNotNull()), lambda q: q["question"])
+    assert "yes_no_vote" in PROMPTS
+    rows = segments.select(key, F.col(seg_col).alias("_t"), qs.alias("_qs")).withColumn("_asked", asked)
+    rows = list_map(rows, "_t", "_asked", backend, "_answers",
+                    lambda text, question: fill("yes_no_vote", segment=text or "", question=question or ""))
+    held = F.filter("_qs", lambda q: q["question"].isNotNull())
+    coded = F.transform(F.arrays_zip(held.alias("q"), F.col("_answers").alias("a")), lambda z: F.struct(
+        z["q"]["issue_idx"].alias("issue_idx"), vote_code(z["a"]).alias("vote")))
+    rows = rows.select(key, F.array_distinct(F.transform("_qs", lambda q: q["issue_idx"])).alias("_ids"), coded.alias("_v"))
+    nested = F.transform("_ids", lambda i: F.transform(F.filter("_v", lambda v: v["issue_idx"] == i), lambda v: v["vote"]))
+    return (rows.select(key, nested.alias("feature_vectors"), question_width(questions).alias("_w"))
+            .withColumn("features", pad_flatten("feature_vectors", F.col("_w"))).drop("_w"))
+
+
+def votes_to_vectors(votes: DataFrame, key: str, slots: DataFrame = None, width=None) -> DataFrame:
     """M7 for a long vote table (key, issue_idx, q_idx, vote), e.g. the output
     of a model backend: sort explicitly, never rely on collect order.
     ``slots`` (key, issue_idx) keeps issues that were asked no question as
@@ -206,4 +282,4 @@ def votes_to_vectors(votes: DataFrame, key: str, slots: DataFrame = None) -> Dat
     return (per_issue.groupBy(key)
             .agg(F.array_sort(F.collect_list(F.struct("issue_idx", "v"))).alias("_i"))
             .select(key, F.transform("_i", lambda x: x["v"]).alias("feature_vectors"))
-            .withColumn("features", pad_flatten("feature_vectors")))
+            .withColumn("features", pad_flatten("feature_vectors", width)))

@@ -11,8 +11,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.prompts import render
-from ..functions.text import col_of, first_part, judge_feedback, judge_score, score_int
+from ..functions.prompts import JUDGE_SYSTEM, RUBRICS, chat, render
+from ..functions.text import col_of, first_part, judge_feedback, judge_score, score_int, sentence_marks, tokens
 
 
 def judge_input(df: DataFrame, segment: str, outputs: str) -> DataFrame:
@@ -21,14 +21,40 @@ def judge_input(df: DataFrame, segment: str, outputs: str) -> DataFrame:
 
 
 def judge_prompt(dimension: str, segment, feedback) -> Column:
-    return render("judge", dimension=F.lit(dimension), weakness=segment, feedback=feedback)
-
-
-def rules_judge_completion(dim_idx: int, segment, feedback) -> Column:
-    """Rules backend: the four completion shapes a judge model produces."""
+    """The rubric of one dimension over a segment and its feedback."""
+    question, *levels = RUBRICS[dimension]
+    return render("judge", dimension=F.lit(dimension), question=F.lit(question), weakness=segment, feedback=feedback,
+                  **{f"s{k}": F.lit(x) for k, x in enumerate(levels, 1)})
+
+
+# words that propose something to do (rules judge)
+SUGGESTIONS = ("please", "could", "consider", "add", "suggest", "cite", "example")
+
+
+def rules_judge_score(dimension: str, segment, feedback) -> Column:
+    """Rules judge: a score from 1 to 5 from what the feedback says: its number of
+    sentences, the share of its words that the segment has, its proposals, its
+    concrete references."""
+    seg, fb = col_of(segment), col_of(feedback)
+    if dimension == "Conciseness":
+        n = sentence_marks(fb)
+        return F.when(n <= 2, 5).when(n == 3, 4).when(n <= 5, 3).when(n <= 8, 2).otherwise(1)
+    words = F.array_distinct(tokens(fb))
+    if dimension == "Relevance":
+        shared = F.size(F.array_intersect(tokens(seg), words))
+        return (1 + F.floor(4 * shared / F.greatest(F.size(words), F.lit(1)))).cast("int")
+    if dimension == "Constructiveness":
+        return 1 + F.least(F.lit(4), sum((F.lower(fb).contains(w).cast("int") for w in SUGGESTIONS), F.lit(0)))
+    return (1 + fb.contains('"').cast("int") + fb.rlike("[0-9]").cast("int") + (F.size(words) >= 30).cast("int")
+            + F.contains(fb, F.substring(seg, 1, 20)).cast("int"))
+
+
+def rules_judge_completion(dimension: str, segment, feedback) -> Column:
+    """Rules backend: the rules judge's score in the four completion shapes that
+    a judge model produces (the last two cannot be parsed)."""
     fb = col_of(feedback)
-    k = (F.length(fb) + F.length(col_of(segment)) + F.lit(dim_idx)) % 4
-    score = (F.length(fb) % 5 + 1).cast("string")
+    k = (sentence_marks(fb) + F.lit(fixed.JUDGE_DIMENSIONS.index(dimension))) % 4
+    score = rules_judge_score(dimension, segment, fb).cast("string")
     reason = F.concat(F.lit("The feedback has "), F.size(F.split(fb, " ")).cast("string"), F.lit(" words."))
     return (F.when(k == 0, F.concat(F.lit("Feedback: "), reason, F.lit(" [RESULT] "), score))
             .when(k == 1, F.concat(F.lit("Notes.\n### "), reason, F.lit("\n[RESULT] "), score))
@@ -39,8 +65,8 @@ def rules_judge_completion(dim_idx: int, segment, feedback) -> Column:
 def judge_wide(df: DataFrame, segment: str, outputs: str, prompt_type: str) -> DataFrame:
     """M18 with the rules backend + F10 + F11 + P11, one row per input row."""
     out = df
-    for i, dim in enumerate(fixed.JUDGE_DIMENSIONS):
-        comp = rules_judge_completion(i, F.col(segment), F.col(outputs))
+    for dim in fixed.JUDGE_DIMENSIONS:
+        comp = rules_judge_completion(dim, F.col(segment), F.col(outputs))
         d = dim.lower()
         out = (out.withColumn(f"_{d}", comp)
                .withColumn(f"{d}_feedback", judge_feedback(f"_{d}"))
@@ -56,9 +82,10 @@ def _keys(key):
 
 def judge_long(df: DataFrame, key, segment: str, outputs: str) -> DataFrame:
     """(keys..., dimension, prompt) rows for a model backend: the four
-    dimensions are a literal array, exploded per row (map-only)."""
-    dims = F.array(*[F.struct(F.lit(d).alias("dimension"), judge_prompt(d, F.col(segment), F.col(outputs)).alias("prompt"))
-                     for d in fixed.JUDGE_DIMENSIONS])
+    dimensions are a literal array, exploded per row (map-only).  A prompt is
+    the JSON of its chat messages (F23): the judge's system message and the rubric."""
+    dims = F.array(*[F.struct(F.lit(d).alias("dimension"), F.to_json(chat(
+        judge_prompt(d, F.col(segment), F.col(outputs)), JUDGE_SYSTEM)).alias("prompt")) for d in fixed.JUDGE_DIMENSIONS])
     return df.select(*_keys(key), F.inline(dims))
 
 

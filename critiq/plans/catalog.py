@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 from .. import fixed as _fx
 from ..functions.prompts import PROMPTS, render
 from ..functions.scoring import fitness, round6
-from ..functions.text import clean_gold, safe_name
+from ..functions.text import clean_gold, multi_hot
 from ..operators import feedback as fb
+from ..operators import generate as gen
 from ..operators import issues as iss
 from ..operators import judge as jd
 from ..operators import metrics as met
@@ -24,11 +25,11 @@ from ..operators import models as mdl
 from ..operators import neighbors as nbr
 from ..operators import split as spl
 from ..operators import tagging
-from ..operators.backend import BackendFactory, model_map
+from ..operators.backend import BackendFactory
 from ..sources import dimensions as dims
 from ..sources import io as sio
-from ..session import checkpointed
-from . import bindings
+from ..session import checkpointed, shared_path
+from . import bindings, doubles
 from . import sqlgen as q
 from .tables import table
 
@@ -209,11 +210,14 @@ def issue_catalog(spark, sf_dir):
 
 _QSETS_SQL = f"""{_TOP_SQL},
 sup AS (SELECT issue, first_doc FROM groups WHERE n_segments > 5),
-kw AS (SELECT t.issue, list(lower(regexp_extract(d.text, '^\\s*(\\S+)', 1)) ORDER BY t.rank) AS kws
-       FROM top t JOIN documents d ON d.doc_id = t.doc_id JOIN sup s ON s.issue = t.issue GROUP BY t.issue),
+kww AS (SELECT t.issue, replace(unnest({q.tokens('lower(d.text)')}), '''', '') AS w
+        FROM top t JOIN documents d ON d.doc_id = t.doc_id JOIN sup s ON s.issue = t.issue),
+kwr AS (SELECT issue, w, row_number() OVER (PARTITION BY issue ORDER BY count(*) DESC, w) AS r
+        FROM kww WHERE w <> '' GROUP BY issue, w),
+kw AS (SELECT issue, list(w ORDER BY r) AS kws FROM kwr WHERE r <= {iss.N_QUESTIONS - 1} GROUP BY issue),
 comp AS (SELECT issue, 'Questions: [' || array_to_string(list_transform(
             list_concat(['Does the segment justify ''' || issue || '''?'],
-                        list_transform(kws[1:(2 + length(issue) % 3) - 1], lambda w: 'Does the segment use the word ''' || w || '''?')),
+                        list_transform(kws, lambda w: 'Does the segment use the word ''' || w || '''?')),
             lambda x: '"' || x || '"'), ', ') || ']' AS completion FROM kw),
 qparsed AS (SELECT c.issue, regexp_extract_all(regexp_extract(completion, '(?s)\\[(.*?)\\]', 1), '"(.*?)"', 1) AS qs,
                    CAST(dense_rank() OVER (ORDER BY s.first_doc, c.issue) - 1 AS INTEGER) AS issue_idx
@@ -225,16 +229,18 @@ questions AS (SELECT issue, issue_idx, CAST(unnest(range(len(qs))) AS INTEGER) A
 def _question_table(spark, sf_dir):
     """(issue, issue_idx, q_idx, question, keyword); an issue whose list
     parsed to no question keeps its slot with NULL q_idx/question."""
+    groups, top = _mined_segments(spark, sf_dir)
+    comp = iss.frequent_words(top).select(
+        "issue", iss.rules_question_completion("issue", "keywords").alias("completion"))
+    return iss.question_table(comp, groups.select("issue", F.col("first_key").alias("order_key")))
+
+
+def _mined_segments(spark, sf_dir):
+    """Supported issues, and (issue, rank, doc_id, text) of their first five segments."""
     lab = _labeled(spark, sf_dir)
     groups = iss.supported(iss.group_by_issue(lab, "doc_id"))
-    top = iss.top_segments(lab, "doc_id").join(groups.select("issue"), "issue", "left_semi")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    kw = (top.join(docs, "doc_id")
-          .select("issue", "rank", F.lower(F.regexp_extract("text", r"^\s*(\S+)", 1)).alias("kw"))
-          .groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("rank", "kw"))).alias("_k"))
-          .select("issue", F.transform("_k", lambda x: x["kw"]).alias("kws")))
-    comp = kw.select("issue", iss.rules_question_completion("issue", "kws").alias("completion"))
-    return iss.question_table(comp, groups.select("issue", F.col("first_key").alias("order_key")))
+    top = iss.top_segments(lab, "doc_id", carry=["text"]).join(groups.select("issue"), "issue", "left_semi")
+    return groups, top
 
 
 @register("question_sets", sql=f"""{_QSETS_SQL}
@@ -379,8 +385,8 @@ def multilabel_metrics(spark, sf_dir):
 def _issue_dataset(spark, sf_dir):
     """Rows with at least one supported issue; group key = source."""
     lab = _labeled(spark, sf_dir)
-    sup = iss.issue_list(iss.supported(iss.group_by_issue(lab, "doc_id")))
-    return lab.filter(F.arrays_overlap("issues", sup)).select("doc_id", "source", "issues")
+    sup = iss.supported(iss.group_by_issue(lab, "doc_id"))
+    return iss.with_supported_issue(lab, sup, "doc_id", ["source"])
 
 
 _DS_SQL = f"""{_GROUPS_SQL},
@@ -440,12 +446,11 @@ def group_kfold(spark, sf_dir):
 def _pairs(spark, sf_dir):
     """(doc_id, issue, segment, template, knowledge, base) for every parsed
     label that has a template (J3); unmatched labels have no template."""
-    lab = iss.explode_labels(_labeled(spark, sf_dir), "doc_id").select("doc_id", "issue")
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("segment"))
+    lab = iss.explode_labels(_labeled(spark, sf_dir), "doc_id", ["text"]).select(
+        "doc_id", "issue", F.col("text").alias("segment"))
     p = iss.attach_templates(lab, dims.templates_df(spark)).filter(F.col("template").isNotNull())
-    return (p.join(docs, "doc_id")
-            .select("doc_id", "issue", "segment", "template", "knowledge",
-                    fb.fill_template("template", "segment").alias("base")))
+    return p.select("doc_id", "issue", "segment", "template", "knowledge",
+                    fb.fill_template("template", "segment").alias("base"))
 
 
 _PAIRS_SQL = f"""{_LABELED_SQL},
@@ -502,18 +507,22 @@ def feedback_baselines(spark, sf_dir):
 
 def _baselines(spark, sf_dir):
     keys = ["doc_id", "issue"]
-    return fb.select_baselines(fb.baseline_candidates(_pairs(spark, sf_dir), keys), keys)
+    return fb.baselines(_pairs(spark, sf_dir), keys)
 
 
-def _evolution_sql(n_cand=_fx.N_CANDIDATES, n_gen=_fx.N_GENERATIONS, n_par=_fx.N_PARENTS, seed=_fx.SEED):
-    parts = [f"pop0 AS (SELECT doc_id, issue, template, c AS cand_id, {_cand_sql('base', 'c')} AS text FROM pairs, range({n_cand}) r(c))"]
+_ALL_PARENTS = f"array_to_string(list_concat([ps[1]], list_transform(ps[2:], lambda x: ({q.sentences('x')})[-1])), ' ')"
+
+
+def _evolution_sql(n_cand=_fx.N_CANDIDATES, n_gen=_fx.N_GENERATIONS, n_par=_fx.N_PARENTS, seed=_fx.SEED, base="base",
+                   child=_ALL_PARENTS):
+    parts = [f"pop0 AS (SELECT doc_id, issue, template, c AS cand_id, {_cand_sql(base, 'c')} AS text FROM pairs, range({n_cand}) r(c))"]
     for g in range(n_gen):
         parts.append(f"""s{g} AS (SELECT *, {q.fitness('text', 'template', -1)} AS fitness FROM pop{g}),
 par{g} AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id, issue ORDER BY
              round(fitness, 9) / 1.0 + {q.gumbel(str(seed), 'doc_id', 'issue', str(g), 'cand_id')} DESC, cand_id) AS rank FROM s{g})
            WHERE rank <= {n_par}),
 ch{g} AS (SELECT doc_id, issue, template, {n_cand + g} AS cand_id,
-                 ps[1] || ' ' || ({q.sentences('ps[2]')})[-1] AS text
+                 {child} AS text
           FROM (SELECT doc_id, issue, template, list(text ORDER BY rank) AS ps FROM par{g} GROUP BY doc_id, issue, template)),
 pop{g + 1} AS (SELECT doc_id, issue, template, cand_id, text FROM pop{g} UNION ALL SELECT * FROM ch{g})""")
     scored = f"(SELECT *, {q.fitness('text', 'template', -1)} AS fitness FROM pop{n_gen})"
@@ -532,9 +541,21 @@ def feedback_evolution(spark, sf_dir):
                     round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
 
 
+def _judge_score_sql(d: str, seg: str, out: str) -> str:
+    n, words = q.marks(out), f"list_distinct({q.tokens(out)})"
+    return {
+        "Conciseness": f"(CASE WHEN {n} <= 2 THEN 5 WHEN {n} = 3 THEN 4 WHEN {n} <= 5 THEN 3 WHEN {n} <= 8 THEN 2 ELSE 1 END)",
+        "Relevance": f"CAST(1 + floor(4 * len(list_intersect({words}, {q.tokens(seg)})) / greatest(len({words}), 1)) AS INTEGER)",
+        "Constructiveness": "(1 + least(4, " + " + ".join(
+            f"CAST(contains(lower({out}), {q.lit(w)}) AS INTEGER)" for w in jd.SUGGESTIONS) + "))",
+        "Specificity": f"(1 + CAST(contains({out}, '\"') AS INTEGER) + CAST(regexp_matches({out}, '[0-9]') AS INTEGER) "
+                       f"+ CAST(len({words}) >= 30 AS INTEGER) + CAST(contains({out}, substr({seg}, 1, 20)) AS INTEGER))",
+    }[d]
+
+
 def _judge_sql_dim(i: int, d: str, seg: str, out: str) -> str:
-    k = f"((length({out}) + length({seg}) + {i}) % 4)"
-    score = f"CAST(length({out}) % 5 + 1 AS VARCHAR)"
+    k = f"(({q.marks(out)} + {i}) % 4)"
+    score = f"CAST({_judge_score_sql(d, seg, out)} AS VARCHAR)"
     reason = f"('The feedback has ' || CAST(len(string_split({out}, ' ')) AS VARCHAR) || ' words.')"
     comp = (f"(CASE WHEN {k} = 0 THEN 'Feedback: ' || {reason} || ' [RESULT] ' || {score} "
             f"WHEN {k} = 1 THEN 'Notes.' || chr(10) || '### ' || {reason} || chr(10) || '[RESULT] ' || {score} "
@@ -675,50 +696,13 @@ def review_segments(spark, sf_dir):
 # ---------------------------------------------------------------------------
 
 
-def _python_vote_backend():
-    """A stand-in for a model: reads segment and question back out of the
-    rendered vote prompt and answers with the same rules as the native
-    backend (so the result must equal ``vote_vectors``)."""
-    import re
-    seg_re = re.compile(r"^Segment: (.*)\nQuestion: (.*)\nAnswer ", re.S)
-
-    def answer(prompts):
-        out = []
-        for p in prompts:
-            m = seg_re.match(p)
-            seg, question = m.group(1), m.group(2)
-            kw = re.search(r"'([^']*)'", question)
-            kw = kw.group(1).lower() if kw else ""
-            if kw in seg.lower():
-                out.append("[[Yes]]")
-            elif "!" in seg:
-                out.append("I cannot tell")
-            elif len(seg) < 300:
-                out.append("[[Other]]")
-            elif len(seg) % 2 == 0:
-                out.append("NO")
-            else:
-                out.append("[[No]]")
-        return out
-    return answer
-
-
 @register("vote_vectors_model", sql=ORACLE["vote_vectors"])
 def vote_vectors_model(spark, sf_dir):
-    """M0 + J4 + M6 + F8 + M7 + F19 through a Python batch backend: pairs are
-    exploded from the bounded question array, distinct prompts are sent once
-    in Arrow batches, votes are re-assembled with an explicit sort."""
+    """M0 + J4 + M6 + F8 + M7 + F19 through a Python batch backend: a distinct
+    text crosses into Python once with all its questions."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     qt = _question_table(spark, sf_dir)
-    pairs = (docs.select("doc_id", "text", iss.question_array(qt).alias("_qs"))
-             .select("doc_id", "text", F.inline("_qs")))
-    slots = pairs.select("doc_id", "issue_idx").distinct()
-    asked = pairs.filter(F.col("question").isNotNull()).withColumn(
-        "prompt", render("yes_no_vote", segment="text", question="question"))
-    answered = model_map(asked.select("doc_id", "issue_idx", "q_idx", "prompt"), "prompt",
-                         BackendFactory("rules-vote", _python_vote_backend), "completion", keep_prompt=False)
-    votes = answered.select("doc_id", "issue_idx", "q_idx", iss.vote_code("completion").alias("vote"))
-    v = iss.votes_to_vectors(votes, "doc_id", slots=slots)
+    v = iss.vote_with_model(docs, "doc_id", "text", qt, BackendFactory("rules-vote", doubles.vote))
     return v.select("doc_id", F.size("features").cast("bigint").alias("width"),
                     F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"),
                     F.size(F.filter("features", lambda x: x == 1)).cast("bigint").alias("n_yes"),
@@ -806,11 +790,8 @@ SELECT issue, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS pro
 def question_prompts(spark, sf_dir):
     """M5 render (F22): per supported issue, label + reason (J2) + its first
     five segments in position order (A2)."""
-    lab = _labeled(spark, sf_dir)
-    groups = iss.supported(iss.group_by_issue(lab, "doc_id")).select("issue")
-    top = iss.top_segments(lab, "doc_id").join(groups, "issue", "left_semi")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    segs = (top.join(docs, "doc_id").groupBy("issue")
+    _, top = _mined_segments(spark, sf_dir)
+    segs = (top.groupBy("issue")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_s"))
             .select("issue", F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("segments")))
     withr = iss.attach_rationale(segs, dims.rationale_df(spark))
@@ -818,38 +799,31 @@ def question_prompts(spark, sf_dir):
     return p.select("issue", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
 
 
-_SWEEP = [("rules/substring v1", "substring"), ("rules/tag v1", "tag")]
-
-
-def _vote_code_tag_sql(text: str, kw: str) -> str:
-    comp = (f"(CASE WHEN contains(lower({text}), {kw}) THEN '[[Yes]]' WHEN contains({text}, '!') THEN 'I cannot tell' "
-            f"WHEN length({text}) < 300 THEN '[[Other]]' WHEN length({text}) % 2 = 0 THEN 'NO' ELSE '[[No]]' END)")
-    return (f"(CASE WHEN contains(lower({comp}), '[[yes]]') THEN 1 WHEN contains(lower({comp}), '[[no]]') THEN -1 ELSE 0 END)")
+_SWEEP = {"rules/lower v1": doubles.vote, "rules/plain v1": doubles.vote_plain}
 
 
 def _sweep_sql() -> str:
     base = _VOTES_SQL
-    tag = base.replace(_vote_code_sql('d.text', 'qk.keyword'), _vote_code_tag_sql('d.text', 'qk.keyword'))
+    plain = base.replace(_vote_code_sql('d.text', 'qk.keyword'),
+                         "(CASE WHEN contains(d.text, regexp_extract(qk.question, %s, 1)) THEN 1 ELSE -1 END)"
+                         % q.lit("'([^']*)'")).replace("qk AS (SELECT issue_idx,", "qk AS (SELECT question, issue_idx,")
     def sel(src_sql, model):
         return (f"SELECT {q.lit(model)} AS raw_model, doc_id, array_to_string(features, ',') AS features FROM "
                 f"({src_sql} SELECT * FROM vec)")
+    first, second = _SWEEP
     return (f"SELECT regexp_replace(raw_model, '[^a-zA-Z0-9_-]', '_', 'g') AS model, doc_id, features FROM ("
-            f"{sel(base, _SWEEP[0][0])} UNION ALL {sel(tag, _SWEEP[1][0])})")
+            f"{sel(base, first)} UNION ALL {sel(plain, second)})")
 
 
 @register("vote_sweep", sql=_sweep_sql())
 def vote_sweep(spark, sf_dir):
-    """The vote stage once per backend, unioned with a file-safe model
+    """The vote stage once per model backend, with a file-safe model
     name (S8) -- the column a ``partitionBy('model')`` write would use."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    qt = _question_table(spark, sf_dir)
-    out = None
-    for model, mode in _SWEEP:
-        v = iss.vote_vectors(docs, "doc_id", "text", qt, mode=mode).select(
-            safe_name(F.lit(model)).alias("model"), "doc_id",
-            F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
-        out = v if out is None else out.unionByName(v)
-    return out
+    qt = checkpointed(_question_table(spark, sf_dir))
+    out = gen.sweep({name: BackendFactory(name, make) for name, make in _SWEEP.items()},
+                    lambda backend: iss.vote_with_model(docs, "doc_id", "text", qt, backend))
+    return out.select("model", "doc_id", F.array_join(F.transform("features", lambda x: x.cast("string")), ",").alias("features"))
 
 
 @register("split_counts", sql=f"""{_DS_SQL},
@@ -985,28 +959,6 @@ def review_dict_sections(spark, sf_dir):
                        F.length(sec).cast("bigint").alias("section_chars"), F.md5(sec).alias("section_md5"))
 
 
-def _python_judge_backend():
-    """Stand-in judge model: reads dimension, weakness and feedback back out
-    of the rendered prompt and answers with the native rules backend's four
-    completion shapes (so the result must equal ``judge_scores``)."""
-    dims_ = list(_fx.JUDGE_DIMENSIONS)
-
-    def answer(prompts):
-        out = []
-        for p in prompts:
-            dim = p[len("Rate the feedback on "):].split(" from 1 to 5", 1)[0]
-            body = p.split("\nWeakness: ", 1)[1]
-            seg, fbk = body.rsplit("\nFeedback: ", 1)
-            fbk = fbk[:-1] if fbk.endswith("\n") else fbk
-            k = (len(fbk) + len(seg) + dims_.index(dim)) % 4
-            score = str(len(fbk) % 5 + 1)
-            reason = f"The feedback has {len(fbk.split(' '))} words."
-            out.append([f"Feedback: {reason} [RESULT] {score}", f"Notes.\n### {reason}\n[RESULT] {score}",
-                        f"{reason} [RESULT] 3 [RESULT] {score}", reason][k])
-        return out
-    return answer
-
-
 @register("judge_scores_model", sql=ORACLE["judge_scores"])
 def judge_scores_model(spark, sf_dir):
     """M18 through M0 with a Python judge backend + A13 pivot; same result
@@ -1014,24 +966,7 @@ def judge_scores_model(spark, sf_dir):
     p = _pairs(spark, sf_dir)
     ji = p.select("doc_id", "issue", "segment", fb.template_candidate("base", F.lit(0)).alias("outputs"))
     return jd.judge_with_model(ji, ["doc_id", "issue"], "segment", "outputs",
-                               BackendFactory("rules-judge", _python_judge_backend), "template")
-
-
-def _python_candidate_backend():
-    """Stand-in sampling model for the template-guided prompt: the seed picks
-    the wording variant exactly as the native template backend does."""
-    openings, closings, ph = list(fb.OPENINGS), list(fb.CLOSINGS), _fx.TEMPLATE_PLACEHOLDER
-
-    def answer(prompts, seeds):
-        out = []
-        for p, c in zip(prompts, seeds):
-            body = p.split("\nSegment: ", 1)[1]
-            seg, rest = body.split("\nIssue: ", 1)
-            tmpl = rest.split("\nTemplate: ", 1)[1]
-            tmpl = tmpl[:-len("\nFeedback:")] if tmpl.endswith("\nFeedback:") else tmpl
-            out.append(openings[(c // len(closings)) % len(openings)] + tmpl.replace(ph, seg) + closings[c % len(closings)])
-        return out
-    return answer
+                               BackendFactory("rules-judge", doubles.judge), "template")
 
 
 @register("feedback_bon_model", sql=f"SELECT * FROM ({ORACLE['feedback_baselines']}) b WHERE strategy = 'BoN'")
@@ -1039,13 +974,134 @@ def feedback_bon_model(spark, sf_dir):
     """M15 through M0: 15 seeded candidates per (segment, issue) from the
     template-guided prompt, scored (F18) and the best kept (W3); equal to the
     BoN rows of ``feedback_baselines``."""
-    p = _pairs(spark, sf_dir)
     keys = ["doc_id", "issue"]
-    c = (p.select(*keys, "template", "segment", F.explode(F.sequence(F.lit(0), F.lit(_fx.BON_N * _fx.BON_GEN - 1))).alias("cand_id"))
-         .withColumn("prompt", render("template_guided", segment="segment", issue="issue", template="template")))
-    c = model_map(c.select(*keys, "template", "cand_id", "prompt"), "prompt",
-                  BackendFactory("template-sampler", _python_candidate_backend), "text", seed="cand_id",
-                  keep_prompt=False)
-    best = fb.argmax_first(c.withColumn("fitness", fitness("text", "template", 1)), keys)
+    best = gen.best_of_n(_pairs(spark, sf_dir), keys, BackendFactory("template-sampler", doubles.feedback))
     return best.select("doc_id", "issue", F.lit("BoN").alias("strategy"), F.col("cand_id").cast("bigint").alias("cand_id"),
                        round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
+
+
+# ---------------------------------------------------------------------------
+# Generation with a model backend (M8-M14, M16, M17), question mining with a model (M5)
+# ---------------------------------------------------------------------------
+
+_SAID = q.lit("Regarding '") + " || issue || " + q.lit("': please support the point \"") + " || segment || " + q.lit("\" with evidence.")
+_ADDRESS = q.lit("Address '") + " || issue || " + q.lit("'. ") + " || template"
+_PLANNED = "(template || " + q.lit(" (knowledge_source: template; justification: '") + " || issue || " + q.lit("')") + ")"
+
+
+def _refined_sql(t: str) -> str:
+    for _ in range(_fx.BON_GEN):
+        t = f"({t} || {_pick_sql(fb.REFINEMENTS, f'length({t})')})"
+    return t
+
+
+_BASELINES_MODEL_SQL = f"""{_PAIRS_SQL},
+c AS (SELECT '1-pass' AS strategy, doc_id, issue, template, 0 AS cand_id, {_SAID} AS text FROM pairs
+      UNION ALL SELECT 'Temp', doc_id, issue, template, 0, {_cand_sql('base', '0')} FROM pairs
+      UNION ALL SELECT 'Plan', doc_id, issue, template, 0, {_ADDRESS} FROM pairs
+      UNION ALL SELECT 'Self-Ref.', doc_id, issue, template, c, {_refined_sql('t')}
+        FROM (SELECT doc_id, issue, template, c, {_cand_sql('template', 'c')} AS t FROM pairs, range({_fx.BON_N}) r(c)))"""
+
+
+@register("feedback_baselines_model", sql=f"""{_BASELINES_MODEL_SQL}
+SELECT doc_id, issue, strategy, CAST(cand_id AS BIGINT) AS cand_id, round(fitness, 6) AS fitness, md5(text) AS text_md5
+FROM ({_argmax_sql(f"(SELECT *, {q.fitness('text', 'template', 1)} AS fitness FROM c)", 'doc_id, issue, strategy')})
+""")
+def feedback_baselines_model(spark, sf_dir):
+    """M12 + M13 + M14 + M16 + M17 through the model map (M15: ``feedback_bon_model``)."""
+    b = gen.baselines(_pairs(spark, sf_dir), ["doc_id", "issue"], BackendFactory("feedback", doubles.feedback),
+                      ["1-pass", "Temp", "Plan", "Self-Ref."])
+    return b.select("doc_id", "issue", "strategy", F.col("cand_id").cast("bigint").alias("cand_id"),
+                    round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
+
+
+@register("feedback_evolution_model", sql=f"""{_PAIRS_SQL},
+{_evolution_sql(base=_PLANNED, child="ps[1] || ' (of ' || CAST(len(ps) AS VARCHAR) || ')'")}
+SELECT doc_id, issue, CAST(cand_id AS BIGINT) AS cand_id, round(fitness, 6) AS fitness, md5(text) AS text_md5 FROM fin
+""")
+def feedback_evolution_model(spark, sf_dir):
+    """M8-M11 through the model map: plan (with F25 context), candidates, crossover
+    of all numbered parents."""
+    e = gen.evolve(_pairs(spark, sf_dir), ["doc_id", "issue"], BackendFactory("feedback", doubles.feedback))
+    return e.select("doc_id", "issue", F.col("cand_id").cast("bigint").alias("cand_id"),
+                    round6("fitness").alias("fitness"), F.md5("text").alias("text_md5"))
+
+
+@register("question_sets_model", sql=ORACLE["question_sets"])
+def question_sets_model(spark, sf_dir):
+    """M5 + F9 with a mining model: label, reason and five whole segments in the prompt."""
+    groups, top = _mined_segments(spark, sf_dir)
+    done = iss.mine_questions(top, dims.rationale_df(spark), BackendFactory("miner", doubles.questions))
+    qt = iss.question_table(done, groups.select("issue", F.col("first_key").alias("order_key")))
+    return qt.filter(F.col("question").isNotNull()).select("issue", "issue_idx", "q_idx", "question")
+
+
+# ---------------------------------------------------------------------------
+# A1 in full, B13 report, F20, M1 + M2, S3 and S1 + S5 + P3 written and read back
+# ---------------------------------------------------------------------------
+
+
+@register("issue_segments", sql=f"""{_LABELED_SQL},
+lab AS (SELECT doc_id, unnest(issues) AS issue FROM labeled)
+SELECT l.issue, CAST(row_number() OVER (PARTITION BY l.issue ORDER BY l.doc_id) - 1 AS BIGINT) AS pos, l.doc_id, md5(d.text) AS segment_md5
+FROM lab l JOIN documents d ON d.doc_id = l.doc_id WHERE l.issue <> ''
+""")
+def issue_segments(spark, sf_dir):
+    """A1: the segments of every issue, in order."""
+    r = iss.issue_segments(_labeled(spark, sf_dir), "doc_id", "text")
+    return r.select("issue", F.col("pos").cast("bigint").alias("pos"), "doc_id", F.md5("segment").alias("segment_md5"))
+
+
+@register("issues_without_template", sql=f"""{_GROUPS_SQL},
+tpl AS (SELECT regexp_replace({q.normalize_label('template_key')}, '^\\W+', '') AS issue FROM {_TPL_SQL})
+SELECT issue, n_segments FROM groups g WHERE NOT EXISTS (SELECT 1 FROM tpl t WHERE t.issue = g.issue)
+""")
+def issues_without_template(spark, sf_dir):
+    """Labels that no template fits, which the feedback stage leaves out."""
+    g = iss.group_by_issue(_labeled(spark, sf_dir), "doc_id")
+    return iss.missing_templates(g, dims.templates_df(spark)).select(
+        "issue", F.col("n_segments").cast("bigint").alias("n_segments"))
+
+
+@register("label_multi_hot", sql=f"""{_GROUPS_SQL},
+v AS (SELECT list(issue ORDER BY issue) AS vocab FROM groups WHERE n_segments > 5)
+SELECT doc_id, array_to_string(list_transform(vocab, lambda x: CAST(list_contains(issues, x) AS INTEGER)), '') AS hot FROM labeled, v
+""")
+def label_multi_hot(spark, sf_dir):
+    """F20 over the sorted vocabulary of supported issues."""
+    lab = _labeled(spark, sf_dir)
+    vocab = iss.supported(iss.group_by_issue(lab, "doc_id")).select(F.array_sort(F.collect_list("issue"))).scalar()
+    hot = lab.select("doc_id", "issues", vocab.alias("vocab")).select("doc_id", multi_hot("issues", "vocab").alias("h"))
+    return hot.select("doc_id", F.array_join(F.transform("h", lambda x: x.cast("string")), "").alias("hot"))
+
+
+@register("tags_independent", sql=f"""
+WITH f AS (SELECT conv_id, turn, {q.sentence_features('text')} AS f FROM conversations WHERE text IS NOT NULL)
+SELECT conv_id, turn, {q.rules_section("''", 'f')} AS section_pred, {q.rules_bio("''", 'f')} AS bio_pred FROM f
+""")
+def tags_independent(spark, sf_dir):
+    """M1 + M2: every sentence tagged on its own."""
+    conv = table(spark, sf_dir, "conversations").filter(F.col("text").isNotNull())
+    return tagging.tag_rows_independent(conv, "text").select("conv_id", "turn", "section_pred", "bio_pred")
+
+
+@register("question_store", sql=ORACLE["question_sets"])
+def question_store(spark, sf_dir):
+    """S3: question sets saved per model name and loaded back."""
+    path = shared_path(spark, "questions")
+    sio.write_questions(question_sets(spark, sf_dir), path, "rules/v1")
+    return sio.read_questions(spark, path, "rules/v1").drop("model")
+
+
+@register("review_tsv", sql="""
+SELECT CAST(conv_id AS VARCHAR) AS id, text AS sentence, count(*) AS n FROM conversations GROUP BY ALL
+""")
+def review_tsv(spark, sf_dir):
+    """S5 + S1 + P3: sentences written as TSV (multi-line cells, quotes), read
+    back with the fixed schema; row ids are unique."""
+    conv = table(spark, sf_dir, "conversations")
+    path = shared_path(spark, "review-tsv")
+    sio.write_tsv(conv.select(F.col("conv_id").cast("string").alias("ID"), F.col("text").alias("Review Segment"),
+                              F.col("role").alias("Combined Issue Types")), path)
+    back = sio.with_row_id(sio.read_tsv(spark, path, sio.ISSUE_SEGMENTS))
+    return back.groupBy(F.col("ID").alias("id"), F.col("Review Segment").alias("sentence")).agg(F.count_distinct("row_id").alias("n"))

@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -40,18 +41,27 @@ def get_spark(cores: int | str = "*", shuffle_partitions: int = 8,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the shared checkpoint folder named by ``spark.checkpoint.dir``.
 
-    On a cluster that setting names a shared folder and is used as is.  Only
-    when it is unset (local tests and the bench) a scratch folder is made.
+    On a cluster that setting names a shared folder and is used as is; unset, it
+    is an error there.  Only a local session (tests, the bench) gets a scratch folder.
     """
     sc = spark.sparkContext
     d = sc.getConf().get("spark.checkpoint.dir", None)
     if not d:
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
+        if not sc._jsc.sc().getCheckpointDir().isEmpty():
+            return sc._jsc.sc().getCheckpointDir().get()
         d = tempfile.mkdtemp(prefix="critiq-ckpt-", dir=os.environ.get("TMPDIR", "/tmp"))
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(d)
     return d
 
 
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path below the shared checkpoint folder."""
+    return f"{ensure_checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """Reliable, eager checkpoint of ``df`` into the session's checkpoint
     folder (``spark.checkpoint.dir``; a scratch folder only when unset).

@@ -10,7 +10,7 @@ import ast
 from typing import Iterable, Optional
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -55,11 +55,18 @@ def read_tsv(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
 
 def with_row_id(df: DataFrame, name: str = "row_id") -> DataFrame:
     """A stable 0-based position for rows that have no key of their own
-    (a TSV read in file order).  ``zipWithIndex`` numbers rows partition by
-    partition without moving them to one task (a global ``row_number`` would);
-    it is meant for ingest, where the id then becomes the join key."""
-    schema = T.StructType(list(df.schema.fields) + [T.StructField(name, T.LongType(), False)])
-    return df.rdd.zipWithIndex().map(lambda r: tuple(r[0]) + (r[1],)).toDF(schema)
+    (a TSV read in file order).  Rows are numbered within their partition on the
+    JVM, and each partition begins where the counts of those before it end (one
+    small row per partition); the numbered rows are checkpointed, so ids stay."""
+    from ..session import checkpointed
+    mono = checkpointed(df.withColumn("_m", F.monotonically_increasing_id()))
+    part = F.shiftright("_m", 33)
+    counts = mono.groupBy(part.alias("_p")).agg(F.count(F.lit(1)).alias("_n"))
+    w = Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+    start = counts.select("_p", F.coalesce(F.sum("_n").over(w), F.lit(0)).alias("_s"))
+    own = F.col("_m") - F.shiftleft(F.col("_p"), 33)
+    return (mono.withColumn("_p", part).join(start, "_p").withColumn(name, F.col("_s") + own)
+            .select(*df.columns, name))
 
 
 def read_templates(spark: SparkSession, path: str) -> DataFrame:
@@ -138,8 +145,16 @@ def write_tsv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
         .option("escape", '"').csv(path)
 
 
+def write_csv(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """Comma-separated results with a header."""
+    df.write.mode(mode).option("header", True).csv(path)
+
+
 def write_report(metrics: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """One text line per row, ``name: value`` pairs at 4 decimals."""
-    cols = metrics.columns
-    line = F.concat_ws(", ", *[F.concat(F.lit(f"{c}: "), F.format_number(F.col(c).cast("double"), 4)) for c in cols])
-    metrics.select(line.alias("value")).coalesce(1).write.mode(mode).text(path)
+    """Per row one text line for each task (the part of a column's name before
+    its first ``_``), ``name: value`` pairs at 4 decimals."""
+    tasks: dict = {}
+    for c in metrics.columns:
+        tasks.setdefault(c.split("_")[0], []).append(F.format_string(f"{c}: %.4f", F.col(c).cast("double")))
+    lines = F.array(*[F.concat_ws(", ", *pairs) for pairs in tasks.values()])
+    metrics.select(F.explode(lines).alias("value")).coalesce(1).write.mode(mode).text(path)

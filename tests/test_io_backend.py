@@ -60,19 +60,22 @@ def test_row_ids_and_sinks(spark):
     io.write_tsv(df, os.path.join(d, "out"))
     back = spark.read.option("sep", "\t").option("header", True).csv(os.path.join(d, "out"))
     assert sorted((r["s"], r["v"]) for r in back.collect()) == [("a", "[1,2]"), ("b", "[3]")]
-    m = spark.createDataFrame([(0.5, 0.25)], "section_accuracy double, bio_f1 double")
+    m = spark.createDataFrame([(0.5, 1.0, 0.25)], "section_accuracy double, section_f1 double, bio_f1 double")
     io.write_report(m, os.path.join(d, "rep"))
-    line = spark.read.text(os.path.join(d, "rep")).first()["value"]
-    assert line == "section_accuracy: 0.5000, bio_f1: 0.2500"
+    lines = [r["value"] for r in spark.read.text(os.path.join(d, "rep")).collect()]
+    assert lines == ["section_accuracy: 0.5000, section_f1: 1.0000", "bio_f1: 0.2500"]
+    io.write_csv(m, os.path.join(d, "csv"))
+    assert [r["bio_f1"] for r in spark.read.option("header", True).csv(os.path.join(d, "csv")).collect()] == ["0.25"]
 
 
 def test_chat_and_knowledge(spark):
-    from critiq.functions.prompts import chat, render
+    from critiq.functions.prompts import chat
     from critiq.operators.feedback import knowledge_context
+    from critiq.operators.judge import judge_prompt
     df = spark.createDataFrame([("Paper summary + Abstract", "S", "A", "{feedback} 100%")],
                                "k string, s string, a string, seg string")
     r = df.select(chat(F.lit("hi"), "sys").alias("m"), knowledge_context("k", "s", "a").alias("c"),
-                  render("judge", dimension=F.lit("Relevance"), weakness="seg", feedback=F.lit("fb")).alias("p")).first()
+                  judge_prompt("Relevance", "seg", F.lit("fb")).alias("p")).first()
     assert [(x["role"], x["content"]) for x in r["m"]] == [("system", "sys"), ("user", "hi")]
     assert r["c"] == "S\nA"
     assert "Weakness: {feedback} 100%\nFeedback: fb" in r["p"]          # no second substitution (B25)
@@ -82,3 +85,20 @@ def test_model_map_with_seed(spark):
     df = spark.createDataFrame([(1, "p", 0), (2, "p", 1), (3, "p", 0)], "k int, prompt string, c int")
     out = model_map(df, "prompt", lambda xs, seeds: [f"{x}{s}" for x, s in zip(xs, seeds)], seed="c")
     assert sorted((r["k"], r["completion"]) for r in out.collect()) == [(1, "p0"), (2, "p1"), (3, "p0")]
+
+
+def test_list_and_sample_maps(spark):
+    from critiq.operators.backend import list_map, sample_map
+    df = spark.createDataFrame([(1, "t", ["a", "b"]), (2, "t", ["a", "b"]), (3, None, []), (4, "u", None)],
+                               "k int, t string, q array<string>")
+    got = list_map(df, "t", "q", lambda ps: [p.upper() for p in ps], "out", lambda t, i: f"{t}-{i}")
+    assert sorted((r["k"], r["out"]) for r in got.collect()) == [(1, ["T-A", "T-B"]), (2, ["T-A", "T-B"]), (3, []), (4, [])]
+    df = spark.createDataFrame([(1, "p"), (2, "p"), (3, "q")], "k int, prompt string")
+    got = sample_map(df, "prompt", 3, lambda ps, seeds: [f"{p}{s}" for p, s in zip(ps, seeds)], "out")
+    assert sorted((r["k"], r["out"]) for r in got.collect()) == [(1, ["p0", "p1", "p2"]), (2, ["p0", "p1", "p2"]), (3, ["q0", "q1", "q2"])]
+
+
+def test_row_ids_over_uneven_partitions(spark):
+    df = spark.range(100).repartition(7, "id").union(spark.range(3).coalesce(1))
+    ids = [r["row_id"] for r in io.with_row_id(df).collect()]
+    assert sorted(ids) == list(range(103))
