@@ -8,9 +8,12 @@ buckets is at least ``w`` away in projection, hence in distance, so a query
 whose k-th candidate distance is below ``w`` has its exact answer.  Every
 other query then joins exactly the buckets within its first k-th distance r
 of its projection: a point outside is more than r away, and the new k-th
-distance can only be smaller than r, so the second answer is exact.  Bucket width starts so that a bucket
-holds about ``target`` points, which keeps the candidate count per query
-constant as the data grows.
+distance can only be smaller than r, so the second answer is exact.
+
+The width is set from the middle 98 % of the projections, so that a bucket there
+holds about ``target`` points and an outlier only makes a bucket of its own.  The
+queries and the training rows of one bucket are cut into chunks by the bucket's
+own counts: a training row is copied once per query chunk of its bucket.
 """
 from __future__ import annotations
 
@@ -23,13 +26,21 @@ from .. import fixed
 from ..session import checkpointed
 
 
-def _dot(v: Column, u) -> Column:
-    return F.aggregate(F.zip_with(v, F.array(*[F.lit(float(x)) for x in u]), lambda a, b: a * b),
-                       F.lit(0.0), lambda s, x: s + x)
+def _direction(i: Column, seed: int) -> Column:
+    """The i-th coordinate of a seeded normal direction (Box-Muller over hashes)."""
+    def uniform(salt):
+        return (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
+    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * np.pi * uniform(2))
 
 
-def euclid(a: Column, b: Column) -> Column:
-    return F.sqrt(F.aggregate(F.zip_with(a, b, lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x))
+def _projection(v: Column, seed: int) -> Column:
+    """Length of the vector along the unit direction."""
+    both = F.transform(v, lambda x, i: F.struct((x * _direction(i, seed)).alias("d"),
+                                                (_direction(i, seed) * _direction(i, seed)).alias("n")))
+    total = F.aggregate(both, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n")), lambda s, x: F.struct(
+        (s["d"] + x["d"]).alias("d"), (s["n"] + x["n"]).alias("n")),
+        lambda s: F.when(s["n"] > 0, s["d"] / F.sqrt(s["n"])).otherwise(0.0))
+    return total
 
 
 def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int = 5,
@@ -38,53 +49,49 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
     every query (Euclidean; ties by training id).  With ``exclude_self`` a
     query never matches the training row with the same id (leave-one-out)."""
     tr = train.select(F.col(tid).cast("long").alias("_t"), F.col(vec).cast("array<double>").alias("_tv"))
-    width = tr.select(F.max(F.size("_tv"))).first()[0] or 0
-    u = np.random.RandomState(seed).normal(size=width)
-    u = u / (np.linalg.norm(u) or 1.0)
-    tr = checkpointed(tr.withColumn("_tp", _dot(F.col("_tv"), u)))
-    st = tr.agg(F.min("_tp").alias("lo"), F.max("_tp").alias("hi"), F.count(F.lit(1)).alias("n")).first()
-    span = max(st["hi"] - st["lo"], 1e-12)
-    w = span * min(1.0, target / max(st["n"], 1))
-    need = min(k, st["n"] - (1 if exclude_self else 0))
+    tr = checkpointed(tr.withColumn("_tp", _projection(F.col("_tv"), seed)))
+    st = tr.agg(F.min("_tp").alias("lo"), F.max("_tp").alias("hi"), F.count(F.lit(1)).alias("n"),
+                F.percentile_approx("_tp", F.array(F.lit(0.01), F.lit(0.99))).alias("mid"))
+    middle = F.greatest(F.col("mid")[1] - F.col("mid")[0], F.lit(1e-12))
+    st = checkpointed(st.select("lo", "hi", "n", (middle * F.least(
+        F.lit(1.0), F.lit(float(target)) / F.greatest("n", F.lit(1)))).alias("w")))
+    w, span = st.select("w").scalar(), st.select(F.greatest(F.col("hi") - F.col("lo"), F.col("w"))).scalar()
+    need = st.select(F.least(F.lit(k), F.col("n") - (1 if exclude_self else 0))).scalar()
     queries = (test.select(F.col(qid).cast("long").alias("_q"), F.col(vec).cast("array<double>").alias("_qv"))
-               .withColumn("_qp", _dot(F.col("_qv"), u)))
-    t = tr.withColumn("_b", F.floor(F.col("_tp") / w))
+               .withColumn("_qp", _projection(F.col("_qv"), seed)).withColumn("_w", w))
+    t = tr.withColumn("_b", F.floor(F.col("_tp") / w)).drop("_tp")
 
     def top_k(q):
-        """Exact top-k of each query among the training points of the
-        buckets it is exploded to.  Distances are computed in numpy per
-        (bucket, query chunk) group -- queries of one bucket are cut into
-        chunks of ``QUERY_CHUNK`` and the bucket's training rows are sent to
-        each chunk -- and each group returns its local top-k; a window then
-        keeps the global top-k."""
-        n_q = q.select("_q").distinct().count()
-        q_chunks = max(1, -(-n_q // QUERY_CHUNK))
-        # a hot bucket (say, many copies of one vector) is cut on the training
-        # side too, so no group holds more than about CHUNK x CHUNK pairs
-        biggest = t.groupBy("_b").count().agg(F.max("count")).first()[0] or 0
-        t_chunks = max(1, -(-biggest // TRAIN_CHUNK))
-        qs = (q.select("_b", (F.abs(F.xxhash64("_q")) % q_chunks).cast("long").alias("_qc"), "_q", "_qv")
-              .withColumn("_tc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(t_chunks - 1).cast("long")))))
-        ts = (t.select("_b", (F.abs(F.xxhash64("_t")) % t_chunks).cast("long").alias("_tc"), "_t", "_tv")
-              .withColumn("_qc", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(q_chunks - 1).cast("long")))))
+        """Exact top-k of each query among the training points of the buckets it
+        is exploded to: numpy distances per (bucket, query chunk, training chunk),
+        each of which returns its local top-k; a window keeps the global top-k."""
+        n_q = q.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("_nq"))
+        n_t = t.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / TRAIN_CHUNK).alias("_nt"))
+        chunks = n_q.join(n_t, "_b")
+        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
+        qs = q.join(chunks, "_b").select("_b", F.pmod(F.xxhash64("_q"), F.col("_nq")).alias("_qc"), upto("_nt").alias("_tc"), "_q", "_qv")
+        ts = t.join(chunks, "_b").select("_b", F.pmod(F.xxhash64("_t"), F.col("_nt")).alias("_tc"), upto("_nq").alias("_qc"), "_t", "_tv")
         local = (qs.groupBy("_b", "_qc", "_tc").cogroup(ts.groupBy("_b", "_qc", "_tc"))
                  .applyInPandas(_block_top_k(k, exclude_self), "_q long, _t long, dist double"))
         win = Window.partitionBy("_q").orderBy(F.round("dist", 9), "_t")
         return local.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
 
     # round 1: own bucket and both neighbours
-    first = top_k(queries.withColumn("_b", F.explode(F.array(*[F.floor(F.col("_qp") / w) + d for d in (-1, 0, 1)]))))
-    first = checkpointed(first)
+    near = F.explode(F.array(*[F.floor(F.col("_qp") / F.col("_w")) + d for d in (-1, 0, 1)]))
+    first = checkpointed(top_k(queries.withColumn("_b", near)))
     stat = first.groupBy("_q").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("kth"))
     sure = stat.filter((F.col("c") >= need) & (F.col("kth") < w)).select("_q")
     done = first.join(sure, "_q", "left_semi")
     # round 2: every other query joins exactly the buckets within its k-th
     # distance (or the whole range when it had fewer than k candidates)
     radius = (queries.join(sure, "_q", "left_anti").join(stat, "_q", "left")
-              .withColumn("_r", F.when(F.col("c") >= need, F.col("kth")).otherwise(F.lit(span))))
-    lo, hi = F.floor((F.col("_qp") - F.col("_r")) / w), F.floor((F.col("_qp") + F.col("_r")) / w)
-    second = top_k(radius.withColumn("_b", F.explode(F.sequence(lo.cast("long"), hi.cast("long"))))
-                   .drop("c", "kth", "_r"))
+              .withColumn("_r", F.when(F.col("c") >= need, F.col("kth")).otherwise(span + F.abs("_qp"))))
+    # only buckets that hold training points: the range is cut to theirs
+    reach = st.select(F.floor(F.col("lo") / F.col("w"))).scalar(), st.select(F.floor(F.col("hi") / F.col("w"))).scalar()
+    lo = F.greatest(F.floor((F.col("_qp") - F.col("_r")) / F.col("_w")), reach[0])
+    hi = F.least(F.floor((F.col("_qp") + F.col("_r")) / F.col("_w")), reach[1])
+    wide = radius.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi")
+    second = top_k(wide.withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("c", "kth", "_r", "_lo", "_hi"))
     out = done.unionByName(second)
     return out.select(F.col("_q").alias(qid), "rank", F.col("_t").alias(tid), "dist")
 
@@ -111,13 +118,20 @@ def _block_top_k(k: int, exclude_self: bool):
             dist = np.sqrt(acc)
             if exclude_self:
                 dist = np.where(qid[:, None] == tid[None, :], np.inf, dist)
-            for i in range(len(qid)):
-                order = np.lexsort((tid, np.round(dist[i], 9)))[:k]
-                order = order[np.isfinite(dist[i][order])]
-                out_q.extend([qid[i]] * len(order))
-                out_t.extend(tid[order].tolist())
-                out_d.extend(dist[i][order].tolist())
-        return pd.DataFrame({"_q": out_q, "_t": out_t, "dist": out_d})
+            rounded = np.round(dist, 9)
+            if len(tid) > k:       # all within the k-th distance, ties included; the window ranks them
+                kth = np.partition(rounded, k - 1, axis=1)[:, k - 1:k]
+                rows, cols = np.nonzero((rounded <= kth) & np.isfinite(dist))
+            else:
+                rows, cols = np.nonzero(np.isfinite(dist))
+            order = np.lexsort((tid[cols], rounded[rows, cols], rows))
+            rows, cols = rows[order], cols[order]
+            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
+            rows, cols = rows[place < k], cols[place < k]
+            out_q.append(qid[rows])
+            out_t.append(tid[cols])
+            out_d.append(dist[rows, cols])
+        return pd.DataFrame({"_q": np.concatenate(out_q), "_t": np.concatenate(out_t), "dist": np.concatenate(out_d)})
     return run
 
 
@@ -127,3 +141,15 @@ def knn_vote(neighbors: DataFrame, train_labels: DataFrame, qid: str, tid: str,
     j = neighbors.join(train_labels.select(F.col(tid), F.col(label).alias("_l")), tid)
     votes = j.groupBy(qid, "_l").agg(F.count(F.lit(1)).alias("_n"))
     return votes.groupBy(qid).agg(F.max_by("_l", F.struct("_n", -F.col("_l"))).alias("predicted"))
+
+
+def knn_label_sets(neighbors: DataFrame, train_labels: DataFrame, qid: str, tid: str, labels: str) -> DataFrame:
+    """C1, multi-label: (qid, predicted) with the sorted labels that more than half of
+    the query's neighbours have (one vote per label, uniform weights)."""
+    n = neighbors.groupBy(qid).agg(F.count(F.lit(1)).alias("_n"))
+    votes = (neighbors.join(train_labels.select(tid, F.explode(F.array_distinct(labels)).alias("_l")), tid)
+             .groupBy(qid, "_l").agg(F.count(F.lit(1)).alias("_c")))
+    sets = (votes.join(n, qid).filter(2 * F.col("_c") > F.col("_n")).groupBy(qid)
+            .agg(F.array_sort(F.collect_list("_l")).alias("predicted")))
+    return n.select(qid).join(sets, qid, "left").select(
+        qid, F.coalesce("predicted", F.array().cast("array<string>")).alias("predicted"))

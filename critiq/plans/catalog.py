@@ -915,6 +915,25 @@ def knn_predict(spark, sf_dir):
             .select("vec_id", "label", "predicted", (F.col("label") == F.col("predicted")).alias("correct")))
 
 
+_EMB_LABELS = ("CASE WHEN label % 2 = 0 THEN 'even' END", "CASE WHEN label % 3 = 0 THEN 'third' END", "CASE WHEN label < 4 THEN 'low' END")
+
+
+@register("knn_multilabel", sql=f"""{_KNN_SQL},
+el AS (SELECT vec_id, unnest(list_filter([{', '.join(_EMB_LABELS)}], lambda x: x IS NOT NULL)) AS l FROM embeddings),
+v AS (SELECT nn.q, el.l FROM nn JOIN el ON el.vec_id = nn.t GROUP BY nn.q, el.l HAVING count(*) > 2.5)
+SELECT e.vec_id, coalesce(string_agg(v.l, ',' ORDER BY v.l), '') AS predicted FROM embeddings e LEFT JOIN v ON v.q = e.vec_id GROUP BY e.vec_id
+""")
+def knn_multilabel(spark, sf_dir):
+    """C1 as one of the multi-label models: a label is predicted if more than half of
+    the 5 nearest have it."""
+    e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding", F.array_compact(F.array(
+        *[F.expr(x) for x in _EMB_LABELS])).alias("labels"))
+    n = nbr.knn(e.withColumnRenamed("vec_id", "tid"), e.withColumnRenamed("vec_id", "qid"),
+                "tid", "qid", "embedding", 5, exclude_self=True)
+    p = nbr.knn_label_sets(n, e.withColumnRenamed("vec_id", "tid"), "qid", "tid", "labels")
+    return p.select(F.col("qid").alias("vec_id"), F.array_join("predicted", ",").alias("predicted"))
+
+
 # ---------------------------------------------------------------------------
 # S4 + P4 + P5: review bodies as Python dict literals, parsed back and looked up
 # ---------------------------------------------------------------------------

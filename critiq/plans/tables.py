@@ -14,18 +14,21 @@ TABLES = ["region", "nation", "customer", "supplier", "part", "orders", "lineite
 TEXT_TABLES = {"documents", "conversations", "pages", "benchmark"}
 
 
+# a table of at most this many bytes may be dealt out anew before per-row work
+SPREAD_BYTES = 256 << 20
+
+
 def spread(df: DataFrame) -> DataFrame:
-    """Round-robin a scan that came back with fewer partitions than the
-    cluster has cores (a small file with one row group is one task).  A large
-    input already has more splits than cores, so this is a no-op at scale."""
-    par = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() < par:
-        return df.repartition(par)
-    return df
+    """Deal a small table out over the cores: a file of one row group is one
+    task, however much work its rows are.  Only a table of at most
+    ``SPREAD_BYTES`` (by the scan's own statistics) is moved; larger ones are read
+    as they are split."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> DataFrame:
-    """Scan a driver table; ``heavy`` (per-row text work follows) spreads a
-    single-split text table over the cores."""
+    """Scan a driver table; ``heavy`` (per-row text work follows) deals a small
+    text table out over the cores."""
     df = spark.read.parquet(os.path.join(sf_dir, f"{name}.parquet"))
     return spread(df) if heavy and name in TEXT_TABLES else df
