@@ -107,3 +107,10 @@ HOLDOUT_SIZE, HOLDOUT_TRIALS, CV_FOLDS, CV_TRIALS, SEED = 0.1, 1000, 5, 100, 42
 TOP_SEGMENTS_PER_ISSUE = 5
 MIN_SUPPORT = 5            # keep issues with more than this many segments
 SHORT_SEGMENT_CHARS = 10   # stripped segments shorter than this get no labels
+
+# names of the compared classifiers, in the original's order
+CLASSIFIER_NAMES = [
+    "KNN", "Logistic Regression (L2)", "Logistic Regression (L1)", "Random Forest", "Decision Tree", "SVM (RBF)",
+    "SVM (Linear)", "SVM (Poly)", "Gradient Boosting", "AdaBoost", "Extra Trees", "Multi-layer Perceptron (MLP)",
+    "Gaussian Naive Bayes", "Stochastic Gradient Descent (SGD)",
+]

@@ -51,15 +51,16 @@ def single_label_report(df: DataFrame, tasks: dict) -> DataFrame:
 
 
 def label_matches(df: DataFrame, key: str, true_col: str, pred_col: str) -> DataFrame:
-    """Full outer join of the exploded gold and predicted label sets on
-    (row, label): both sides = TP, predicted only = FP, gold only = FN."""
-    t = df.select(key, F.explode(F.array_distinct(true_col)).alias("label")).withColumn("_t", F.lit(1))
-    p = df.select(key, F.explode(F.array_distinct(pred_col)).alias("label")).withColumn("_p", F.lit(1))
-    j = t.join(p, [key, "label"], "full_outer")
-    return j.select(key, "label",
-                    (F.col("_t").isNotNull() & F.col("_p").isNotNull()).cast("int").alias("tp"),
-                    (F.col("_t").isNull() & F.col("_p").isNotNull()).cast("int").alias("fp"),
-                    (F.col("_t").isNotNull() & F.col("_p").isNull()).cast("int").alias("fn"))
+    """The full outer match of a row's gold and predicted label sets: in
+    both = TP, predicted only = FP, gold only = FN.  Both sets sit in the row, so
+    they are matched there; only the matched labels are exploded."""
+    empty = F.array().cast("array<string>")
+    t, p = (F.coalesce(F.col(c), empty) for c in (true_col, pred_col))
+    has = lambda side, x: F.coalesce(F.array_contains(side, x), F.lit(False))
+    cells = F.transform(F.array_union(t, p), lambda x: F.struct(
+        x.alias("label"), (has(t, x) & has(p, x)).cast("int").alias("tp"), (~has(t, x)).cast("int").alias("fp"),
+        (~has(p, x)).cast("int").alias("fn")))
+    return df.select(key, F.inline(cells))
 
 
 def per_class_relaxed(df: DataFrame, key: str, true_col: str, pred_col: str) -> DataFrame:

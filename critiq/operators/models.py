@@ -17,8 +17,7 @@ from typing import Callable, Dict, Sequence
 from pyspark.ml.classification import (DecisionTreeClassifier, GBTClassifier, LinearSVC,
                                        LogisticRegression, MultilayerPerceptronClassifier,
                                        NaiveBayes, RandomForestClassifier)
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import PCA, PolynomialExpansion
+from pyspark.ml.stat import Summarizer
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,10 +30,12 @@ from .metrics import micro_fbeta_cells
 def feature_stats(fit: DataFrame, col: str) -> Column:
     """Per-position mean and population std (scikit-learn divides by n) as
     one array value (scalar subquery over a table bounded by the width)."""
-    per_dim = (fit.select(F.posexplode(col).alias("i", "x"))
-               .groupBy("i").agg(F.avg(F.col("x").cast("double")).alias("m"),
-                                 F.stddev_pop(F.col("x").cast("double")).alias("s")))
-    return per_dim.select(F.array_sort(F.collect_list(F.struct("i", "m", "s")))).scalar()
+    # one vector per row into the aggregation buffer, not a row per position
+    v = array_to_vector(F.col(col).cast("array<double>"))
+    both = fit.select(Summarizer.metrics("mean", "variance", "count").summary(v).alias("s"))
+    m, var, n = vector_to_array("s.mean"), vector_to_array("s.variance"), F.col("s.count").cast("double")
+    return both.select(F.transform(F.arrays_zip(m.alias("m"), var.alias("v")), lambda x: F.struct(
+        x["m"].alias("m"), F.sqrt(x["v"] * (n - 1) / n).alias("s")))).scalar()
 
 
 def standardize(df: DataFrame, col: str, fit: DataFrame = None, out: str = "scaled") -> DataFrame:
@@ -52,68 +53,122 @@ def _n_rows_reg(n: int) -> float:
     return 1.0 / max(n, 1)
 
 
-# MLlib stand-ins for the compared classifiers (see README for the
-# ones that are approximations).  Each factory takes the training row count
-# and the feature width.
-CLASSIFIERS: Dict[str, Callable[[int, int], object]] = {
-    "Logistic Regression (L2)": lambda n, d: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=0.0,
-                                                             maxIter=2000, standardization=False),
-    "Logistic Regression (L1)": lambda n, d: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=1.0,
-                                                             maxIter=2000, standardization=False),
-    "Random Forest": lambda n, d: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30,
-                                                      seed=fixed.SEED),
-    "Decision Tree": lambda n, d: DecisionTreeClassifier(maxDepth=30, seed=fixed.SEED),
-    "SVM (Linear)": lambda n, d: LinearSVC(maxIter=100, regParam=_n_rows_reg(n)),
-    "Gradient Boosting": lambda n, d: GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=fixed.SEED),
-    "Extra Trees": lambda n, d: RandomForestClassifier(numTrees=100, bootstrap=False, featureSubsetStrategy="sqrt",
-                                                    maxDepth=30, seed=fixed.SEED),
-    "Gaussian Naive Bayes": lambda n, d: NaiveBayes(modelType="gaussian"),
-    "Stochastic Gradient Descent (SGD)": lambda n, d: LogisticRegression(regParam=1e-4, maxIter=1000, tol=1e-3),
-}
-
-
-CLASSIFIERS["Multi-layer Perceptron (MLP)"] = lambda n, d: MultilayerPerceptronClassifier(
-    layers=[d, 100, 2], maxIter=500, seed=fixed.SEED)                                   # C12
-CLASSIFIERS["SVM (RBF)"] = lambda n, d: RFFLinearSVC(d, n)                               # C6
-CLASSIFIERS["SVM (Poly)"] = lambda n, d: Pipeline(stages=[                              # C8
-    PCA(k=min(16, d), inputCol="features", outputCol="_pca"),
-    PolynomialExpansion(degree=3, inputCol="_pca", outputCol="_poly"),
-    LinearSVC(featuresCol="_poly", maxIter=100, regParam=_n_rows_reg(n))])
-CLASSIFIERS["AdaBoost"] = lambda n, d: AdaBoostStumps(rounds=100, learning_rate=1.0)      # C10
-
-
-class RFFLinearSVC:
-    """C6 (approximate): random Fourier features of an RBF kernel (Rahimi and
-    Recht, 2007) followed by a linear SVM.  gamma = 1 / width (the 'scale'
-    default on standardised inputs); the projection matrix is seeded and
-    small (width x n_components), the projection itself runs in Arrow
-    batches with numpy on the executors."""
-
-    def __init__(self, width: int, n_rows: int, n_components: int = 256, seed: int = fixed.SEED):
+def _svm(n: int, col: str = "features") -> LinearSVC:
+    return LinearSVC(featuresCol=col, maxIter=100, regParam=_n_rows_reg(n))
+
+
+# C1-C14, in the order of ``fixed.CLASSIFIER_NAMES``: MLlib stand-ins for the compared
+# classifiers (see README for the ones that are approximations).  Each factory takes the
+# training row count and the feature width.
+CLASSIFIERS: Dict[str, Callable[[int, int], object]] = dict(zip(fixed.CLASSIFIER_NAMES, [
+    lambda n, d: KNNClassifier(),
+    lambda n, d: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=0.0, maxIter=2000, standardization=False),
+    lambda n, d: LogisticRegression(regParam=_n_rows_reg(n), elasticNetParam=1.0, maxIter=2000, standardization=False),
+    lambda n, d: RandomForestClassifier(numTrees=100, featureSubsetStrategy="sqrt", maxDepth=30, seed=fixed.SEED),
+    lambda n, d: DecisionTreeClassifier(maxDepth=30, seed=fixed.SEED),
+    lambda n, d: MarginModel(lambda c: _svm(n, c), RandomFourier(d)),
+    lambda n, d: MarginModel(lambda c: _svm(n, c)),
+    lambda n, d: MarginModel(lambda c: _svm(n, c), TensorSketch(d)),
+    lambda n, d: GBTClassifier(maxIter=100, stepSize=0.1, maxDepth=3, seed=fixed.SEED),
+    lambda n, d: AdaBoostStumps(rounds=100, learning_rate=1.0),
+    lambda n, d: RandomForestClassifier(numTrees=100, bootstrap=False, featureSubsetStrategy="sqrt", maxDepth=30,
+                                        seed=fixed.SEED),
+    lambda n, d: MultilayerPerceptronClassifier(layers=[d, 100, 2], maxIter=500, seed=fixed.SEED),
+    lambda n, d: NaiveBayes(modelType="gaussian"),
+    lambda n, d: LogisticRegression(regParam=1e-4, maxIter=1000, tol=1e-3),
+]))
+
+
+class RandomFourier:
+    """Random Fourier features of an RBF kernel (Rahimi and Recht, 2007), gamma =
+    1 / width (the 'scale' default on standardised inputs)."""
+
+    def __init__(self, width: int, components: int = 256, seed: int = fixed.SEED):
         rng = np.random.RandomState(seed)
-        gamma = 1.0 / max(width, 1)
-        self.w = rng.normal(0.0, np.sqrt(2 * gamma), size=(width, n_components))
-        self.b = rng.uniform(0, 2 * np.pi, size=n_components)
-        self.n_rows = n_rows
+        self.w = rng.normal(0.0, np.sqrt(2.0 / max(width, 1)), size=(width, components))
+        self.b = rng.uniform(0, 2 * np.pi, size=components)
 
-    def _project(self, df: DataFrame) -> DataFrame:
-        w, b = self.w, self.b
-        scale = np.sqrt(2.0 / w.shape[1])
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        return np.sqrt(2.0 / self.w.shape[1]) * np.cos(x @ self.w + self.b)
+
+
+class TensorSketch:
+    """Sketch of the polynomial kernel (gamma * x.y)^degree (Pham and Pagh, 2013), gamma =
+    1 / width: the product of count sketches in the frequency domain.  Every feature
+    direction takes part; ``components`` sets the sketch's width."""
+
+    def __init__(self, width: int, components: int = 256, degree: int = 3, seed: int = fixed.SEED):
+        rng = np.random.RandomState(seed)
+        self.components, self.scale = components, np.sqrt(1.0 / max(width, 1))
+        self.place = rng.randint(0, components, size=(degree, width))
+        self.sign = rng.choice([-1.0, 1.0], size=(degree, width))
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        out = 1.0
+        for place, sign in zip(self.place, self.sign):
+            sketch = np.zeros((len(x), self.components))
+            np.add.at(sketch.T, place, (x * sign * self.scale).T)
+            out = out * np.fft.rfft(sketch, axis=1)
+        return np.fft.irfft(out, n=self.components, axis=1)
+
+
+class MarginModel:
+    """A linear model with a margin over the features or a seeded map of
+    them (applied in Arrow batches with numpy), and the probability as a logistic fit
+    of the label on the training margin (Platt, 1999)."""
+
+    def __init__(self, make, features=None):
+        self.make, self.features = make, features
+
+    def _mapped(self, df: DataFrame) -> DataFrame:
+        if self.features is None:
+            return df.withColumn("_map", F.col("features"))
+        mapped = self.features
 
         @F.pandas_udf("array<double>")
-        def rff(x: pd.Series) -> pd.Series:
-            m = np.vstack(x.map(np.asarray).values) if len(x) else np.zeros((0, w.shape[0]))
-            z = scale * np.cos(m @ w + b)
-            return pd.Series(list(z))
+        def run(x: pd.Series) -> pd.Series:
+            return pd.Series(list(mapped(np.vstack(x.map(np.asarray).values)))) if len(x) else pd.Series([], dtype=object)
+
+        return df.withColumn("_map", array_to_vector(run(vector_to_array("features"))))
+
+    def _margins(self, df: DataFrame) -> DataFrame:
+        out = self.model.transform(self._mapped(df)).drop("_map")
+        return out.withColumn("_m", array_to_vector(F.array(vector_to_array("rawPrediction")[1])))
+
+    def fit(self, df: DataFrame):
+        self.model = self.make("_map").fit(self._mapped(df))
+        self.link = LogisticRegression(featuresCol="_m", rawPredictionCol="_lr", predictionCol="_lp").fit(
+            self._margins(df).select("_m", "label"))
+        return self
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        return self.link.transform(self._margins(df)).drop("_m", "_lr", "_lp")
+
+
+class KNNClassifier:
+    """C1 as a binary model: the share of positive labels among the k nearest
+    training rows (exact, see ``neighbors``); a label is predicted above one half."""
 
-        return df.withColumn("_rff", array_to_vector(rff(vector_to_array("features"))))
+    def __init__(self, k: int = 5):
+        self.k = k
 
     def fit(self, df: DataFrame):
-        self.model = LinearSVC(featuresCol="_rff", maxIter=100, regParam=_n_rows_reg(self.n_rows)).fit(self._project(df))
+        self.train = checkpointed(df.select(vector_to_array("features").alias("_v"), "label")
+                                  .withColumn("_tid", F.monotonically_increasing_id()))
         return self
 
     def transform(self, df: DataFrame) -> DataFrame:
-        return self.model.transform(self._project(df)).drop("_rff")
+        from .neighbors import knn
+        rows = checkpointed(df.withColumn("_qid", F.monotonically_increasing_id()))
+        near = knn(self.train.withColumnRenamed("_v", "v"), rows.select("_qid", vector_to_array("features").alias("v")),
+                   "_tid", "_qid", "v", self.k)
+        share = (near.join(self.train.select("_tid", F.col("label").alias("_y")), "_tid").groupBy("_qid")
+                 .agg(F.avg("_y").alias("_p")))
+        out = rows.join(share, "_qid", "left").withColumn("_p", F.coalesce("_p", F.lit(0.0)))
+        two = lambda a, b: array_to_vector(F.array(a, b))
+        return (out.withColumn("prediction", (F.col("_p") > 0.5).cast("double"))
+                .withColumn("rawPrediction", two(1 - F.col("_p"), F.col("_p")))
+                .withColumn("probability", two(1 - F.col("_p"), F.col("_p"))).drop("_qid", "_p"))
 
 
 class AdaBoostStumps:

@@ -5,6 +5,7 @@ from concurrent.futures import ThreadPoolExecutor
 import pytest
 from pyspark.sql import functions as F
 
+from critiq import fixed
 from critiq.operators import models as mdl
 from critiq.operators.metrics import micro_fbeta_cells
 
@@ -26,8 +27,13 @@ def test_standardize(spark):
 
 
 def test_every_classifier_separates(spark, votes):
+    """All fourteen, trained on one side and scored on the other."""
+    assert list(mdl.CLASSIFIERS) == fixed.CLASSIFIER_NAMES
+
     def run(name):
-        cells = mdl.binary_relevance(votes, votes, "k", "f", "labels", ["x"], mdl.CLASSIFIERS[name], threads=1)
+        cells = mdl.binary_relevance(votes.filter("k < 56"), votes.filter("k >= 56"), "k", "f", "labels", ["x"],
+                                     mdl.CLASSIFIERS[name], threads=1)
+        assert cells.filter("score < 0 or score > 1").count() == 0, name         # probabilities, the SVMs' too
         return name, micro_fbeta_cells(cells).first()["f05"]
     with ThreadPoolExecutor(max_workers=4) as ex:
         scores = dict(ex.map(run, list(mdl.CLASSIFIERS)))
@@ -87,3 +93,24 @@ def test_knn_chunked_groups(spark, monkeypatch):
     for qi, qv in pts:
         d = sorted((round(math.dist(qv, tv), 9), ti) for ti, tv in pts if ti != qi)[:4]
         assert [t for _, t in sorted(got[qi])] == [t for _, t in d], qi
+
+
+def test_tensor_sketch_keeps_the_polynomial_kernel():
+    import numpy as np
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(40, 6))
+    sketch = mdl.TensorSketch(6, components=4096)
+    got = sketch(x) @ sketch(x).T
+    want = (x @ x.T / 6) ** 3
+    assert np.abs(got - want).max() < 0.25 * np.abs(want).max()
+    assert np.corrcoef(got.ravel(), want.ravel())[0, 1] > 0.98
+
+
+def test_knn_outlier_and_one_point(spark):
+    from critiq.operators import neighbors as nbr
+    pts = [(i, [float(i % 7), float(i // 7)]) for i in range(50)] + [(50, [1e9, -1e9])]
+    df = spark.createDataFrame(pts, "id int, v array<double>")
+    got = nbr.knn(df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q"), "t", "q", "v", 3, exclude_self=True, target=4)
+    assert got.count() == 51 * 3 and {r["t"] for r in got.filter("q = 0").collect()} == {1, 7, 8}
+    one = df.filter("id = 0")
+    assert nbr.knn(one.withColumnRenamed("id", "t"), one.withColumnRenamed("id", "q"), "t", "q", "v", 3).count() == 1
