@@ -216,7 +216,7 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least_score: float = 0.5) -> DataFrame:
+def identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
     """``docs`` (all its columns) without the texts that have no language: ``und``, or no
     language with a score of ``least_score``."""
     marked = docs.withColumn("__text", F.col("text"))
