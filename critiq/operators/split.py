@@ -46,7 +46,7 @@ def _prevalence_diff(assign: DataFrame, rows: DataFrame, lab: DataFrame, group:
     tot_occ = tot_lab.select(F.sum("tot_lab")).scalar()
     t_rows = assign.join(rows, group).groupBy(*by).agg(F.sum("n_rows").alias("test_rows"))
     t_lab = (assign.join(lab, group).groupBy(*by, "label").agg(F.sum("n_lab").alias("test_lab"))
-             .join(F.broadcast(tot_lab), "label"))   # label vocabulary: bounded
+             .join(tot_lab, "label"))
     train_rows = F.col("tot_rows") - F.col("test_rows")
     term = (F.abs((F.col("tot_lab") - F.col("test_lab")) / train_rows - F.col("test_lab") / F.col("test_rows"))
             - F.col("tot_lab") / train_rows)
