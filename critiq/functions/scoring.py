@@ -52,7 +52,9 @@ def syllables(text, low=None) -> Column:
     start) and its possessive run never backtracks, and the two alternatives
     can never match the same characters."""
     s = F.lower(col_of(text)) if low is None else low
-    return F.regexp_count(s, F.lit(rf"[aeiouy]+|(?:^|[{SPACE}])[^aeiouy{SPACE}]++(?=[{SPACE}]|\z)"))
+    # every match becomes a capital, which lower-cased text does not have, and those are counted
+    marked = F.regexp_replace(s, rf"(?U)[aeiouy]+|(?:^|[{SPACE}])[^aeiouy{SPACE}]++(?=[{SPACE}]|\z)", "A")
+    return let(marked, lambda m: (F.length(m) - F.length(F.replace(m, F.lit("A"), F.lit("")))).cast("int"))
 
 
 def reading_ease(text, toks=None, low=None) -> Column:

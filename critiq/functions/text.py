@@ -13,16 +13,17 @@ __all__ = [
     "clean_gold", "validate_section", "validate_bio", "tokens", "sentence_marks",
     "split_sentences", "vote_code", "bracket_items", "has_bracket_list",
     "judge_feedback", "judge_score", "score_int", "safe_name", "pad_flatten",
-    "multi_hot", "first_part", "SENTENCE_SPLIT", "SPACE",
+    "multi_hot", "first_part", "SENTENCE_SPLIT", "SPACE", "SPACE_LISTED",
 ]
 
-# The characters Python's ``str.split()`` and ``str.strip()`` take
-# as whitespace, as the inside of a regex character class (Java's ``\\s`` is ASCII
-# only, and its Unicode form lacks four separators)
-SPACE = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
+# What Python's ``str.split()`` and ``str.strip()`` take as whitespace, as the inside of a
+# regex character class: for Java under ``(?U)`` (one property test and four separators that
+# Unicode does not count), and spelled out for engines without it
+SPACE = r"\s\x1C\x1D\x1E\x1F"
+SPACE_LISTED = r"\x09-\x0D\x1C-\x20\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 
 # sentence boundary: whitespace that follows a sentence mark
-SENTENCE_SPLIT = rf"(?<=[.!?])[{SPACE}]+"
+SENTENCE_SPLIT = rf"(?U)(?<=[.!?])[{SPACE}]+"
 
 
 def col_of(c) -> Column:
@@ -32,7 +33,7 @@ def col_of(c) -> Column:
 def strip(c) -> Column:
     """Python ``str.strip()``: Unicode whitespace on both ends (Spark ``trim``
     removes spaces only)."""
-    return F.regexp_replace(col_of(c), rf"^[{SPACE}]+|[{SPACE}]+\z", "")
+    return F.regexp_replace(col_of(c), rf"(?U)^[{SPACE}]+|[{SPACE}]+\z", "")
 
 
 def normalize_label(c) -> Column:
@@ -107,14 +108,14 @@ def validate_bio(c) -> Column:
 
 def tokens(c) -> Column:
     """whitespace tokens (Python ``str.split()``)."""
-    return F.array_remove(F.split(col_of(c), f"[{SPACE}]+"), "")
+    return F.array_remove(F.split(col_of(c), f"(?U)[{SPACE}]+"), "")
 
 
 def sentence_marks(c) -> Column:
-    """number of ``.``, ``!`` and ``?`` characters (a character map,
+    """number of ``.``, ``!`` and ``?`` characters (plain replacement,
     no regex)."""
     s = col_of(c)
-    return F.length(s) - F.length(F.translate(s, ".!?", ""))
+    return sum((F.length(s) - F.length(F.replace(s, F.lit(m), F.lit(""))) for m in ".!?"), F.lit(0))
 
 
 def split_sentences(c) -> Column:

@@ -6,7 +6,7 @@ never parses or runs them.
 from __future__ import annotations
 
 from .. import fixed
-from ..functions.text import SPACE
+from ..functions.text import SPACE_LISTED as SPACE
 
 
 def lit(s: str) -> str:
