@@ -1,8 +1,10 @@
 """Line dedup by overlapping three-line windows.
 
 A text is cut into logical lines: physical lines, cut again after a sentence end
-([.!?] and blanks) and after every ``WRAP`` words, so that a passage is found
-wherever it stands in a physical line.  Lines without a word are no lines.
+([.!?] and blanks), and pieces of more than ``WRAP`` words again after words whose hash
+is the least of the ``REACH`` words on either side (``cuts``).  These cuts follow from the words
+around them, not from where the piece began, so a passage is cut alike wherever it
+stands in a physical line, from its first such cut on.  Lines without a word are no lines.
 Every three consecutive lines (all of them, if the text has fewer) are hashed
 over their words, lower-cased; windows of fewer than ``MIN_WORDS`` words are
 left alone, since such short runs repeat by chance.  Of windows that repeat
@@ -16,6 +18,7 @@ empty result."""
 from __future__ import annotations
 
 import re
+from zlib import crc32
 
 import numpy as np
 import pandas as pd
@@ -28,19 +31,49 @@ from critiq.llm.common import n_words, prepare, same_row, shared_table, text_has
 
 WINDOW = 3
 WRAP = 16
+REACH = 4
 MIN_WORDS = 10
 _CUT = re.compile(r"\n|(?<=[.!?])[ \t]+")
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
 
-def lines(text: str) -> tuple[list[int], list[list[str]]]:
+def cuts(words: list[bytes]) -> list[int]:
+    """Where each line of a piece begins: after a word whose hash is less than those of the
+    ``REACH`` words before and not more than those of the ``REACH`` after; where that leaves more than
+    ``WRAP`` words, also after the (last) word of the least hash that leaves a line of ``REACH`` + 1
+    to ``WRAP`` words.  Lines of a cut piece have more than ``REACH`` words."""
+    n = len(words)
+    if n <= WRAP:
+        return [0]
+    h = [crc32(w) for w in words]
+    out, begin, i = [0], 0, REACH
+    while begin < n:
+        while i < n - REACH - 1 and not (h[i] <= min(h[i + 1:i + REACH + 1]) and h[i] < min(h[i - REACH:i])):
+            i += 1
+        end = i + 1 if i < n - REACH - 1 else n
+        while end - begin > WRAP:
+            near = h[begin + REACH:min(begin + WRAP, end - REACH - 1)]
+            begin += REACH + len(near) - near[::-1].index(min(near))
+            out.append(begin)
+        begin, i = end, end + REACH
+        if end < n:
+            out.append(end)
+    return out
+
+
+def by_place(words: list[bytes]) -> list[int]:
+    """As ``cuts``, after every ``WRAP`` words: the lines that ``ORACLE`` states."""
+    return list(range(0, len(words), WRAP))
+
+
+def lines(text: str, cut=cuts) -> tuple[list[int], list[list[bytes]]]:
     """Code point at which each logical line begins, and its lower-cased words.
     A line reaches to the beginning of the next."""
     starts, found = [], []
     at = 0
-    for cut in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
-        piece, begin = text[at:cut[0]], at
-        at = cut[1]
+    for end, after in [*(m.span() for m in _CUT.finditer(text)), (len(text), len(text))]:
+        piece, begin = text[at:end], at
+        at = after
         words = piece.lower().encode("utf-8").split()
         if not words:
             continue
@@ -49,17 +82,18 @@ def lines(text: str) -> tuple[list[int], list[list[str]]]:
             found.append(words)
             continue
         spots = [m.start() for m in _WORD.finditer(piece)]
-        for k in range(0, len(words), WRAP):
+        places = cut(words)
+        for k, to in zip(places, [*places[1:], len(words)]):
             starts.append(begin + (spots[k] if k else 0))
-            found.append(words[k:k + WRAP])
+            found.append(words[k:to])
     return starts, found
 
 
-def windows(text: str | None) -> tuple[int, list[int], list[int]]:
+def windows(text: str | None, cut=cuts) -> tuple[int, list[int], list[int]]:
     """Number of lines, and position and signed 64-bit hash of each window."""
     if not text:
         return 0, [], []
-    _, found = lines(text)
+    _, found = lines(text, cut)
     n, width = len(found), min(WINDOW, len(found))
     sizes = [len(w) for w in found]
     joined = [b" ".join(w) for w in found]
@@ -68,24 +102,26 @@ def windows(text: str | None) -> tuple[int, list[int], list[int]]:
     return n, at, hashes.view(np.int64).tolist()
 
 
-def _windows_of(batches):
-    for batch in batches:
-        rows = [windows(t) for t in batch.column("text").to_pylist()]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("__th"), pa.array([r[0] for r in rows], pa.int64()),
-             pa.array([r[1] for r in rows], pa.list_(pa.int64())),
-             pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
-            names=["__id", "__th", "n_lines", "at", "hashes"])
+def _windows_of(cut):
+    def run(batches):
+        for batch in batches:
+            rows = [windows(t, cut) for t in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("__th"), pa.array([r[0] for r in rows], pa.int64()),
+                 pa.array([r[1] for r in rows], pa.list_(pa.int64())),
+                 pa.array([r[2] for r in rows], pa.list_(pa.int64()))],
+                names=["__id", "__th", "n_lines", "at", "hashes"])
+    return run
 
 
-def covered(docs: DataFrame) -> DataFrame:
+def covered(docs: DataFrame, cut=cuts) -> DataFrame:
     """(__id, __th, n_lines, removed): for each distinct (doc_id, text) the
     positions of the lines to remove, ascending (null: none)."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = shared_table(
         docs.select("doc_id", "text", text_hash(F.col("text")).alias("__th"))
-        .mapInArrow(_windows_of, f"__id {kind}, __th long, n_lines long, at array<long>, hashes array<long>"),
+        .mapInArrow(_windows_of(cut), f"__id {kind}, __th long, n_lines long, at array<long>, hashes array<long>"),
         "windows")
     each = table.select("__id", "__th", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select(
         F.col("w.hashes").alias("h"), F.struct("__id", "__th", F.col("w.at").alias("at")).alias("place"))
@@ -102,9 +138,9 @@ def covered(docs: DataFrame) -> DataFrame:
                     F.filter("removed", lambda x: x < F.col("n_lines")).alias("removed")))
 
 
-def without(text: str, removed) -> str:
+def without(text: str, removed, cut=cuts) -> str:
     """The text without the lines at these positions."""
-    starts, _ = lines(text)
+    starts, _ = lines(text, cut)
     gone, out, at = set(int(x) for x in removed), [], 0
     for k, begin in enumerate(starts):
         end = starts[k + 1] if k + 1 < len(starts) else len(text)
@@ -114,22 +150,22 @@ def without(text: str, removed) -> str:
     return ("".join(out) + text[at:]).strip("\n ") if gone else text
 
 
-def _without_udf():
+def _without_udf(cut):
     @F.pandas_udf("string")
     def run(text: pd.Series, removed: pd.Series) -> pd.Series:
-        return pd.Series([None if t is None or r is None else without(t, r) for t, r in zip(text, removed)], dtype=object)
+        return pd.Series([None if t is None or r is None else without(t, r, cut) for t, r in zip(text, removed)], dtype=object)
     return run
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, cut=cuts) -> DataFrame:
     """``docs`` (all its columns) with the later copies of repeated passages cut
     out of ``text``, and n_lines, n_removed (long; columns of these names are replaced)."""
-    found = covered(docs).withColumnsRenamed({"n_lines": "__n", "removed": "__removed"})
+    found = covered(docs, cut).withColumnsRenamed({"n_lines": "__n", "removed": "__removed"})
     named = docs.withColumn("__hash", text_hash(F.col("text")))
     out = named.join(found, same_row(named, found), "left")
     hit = F.size("__removed") > 0
-    cut = _without_udf()(F.when(hit, F.col("text")), F.when(hit, F.col("__removed")))
-    return (out.withColumn("__cut", cut)
+    left = _without_udf(cut)(F.when(hit, F.col("text")), F.when(hit, F.col("__removed")))
+    return (out.withColumn("__cut", left)
             .withColumn("text", F.when(hit, F.col("__cut")).otherwise(F.col("text")))
             .withColumn("n_lines", F.coalesce("__n", F.lit(0).cast("long")))
             .withColumn("n_removed", F.when(hit, F.size("__removed")).otherwise(0).cast("long"))
@@ -137,7 +173,8 @@ def dedup_lines(docs: DataFrame) -> DataFrame:
 
 
 def digest(docs: DataFrame) -> DataFrame:
-    return dedup_lines(docs).select("doc_id", "n_lines", "n_removed", n_words(F.col("text")).alias("words_left"))
+    """The contract's columns, with the lines that ``ORACLE`` states (cut by place)."""
+    return dedup_lines(docs, by_place).select("doc_id", "n_lines", "n_removed", n_words(F.col("text")).alias("words_left"))
 
 
 def emptied(text: Column, n_removed: Column) -> Column:

@@ -1,4 +1,7 @@
+import random
+
 import duckdb
+import pytest
 
 from critiq.llm import linededup
 
@@ -63,3 +66,27 @@ def test_messy(messy, nothing):
     assert by[4][0].text is None and by[5][0].text == "" and by[6][0].text == " \n\t \n" and by[7][0].n_removed == 0
     assert by[1][0].removed == by[1][0].text                  # a column of that name is left alone
     assert linededup.dedup_lines(nothing).count() == 0
+
+
+@pytest.mark.parametrize("sentence", [0, 12, 30])
+@pytest.mark.parametrize("size", [51, 60, 90])
+def test_passage_is_found_at_every_offset(size, sentence):
+    rng = random.Random(size + sentence)
+    word = lambda k: f"{rng.choice('abcdefghij')}{k}{rng.randrange(3000)}"
+    passage = [f"p{word(k)}" + "." * (sentence and k % sentence == sentence // 2) for k in range(size)]
+    rows = [(0, " ".join(passage))]
+    for offset in range(16):
+        rows.append((offset + 1, " ".join([word(k) for k in range(32 + offset)] + passage + [word(k) for k in range(40)])))
+    for _, _, removed, left in brute(rows)[1:]:
+        assert removed >= 3 and sum(w.startswith("p") for w in left.split()) <= 30
+        assert sum(not w.startswith("p") for w in left.split()) >= 72
+
+
+def test_line_cuts_follow_the_words_around_them():
+    rng = random.Random(3)
+    words = [str(rng.randrange(500)).encode() for _ in range(400)]
+    whole = linededup.cuts(words)
+    sizes = [b - a for a, b in zip(whole, [*whole[1:], 400])]
+    assert linededup.REACH < min(sizes) and max(sizes) <= linededup.WRAP
+    for k in range(1, 40):
+        assert len(set(whole) & {k + c for c in linededup.cuts(words[k:])} - set(range(k + 60))) == sum(c >= k + 60 for c in whole)
