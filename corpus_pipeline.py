@@ -21,7 +21,7 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Cuts repeated passages; documents of which nothing is left go."""
     prepare(spark)
-    out = linededup.dedup_lines(docs)
+    out = linededup.dedup_lines(docs, short=True)
     return out.filter(~linededup.emptied(out["text"], out["n_removed"])).select(*docs.columns)
 
 

@@ -7,7 +7,9 @@ around them, not from where the piece began, so a passage is cut alike wherever
 stands in a physical line, from its first such cut on.  Lines without a word are no lines.
 Every three consecutive lines (all of them, if the text has fewer) are hashed
 over their words, lower-cased; windows of fewer than ``MIN_WORDS`` words are
-left alone, since such short runs repeat by chance.  Of windows that repeat
+left alone, since such short runs repeat by chance.  Short lines that would be in no other
+window are joined (``pooled``), so that some hashed window covers every line of a text of as many words.
+A text of fewer words in all is one window if ``short`` is given, as the pipeline does.  Of windows that repeat
 anywhere, the first in order of (doc_id, nulls first; text hash; position) stays;
 the lines that the later ones cover are merged and removed.  What is left of a
 text is kept as it was.
@@ -66,6 +68,51 @@ def by_place(words: list[bytes]) -> list[int]:
     return list(range(0, len(words), WRAP))
 
 
+def pooled(text: str, starts: list[int], found: list[list[bytes]]) -> tuple[list[int], list[list[bytes]]]:
+    """The lines with those joined that no window of ``MIN_WORDS`` words covers: runs of them are one piece,
+    cut as ``cuts`` has it; a single one goes to the line before it (the first to the next), until
+    all lines are covered or one window has them all."""
+    while len(found) > WINDOW:
+        sizes = [len(w) for w in found]
+        if min(a + b + c for a, b, c in zip(sizes, sizes[1:], sizes[2:])) >= MIN_WORDS:
+            break
+        full = [a + b + c >= MIN_WORDS for a, b, c in zip(sizes, sizes[1:], sizes[2:])]
+        held = [any(full[max(0, i - WINDOW + 1):i + 1]) for i in range(len(found))]
+        if all(held):
+            break
+        new_starts, new_found, i, first = [], [], 0, None
+        while i < len(found):
+            j = i + 1
+            while not held[i] and j < len(found) and not held[j]:
+                j += 1
+            if held[i]:
+                if first is not None:
+                    new_starts.append(first[0])
+                    new_found.append(first[1] + found[i])
+                    first = None
+                else:
+                    new_starts.append(starts[i])
+                    new_found.append(found[i])
+            elif j > i + 1:
+                words = [w for line in found[i:j] for w in line]
+                places = cuts(words)
+                spots = []
+                for k in range(i, j):
+                    end = starts[k + 1] if k + 1 < len(starts) else len(text)
+                    at = [starts[k] + m.start() for m in _WORD.finditer(text[starts[k]:end])]
+                    spots += [starts[k], *at[1:]]
+                for k, to in zip(places, [*places[1:], len(words)]):
+                    new_starts.append(spots[k])
+                    new_found.append(words[k:to])
+            elif new_found:
+                new_found[-1] = new_found[-1] + found[i]
+            else:
+                first = starts[i], found[i]
+            i = j
+        starts, found = new_starts, new_found
+    return starts, found
+
+
 def lines(text: str, cut=cuts) -> tuple[list[int], list[list[bytes]]]:
     """Code point at which each logical line begins, and its lower-cased words.
     A line reaches to the beginning of the next."""
@@ -86,10 +133,10 @@ def lines(text: str, cut=cuts) -> tuple[list[int], list[list[bytes]]]:
         for k, to in zip(places, [*places[1:], len(words)]):
             starts.append(begin + (spots[k] if k else 0))
             found.append(words[k:to])
-    return starts, found
+    return pooled(text, starts, found) if cut is cuts else (starts, found)
 
 
-def windows(text: str | None, cut=cuts) -> tuple[int, list[int], list[int]]:
+def windows(text: str | None, cut=cuts, short: bool = False) -> tuple[int, list[int], list[int]]:
     """Number of lines, and position and signed 64-bit hash of each window."""
     if not text:
         return 0, [], []
@@ -97,15 +144,16 @@ def windows(text: str | None, cut=cuts) -> tuple[int, list[int], list[int]]:
     n, width = len(found), min(WINDOW, len(found))
     sizes = [len(w) for w in found]
     joined = [b" ".join(w) for w in found]
-    at = [i for i in range(n - width + 1) if n and sum(sizes[i:i + width]) >= MIN_WORDS]
+    whole = short and n <= WINDOW
+    at = [i for i in range(n - width + 1) if n and (whole or sum(sizes[i:i + width]) >= MIN_WORDS)]
     hashes = np.array([xxhash.xxh64_intdigest(b"\n".join(joined[i:i + width])) for i in at], dtype=np.uint64)
     return n, at, hashes.view(np.int64).tolist()
 
 
-def _windows_of(cut):
+def _windows_of(cut, short):
     def run(batches):
         for batch in batches:
-            rows = [windows(t, cut) for t in batch.column("text").to_pylist()]
+            rows = [windows(t, cut, short) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("__th"), pa.array([r[0] for r in rows], pa.int64()),
                  pa.array([r[1] for r in rows], pa.list_(pa.int64())),
@@ -114,14 +162,14 @@ def _windows_of(cut):
     return run
 
 
-def covered(docs: DataFrame, cut=cuts) -> DataFrame:
+def covered(docs: DataFrame, cut=cuts, short: bool = False) -> DataFrame:
     """(__id, __th, n_lines, removed): for each distinct (doc_id, text) the
     positions of the lines to remove, ascending (null: none)."""
     prepare(docs.sparkSession)
     kind = docs.schema["doc_id"].dataType.simpleString()
     table = shared_table(
         docs.select("doc_id", "text", text_hash(F.col("text")).alias("__th"))
-        .mapInArrow(_windows_of(cut), f"__id {kind}, __th long, n_lines long, at array<long>, hashes array<long>"),
+        .mapInArrow(_windows_of(cut, short), f"__id {kind}, __th long, n_lines long, at array<long>, hashes array<long>"),
         "windows")
     each = table.select("__id", "__th", F.explode(F.arrays_zip("at", "hashes")).alias("w")).select(
         F.col("w.hashes").alias("h"), F.struct("__id", "__th", F.col("w.at").alias("at")).alias("place"))
@@ -157,10 +205,11 @@ def _without_udf(cut):
     return run
 
 
-def dedup_lines(docs: DataFrame, cut=cuts) -> DataFrame:
+def dedup_lines(docs: DataFrame, cut=cuts, short: bool = False) -> DataFrame:
     """``docs`` (all its columns) with the later copies of repeated passages cut
-    out of ``text``, and n_lines, n_removed (long; columns of these names are replaced)."""
-    found = covered(docs, cut).withColumnsRenamed({"n_lines": "__n", "removed": "__removed"})
+    out of ``text``, and n_lines, n_removed (long; columns of these names are replaced).
+    ``short``: also texts of fewer than ``MIN_WORDS`` words in all, if they are copies as a whole."""
+    found = covered(docs, cut, short).withColumnsRenamed({"n_lines": "__n", "removed": "__removed"})
     named = docs.withColumn("__hash", text_hash(F.col("text")))
     out = named.join(found, same_row(named, found), "left")
     hit = F.size("__removed") > 0

@@ -3,6 +3,7 @@ import random
 import duckdb
 import pytest
 
+import corpus_pipeline
 from critiq.llm import linededup
 
 
@@ -90,3 +91,26 @@ def test_line_cuts_follow_the_words_around_them():
     assert linededup.REACH < min(sizes) and max(sizes) <= linededup.WRAP
     for k in range(1, 40):
         assert len(set(whole) & {k + c for c in linededup.cuts(words[k:])} - set(range(k + 60))) == sum(c >= k + 60 for c in whole)
+
+
+@pytest.mark.parametrize("form", ["{}\n", "{}! ", "{} x. five words are in here. ", "{}. and four here now\n", "{}\n\nthree words more\n"])
+def test_short_lines_are_covered(form):
+    rng = random.Random(form)
+    text = "".join(form.format(f"w{rng.randrange(900)}") for _ in range(60)).strip()
+    starts, found = linededup.lines(text)
+    n, at, _ = linededup.windows(text)
+    assert set().union(*(range(i, i + 3) for i in at)) == set(range(n)) and max(map(len, found)) <= linededup.WRAP
+    assert [text[a:b].lower().encode().split() for a, b in zip(starts, [*starts[1:], len(text)])] == found
+    other = "a beginning of its own\n" * 3 + text
+    got = brute([(1, text), (2, text), (3, other), (4, form.format("y") * 3 + text + "\n" + form.format("z") * 3)])
+    assert got[1][3] == "" and got[2][2] and got[3][2]
+    assert all(sum(w[1:2].isdigit() for w in x[3].split()) <= 30 for x in got[1:])
+
+
+def test_short_texts_as_a_whole(spark):
+    rows = [(1, "Yes. No.\nSure"), (2, "yes. no. sure"), (3, "yes. no. sure not"), (4, "a b"), (5, "1\n2\n3\n4\n5\n6"), (6, "1 2 3 4 5 6")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.text for r in linededup.dedup_lines(docs, short=True).collect()}
+    assert got == dict(rows) | {2: "", 6: ""}
+    out = corpus_pipeline.dedup_lines(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in out) == [1, 3, 4, 5]
