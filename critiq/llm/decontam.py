@@ -5,7 +5,10 @@ names (capitalised words inside a sentence) and units (a unit word or sign after
 become typed placeholders, so that a re-parameterised question has the template of
 the original.  Every ``WINDOW`` consecutive tokens are hashed (an item with fewer
 tokens is one window), and the documents' windows are joined by hash with the benchmark's.
-Windows with fewer than ``MIN_LITERALS`` literal words say too little and are left out.
+Windows with fewer than ``MIN_LITERALS`` literal words say too little as templates: they, and items of
+one window, are (also) looked up by their own words, slot values and signs between them included
+(from ``MIN_EXACT`` tokens on), so that verbatim copies are found.  An item's capitalised first word may
+also be a name in the document, if it is the same word.
 Matches of an item in a document are aligned on diagonals; on each the slots are
 compared: equal slot values of the item must all have become one value in the document.
 A diagonal of which fewer than ``CONSISTENT`` of the slots agree is discarded.  A
@@ -17,7 +20,7 @@ The benchmark is a stated query set: its windows are cut into blocks of at most
 documents, so that no document window is ever shuffled.
 
 Rows: null or empty texts contain nothing.  Items with null text or fewer than
-``MIN_LITERALS`` literal words are never found.  Documents and items are told apart
+``MIN_EXACT`` tokens are never found, and without a window of ``MIN_LITERALS`` literal words only verbatim.  Documents and items are told apart
 by row: repeated rows are found repeatedly; null ids are carried along.  Empty
 tables: nothing is found."""
 from __future__ import annotations
@@ -34,6 +37,7 @@ from critiq.llm.common import prepare
 
 WINDOW = 8
 MIN_LITERALS = 4
+MIN_EXACT = 3
 CONSISTENT = 0.8
 SHARE = 0.5
 LONG = 20
@@ -93,22 +97,35 @@ class _Words(dict):
 _words = _Words()
 
 
-def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Template token hashes, kinds (LITERAL, or the placeholder's kind) and the words' own hashes."""
+def template(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Template token hashes, kinds (LITERAL, or the placeholder's kind), the words' own hashes, and
+    the hash of the signs that stand between a word and the one before (0: none)."""
     text = text or ""
     if _HAS_DIGIT.search(text):
         text = _GLUED.sub(" ", text)
     kind, own, ends = _words.of(text.split())
     real = kind != NOTHING
+    at = np.flatnonzero(real)
+    signs = np.zeros(len(at), np.uint64)
+    other = np.flatnonzero(~real)
+    after = np.searchsorted(at, other)
+    other, after = other[after < len(at)], after[after < len(at)]
+    np.add.at(signs, after, own[other] * _FACTORS[(at[after] - other) % WINDOW])
     kind, own, ends = kind[real].copy(), own[real], ends[real]
     if not len(kind):
-        return own, kind, own
+        return own, kind, own, signs
     first = np.r_[True, ends[:-1]]
     kind[(kind == TITLE) & first] = LITERAL
     number = kind == NUMBER
     beside = np.r_[False, number[:-1]] | np.r_[number[1:], False]
     kind[(kind == UNIT) & ~beside] = LITERAL
-    return np.where(kind == LITERAL, own, _PLACE[kind % 4]), kind, own
+    return np.where(kind == LITERAL, own, _PLACE[kind % 4]), kind, own, signs
+
+
+def _title(text: str) -> bool:
+    """The first word is capitalised."""
+    core = _CORE.search(next((w for w in text.split() if _CORE.search(w)), ""))
+    return bool(core) and len(core.group()) > 1 and core.group()[0].isupper() and not any(map(str.isupper, core.group()[1:]))
 
 
 def windows(tokens: np.ndarray, width: int) -> np.ndarray:
@@ -128,41 +145,60 @@ class Index:
     def __init__(self, items: list[tuple]):
         self.ids = [i for i, _ in items]
         self.parts = [template(t) for _, t in items]
-        by_width: dict[int, list] = {}
-        for k, (tokens, kind, _) in enumerate(self.parts):
+        found: dict[tuple, list] = {}        # (width, by own words): (hash, item, place, first word is a name)
+        for k, ((_, text), (tokens, kind, own, _)) in enumerate(zip(items, self.parts)):
             width = min(WINDOW, len(tokens))
-            literal = np.convolve(kind == LITERAL, np.ones(max(width, 1)), "valid") if width else np.empty(0)
-            for p in np.flatnonzero(literal >= MIN_LITERALS):
-                by_width.setdefault(width, []).append((k, p))
+            if not width:
+                continue
+            literal = np.convolve(kind == LITERAL, np.ones(width), "valid")
+            for exact, hashes, good in ((False, windows(tokens, width), literal >= MIN_LITERALS),
+                                        (True, windows(own, width), (literal < MIN_LITERALS) | (len(tokens) <= WINDOW))):
+                if not exact or width >= MIN_EXACT:
+                    found.setdefault((width, exact), []).extend((hashes[p], k, p, 0) for p in np.flatnonzero(good))
+            if kind[0] == LITERAL and literal[0] > MIN_LITERALS and _title(text):
+                as_name = np.r_[_PLACE[TITLE], tokens[1:width]]
+                found.setdefault((width, False), []).append((windows(as_name, width)[0], k, 0, 1))
         self.tables = []
-        for width, places in by_width.items():
-            places = np.array(places)
-            whole = {k: windows(self.parts[k][0], width) for k in set(places[:, 0].tolist())}
-            hashes = np.array([whole[k][p] for k, p in places.tolist()], np.uint64)
+        for (width, exact), rows in found.items():
+            if not rows:
+                continue
+            hashes = np.array([x[0] for x in rows], np.uint64)
+            places = np.array([x[1:] for x in rows], np.int64)
             order = np.argsort(hashes, kind="stable")
             seen = np.zeros(1 << 20, bool)
             seen[(hashes & np.uint64((1 << 20) - 1)).astype(np.int64)] = True
-            self.tables.append((width, hashes[order], places[order, 0], places[order, 1], seen))
+            self.tables.append((width, exact, hashes[order], *places[order].T, seen))
+
+    def _same(self, exact: bool, k: int, p: int, at: int, width: int, own: np.ndarray, signs: np.ndarray) -> bool:
+        """The item's first word is the document's; of an exact window the signs between its words too."""
+        _, _, i_own, i_signs = self.parts[k]
+        if exact:
+            return bool((i_signs[p + 1:p + width] == signs[at + 1:at + width]).all())
+        return i_own[p] == own[at]
 
     def find(self, text: str | None) -> list[tuple]:
         """(item id, item tokens, covered tokens, slots, consistent slots) per contaminating item."""
-        tokens, kind, own = template(text)
+        tokens, kind, own, signs = template(text)
         hits = []
-        for width, hashes, item, place, seen in self.tables:
-            w = windows(tokens, width)
+        for width, exact, hashes, item, place, name, seen in self.tables:
+            w = windows(own if exact else tokens, width)
             at = np.flatnonzero(seen[(w & np.uint64((1 << 20) - 1)).astype(np.int64)])
             lo, hi = np.searchsorted(hashes, w[at], "left"), np.searchsorted(hashes, w[at], "right")
             count = hi - lo
             if count.sum():
                 row = np.repeat(lo - np.r_[0, np.cumsum(count)[:-1]], count) + np.arange(count.sum())
                 p = np.repeat(at, count)
+                if exact or name[row].any():
+                    ok = np.array([not (exact or name[i]) or self._same(exact, item[i], place[i], q, width, own, signs)
+                                   for i, q in zip(row, p)], bool)
+                    row, p = row[ok], p[ok]
                 hits.append(np.stack([item[row], p - place[row], place[row], np.full(len(row), width)]))
         if not hits:
             return []
         item, diagonal, place, width = np.concatenate(hits, axis=1)
         out = []
         for k in np.unique(item):
-            i_tokens, i_kind, i_own = self.parts[k]
+            i_tokens, i_kind, i_own, _ = self.parts[k]
             covered, slots, agreed = np.zeros(len(i_tokens), bool), 0, 0
             mine = item == k
             for d in np.unique(diagonal[mine]):

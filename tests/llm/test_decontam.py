@@ -94,3 +94,13 @@ def test_rolling_windows_do_not_depend_on_place():
     tokens = np.arange(100, dtype=np.uint64)
     assert (decontam.windows(tokens, 8)[10:] == decontam.windows(tokens[10:], 8)).all()
     assert not len(decontam.windows(tokens[:3], 8))
+
+
+@pytest.mark.parametrize("item", ["What is 37 + 58?", "Convert 5 km to miles", "12 kg, 15 kg and 19 kg at 7 % make 3 km",
+                                  "Compute the area of a circle", "Was Anna with Peter and Maria in 1984 or was Susan with Frank in 1985?"])
+def test_verbatim_copies_with_few_literals_and_after_headings(item):
+    for text in (item, f"A heading without a mark\n{item} And then more of it", f"x y z {item}\nmore"):
+        assert [x[0] for x in find(item, text)] == [7], text
+    assert not find("What is 37 + 58?", "x. What is 38 + 58? y") and not find("What is 37 + 58?", "x. What is 37 - 58? y")
+    assert not find("Compute the area of a circle", "I Paint the area of a circle")
+    assert find("Compute the area of a circle with radius 5", "a heading\nCompute the area of a circle with radius 9 now")
