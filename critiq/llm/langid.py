@@ -10,7 +10,8 @@ is a sum of table rows, picked by pairs of bytes.
 
 Training: at most ``DOCS_PER_LANG`` documents a language (those with the least hash, by
 a threshold on the hash set from exact counts) and ``WINDOWS_PER_DOC`` windows of each, some of
-them cut short.  At most ``MAX_LANGS`` languages (the most frequent) are learned.
+them cut short.  Every language is learned; with more than ``DOCS`` / ``DOCS_PER_LANG`` of them fewer documents of each
+are taken, ``LEAST_DOCS`` at least.
 
 Rows: null texts and texts without a letter are ``und`` with score 0.  Rows with null lang or
 text are not learned from; a null doc_id counts as held out.  Without any row to learn from
@@ -30,7 +31,8 @@ FILTERS = 16
 EMBED = 8
 DOCS_PER_LANG = 300
 WINDOWS_PER_DOC = 4
-MAX_LANGS = 64
+DOCS = 64 * DOCS_PER_LANG
+LEAST_DOCS = 20
 STEPS = 400
 BATCH = 128
 TRAIN_SPAN = 128
@@ -174,18 +176,19 @@ class Predictor:
 def train(docs: DataFrame) -> Predictor:
     """Fit on a bounded sample of the rows that are not held out."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MAX_LANGS).collect()
+    counts = known.groupBy("lang").count().collect()
     if not counts:
         return Predictor(Network(1), [])
     languages = sorted(r["lang"] for r in counts)
+    each = min(DOCS_PER_LANG, max(LEAST_DOCS, DOCS // len(counts)))
     draw = F.pmod(F.xxhash64(F.col("doc_id").cast("string"), F.lit("langid")), F.lit(1 << 30)) / float(1 << 30)
-    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], DOCS_PER_LANG / r["count"])])
+    wanted = F.create_map(*[F.lit(x) for r in counts for x in (r["lang"], each / r["count"])])
     # Of each text up to WINDOWS_PER_DOC spans, spread evenly over it.
     step = F.greatest(F.lit(TRAIN_SPAN), F.floor(F.length("text") / WINDOWS_PER_DOC)).cast("int")
     spans = F.transform(F.sequence(F.lit(0), F.lit(WINDOWS_PER_DOC - 1)),
                         lambda i: F.substr(F.col("text"), i * step + 1, F.lit(TRAIN_SPAN)))
     sample = known.filter(draw < wanted[F.col("lang")]).select("lang", spans.alias("spans"))
-    sample = sample.limit(2 * MAX_LANGS * DOCS_PER_LANG).toPandas()
+    sample = sample.limit(2 * max(DOCS, each * len(counts))).toPandas()
     pairs = [(_raw(s), languages.index(r.lang)) for r in sample.itertuples() for s in r.spans
              if any(map(str.isalpha, s))]
     if not pairs:

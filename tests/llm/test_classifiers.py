@@ -158,3 +158,9 @@ def test_toxicity_messy(spark, messy, nothing, docs):
     for lab in (empty, odd):
         assert {r.predicted for r in toxicity.digest(messy, lab).collect()} == {0}
     assert toxicity.digest(nothing, labels).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    rows = [(k, f"some words of language number {k % 70}", f"l{k % 70:02}") for k in range(700)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert langid.train(docs).languages == [f"l{k:02}" for k in range(70)]
