@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import (decontam, langid, linededup, linequality, mixing, pii, replytree, simhash, toxicity,
+from critiq.llm import (decontam, docprint, langid, linededup, linequality, mixing, pii, replytree, simhash, toxicity,
                         warc)
 from critiq.llm.common import load, prepare
 
@@ -57,9 +57,13 @@ def op10_line_windows(spark, sf_dir):
     return linededup.digest(load(spark, sf_dir, "documents"))
 
 
+def op11_document_fingerprints(spark, sf_dir):
+    return docprint.digest(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: _query(f) for f in (
     op1_decontamination, op2_pii, op3_reply_trees, op4_simhash, op5_line_frequency, op6_systematic_mix,
-    op7_language, op8_toxicity, op9_warc, op10_line_windows)}
+    op7_language, op8_toxicity, op9_warc, op10_line_windows, op11_document_fingerprints)}
 
 ORACLE = {
     "op3_reply_trees": replytree.ORACLE,
