@@ -4,7 +4,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import (decontam, docprint, langid, linededup, linequality, mixing, pii, replytree, simhash, toxicity,
+from critiq.llm import (decontam, docprint, langid, linededup, linequality, mixing, phrases, pii, replytree, simhash, toxicity,
                         warc)
 from critiq.llm.common import load, prepare
 
@@ -61,9 +61,13 @@ def op11_document_fingerprints(spark, sf_dir):
     return docprint.digest(load(spark, sf_dir, "documents"))
 
 
+def op13_collocations(spark, sf_dir):
+    return phrases.collocations(load(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: _query(f) for f in (
     op1_decontamination, op2_pii, op3_reply_trees, op4_simhash, op5_line_frequency, op6_systematic_mix,
-    op7_language, op8_toxicity, op9_warc, op10_line_windows, op11_document_fingerprints)}
+    op7_language, op8_toxicity, op9_warc, op10_line_windows, op11_document_fingerprints, op13_collocations)}
 
 ORACLE = {
     "op3_reply_trees": replytree.ORACLE,
@@ -71,4 +75,5 @@ ORACLE = {
     "op6_systematic_mix": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_line_windows": linededup.ORACLE,
+    "op13_collocations": phrases.ORACLE,
 }
