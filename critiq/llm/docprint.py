@@ -54,13 +54,13 @@ def _two_bits(term: str, k: int) -> str:
 def fingerprints(rows: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """(keys, fp long): one row for each value of the non-null ``keys``; rows that share
     a key must share the text."""
-    votes = rows.select(*keys, F.explode_outer(_terms(F.col(text))).alias("t")).select(
-        *keys, F.col("t.a").alias("a"), F.col("t.b").alias("b"))
-    sums = votes.groupBy(*keys).agg((F.count("a") * (WORD + PAIR)).alias("n"), F.array(*[
-        F.expr(f"sum({_two_bits('a', k)} * {WORD} + {_two_bits('b', k)} * {PAIR})") for k in range(32)]).alias("s"))
-    fp = """aggregate(s, struct(0L AS fp, 0 AS at), (done, x) -> struct(
-        done.fp | if(2 * (x & 4294967295L) > n, shiftleft(1L, done.at), 0L)
-                | if(2 * shiftrightunsigned(x, 32) > n, shiftleft(2L, done.at), 0L) AS fp, done.at + 2 AS at), done -> done.fp)"""
+    votes = rows.select(*keys, F.explode_outer(_terms(F.col(text))).alias("__t")).select(
+        *keys, F.col("__t.a").alias("__a"), F.col("__t.b").alias("__b"))
+    sums = votes.groupBy(*keys).agg((F.count("__a") * (WORD + PAIR)).alias("__total"), F.array(*[
+        F.expr(f"sum({_two_bits('__a', k)} * {WORD} + {_two_bits('__b', k)} * {PAIR})") for k in range(32)]).alias("__votes"))
+    fp = """aggregate(__votes, struct(0L AS fp, 0 AS at), (done, x) -> struct(
+        done.fp | if(2 * (x & 4294967295L) > __total, shiftleft(1L, done.at), 0L)
+                | if(2 * shiftrightunsigned(x, 32) > __total, shiftleft(2L, done.at), 0L) AS fp, done.at + 2 AS at), done -> done.fp)"""
     return sums.select(*keys, F.expr(fp).alias("fp"))
 
 
@@ -70,36 +70,38 @@ def likeness(a: Column, b: Column) -> Column:
 
 
 def keyed(docs: DataFrame) -> DataFrame:
+    """(KEYS, text)."""
     text = F.coalesce("text", F.lit(""))
-    return docs.select("doc_id", F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"),
+    return docs.select(F.col("doc_id").isNull().alias("__none"), F.coalesce("doc_id", F.lit(0)).cast("long").alias("__id"),
                        text_hash(text).alias("__th"), text.alias("text"))
 
 
 def following(rows: DataFrame) -> DataFrame:
-    """(KEYS, n_chars, next struct of KEYS) of every document, in order; the last is followed by the
+    """(KEYS, n_rows, n_chars, next struct of KEYS) of every document, in order; the last is followed by the
     first.  Documents are numbered by range partitions: only a partition's own rows, and one row of
     each partition, are ever ordered together."""
-    ids = rows.select(*KEYS, F.length("text").cast("long").alias("n_chars")).dropDuplicates(KEYS)
+    ids = rows.select(*KEYS, F.length("text").cast("long").alias("n_chars")).groupBy(*KEYS).agg(
+        F.count("*").alias("n_rows"), F.max("n_chars").alias("n_chars"))
     parts = shared_table(ids.repartitionByRange(*KEYS).withColumn("part", F.spark_partition_id()), "order")
     key = F.struct(*KEYS)
     heads = parts.groupBy("part").agg(F.min(key).alias("head"))
     ring = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     heads = heads.select("part", F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(ring)).alias("after"))
     inside = parts.withColumn("next", F.lead(key).over(Window.partitionBy("part").orderBy(*KEYS)))
-    return inside.join(heads, "part").select(*KEYS, "n_chars", F.coalesce("next", "after").alias("next"))
+    return inside.join(heads, "part").select(*KEYS, "n_rows", "n_chars", F.coalesce("next", "after").alias("next"))
 
 
 def edited(rows: DataFrame, order: DataFrame) -> DataFrame:
-    """(doc_id, KEYS, n_chars, edited): texts whose last quarter is replaced by the beginning of the
-    next one.  Only these beginnings move to the documents before."""
-    quarter = F.floor(F.col("n_chars") / 4).cast("int")
-    wanted = order.select(*[F.col(f"next.{k}").alias(k) for k in KEYS], F.struct(*KEYS).alias("to"), quarter.alias("q"))
+    """(KEYS, edited): texts whose last quarter is replaced by the beginning of the next one.  Both joins
+    read one shuffle of the texts; beside it only the beginnings move, to the documents before."""
+    quarter = lambda n: F.floor(n / 4).cast("int")
+    wanted = order.select(*[F.col(f"next.{k}").alias(k) for k in KEYS], F.struct(*KEYS).alias("to"), quarter(F.col("n_chars")).alias("q"))
     heads = (rows.join(wanted, KEYS).select(*[F.col(f"to.{k}").alias(k) for k in KEYS],
                                             F.col("text").substr(F.lit(1), F.col("q")).alias("head"))
              .groupBy(*KEYS).agg(F.first("head").alias("head")))
-    whole = rows.withColumn("n_chars", F.length("text").cast("long")).join(heads, KEYS)
-    kept = F.col("text").substr(F.lit(1), (F.col("n_chars") - quarter).cast("int"))
-    return whole.select("doc_id", *KEYS, "n_chars", F.concat(kept, "head").alias("edited"))
+    n = F.length("text")
+    kept = F.col("text").substr(F.lit(1), n - quarter(n))
+    return rows.join(heads, KEYS).select(*KEYS, F.concat(kept, "head").alias("edited"))
 
 
 def _masks(radius: int, blocks: int) -> list[int]:
@@ -152,14 +154,17 @@ def digest(docs: DataFrame) -> DataFrame:
     prepare(docs.sparkSession)
     rows = keyed(docs)
     order = shared_table(following(rows), "following")
-    texts = shared_table(edited(rows, order).withColumn("edited_sha256", F.sha2("edited", 256)), "edited")
     own = shared_table(fingerprints(rows, KEYS), "fps")
-    other = fingerprints(texts, KEYS, "edited").withColumnRenamed("fp", "efp")
+    # The joined texts are summed up where they are: the digest is one more key, and no text is written.
+    changed = edited(rows, order).withColumn("edited_sha256", F.sha2("edited", 256))
+    other = shared_table(fingerprints(changed, [*KEYS, "edited_sha256"], "edited").withColumnRenamed("fp", "efp"), "edited")
     near = near_counts(own).withColumnRenamed("fp", "nfp")
-    after = order.select(F.struct(*KEYS).alias("me"), *[F.col(f"next.{k}").alias(k) for k in KEYS]).join(own, KEYS).select(
-        *[F.col(f"me.{k}").alias(k) for k in KEYS], F.col("fp").alias("afp"))
-    out = (texts.select("doc_id", *KEYS, "n_chars", "edited_sha256").join(own, KEYS).join(other, KEYS).join(after, KEYS))
+    after = order.select(F.struct(*KEYS).alias("me"), "n_rows", "n_chars", *[F.col(f"next.{k}").alias(k) for k in KEYS])
+    after = after.join(own, KEYS).select(*[F.col(f"me.{k}").alias(k) for k in KEYS], "n_rows", "n_chars", F.col("fp").alias("afp"))
+    out = after.join(own, KEYS).join(other, KEYS)
     out = out.join(near, out["fp"] == near["nfp"], "left")
+    out = out.withColumn("doc_id", F.when(~F.col("__none"), F.col("__id"))).withColumn(
+        "copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
     hexed = lambda c: F.lpad(F.lower(F.hex(c)), 16, "0")
     return out.select("doc_id", "n_chars", "edited_sha256", hexed("fp").alias("fingerprint"), hexed("efp").alias("edited_fingerprint"),
                       likeness(F.col("fp"), F.col("efp")).alias("near_edited"), likeness(F.col("fp"), F.col("afp")).alias("near_next"),
