@@ -4,8 +4,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from critiq.llm import (decontam, docprint, langid, linededup, linequality, mixing, phrases, pii, replytree, simhash, toxicity,
-                        warc)
+from critiq.llm import (decontam, docprint, langid, linededup, linequality, mixing, phrases, pii, replytree, simhash,
+                        sketchsearch, toxicity, warc)
 from critiq.llm.common import load, prepare
 
 
@@ -61,13 +61,18 @@ def op11_document_fingerprints(spark, sf_dir):
     return docprint.digest(load(spark, sf_dir, "documents"))
 
 
+def op12_lexical_search(spark, sf_dir):
+    index = sketchsearch.Index(load(spark, sf_dir, "documents"))
+    return sketchsearch.search(index, load(spark, sf_dir, "benchmark"))
+
+
 def op13_collocations(spark, sf_dir):
     return phrases.collocations(load(spark, sf_dir, "documents"))
 
 
 QUERIES = {f.__name__: _query(f) for f in (
     op1_decontamination, op2_pii, op3_reply_trees, op4_simhash, op5_line_frequency, op6_systematic_mix,
-    op7_language, op8_toxicity, op9_warc, op10_line_windows, op11_document_fingerprints, op13_collocations)}
+    op7_language, op8_toxicity, op9_warc, op10_line_windows, op11_document_fingerprints, op12_lexical_search, op13_collocations)}
 
 ORACLE = {
     "op3_reply_trees": replytree.ORACLE,
@@ -75,5 +80,6 @@ ORACLE = {
     "op6_systematic_mix": mixing.ORACLE,
     "op9_warc": warc.ORACLE,
     "op10_line_windows": linededup.ORACLE,
+    "op12_lexical_search": sketchsearch.ORACLE,
     "op13_collocations": phrases.ORACLE,
 }
