@@ -9,8 +9,8 @@ from .. import fixed
 from .text import SPACE, col_of, tokens, sentence_marks
 
 __all__ = [
-    "length_score", "template_adherence", "reading_ease", "forbidden_penalty",
-    "fitness", "let", "scored", "best_first", "word_count", "syllables", "det_uniform", "gumbel", "sample_prf", "round6",
+    "length_score", "template_adherence", "reading_ease", "forbidden_count", "forbidden_penalty",
+    "fitness", "let", "best_first", "word_count", "syllables", "det_uniform", "gumbel", "sample_prf", "round6",
 ]
 
 
@@ -67,18 +67,26 @@ def reading_ease(text, toks=None, low=None) -> Column:
         - F.lit(fixed.FLESCH_SPW) * (syllables(text, low) / n_words))
 
 
+def forbidden_count(low) -> Column:
+    """Occurrences of the forbidden terms as substrings of a lower-cased text."""
+    s, total = col_of(low), F.lit(0).cast("long")
+    for t in fixed.FORBIDDEN_TERMS:
+        total = total + F.floor((F.octet_length(s) - F.octet_length(F.replace(s, F.lit(t), F.lit("")))) / len(t))
+    return total
+
+
 def forbidden_penalty(text, word_bounded: bool = False, toks=None, low=None) -> Column:
     """occurrences of the forbidden terms / max(#words, 1).
 
     Default counts substrings (so "hi" is found in "this", rule B20); with
     ``word_bounded`` only whole words count."""
     s = F.lower(col_of(text)) if low is None else low
-    total = F.lit(0).cast("long")
-    for t in fixed.FORBIDDEN_TERMS:
-        if word_bounded:
+    if word_bounded:
+        total = F.lit(0).cast("long")
+        for t in fixed.FORBIDDEN_TERMS:
             total = total + F.regexp_count(s, F.lit(r"\b" + t + r"\b"))
-        else:
-            total = total + F.floor((F.length(s) - F.length(F.replace(s, F.lit(t), F.lit("")))) / len(t))
+    else:
+        total = forbidden_count(s)
     return total / F.greatest(word_count(text) if toks is None else F.size(toks), F.lit(1))
 
 
@@ -96,17 +104,6 @@ def fitness(text, template, length_sign: int = 1, read_scale: float = 1.0,
             - forbidden_penalty(text, word_bounded, toks, low))
 
 
-def scored(cands, ttoks, length_sign: int = 1, fields=("cand_id",)) -> Column:
-    """F18 inside the row: array<struct<fields..., text>> -> the same structs
-    with ``fitness`` before ``text``; ``ttoks`` are the template's distinct tokens."""
-    def one(c):
-        return let(F.struct(tokens(c["text"]).alias("tk"), F.lower(c["text"]).alias("low")), lambda p: F.struct(
-            *[c[f].alias(f) for f in fields],
-            fitness(c["text"], None, length_sign, toks=p["tk"], ttoks=ttoks, low=p["low"]).alias("fitness"),
-            c["text"].alias("text")))
-    return F.transform(cands, one)
-
-
 def best_first(cands) -> Column:
     """W3 inside the row: the struct of highest fitness; ties -> lowest
     candidate id (``np.argmax``)."""

@@ -18,8 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
-from ..functions.scoring import best_first, gumbel, let, scored
+from ..functions.scoring import best_first, gumbel, let
 from ..functions.text import col_of, split_sentences, tokens
+from ..functions.textstats import known, scored
 
 # our own wording: openings and closings the template backend varies over
 OPENINGS = ["", "Hello reviewer. "]
@@ -117,28 +118,28 @@ def parents_in_row(pop, keys: Sequence[str], n_parents: int, tau: float, seed: i
     return F.slice(F.sort_array(F.transform(pop, keyed)), 1, n_parents)
 
 
-def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
+def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base", segment: str = "segment",
            n_candidates: int = fixed.N_CANDIDATES, n_generations: int = fixed.N_GENERATIONS,
            n_parents: int = fixed.N_PARENTS, tau: float = fixed.TAU, seed: int = fixed.SEED) -> DataFrame:
     """Initial population, then per generation select parents (W4),
     cross over (M10) and append the child (U1); the best candidate at the end
     (W3).  The population (``n_candidates`` + ``n_generations`` items at most) is
     an array of the pair's row from beginning to end: map-only."""
-    def generation(tt, g):
+    def generation(tt, seg, g):
         def grown(pop):        # one parameter only: a second would be the array's index
             def child(ps):
                 made = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), template_crossover(ps).alias("text")))
-                return F.concat(pop, scored(made, tt, -1))
+                return F.concat(pop, scored(made, tt, -1, seg))
             return let(parents_in_row(pop, keys, n_parents, tau, seed, g), child)
         return grown
 
-    def run(tt):
-        pop = scored(candidates(n_candidates, base), tt, -1)
+    def run(tt, seg):
+        pop = scored(candidates(n_candidates, base), tt, -1, seg)
         for g in range(n_generations):
-            pop = let(pop, generation(tt, g))
+            pop = let(pop, generation(tt, seg, g))
         return best_first(pop)
 
-    return pairs.select(*keys, let(_template_tokens(template), run).alias("_b")).select(*keys, "_b.*")
+    return pairs.select(*keys, let(_template_tokens(template), lambda tt: let(known(segment, tt), lambda seg: run(tt, seg))).alias("_b")).select(*keys, "_b.*")
 
 
 def best_of_n(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
@@ -183,9 +184,10 @@ def baselines(pairs: DataFrame, keys: Sequence[str], template: str = "template",
         "Self-Ref.": lambda: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: cand(c, refined(c))),
     }
 
-    def best(name, tt):
-        return let(best_first(scored(made[name](), tt, 1)), lambda x: F.struct(
+    def best(name, tt, seg):
+        return let(best_first(scored(made[name](), tt, 1, seg)), lambda x: F.struct(
             F.lit(name).alias("strategy"), x["cand_id"].alias("cand_id"), x["fitness"].alias("fitness"), x["text"].alias("text")))
 
-    chosen = let(_template_tokens(template), lambda tt: F.array(*[best(s, tt) for s in made if s in strategies]))
+    chosen = let(_template_tokens(template), lambda tt: let(known(segment, tt), lambda seg: F.array(
+        *[best(s, tt, seg) for s in made if s in strategies])))
     return pairs.select(*keys, F.inline(chosen))

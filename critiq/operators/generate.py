@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from .. import fixed
 from ..functions.prompts import render
-from ..functions.scoring import best_first, let, scored
+from ..functions.scoring import best_first, let
 from ..functions.text import safe_name, tokens
+from ..functions.textstats import known, scored
 from .backend import model_map, sample_map
 from .feedback import knowledge_context, parents_in_row
 
@@ -43,7 +44,12 @@ def _array(texts: Column) -> Column:
 def _best(df: DataFrame, keys, texts: str, sign: int = 1) -> DataFrame:
     """F18 + W3 over an array of candidate texts."""
     tt = F.array_distinct(tokens("template"))
-    best = let(tt, lambda t: best_first(scored(_array(F.col(texts)), t, sign)))
+    def best_of(t):
+        if "segment" not in df.columns:
+            return best_first(scored(_array(F.col(texts)), t, sign))
+        return let(known("segment", t), lambda seg: best_first(scored(_array(F.col(texts)), t, sign, seg)))
+
+    best = let(tt, best_of)
     return df.select(*keys, best.alias("_b")).select(*keys, "_b.*")
 
 
@@ -100,14 +106,15 @@ def evolve(pairs: DataFrame, keys: Sequence[str], backend, n_candidates: int = f
     of the pair's row; only the model map moves rows."""
     p = make_plan(_prepared(pairs, keys), backend)
     p = _sample(p, "candidate", n_candidates, backend, "_texts", segment="segment", template="template", plan="plan")
-    p = p.select(*keys, "template", F.array_distinct(tokens("template")).alias("_tt"), "_texts")
-    p = p.select(*keys, "template", "_tt", scored(_array(F.col("_texts")), F.col("_tt"), -1).alias("_pop"))
+    p = p.select(*keys, "template", F.array_distinct(tokens("template")).alias("_tt"), "segment", "_texts")
+    p = p.select(*keys, "template", "_tt", known("segment", F.col("_tt")).alias("_seg"), "_texts")
+    p = p.select(*keys, "template", "_tt", "_seg", scored(_array(F.col("_texts")), F.col("_tt"), -1, F.col("_seg")).alias("_pop"))
     for g in range(n_generations):
         numbered = let(parents_in_row(F.col("_pop"), keys, n_parents, tau, seed, g), lambda ps: F.array_join(F.transform(
             ps, lambda x, i: F.concat(F.lit("Parent "), (i + 1).cast("string"), F.lit(": "), x["text"])), "\n"))
         p = _ask(p.withColumn("_parents", numbered), "crossover", backend, "_child", parents="_parents").drop("_parents")
         child = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), F.coalesce("_child", F.lit("")).alias("text")))
-        p = p.withColumn("_pop", F.concat("_pop", scored(child, F.col("_tt"), -1))).drop("_child")
+        p = p.withColumn("_pop", F.concat("_pop", scored(child, F.col("_tt"), -1, F.col("_seg")))).drop("_child")
     return p.select(*keys, best_first(F.col("_pop")).alias("_b")).select(*keys, "_b.*")
 
 
