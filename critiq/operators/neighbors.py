@@ -1,136 +1,194 @@
-"""Exact k nearest neighbours without an all-pairs join.
-
-Every point is projected on one seeded random direction.  Points are cut
-into buckets of width ``w`` along that projection and a query point is
-joined only with the training points of its own and the two adjacent
-buckets (an equi-join on the bucket id).  Any training point outside those
-buckets is at least ``w`` away in projection, hence in distance, so a query
-whose k-th candidate distance is below ``w`` has its exact answer.  Every
-other query then joins exactly the buckets within its first k-th distance r
-of its projection: a point outside is more than r away, and the new k-th
-distance can only be smaller than r, so the second answer is exact.
-
-The width is set from the middle 98 % of the projections, so that a bucket there
-holds about ``target`` points and an outlier only makes a bucket of its own.  The
-queries and the training rows of one bucket are cut into chunks by the bucket's
-own counts: a training row is copied once per query chunk of its bucket.
+"""Exact k nearest neighbours by metric pivots.
+
+Every training vector goes to the nearest of a bounded number of centres (its cell), and keeps a
+table of its distances to a few landmarks.  A cell is known by the least and the greatest
+distance of its members to each landmark.  By the triangle inequality a member of cell c is at least
+max_j(d(q, L_j) - hi_cj, lo_cj - d(q, L_j)) away from a query q, so the cells of a query can be
+visited in the order of these bounds, and none whose bound exceeds the query's k-th distance so far has to be
+visited at all: best first, in a few rounds of growing size.  Inside a cell the same inequality over
+the landmark tables leaves out single pairs.  The answer is exact; how much is computed depends on the data
+(vectors in clusters: little; random directions in many dimensions: nearly everything).
+
+Centres and landmarks are rows of a sample of at most ``SAMPLE`` training vectors (landmarks: farthest
+first), and only they and the cells' ranges travel to the tasks: at most ``MAX_CELLS`` rows, whatever the
+corpus.  A cell with many rows is cut into chunks by its own counts, so no task holds a whole hot cell.
 """
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import fixed
 from ..session import checkpointed
 
-
-def _direction(i: Column, seed: int) -> Column:
-    """The i-th coordinate of a seeded normal direction (Box-Muller over hashes)."""
-    def uniform(salt):
-        return (F.pmod(F.xxhash64(i, F.lit(seed), F.lit(salt)), F.lit(1 << 52)).cast("double") + 0.5) / float(1 << 52)
-    return F.sqrt(-2 * F.log(uniform(1))) * F.cos(2 * np.pi * uniform(2))
-
-
-def _projection(v: Column, seed: int) -> Column:
-    """Length of the vector along the unit direction."""
-    both = F.transform(v, lambda x, i: F.struct((x * _direction(i, seed)).alias("d"),
-                                                (_direction(i, seed) * _direction(i, seed)).alias("n")))
-    total = F.aggregate(both, F.struct(F.lit(0.0).alias("d"), F.lit(0.0).alias("n")), lambda s, x: F.struct(
-        (s["d"] + x["d"]).alias("d"), (s["n"] + x["n"]).alias("n")),
-        lambda s: F.when(s["n"] > 0, s["d"] / F.sqrt(s["n"])).otherwise(0.0))
-    return total
+SAMPLE = 4096
+LANDMARKS = 16
+MAX_CELLS = 1024
+#: Cells that a query visits in each round; the last round visits all that its bounds leave.
+ROUNDS = (1, 16, None)
+QUERY_CHUNK = 4096
+TRAIN_CHUNK = 4096
+#: Distances are compared after rounding to 9 places; bounds leave this much room.
+SLACK = 1e-8
+
+
+def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2 * x @ y.T
+    return np.sqrt(np.maximum(square, 0.0))
+
+
+def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
+    """Up to ``n`` rows of ``x``, each the farthest from those before."""
+    picked = [0]
+    far = np.sqrt(((x - x[0]) ** 2).sum(1))
+    while len(picked) < min(n, len(x)) and far.max() > 0:
+        picked.append(int(far.argmax()))
+        far = np.minimum(far, np.sqrt(((x - x[picked[-1]]) ** 2).sum(1)))
+    return x[picked]
+
+
+def cell_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+    """Least possible distance of each query (rows: its landmark distances) to each cell."""
+    out = np.zeros((len(q), len(lo)))
+    for j in range(q.shape[1]):
+        d = q[:, j][:, None]
+        np.maximum(out, np.maximum(d - hi[:, j][None, :], lo[:, j][None, :] - d), out=out)
+    return out
+
+
+class _Space:
+    """Centres, landmarks and, once the training rows are dealt out, the cells' ranges."""
+
+    def __init__(self, sample: np.ndarray, cells: int):
+        self.centres, self.landmarks = sample[:cells], farthest_first(sample, LANDMARKS)
+        self.used = self.lo = self.hi = None
+
+    def deal(self, frames):
+        for df in frames:
+            if len(df):
+                v = np.stack(df["_tv"].to_numpy())
+                out = df.assign(_c=_distances(v, self.centres).argmin(1).astype(np.int32))
+                out["_td"] = list(np.sqrt(((v[:, None, :] - self.landmarks[None]) ** 2).sum(2)))
+                yield out[["_c", "_t", "_tv", "_td"]]
+
+    def visits(self, skip: int, step: int | None):
+        """Next cells of each query: after the first ``skip`` of its order, at most ``step``, none
+        beyond its k-th distance."""
+        def run(frames):
+            for df in frames:
+                for s in range(0, len(df), 512):
+                    part = df.iloc[s:s + 512]
+                    v = np.stack(part["_qv"].to_numpy())
+                    d = np.sqrt(((v[:, None, :] - self.landmarks[None]) ** 2).sum(2))
+                    b = cell_bounds(d, self.lo, self.hi)
+                    order = np.lexsort((_distances(v, self.centres[self.used]), b))[:, skip:None if step is None else skip + step]
+                    kth = part["_kth"].to_numpy()
+                    at, col = np.nonzero(np.take_along_axis(b, order, 1) <= (kth * (1 + SLACK) + SLACK)[:, None])
+                    if len(at):
+                        out = part.iloc[at].copy()
+                        out["_c"] = self.used[order[at, col]].astype(np.int32)
+                        out["_qd"] = list(d[at])
+                        yield out[["_c", "_q", "_qv", "_qd", "_kth"]]
+        return run
 
 
 def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int = 5,
-        exclude_self: bool = False, target: int = 64, seed: int = fixed.SEED) -> DataFrame:
+        exclude_self: bool = False, target: int = 64, seed: int = fixed.SEED, report: dict | None = None) -> DataFrame:
     """W5 + J8: (qid, rank, tid, dist) for the k nearest training points of
     every query (Euclidean; ties by training id).  With ``exclude_self`` a
-    query never matches the training row with the same id (leave-one-out)."""
+    query never matches the training row with the same id (leave-one-out).
+    ``target``: rows of a cell, about, as long as ``MAX_CELLS`` are enough.  ``report`` gets the numbers
+    of ``pairs`` there are and of distances ``computed``."""
+    spark = train.sparkSession
     tr = train.select(F.col(tid).cast("long").alias("_t"), F.col(vec).cast("array<double>").alias("_tv"))
-    tr = checkpointed(tr.withColumn("_tp", _projection(F.col("_tv"), seed)))
-    st = tr.agg(F.min("_tp").alias("lo"), F.max("_tp").alias("hi"), F.count(F.lit(1)).alias("n"),
-                F.percentile_approx("_tp", F.array(F.lit(0.01), F.lit(0.99))).alias("mid"))
-    middle = F.greatest(F.col("mid")[1] - F.col("mid")[0], F.lit(1e-12))
-    st = checkpointed(st.select("lo", "hi", "n", (middle * F.least(
-        F.lit(1.0), F.lit(float(target)) / F.greatest("n", F.lit(1)))).alias("w")))
-    w, span = st.select("w").scalar(), st.select(F.greatest(F.col("hi") - F.col("lo"), F.col("w"))).scalar()
-    need = st.select(F.least(F.lit(k), F.col("n") - (1 if exclude_self else 0))).scalar()
-    queries = (test.select(F.col(qid).cast("long").alias("_q"), F.col(vec).cast("array<double>").alias("_qv"))
-               .withColumn("_qp", _projection(F.col("_qv"), seed)).withColumn("_w", w))
-    t = tr.withColumn("_b", F.floor(F.col("_tp") / w)).drop("_tp")
-
-    def top_k(q):
-        """Exact top-k of each query among the training points of the buckets it
-        is exploded to: numpy distances per (bucket, query chunk, training chunk),
-        each of which returns its local top-k; a window keeps the global top-k."""
-        n_q = q.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("_nq"))
-        n_t = t.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / TRAIN_CHUNK).alias("_nt"))
-        chunks = n_q.join(n_t, "_b")
+    queries = test.select(F.col(qid).cast("long").alias("_q"), F.col(vec).cast("array<double>").alias("_qv"))
+    n = tr.count()
+    sample = tr.orderBy(F.xxhash64("_t", F.lit(seed)), "_t").limit(SAMPLE).toPandas()
+    if not n:
+        return queries.filter("false").select(F.col("_q").alias(qid), F.lit(1).alias("rank"), F.col("_q").alias(tid),
+                                              F.lit(0.0).alias("dist"))
+    space = _Space(np.stack(sample["_tv"].to_numpy()), max(1, min(MAX_CELLS, len(sample), -(-n // target))))
+    tr = checkpointed(tr.mapInPandas(space.deal, "_c int, _t long, _tv array<double>, _td array<double>"))
+    n_marks = len(space.landmarks)
+    ranges = sorted(tr.groupBy("_c").agg(                                   # at most MAX_CELLS rows
+        F.array(*[F.min(F.col("_td")[j]) for j in range(n_marks)]).alias("lo"),
+        F.array(*[F.max(F.col("_td")[j]) for j in range(n_marks)]).alias("hi")).collect())
+    space.used = np.array([r["_c"] for r in ranges])
+    space.lo, space.hi = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
+    computed = spark.sparkContext.accumulator(0)
+
+    def searched(q):
+        """The ``k`` nearest of each query in the cells it is sent to, one numpy block per (cell, query chunk,
+        training chunk)."""
+        n_q = q.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("_nq"))
+        n_t = tr.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / TRAIN_CHUNK).alias("_nt"))
+        chunks = n_q.join(n_t, "_c")
         upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-        qs = q.join(chunks, "_b").select("_b", F.pmod(F.xxhash64("_q"), F.col("_nq")).alias("_qc"), upto("_nt").alias("_tc"), "_q", "_qv")
-        ts = t.join(chunks, "_b").select("_b", F.pmod(F.xxhash64("_t"), F.col("_nt")).alias("_tc"), upto("_nq").alias("_qc"), "_t", "_tv")
-        local = (qs.groupBy("_b", "_qc", "_tc").cogroup(ts.groupBy("_b", "_qc", "_tc"))
-                 .applyInPandas(_block_top_k(k, exclude_self), "_q long, _t long, dist double"))
-        win = Window.partitionBy("_q").orderBy(F.round("dist", 9), "_t")
-        return local.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k)
-
-    # round 1: own bucket and both neighbours
-    near = F.explode(F.array(*[F.floor(F.col("_qp") / F.col("_w")) + d for d in (-1, 0, 1)]))
-    first = checkpointed(top_k(queries.withColumn("_b", near)))
-    stat = first.groupBy("_q").agg(F.count(F.lit(1)).alias("c"), F.max("dist").alias("kth"))
-    sure = stat.filter((F.col("c") >= need) & (F.col("kth") < w)).select("_q")
-    done = first.join(sure, "_q", "left_semi")
-    # round 2: every other query joins exactly the buckets within its k-th
-    # distance (or the whole range when it had fewer than k candidates)
-    radius = (queries.join(sure, "_q", "left_anti").join(stat, "_q", "left")
-              .withColumn("_r", F.when(F.col("c") >= need, F.col("kth")).otherwise(span + F.abs("_qp"))))
-    # only buckets that hold training points: the range is cut to theirs
-    reach = st.select(F.floor(F.col("lo") / F.col("w"))).scalar(), st.select(F.floor(F.col("hi") / F.col("w"))).scalar()
-    lo = F.greatest(F.floor((F.col("_qp") - F.col("_r")) / F.col("_w")), reach[0])
-    hi = F.least(F.floor((F.col("_qp") + F.col("_r")) / F.col("_w")), reach[1])
-    wide = radius.withColumn("_lo", lo).withColumn("_hi", hi).filter("_lo <= _hi")
-    second = top_k(wide.withColumn("_b", F.explode(F.sequence("_lo", "_hi"))).drop("c", "kth", "_r", "_lo", "_hi"))
-    out = done.unionByName(second)
-    return out.select(F.col("_q").alias(qid), "rank", F.col("_t").alias(tid), "dist")
-
-
-QUERY_CHUNK = 4096
-TRAIN_CHUNK = 4096
-
-
-def _block_top_k(k: int, exclude_self: bool):
+        qs = q.join(chunks, "_c").select("_c", F.pmod(F.xxhash64("_q"), F.col("_nq")).alias("_qc"), upto("_nt").alias("_tc"),
+                                         "_q", "_qv", "_qd", "_kth")
+        ts = tr.join(chunks, "_c").select("_c", F.pmod(F.xxhash64("_t"), F.col("_nt")).alias("_tc"), upto("_nq").alias("_qc"),
+                                          "_t", "_tv", "_td")
+        return (qs.groupBy("_c", "_qc", "_tc").cogroup(ts.groupBy("_c", "_qc", "_tc"))
+                .applyInPandas(_block(k, exclude_self, computed), "_q long, _t long, dist double"))
+
+    win = Window.partitionBy("_q").orderBy(F.round("dist", 9), "_t")
+    best, seen = None, 0
+    for step in ROUNDS:
+        if best is None:
+            active = queries.withColumn("_kth", F.lit(float("inf")))
+        else:
+            kth = best.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_far"))
+            active = queries.join(kth, "_q", "left").select(
+                "_q", "_qv", F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(float("inf"))).alias("_kth"))
+        sent = active.mapInPandas(space.visits(seen, step), "_c int, _q long, _qv array<double>, _qd array<double>, _kth double")
+        sent = checkpointed(sent)
+        if sent.isEmpty():
+            break
+        found = searched(sent) if best is None else searched(sent).unionByName(best.drop("rank"))
+        best = checkpointed(found.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k))
+        if step is None or seen + step >= len(space.used):
+            break
+        seen += step
+    if best is None:                                               # no queries
+        best = queries.filter("false").select("_q", F.col("_q").alias("_t"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
+    if report is not None:
+        report.update(pairs=n * queries.count(), computed=computed.value)
+    return best.select(F.col("_q").alias(qid), "rank", F.col("_t").alias(tid), "dist")
+
+
+def _block(k: int, exclude_self: bool, computed):
     def run(qdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
-        if qdf.empty or tdf.empty:
-            return pd.DataFrame({"_q": [], "_t": [], "dist": []})
-        tid = tdf["_t"].to_numpy(dtype=np.int64)
-        tv = np.stack(tdf["_tv"].to_numpy())
-        out_q, out_t, out_d = [], [], []
-        for s in range(0, len(qdf), 512):
-            part = qdf.iloc[s:s + 512]
-            qid = part["_q"].to_numpy(dtype=np.int64)
-            qv = np.stack(part["_qv"].to_numpy())
-            acc = np.zeros((len(qid), len(tid)))
-            for d in range(qv.shape[1]):            # same left-to-right sum as the SQL fold
-                diff = qv[:, d][:, None] - tv[:, d][None, :]
-                acc = acc + diff * diff
-            dist = np.sqrt(acc)
-            if exclude_self:
-                dist = np.where(qid[:, None] == tid[None, :], np.inf, dist)
-            rounded = np.round(dist, 9)
-            if len(tid) > k:       # all within the k-th distance, ties included; the window ranks them
-                kth = np.partition(rounded, k - 1, axis=1)[:, k - 1:k]
-                rows, cols = np.nonzero((rounded <= kth) & np.isfinite(dist))
-            else:
-                rows, cols = np.nonzero(np.isfinite(dist))
-            order = np.lexsort((tid[cols], rounded[rows, cols], rows))
-            rows, cols = rows[order], cols[order]
-            place = np.arange(len(rows)) - np.searchsorted(rows, rows)
-            rows, cols = rows[place < k], cols[place < k]
-            out_q.append(qid[rows])
-            out_t.append(tid[cols])
-            out_d.append(dist[rows, cols])
+        out_q, out_t, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
+        if not qdf.empty and not tdf.empty:
+            tid = tdf["_t"].to_numpy(dtype=np.int64)
+            tv, td = np.stack(tdf["_tv"].to_numpy()), np.stack(tdf["_td"].to_numpy())
+            for s in range(0, len(qdf), 512):
+                part = qdf.iloc[s:s + 512]
+                qid = part["_q"].to_numpy(dtype=np.int64)
+                qv, qd = np.stack(part["_qv"].to_numpy()), np.stack(part["_qd"].to_numpy())
+                limit = part["_kth"].to_numpy()
+                limit = (limit * (1 + SLACK) + SLACK)[:, None]
+                near = np.ones((len(qid), len(tid)), bool)
+                if np.isfinite(limit).any():                       # the landmarks' own look at single pairs
+                    for j in range(qd.shape[1]):
+                        near &= np.abs(qd[:, j][:, None] - td[:, j][None, :]) <= limit
+                if exclude_self:
+                    near &= qid[:, None] != tid[None, :]
+                rows, cols = np.nonzero(near)
+                computed.add(len(rows))
+                acc = np.zeros(len(rows))
+                for d in range(qv.shape[1]):                       # same left-to-right sum as the SQL fold
+                    diff = qv[rows, d] - tv[cols, d]
+                    acc += diff * diff
+                dist = np.sqrt(acc)
+                order = np.lexsort((tid[cols], np.round(dist, 9), rows))
+                rows, cols, dist = rows[order], cols[order], dist[order]
+                first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+                out_q.append(qid[rows[first]])
+                out_t.append(tid[cols[first]])
+                out_d.append(dist[first])
         return pd.DataFrame({"_q": np.concatenate(out_q), "_t": np.concatenate(out_t), "dist": np.concatenate(out_d)})
     return run
 

@@ -114,3 +114,50 @@ def test_knn_outlier_and_one_point(spark):
     assert got.count() == 51 * 3 and {r["t"] for r in got.filter("q = 0").collect()} == {1, 7, 8}
     one = df.filter("id = 0")
     assert nbr.knn(one.withColumnRenamed("id", "t"), one.withColumnRenamed("id", "q"), "t", "q", "v", 3).count() == 1
+
+
+def _clusters(n, width, centres, seed):
+    import random
+    rnd = random.Random(seed)
+    mid = [[rnd.gauss(0, 10) for _ in range(width)] for _ in range(centres)]
+    return [(i, [m + rnd.gauss(0, 0.5) for m in mid[i % centres]]) for i in range(n)]
+
+
+def test_knn_computes_few_pairs_of_clustered_vectors(spark):
+    import math
+    from critiq.operators import neighbors as nbr
+    pts = _clusters(1500, 64, 40, 3)
+    df = spark.createDataFrame(pts, "id int, v array<double>")
+    report = {}
+    got = {}
+    for r in nbr.knn(df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q"), "t", "q", "v", 5, exclude_self=True,
+                     report=report).collect():
+        got.setdefault(r["q"], []).append((r["rank"], r["t"]))
+    assert report["pairs"] == 1500 ** 2 and report["computed"] < 0.25 * report["pairs"], report
+    for qi, qv in pts[::29]:
+        d = sorted((round(math.dist(qv, tv), 9), ti) for ti, tv in pts if ti != qi)[:5]
+        assert [t for _, t in sorted(got[qi])] == [t for _, t in d], qi
+
+
+def test_cell_bounds_never_exceed_distances():
+    import numpy as np
+    from critiq.operators import neighbors as nbr
+    rng = np.random.default_rng(2)
+    x, q = rng.normal(size=(300, 8)), rng.normal(size=(40, 8)) * 3
+    marks = nbr.farthest_first(x, 5)
+    cell = rng.integers(0, 7, 300)
+    d = nbr._distances(x, marks)
+    lo, hi = (np.array([f(d[cell == c], axis=0) for c in range(7)]) for f in (np.min, np.max))
+    b = nbr.cell_bounds(nbr._distances(q, marks), lo, hi)
+    real = np.array([[nbr._distances(q[i:i + 1], x[cell == c]).min() for c in range(7)] for i in range(40)])
+    assert (b <= real + 1e-9).all() and b.max() > 0
+    assert len(nbr.farthest_first(np.ones((9, 3)), 4)) == 1
+
+
+def test_knn_empty_sides(spark):
+    from critiq.operators import neighbors as nbr
+    df = spark.createDataFrame([(1, [0.0, 1.0]), (2, [1.0, 1.0])], "id int, v array<double>")
+    t, q = df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q")
+    assert nbr.knn(t.limit(0), q, "t", "q", "v").count() == 0
+    assert nbr.knn(t, q.limit(0), "t", "q", "v").count() == 0
+    assert nbr.knn(t, q, "t", "q", "v", 1, exclude_self=True).count() == 2
