@@ -125,21 +125,22 @@ def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", ba
     cross over (M10) and append the child (U1); the best candidate at the end
     (W3).  The population (``n_candidates`` + ``n_generations`` items at most) is
     an array of the pair's row from beginning to end: map-only."""
-    def generation(tt, seg, g):
-        def grown(pop):        # one parameter only: a second would be the array's index
-            def child(ps):
-                made = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), template_crossover(ps).alias("text")))
-                return F.concat(pop, scored(made, tt, -1, seg))
-            return let(parents_in_row(pop, keys, n_parents, tau, seed, g), child)
-        return grown
+    def child(ps, g):
+        made = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), template_crossover(ps).alias("text")))
+        return scored(made, F.col("_tt"), -1, F.col("_seg"))
 
-    def run(tt, seg):
-        pop = scored(candidates(n_candidates, base), tt, -1, seg)
-        for g in range(n_generations):
-            pop = let(pop, generation(tt, seg, g))
-        return best_first(pop)
+    rows = _prepared(pairs, template, segment)
+    rows = rows.withColumn("_pop", scored(candidates(n_candidates, base), F.col("_tt"), -1, F.col("_seg")))
+    for g in range(n_generations):
+        parents = parents_in_row(F.col("_pop"), keys, n_parents, tau, seed, g)
+        rows = rows.withColumn("_pop", F.concat("_pop", let(parents, lambda ps: child(ps, g))))  # noqa: B023
+    return rows.select(*keys, best_first(F.col("_pop")).alias("_b")).select(*keys, "_b.*")
 
-    return pairs.select(*keys, let(_template_tokens(template), lambda tt: let(known(segment, tt), lambda seg: run(tt, seg))).alias("_b")).select(*keys, "_b.*")
+
+def _prepared(pairs: DataFrame, template: str, segment: str) -> DataFrame:
+    """``pairs`` with the template's tokens and the segment's summary.  Columns of their own, as each is
+    read many times: Spark does not inline such a column, and the expressions over it stay shallow."""
+    return pairs.withColumn("_tt", _template_tokens(template)).withColumn("_seg", known(segment, F.col("_tt")))
 
 
 def best_of_n(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
@@ -184,10 +185,10 @@ def baselines(pairs: DataFrame, keys: Sequence[str], template: str = "template",
         "Self-Ref.": lambda: F.transform(F.sequence(F.lit(0), F.lit(n - 1)), lambda c: cand(c, refined(c))),
     }
 
-    def best(name, tt, seg):
-        return let(best_first(scored(made[name](), tt, 1, seg)), lambda x: F.struct(
-            F.lit(name).alias("strategy"), x["cand_id"].alias("cand_id"), x["fitness"].alias("fitness"), x["text"].alias("text")))
+    def best(name):
+        found = best_first(scored(made[name](), F.col("_tt"), 1, F.col("_seg")))
+        return let(found, lambda x: F.struct(F.lit(name).alias("strategy"), x["cand_id"].alias("cand_id"),
+                                             x["fitness"].alias("fitness"), x["text"].alias("text")))
 
-    chosen = let(_template_tokens(template), lambda tt: let(known(segment, tt), lambda seg: F.array(
-        *[best(s, tt, seg) for s in made if s in strategies])))
-    return pairs.select(*keys, F.inline(chosen))
+    rows = _prepared(pairs, template, segment)
+    return rows.select(*keys, F.inline(F.array(*[best(s) for s in made if s in strategies])))

@@ -43,14 +43,11 @@ def _array(texts: Column) -> Column:
 
 def _best(df: DataFrame, keys, texts: str, sign: int = 1) -> DataFrame:
     """F18 + W3 over an array of candidate texts."""
-    tt = F.array_distinct(tokens("template"))
-    def best_of(t):
-        if "segment" not in df.columns:
-            return best_first(scored(_array(F.col(texts)), t, sign))
-        return let(known("segment", t), lambda seg: best_first(scored(_array(F.col(texts)), t, sign, seg)))
-
-    best = let(tt, best_of)
-    return df.select(*keys, best.alias("_b")).select(*keys, "_b.*")
+    rows, seg = df.withColumn("_tt", F.array_distinct(tokens("template"))), None
+    if "segment" in df.columns:
+        rows, seg = rows.withColumn("_seg", known("segment", F.col("_tt"))), F.col("_seg")
+    best = best_first(scored(_array(F.col(texts)), F.col("_tt"), sign, seg))
+    return rows.select(*keys, best.alias("_b")).select(*keys, "_b.*")
 
 
 def make_plan(pairs: DataFrame, backend, out: str = "plan") -> DataFrame:

@@ -22,6 +22,7 @@ from ..operators import issues as iss
 from ..operators import judge as jd
 from ..operators import metrics as met
 from ..operators import models as mdl
+from ..operators import onepass
 from ..operators import neighbors as nbr
 from ..operators import split as spl
 from ..operators import tagging
@@ -776,7 +777,10 @@ SELECT 'Gaussian Naive Bayes' AS model, round(f05, 6) AS f05, round(precision, 6
 def classifier_nb_holdout(spark, sf_dir):
     """J1 + J5 + G1 + F19 + G3 + G4 + G6 + A8 + C13: the hold-out with the one model that
     SQL can write down."""
-    return _holdout(spark, sf_dir, ["Gaussian Naive Bayes"])
+    data, sides, vocab = _holdout_data(spark, sf_dir)
+    tested = data.join(sides.select("source", (F.col("side") == "test").alias("test")), "source")
+    scores = onepass.hold_out(tested, "features", "issues", "test", vocab, ["Gaussian Naive Bayes"])
+    return scores.select("model", round6("f05").alias("f05"), round6("precision").alias("precision"), round6("recall").alias("recall"))
 
 
 _HOLDOUT_MODELS = ["Logistic Regression (L2)", "Gaussian Naive Bayes"]
@@ -791,7 +795,8 @@ def classifier_holdout(spark, sf_dir):
     return _holdout(spark, sf_dir, _HOLDOUT_MODELS)
 
 
-def _holdout(spark, sf_dir, models):
+def _holdout_data(spark, sf_dir):
+    """(rows with their vote vectors, sides of the split, label vocabulary)."""
     ds = _issue_dataset(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
@@ -799,12 +804,17 @@ def _holdout(spark, sf_dir, models):
     # and every per-label fit start from the materialized rows
     data = checkpointed(ds.join(vec, "doc_id", "left"))
     sides = spl.stratified_group_split(data, "issues", "source", 0.1, 1000, 42)
+    vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
+             .orderBy("issue").collect()]          # bounded label vocabulary
+    return data, sides, vocab
+
+
+def _holdout(spark, sf_dir, models):
+    data, sides, vocab = _holdout_data(spark, sf_dir)
     train, test = spl.split_sides(data, sides, "source")
     train = mdl.standardize(train, "features", out="x")
     test = mdl.standardize(test, "features", fit=data.join(sides.filter("side = 'train'"), "source", "left_semi"),
                            out="x")
-    vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
-             .orderBy("issue").collect()]          # bounded label vocabulary
     train, test = checkpointed(train), checkpointed(test)
 
     def fit(name):   # models are independent: their fits are submitted concurrently
@@ -920,17 +930,26 @@ SELECT 'Gaussian Naive Bayes' AS model, round(avg(f05), 6) AS mean_f05, round(av
 def classifier_cv(spark, sf_dir):
     """G2 + G5 + A9: group folds (best of 100 seeded trials), binary relevance
     per supported issue trained on four folds and scored on the fifth, mean
-    micro F0.5 / precision / recall per model (C13)."""
+    micro F0.5 / precision / recall (C13), all folds and labels in one pass."""
+    return _cross_validated(spark, sf_dir, ["Gaussian Naive Bayes"])
+
+
+@register("classifier_cv_onepass")
+def classifier_cv_onepass(spark, sf_dir):
+    """G5 + A9 with every classifier that is fitted for all folds and labels at once (C2, C10, C13); checked
+    against plain versions in tests/test_onepass.py."""
+    return _cross_validated(spark, sf_dir, list(onepass.ONE_PASS))
+
+
+def _cross_validated(spark, sf_dir, names):
     ds = _issue_dataset(spark, sf_dir)
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
     data = checkpointed(ds.join(vec, "doc_id", "left"))
     folds = spl.stratified_group_kfold(data, "issues", "source", 5, 100, 42).select("source", "fold")
-    withf = checkpointed(data.join(folds, "source"))
     vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
              .orderBy("issue").collect()]          # bounded label vocabulary
-    res = mdl.cross_validate(withf, "doc_id", "features", "issues", "fold", vocab,
-                             {"Gaussian Naive Bayes": mdl.CLASSIFIERS["Gaussian Naive Bayes"]}, 5)
+    res = onepass.cross_validate(data.join(folds, "source"), "features", "issues", "fold", vocab, 5, names)
     return res.select("model", round6("mean_f05").alias("mean_f05"), round6("mean_precision").alias("mean_precision"),
                       round6("mean_recall").alias("mean_recall"))
 
