@@ -158,10 +158,11 @@ def digest(docs: DataFrame) -> DataFrame:
     # The joined texts are summed up where they are: the digest is one more key, and no text is written.
     changed = edited(rows, order).withColumn("edited_sha256", F.sha2("edited", 256))
     other = shared_table(fingerprints(changed, [*KEYS, "edited_sha256"], "edited").withColumnRenamed("fp", "efp"), "edited")
-    near = near_counts(own).withColumnRenamed("fp", "nfp")
+    # As a table of its own the last join's sides are plain shuffles, so a hot fingerprint can be split.
+    near = shared_table(near_counts(own).withColumnRenamed("fp", "nfp"), "near")
     after = order.select(F.struct(*KEYS).alias("me"), "n_rows", "n_chars", *[F.col(f"next.{k}").alias(k) for k in KEYS])
     after = after.join(own, KEYS).select(*[F.col(f"me.{k}").alias(k) for k in KEYS], "n_rows", "n_chars", F.col("fp").alias("afp"))
-    out = after.join(own, KEYS).join(other, KEYS)
+    out = shared_table(after.join(own, KEYS).join(other, KEYS), "results")
     out = out.join(near, out["fp"] == near["nfp"], "left")
     out = out.withColumn("doc_id", F.when(~F.col("__none"), F.col("__id"))).withColumn(
         "copy", F.explode(F.sequence(F.lit(1).cast("long"), "n_rows")))
