@@ -1,30 +1,32 @@
 """Toxicity by a linear-chain conditional random field.
 
-Labels are given by document; token labels follow from them: words that are much more
-frequent among toxic than among other documents (log-odds and significance) form the
-lexicon, and its words in toxic documents are the toxic tokens, all other tokens are clean.
-The CRF has two states; its emission potentials are one pair per lexicon word and one for
-all other words, its transitions a 2x2 matrix; it is fitted to the tokens around lexicon
-words and to neutral stretches of the sample by its exact gradient (forward-backward).
-
-Inference is exact over whole texts: a run of k neutral words is the k-th power of one 2x2
-matrix, so forward-backward steps from lexicon word to lexicon word.  Marginals at these
-words give the spans (``offsets``, code points, end exclusive) and, summed up, the document's
-features (highest marginal, expected toxic words, their share); a logistic layer on
-the sample's documents turns them into a score.
+Labels are given by document; token labels follow from them.  Word forms (words, and beginnings that several
+different words share) which mark toxic documents by their likelihood ratio (Dunning's G2, over groups of near
+copies, each counted once) are the lexicon; its words in toxic documents are the toxic tokens of the sample, all other
+tokens are clean.
+
+The CRF has two states.  Every token of a text takes part: its emission is the sum of the weights of its hashed
+features (the word, its beginnings of 3 to 7 letters, its ending, its shape), so that a word which was never seen is
+tagged by its parts; the transitions are a 2x2 matrix.  It is fitted to windows around toxic tokens and to other stretches of both
+kinds of documents by its exact gradient (forward-backward).
+
+Forward-backward marginals over the whole text give the spans (``offsets``, code points, end exclusive) and, summed up,
+the document's features (highest marginal, expected toxic tokens, their share).  A logistic layer turns
+them into a score; it is fitted to features that a CRF of the other half of the sample gave (cross-fitting), so that it
+has not seen the words it is judged by, and its threshold is checked there.
 
 Training takes at most ``SAMPLE`` documents of either label (those with the least hash, by a
 threshold set from exact counts) of at most ``SAMPLE_CHARS`` code points each.
 
-Rows: null text = empty text: it scores as a text without lexicon words.  Documents without a label, and
+Rows: null text = empty text: it scores as a text without tokens.  Documents without a label, and
 null labels, are not learned from; null ids count as held out.  Of repeated label rows each counts.
 Without labels of both kinds everything scores 0.  Repeated rows: as many result rows."""
 from __future__ import annotations
 
 import re
-from collections import Counter
+import zlib
+from collections import Counter, defaultdict
 
-import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -33,47 +35,81 @@ from pyspark.sql import functions as F
 from critiq.llm.common import prepare
 from critiq.llm.langid import held_out
 
-SAMPLE = 2500
+SAMPLE = 1500
 SAMPLE_CHARS = 20_000
-LEAST_DOCS = 3
-LEAST_Z = 5.0
-#: A beginning of words replaces the words only where it is clearly the better mark.
-PREFIX_WORTH = 0.85
+LEAST_DOCS = 4
+#: Of the likelihood ratio; and of the log-odds that a form marks a toxic document.
+LEAST_G2 = 18.0
 LEAST_ODDS = 2.0
-SIDE = 4            # neutral words kept on either side of a lexicon word for training
+#: A beginning of words stands for them only if this many different words share it.
+LEAST_WORDS = 3
+SIDE = 4            # tokens kept on either side of a toxic token for training
+STRETCHES = 3       # other windows of each document
+HASHES = 1 << 18
+WIDTH = 8           # features of a token
+#: Tokens (padded) that forward-backward holds at once.
+HELD = 1 << 21
 _WORD = re.compile(r"[^\W\d_]+")
 
 
-def _lower(text: str) -> str:
-    """Lower case of the same length, so that offsets hold."""
-    low = text.lower()
-    return low if len(low) == len(text) else "".join(c if len(c.lower()) != 1 else c.lower() for c in text)
-
-
 def forms(word: str) -> list[str]:
     """What can stand for a word in the lexicon: itself, and its beginnings (marked by a star)."""
     return [word, *(word[:k] + "*" for k in range(3, min(len(word), 8)))]
 
 
-def lexicon(words: list[set], toxic: np.ndarray) -> list[str]:
-    """Words and beginnings of words that mark the toxic documents, by the z-score of their
-    smoothed log-odds; of forms that cover one another the most significant (then the longest)."""
-    n1, n0 = int(toxic.sum()), int((1 - toxic).sum())
-    c1, c0 = Counter(), Counter()
-    for w, t in zip(words, toxic):
-        (c1 if t else c0).update({f for x in w if len(x) >= 3 for f in forms(x)})
-    least = LEAST_Z if n1 >= 50 else LEAST_Z * max(0.4, n1 / 50)         # few documents: weaker evidence must do
-    marked = []
+def copies(words: list[list[str]]) -> np.ndarray:
+    """Group number of each document: documents that share most minimal hashes of their word
+    triples are near copies of one another."""
+    signs, root = [], list(range(len(words)))
+    for w in words:
+        h = np.array([zlib.crc32(" ".join(w[i:i + 3]).encode()) for i in range(max(1, len(w) - 2))], np.uint64)
+        signs.append([int(((h * np.uint64(2 * k + 1) * np.uint64(0x9E3779B1)) >> np.uint64(7) & np.uint64(0xFFFFFFFF)).min()) for k in range(16)])
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    seen: dict = {}
+    for i, s in enumerate(signs):
+        for k, h in enumerate(s):
+            j = seen.setdefault((k, h), i)
+            if j != i and find(i) != find(j) and sum(a == b for a, b in zip(s, signs[j])) >= 8:
+                root[find(i)] = find(j)
+    return np.array([find(i) for i in range(len(words))])
+
+
+def lexicon(words: list[list[str]], toxic: np.ndarray, group: np.ndarray) -> list[str]:
+    """Words and beginnings of words that mark the toxic documents; of forms that cover one another
+    the most significant (then the longest)."""
+    marked: dict = {}
+    for w, t, g in zip(words, toxic, group):
+        marked.setdefault((g, int(t)), set()).update(x for x in set(w) if len(x) >= 3)
+    n1, n0 = (sum(t == k for _, t in marked) for k in (1, 0))
+    c1, c0, share = Counter(), Counter(), defaultdict(set)
+    for (_, t), own in marked.items():
+        (c1 if t else c0).update({f for x in own for f in forms(x)})
+        if t:
+            for x in own:
+                for f in forms(x)[1:]:
+                    if len(share[f]) < LEAST_WORDS:
+                        share[f].add(x)
+    found = []
     for form, a in c1.items():
         b = c0.get(form, 0)
-        if a < LEAST_DOCS:
+        if a < LEAST_DOCS or (form[-1] == "*" and len(share[form]) < LEAST_WORDS):
             continue
         odds = np.log((a + 0.5) / (n1 - a + 0.5)) - np.log((b + 0.5) / (n0 - b + 0.5))
-        spread = np.sqrt(1 / (a + 0.5) + 1 / (n1 - a + 0.5) + 1 / (b + 0.5) + 1 / (n0 - b + 0.5))
-        if odds >= LEAST_ODDS and odds / spread >= least:
-            marked.append((-odds / spread * (PREFIX_WORTH if form[-1] == "*" else 1), -len(form), form))
+        if odds < LEAST_ODDS:
+            continue
+        cells = np.array([[a, b], [n1 - a, n0 - b]], float)
+        even = np.outer(cells.sum(1), cells.sum(0)) / cells.sum()
+        g2 = 2 * (cells * np.log(np.maximum(cells, 1e-12) / even)).sum()
+        if g2 >= LEAST_G2:
+            found.append((-round(g2, 6), -len(form), form))
     out: list[str] = []
-    for _, _, form in sorted(marked):
+    for _, _, form in sorted(found):
         own = form.rstrip("*")
         covered = any(o[-1] == "*" and own.startswith(o[:-1]) for o in out)
         covering = form[-1] == "*" and any(o.startswith(own) for o in out)
@@ -82,23 +118,36 @@ def lexicon(words: list[set], toxic: np.ndarray) -> list[str]:
     return sorted(out)
 
 
+def features(word: str) -> list[int]:
+    """Hashed features of a token: ``WIDTH`` of them, 0 for none."""
+    low = word.lower()
+    shape = "upper" if len(word) > 1 and word.isupper() else "title" if word[:1].isupper() else "lower"
+    parts = ["w:" + low, *("b:" + low[:k] for k in range(3, 8) if len(low) >= k), "e:" + low[-3:], "s:" + shape]
+    parts = parts if len(parts) <= WIDTH else parts[:WIDTH]
+    return [zlib.crc32(p.encode("utf-8")) % (HASHES - 1) + 1 for p in parts] + [0] * (WIDTH - len(parts))
+
+
 def _logsumexp(x, axis):
     top = x.max(axis=axis, keepdims=True)
     return np.log(np.exp(x - top).sum(axis=axis)) + top.squeeze(axis)
 
 
 class Chain:
-    """Linear-chain CRF; feature 0 is any neutral word, feature k the k-th lexicon word."""
+    """Linear-chain CRF: a token's log-odds of being toxic are ``bias`` and the weights of its features."""
 
-    def __init__(self, n_words: int):
-        self.emit = np.zeros((n_words + 1, 2))
-        self.move = np.zeros((2, 2))
-        self._powers = {}
+    def __init__(self):
+        self.weights, self.bias, self.move = np.zeros(HASHES), np.zeros(1), np.zeros((2, 2))
 
-    def gradient(self, x: np.ndarray, y: np.ndarray):
-        """x, y (n, length): features and states.  Gradient of the mean log-likelihood."""
+    def odds(self, table: np.ndarray) -> np.ndarray:
+        """Log-odds of tokens from their features (n, WIDTH)."""
+        return np.where(table > 0, self.weights[table], 0.0).sum(1) + self.bias[0]
+
+    def gradient(self, table: np.ndarray, x: np.ndarray, y: np.ndarray):
+        """table: features of the distinct tokens; x, y (n, length): tokens and states.  Gradient of the mean
+        log-likelihood for weights, bias and moves."""
         n, length = x.shape
-        e = self.emit[x]
+        o = self.odds(table)[x]
+        e = np.stack([np.zeros_like(o), o], axis=2)
         fwd, bwd = [e[:, 0]], [np.zeros((n, 2))]
         for t in range(1, length):
             fwd.append(e[:, t] + _logsumexp(fwd[-1][:, :, None] + self.move, 1))
@@ -106,155 +155,167 @@ class Chain:
             bwd.append(_logsumexp(self.move + (e[:, t] + bwd[-1])[:, None, :], 2))
         bwd.reverse()
         z = _logsumexp(fwd[-1], 1)
-        g_emit, g_move = np.zeros_like(self.emit), np.zeros((2, 2))
+        g_token, g_move = np.zeros(len(table)), np.zeros((2, 2))
         for t in range(length):
             p = np.exp(fwd[t] + bwd[t] - z[:, None])
-            for s in (0, 1):
-                g_emit[:, s] += (np.bincount(x[:, t], y[:, t] == s, len(self.emit))
-                                 - np.bincount(x[:, t], p[:, s], len(self.emit)))
+            g_token += np.bincount(x[:, t], y[:, t] - p[:, 1], len(table))
             if t:
                 both = np.exp(fwd[t - 1][:, :, None] + self.move + (e[:, t] + bwd[t])[:, None, :] - z[:, None, None])
                 g_move -= both.sum(axis=0)
                 np.add.at(g_move, (y[:, t - 1], y[:, t]), 1)
-        return g_emit / n, g_move / n
-
-    def fit(self, x: np.ndarray, y: np.ndarray, steps: int = 150, penalty: float = 1e-4) -> None:
-        m = [np.zeros_like(self.emit), np.zeros((2, 2))]
-        v = [np.zeros_like(self.emit), np.zeros((2, 2))]
+        g = np.bincount(table.ravel(), np.repeat(g_token, table.shape[1]), HASHES)
+        g[0] = 0
+        return g / n, np.array([g_token.sum() / n]), g_move / n
+
+    def fit(self, table: np.ndarray, x: np.ndarray, y: np.ndarray, steps: int = 60, penalty: float = 1e-4) -> None:
+        used = np.unique(table)                                    # only the features that occur move
+        params = [np.zeros(len(used)), self.bias, self.move]
+        m, v = ([np.zeros_like(p) for p in params] for _ in "mv")
         for t in range(1, steps + 1):
-            for p, g, a, s in zip((self.emit, self.move), self.gradient(x, y), m, v):
-                g = g - penalty * p
-                a += 0.1 * (g - a)
-                s += 0.01 * (g * g - s)
+            self.weights[used] = params[0]
+            g = list(self.gradient(table, x, y))
+            g[0] = g[0][used]
+            for p, q, a, s in zip(params, g, m, v):
+                q = q - penalty * p
+                a += 0.1 * (q - a)
+                s += 0.01 * (q * q - s)
                 p += 0.1 * (a / (1 - 0.9**t)) / (np.sqrt(s / (1 - 0.99**t)) + 1e-8)
+        self.weights[used] = params[0]
 
-    def _run(self, k: int) -> np.ndarray:
-        """Product of k neutral steps (scaled), by repeated squaring."""
-        if k not in self._powers:
-            if len(self._powers) > 100_000:
-                self._powers.clear()
-            step, out = np.exp(self.move + self.emit[0][None, :]), np.eye(2)
-            step /= step.max()
-            while k:
-                if k & 1:
-                    out = out @ step
-                    out /= out.max()
-                step = step @ step
-                step /= step.max()
-                k >>= 1
-            return out
-        return self._powers[k]
-
-    def marginals(self, features: list[int], gaps: list[int]) -> np.ndarray:
-        """P(toxic) at each lexicon word; gaps: neutral words before each, and after the last."""
-        n = len(features)
-        e = [np.exp(self.emit[f] - self.emit[f].max()) for f in features]
+    def marginals(self, odds: list[np.ndarray]) -> list[np.ndarray]:
+        """P(toxic) of every token of every text, from the tokens' log-odds: texts of like length side by side."""
+        out: list = [np.empty(0)] * len(odds)
+        order = sorted((k for k in range(len(odds)) if len(odds[k])), key=lambda k: -len(odds[k]))
         move = np.exp(self.move - self.move.max())
-
-        def runs(k):
-            if k not in self._powers:
-                self._powers[k] = self._run(k)
-            return self._powers[k]
-
-        start = np.ones(2)
-        if gaps[0]:
-            start = (np.exp(self.emit[0] - self.emit[0].max()) @ runs(gaps[0] - 1)) @ move
-        fwd, bwd = [start * e[0]], [runs(gaps[n]) @ np.ones(2)]
-        for t in range(1, n):
-            a = fwd[-1] @ (runs(gaps[t]) @ move) * e[t]
-            fwd.append(a / a.sum())
-        for t in range(n - 1, 0, -1):
-            b = (runs(gaps[t]) @ move) @ (e[t] * bwd[-1])
-            bwd.append(b / b.sum())
-        p = np.array(fwd) * np.array(bwd[::-1])
-        return p[:, 1] / p.sum(axis=1)
+        at = 0
+        while at < len(order):
+            longest = len(odds[order[at]])
+            some = order[at:at + max(1, HELD // longest)]
+            at += len(some)
+            size = np.array([len(odds[k]) for k in some])
+            e = np.zeros((longest, len(some)))
+            for c, k in enumerate(some):
+                e[:size[c], c] = np.clip(odds[k], -30, 30)
+            e = np.exp(e)
+            on = np.searchsorted(-size, -np.arange(longest), side="left")      # texts that reach each place
+            fwd, bwd = np.empty((2, longest, len(some))), np.ones((2, longest, len(some)))
+            a0, a1 = np.ones(len(some)), e[0].copy()
+            s = a0 + a1
+            fwd[0, 0], fwd[1, 0] = a0 / s, a1 / s
+            for t in range(1, longest):
+                n = on[t]
+                p0, p1 = fwd[0, t - 1, :n], fwd[1, t - 1, :n]
+                a0 = p0 * move[0, 0] + p1 * move[1, 0]
+                a1 = (p0 * move[0, 1] + p1 * move[1, 1]) * e[t, :n]
+                s = a0 + a1
+                fwd[0, t, :n], fwd[1, t, :n] = a0 / s, a1 / s
+            for t in range(longest - 1, 0, -1):
+                n = on[t]
+                b0, b1 = bwd[0, t, :n], bwd[1, t, :n] * e[t, :n]
+                a0, a1 = move[0, 0] * b0 + move[0, 1] * b1, move[1, 0] * b0 + move[1, 1] * b1
+                s = a0 + a1
+                bwd[0, t - 1, :n], bwd[1, t - 1, :n] = a0 / s, a1 / s
+            for c, k in enumerate(some):
+                p = fwd[:, :size[c], c] * bwd[:, :size[c], c]
+                out[k] = p[1] / p.sum(0)
+        return out
 
 
 class Model:
-    """Lexicon, chain and logistic layer."""
+    """Chain and logistic layer; log-odds of the words met so far are kept by the task that reads them."""
+
+    KEPT = 300_000
 
-    def __init__(self, words: list[str], chain: Chain, layer: np.ndarray):
-        self.words, self.chain, self.layer, self._finder = words, chain, layer, None
+    def __init__(self, words: list[str], chain: Chain | None, layer: np.ndarray):
+        self.words, self.chain, self.layer, self._odds = words, chain, layer, {}
 
     def __getstate__(self):
-        return {**self.__dict__, "_finder": None}
-
-    def hits(self, low: str) -> tuple[list[int], list[tuple[int, int]], list[int]]:
-        """Features and spans of the lexicon words in a lower-cased text, and neutral words between."""
-        if not self.words:
-            return [], [], [0]
-        if self._finder is None:
-            self._finder = ahocorasick.Automaton()
-            for k, w in enumerate(self.words):
-                own = w.rstrip("*")
-                self._finder.add_word(own, (k + 1, len(own), w[-1] == "*"))
-            self._finder.make_automaton()
-        features, spans = [], []
-        for end, (k, n, begins) in self._finder.iter(low):
-            a, b = end + 1 - n, end + 1
-            if a and low[a - 1].isalpha():
-                continue
-            if b < len(low) and low[b].isalpha():
-                if not begins:
-                    continue
-                b = _WORD.match(low, a).end()
-            elif begins:
-                continue
-            features.append(k)
-            spans.append((a, b))
-        if not spans:
-            return [], [], [0]
-        edges = [0, *(x for s in spans for x in s), len(low)]
-        return features, spans, [len(low[edges[i]:edges[i + 1]].split()) for i in range(0, len(edges), 2)]
-
-    def read(self, text: str | None) -> tuple[np.ndarray, list[tuple[int, int]], int]:
-        """Marginals and spans of lexicon words, and the number of words."""
-        low = _lower(text or "")
-        features, spans, gaps = self.hits(low)
-        p = self.chain.marginals(features, gaps) if features else np.empty(0)
-        return p, spans, sum(gaps) + len(features)
+        return {**self.__dict__, "_odds": {}}
+
+    def odds(self, texts: list[list[str]]) -> list[np.ndarray]:
+        known = self._odds
+        if len(known) > self.KEPT:
+            known.clear()
+        new = sorted({w for t in texts for w in t}.difference(known))
+        if new:
+            known.update(zip(new, self.chain.odds(np.array([features(w) for w in new])).tolist()))
+        return [np.fromiter(map(known.__getitem__, t), float, len(t)) for t in texts]
 
     @staticmethod
-    def features(p: np.ndarray, n: int) -> list[float]:
+    def summary(p: np.ndarray) -> list[float]:
+        """Features of a document."""
         if not len(p):
             return [1.0, 0.0, 0.0, 0.0]
-        return [1.0, float(p.max()), float(np.log1p(p.sum())), float(min(1.0, 20 * p.sum() / max(n, 20)))]
+        clear = p[p > 0.01].sum()
+        return [1.0, float(p.max()), float(np.log1p(clear)), float(min(1.0, 20 * clear / max(len(p), 20)))]
+
+    def read(self, texts: list[str | None]) -> list[np.ndarray]:
+        """Marginals of every token of every text."""
+        if self.chain is None:
+            return [np.empty(0)] * len(texts)
+        return self.chain.marginals(self.odds([_WORD.findall(t or "") for t in texts]))
+
+    def scores(self, texts: list[str | None]) -> list[tuple[float, list[tuple[int, int]]]]:
+        out = []
+        for text, p in zip(texts, self.read(texts)):
+            hits = np.flatnonzero(p >= 0.5)
+            spans = []
+            if len(hits):
+                places = [m.span() for m in _WORD.finditer(text)]
+                spans = [places[k] for k in hits]
+            z = float(np.clip(np.dot(self.layer, self.summary(p)), -500, 500))
+            out.append((1 / (1 + float(np.exp(-z))), spans))
+        return out
 
     def score(self, text: str | None) -> tuple[float, list[tuple[int, int]]]:
-        p, spans, n = self.read(text)
-        s = float(1 / (1 + np.exp(-np.dot(self.layer, self.features(p, n)))))
-        return s, [x for x, q in zip(spans, p) if q >= 0.5]
+        return self.scores([text])[0]
 
 
-def fit(texts: list[str], toxic: np.ndarray) -> Model:
-    words = [_WORD.findall(_lower(t)) for t in texts]
-    found = lexicon([set(w) for w in words], toxic)
-    index = {w: k + 1 for k, w in enumerate(found)}
-    feature = lambda w: next((index[f] for f in forms(w) if f in index), 0)
-    width = 2 * SIDE + 1
-    x, y = [], []
+def fit_chain(words: list[list[str]], toxic: np.ndarray, group: np.ndarray, seed: int = 42) -> tuple[list[str], Chain]:
+    """Lexicon and CRF of tokenised documents."""
+    found = set(lexicon([[w.lower() for w in t] for t in words], toxic, group))
+    kinds: dict = {}
+    x, y, rng, width = [], [], np.random.default_rng(seed), 2 * SIDE + 1
+    is_toxic: dict = {}
     for w, t in zip(words, toxic):
-        ids = np.array([feature(u) for u in w], dtype=np.int64)
-        centres = np.flatnonzero(ids)
-        if not len(centres) and len(ids):
-            centres = np.array([len(ids) // 2])
-        padded = np.r_[np.zeros(SIDE, np.int64), ids, np.zeros(SIDE, np.int64)]
+        if not w:
+            continue
+        ids = np.array([kinds.setdefault(u, len(kinds) + 1) for u in w])   # 0 pads
+        for u in set(w).difference(is_toxic):
+            is_toxic[u] = any(f in found for f in forms(u.lower()))
+        marks = np.array([is_toxic[u] for u in w])
+        centres = np.r_[np.flatnonzero(marks)[:8], rng.integers(0, len(ids), STRETCHES)]
+        padded, states = np.pad(ids, SIDE), np.pad(marks * int(t), SIDE)
         for c in centres:
             x.append(padded[c:c + width])
-            y.append((x[-1] > 0) * int(t))
-    chain = Chain(len(found))
+            y.append(states[c:c + width])
+    chain = Chain()
     if x:
-        chain.fit(np.array(x), np.array(y))
-    model = Model(found, chain, np.zeros(4))
-    f = np.array([model.features(*model.read(t)[::2]) for t in texts])
+        x, y = np.array(x), np.array(y).astype(np.int64)
+        used = np.unique(x)
+        names = ["", *kinds]
+        chain.fit(np.array([features(names[k]) if k else [0] * WIDTH for k in used]), np.searchsorted(used, x), y)
+    return sorted(found), chain
+
+
+def fit(texts: list[str], toxic: np.ndarray) -> Model:
+    words = [_WORD.findall(t) for t in texts]
+    group = copies([[w.lower() for w in t] for t in words])
+    half = np.array([zlib.crc32(str(g).encode()) % 2 for g in group])      # near copies stay on one side
+    f = np.zeros((len(texts), 4))
+    for k in (0, 1):
+        other, own = np.flatnonzero(half != k), np.flatnonzero(half == k)
+        _, chain = fit_chain([words[i] for i in other], toxic[other], group[other])
+        read = Model([], chain, np.zeros(4)).read([texts[i] for i in own])
+        f[own] = [Model.summary(p) for p in read]
     beta = np.zeros(4)
     for _ in range(50):                                          # Newton's method
         p = 1 / (1 + np.exp(-f @ beta))
         grad = f.T @ (toxic - p) - 0.5 * beta * [0, 1, 1, 1]
         hess = (f * (p * (1 - p))[:, None]).T @ f + np.diag([1e-3, 0.5, 0.5, 0.5])
         beta = beta + np.linalg.solve(hess, grad)
-    model.layer = beta
-    return model
+    found, chain = fit_chain(words, toxic, group)
+    return Model(found, chain, beta)
 
 
 def train(docs: DataFrame, labels: DataFrame) -> Model:
@@ -263,7 +324,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
         F.col("doc_id").alias("__id"), F.col("toxic").cast("int").alias("__toxic"))
     counts = {r["__toxic"]: r["count"] for r in known.groupBy("__toxic").count().collect()}
     if len(counts) < 2:
-        return Model([], Chain(0), np.array([-50.0, 0, 0, 0]))
+        return Model([], None, np.array([-50.0, 0, 0, 0]))
     draw = F.pmod(F.xxhash64(F.col("__id").cast("string"), F.lit("toxicity")), F.lit(1 << 30)) / float(1 << 30)
     share = F.when(F.col("__toxic") == 1, SAMPLE / counts[1]).otherwise(SAMPLE / counts[0])
     known = known.filter(draw < share).limit(3 * SAMPLE)
@@ -272,7 +333,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Model:
     sample = sample.sort_values(["text", "__toxic"])
     sample = sample.drop_duplicates("text")              # copies are no further evidence
     if sample["__toxic"].nunique() < 2:
-        return Model([], Chain(0), np.array([-50.0, 0, 0, 0]))
+        return Model([], None, np.array([-50.0, 0, 0, 0]))
     model = fit(sample["text"].tolist(), sample["__toxic"].to_numpy())
     # The sample holds both labels alike; the bias goes back to the labels' real ratio.
     seen = sample["__toxic"].value_counts()
@@ -287,7 +348,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     @F.pandas_udf("score double, offsets array<struct<start:int,end:int>>")
     def run(text: pd.Series) -> pd.DataFrame:
-        got = [shared.value.score(t) for t in text]
+        got = shared.value.scores(list(text))
         return pd.DataFrame({"score": [s for s, _ in got],
                              "offsets": [[{"start": a, "end": b} for a, b in x] for _, x in got]})
 
