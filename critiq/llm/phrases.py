@@ -38,6 +38,8 @@ from critiq.llm.common import prepare, shared_table, text_hash
 LONGEST = 3
 LEAST = 10
 TOP = 2000
+#: Parts that a lang's phrases are ranked in before they are ranked together.
+PARTS = 16
 #: A candidate goes if a longer one has at least this share (percent) of its occurrences.
 WITHIN_PERCENT = 50
 SHARE = 0.25
@@ -243,8 +245,12 @@ def ranked(found: DataFrame, top: int = TOP) -> DataFrame:
              .groupBy("lang", "phrase").agg(F.max("f").alias("longer")))
     kept = best.join(inner, ["lang", "phrase"], "left").filter(
         F.col("longer").isNull() | (100 * F.col("longer") < WITHIN_PERCENT * F.col("a")))
-    order = Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase")
-    first = kept.select("lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
+    # A lang's phrases are ranked in parts first, so that the task which ranks them all gets a bounded number.
+    best_first = [F.desc("score"), F.desc("a"), "phrase"]
+    parts = Window.partitionBy("lang", F.pmod(F.xxhash64("phrase"), F.lit(PARTS))).orderBy(*best_first)
+    first = kept.select("lang", "phrase", "a", "cut.*").withColumn("rank", F.row_number().over(parts)).filter(F.col("rank") <= top)
+    order = Window.partitionBy("lang").orderBy(*best_first)
+    first = first.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= top)
     return (first.join(totals, F.col("lang") == F.col("tl"))
             .select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", F.col("total").alias("n"), "score"))
 
