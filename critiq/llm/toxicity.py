@@ -122,8 +122,7 @@ def features(word: str) -> list[int]:
     """Hashed features of a token: ``WIDTH`` of them, 0 for none."""
     low = word.lower()
     shape = "upper" if len(word) > 1 and word.isupper() else "title" if word[:1].isupper() else "lower"
-    parts = ["w:" + low, *("b:" + low[:k] for k in range(3, 8) if len(low) >= k), "e:" + low[-3:], "s:" + shape]
-    parts = parts if len(parts) <= WIDTH else parts[:WIDTH]
+    parts = ["w:" + low, "e:" + low[-3:], "s:" + shape, *("b:" + low[:k] for k in range(3, 8) if len(low) >= k)]
     return [zlib.crc32(p.encode("utf-8")) % (HASHES - 1) + 1 for p in parts] + [0] * (WIDTH - len(parts))
 
 
@@ -294,7 +293,11 @@ def fit_chain(words: list[list[str]], toxic: np.ndarray, group: np.ndarray, seed
         x, y = np.array(x), np.array(y).astype(np.int64)
         used = np.unique(x)
         names = ["", *kinds]
-        chain.fit(np.array([features(names[k]) if k else [0] * WIDTH for k in used]), np.searchsorted(used, x), y)
+        table = np.array([features(names[k]) if k else [0] * WIDTH for k in used])
+        # Every other window is seen without its words and endings, so that beginnings carry weight of their own.
+        bare = np.where(np.arange(WIDTH) < 2, 0, table)
+        x = np.searchsorted(used, x) + len(used) * (np.arange(len(x)) % 2)[:, None]
+        chain.fit(np.concatenate([table, bare]), x, y)
     return sorted(found), chain
 
 
@@ -307,7 +310,7 @@ def fit(texts: list[str], toxic: np.ndarray) -> Model:
         other, own = np.flatnonzero(half != k), np.flatnonzero(half == k)
         _, chain = fit_chain([words[i] for i in other], toxic[other], group[other])
         read = Model([], chain, np.zeros(4)).read([texts[i] for i in own])
-        f[own] = [Model.summary(p) for p in read]
+        f[own] = np.array([Model.summary(p) for p in read]).reshape(len(own), 4)
     beta = np.zeros(4)
     for _ in range(50):                                          # Newton's method
         p = 1 / (1 + np.exp(-f @ beta))
