@@ -3,11 +3,10 @@
 Lines are normalised (lower case, runs of digits to 0, runs of blanks to one) and
 hashed together with the document's host; the documents of a host that hold a
 line are counted (a document counts once for a line).  Lines in more than
-``MAX_DOCS`` documents of the host, and in more than ``MAX_SHARE`` of its documents,
-are boilerplate and removed; a document that keeps less than ``LEAST_LEFT`` of its words is
+``MAX_SHARE`` of the host's documents are boilerplate and removed; a document that keeps less than ``LEAST_LEFT`` of its words is
 depleted and rejected.  Base rules (length, repeated 8-word windows) come first.
 
-Where a host's pages are few the absolute limit counts, where they are many the share does.
+The share means the same at every size of a host; ``LEAST_LINE_DOCS`` only keeps a few pages from being enough.
 The table's ``source`` stands for the host.
 
 Rows: null text = no words, base_failed.  Null source: a host of its own.  doc_id is
@@ -24,8 +23,8 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-MAX_DOCS = 50
-MAX_SHARE = 0.002
+LEAST_LINE_DOCS = 5
+MAX_SHARE = 0.01
 LEAST_LEFT = 0.3
 
 
@@ -93,7 +92,7 @@ def quality(docs: DataFrame) -> DataFrame:
     hosts = base.groupBy("__host").agg(F.count("*").alias("host_docs"))
     # The line's words depend on the line alone; a line that a document repeats counts once for it.
     once = base.select("__host", F.explode(F.array_distinct(F.transform("__lines", lambda x: x["h"]))).alias("h"))
-    common = once.groupBy("__host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > MAX_DOCS)
+    common = once.groupBy("__host", "h").agg(F.count("*").alias("n")).filter(F.col("n") > LEAST_LINE_DOCS)
     common = common.join(hosts.withColumnRenamed("__host", "hh"), F.col("__host").eqNullSafe(F.col("hh")))
     common = shared_table(common.filter(F.col("n") > MAX_SHARE * F.col("host_docs")).select("h"), "common")
     each = base.select("__row", F.explode("__lines").alias("x")).select("__row", F.col("x.h").alias("h"), F.col("x.w").alias("w"))
@@ -123,7 +122,7 @@ ln AS (SELECT rid, source, x AS line, len(regexp_extract_all(x, '[^ \t\n\x0B\x0C
 dup AS (SELECT rid, count(*) - count(DISTINCT line) AS dups FROM ln GROUP BY rid),
 hosts AS (SELECT source, count(*) AS hd FROM d GROUP BY source),
 common AS (SELECT l.source, norm FROM ln l JOIN hosts h ON l.source IS NOT DISTINCT FROM h.source
-           GROUP BY l.source, norm, hd HAVING count(DISTINCT rid) > 50 AND count(DISTINCT rid) > 0.002 * hd),
+           GROUP BY l.source, norm, hd HAVING count(DISTINCT rid) > 5 AND count(DISTINCT rid) > 0.01 * hd),
 lost AS (SELECT rid, count(*) AS cl, sum(nw) AS cw FROM ln l JOIN common c
          ON l.source IS NOT DISTINCT FROM c.source AND l.norm = c.norm GROUP BY rid),
 s AS (SELECT d.doc_id, len(w.w) AS n_words, length(regexp_replace(d.text, '[ \t\n\x0B\x0C\r]+', '', 'g')) AS word_chars,

@@ -67,3 +67,12 @@ def test_messy(messy, nothing):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) in texts[r.doc_id]
         assert r.kept is not None and r.base_failed is not None
     assert linequality.quality(nothing).count() == 0
+
+
+def test_share_means_the_same_for_small_and_large_hosts(spark):
+    rows = [(k, f"menu line\nfirst own{chr(97 + k)}", "small") for k in range(8)]
+    rows += [(100 + k, "\n".join([f"own line x{chr(97 + k // 26)}{chr(97 + k % 26)}"] + ["seven docs"] * (k < 7) + ["eight docs"] * (k < 8)), "large")
+             for k in range(700)]
+    got = {r.doc_id: r for r in linequality.quality(spark.createDataFrame(rows, "doc_id long, text string, source string")).collect()}
+    assert all(got[k].n_common_lines == 1 and got[k].n_common_words == 2 for k in range(8))      # 8 of 8 documents, more than 5
+    assert [got[100 + k].n_common_lines for k in (0, 6, 7, 8)] == [1, 1, 1, 0]                     # 8 of 700 is above 1 %, 7 is not
