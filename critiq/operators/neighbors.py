@@ -178,11 +178,16 @@ def _block(k: int, exclude_self: bool, computed):
                     near &= qid[:, None] != tid[None, :]
                 rows, cols = np.nonzero(near)
                 computed.add(len(rows))
-                acc = np.zeros(len(rows))
+                dense = 4 * len(rows) > near.size                  # most pairs: whole tables are faster than picked pairs
+                acc = np.zeros(near.shape if dense else len(rows))
                 for d in range(qv.shape[1]):                       # same left-to-right sum as the SQL fold
-                    diff = qv[rows, d] - tv[cols, d]
+                    diff = qv[:, d][:, None] - tv[:, d][None, :] if dense else qv[rows, d] - tv[cols, d]
                     acc += diff * diff
-                dist = np.sqrt(acc)
+                dist = np.sqrt(acc[rows, cols] if dense else acc)
+                if dense and len(tid) > k:                         # only what may be among the k nearest is sorted
+                    kth = np.partition(np.where(near, np.round(np.sqrt(acc), 9), np.inf), k - 1, axis=1)[:, k - 1]
+                    few = np.round(dist, 9) <= kth[rows]
+                    rows, cols, dist = rows[few], cols[few], dist[few]
                 order = np.lexsort((tid[cols], np.round(dist, 9), rows))
                 rows, cols, dist = rows[order], cols[order], dist[order]
                 first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k

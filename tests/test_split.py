@@ -28,3 +28,17 @@ def test_kfold_covers_all_groups(spark):
     k = spl.stratified_group_kfold(df, "labels", "grp", 5, 10).collect()
     assert len(k) == 10 and sorted({r["fold"] for r in k}) == [0, 1, 2, 3, 4]
     assert all(sum(r["fold"] == f for r in k) == 2 for f in range(5))
+
+
+def test_buckets_rank_like_one_window(spark, monkeypatch):
+    """Many groups are ranked in buckets of their uniforms, with the same result."""
+    from critiq.operators import split as spl
+    rows = [(f"g{k}", ["a"] * (k % 3 == 0) + ["b"] * (k % 5 == 0)) for k in range(60) for _ in range(1 + k % 4)]
+    df = spark.createDataFrame(rows, "g string, labels array<string>")
+    def both():
+        side = {r["g"]: (r["side"], r["trial"], round(r["diff"], 9)) for r in spl.stratified_group_split(df, "labels", "g", 0.3, 12, 42).collect()}
+        fold = {r["g"]: (r["fold"], r["trial"], round(r["score"], 9)) for r in spl.stratified_group_kfold(df, "labels", "g", 4, 7, 42).collect()}
+        return side, fold
+    whole = both()
+    monkeypatch.setattr(spl, "RANKED", 5)
+    assert both() == whole and sum(s[0] == "test" for s in whole[0].values()) == 18
