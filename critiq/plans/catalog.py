@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .. import fixed as _fx
-from ..functions.prompts import PROMPTS, render
+from ..functions.prompts import PROMPTS, chat, render
 from ..functions.scoring import fitness, round6
 from ..functions.text import clean_gold, multi_hot
 from ..operators import feedback as fb
@@ -197,12 +197,26 @@ FROM groups g LEFT JOIN rat r ON g.issue = r.issue LEFT JOIN tpl t ON g.issue =
 """)
 def issue_catalog(spark, sf_dir):
     """J2 + J3: every issue with its reason (generic when empty) and template."""
+    return _issue_catalog(spark, sf_dir, dims.templates_df(spark))
+
+
+@register("issue_catalog_file", sql=ORACLE["issue_catalog"])
+def issue_catalog_file(spark, sf_dir):
+    """S2 + J3: the same, with the templates read from their JSON file."""
+    path = shared_path(spark, "templates-json")
+    whole = dims.templates_df(spark).agg(F.to_json(F.map_from_entries(F.collect_list(F.struct(
+        "template_key", F.struct(F.col("knowledge").alias("Knowledge"), F.col("template").alias("Template")))))).alias("value"))
+    whole.coalesce(1).write.text(path)             # a dimension table of 22 rows
+    return _issue_catalog(spark, sf_dir, sio.read_templates(spark, path))
+
+
+def _issue_catalog(spark, sf_dir, templates):
     g = iss.group_by_issue(_labeled(spark, sf_dir), "doc_id")
     r = dims.rationale_df(spark)
     j = (g.join(F.broadcast(r), "issue", "left")
          .withColumn("generic_reason", F.col("reason").isNull() | (F.col("reason") == "")))
     j = j.withColumn("reason", F.coalesce(F.nullif("reason", F.lit("")), F.lit(dims.GENERIC_REASON)))
-    j = iss.attach_templates(j, dims.templates_df(spark))
+    j = iss.attach_templates(j, templates)
     return j.select("issue", F.col("n_segments").cast("bigint").alias("n_segments"), "reason",
                     "generic_reason", "template_key", "knowledge", F.md5("template").alias("template_md5"))
 
@@ -850,13 +864,29 @@ SELECT issue, CAST(length(prompt) AS BIGINT) AS prompt_chars, md5(prompt) AS pro
 def question_prompts(spark, sf_dir):
     """M5 render (F22): per supported issue, label + reason (J2) + its first
     five segments in position order (A2)."""
+    return _prompts(spark, sf_dir).select("issue", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+
+
+_SYSTEM = "You read peer reviews and ask short questions that can be answered with yes or no."
+
+
+@register("question_messages", sql=ORACLE["question_prompts"].rsplit("SELECT issue, CAST(length", 1)[0] + f"""
+SELECT issue, CAST(2 AS BIGINT) AS n_messages, md5('system' || chr(10) || {q.lit(_SYSTEM)} || chr(10) || 'user' || chr(10) || prompt) AS messages_md5 FROM p
+""")
+def question_messages(spark, sf_dir):
+    """the question-mining prompts as system and user chat messages."""
+    m = _prompts(spark, sf_dir).select("issue", chat("prompt", _SYSTEM).alias("m"))
+    lines = F.flatten(F.transform("m", lambda x: F.array(x["role"], x["content"])))
+    return m.select("issue", F.size("m").cast("bigint").alias("n_messages"), F.md5(F.array_join(lines, "\n")).alias("messages_md5"))
+
+
+def _prompts(spark, sf_dir):
     _, top = _mined_segments(spark, sf_dir)
     segs = (top.groupBy("issue")
             .agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("_s"))
             .select("issue", F.array_join(F.transform("_s", lambda x: x["text"]), "\n").alias("segments")))
     withr = iss.attach_rationale(segs, dims.rationale_df(spark))
-    p = withr.select("issue", render("question_mining", issue="issue", reason="reason", segments="segments").alias("prompt"))
-    return p.select("issue", F.length("prompt").cast("bigint").alias("prompt_chars"), F.md5("prompt").alias("prompt_md5"))
+    return withr.select("issue", render("question_mining", issue="issue", reason="reason", segments="segments").alias("prompt"))
 
 
 _SWEEP = {"rules/lower v1": doubles.vote, "rules/plain v1": doubles.vote_plain}
@@ -934,6 +964,14 @@ def classifier_cv(spark, sf_dir):
     return _cross_validated(spark, sf_dir, ["Gaussian Naive Bayes"])
 
 
+@register("classifier_cv_csv", sql=ORACLE["classifier_cv"])
+def classifier_cv_csv(spark, sf_dir):
+    """The cross-validation results as a CSV file, read back."""
+    path = shared_path(spark, "cv-results")
+    sio.write_csv(_cross_validated(spark, sf_dir, ["Gaussian Naive Bayes"]), path)
+    return spark.read.schema("model string, mean_f05 double, mean_precision double, mean_recall double").option("header", True).csv(path)
+
+
 @register("classifier_cv_onepass")
 def classifier_cv_onepass(spark, sf_dir):
     """G5 + A9 with every classifier that is fitted for all folds and labels at once (C2, C10, C13); checked
