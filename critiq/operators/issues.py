@@ -15,6 +15,7 @@ from .. import fixed
 from ..functions.text import (bracket_items, col_of, has_bracket_list, normalize_label,
                               pad_flatten, parse_labels, strip, tokens, vote_code)
 from ..sources.dimensions import GENERIC_REASON
+from ..session import checkpointed
 
 # issues whose questions make up one array value
 BLOCK_ISSUES = 200
@@ -43,10 +44,10 @@ def explode_labels(df: DataFrame, key: str, carry=()) -> DataFrame:
 
 def issue_segments(labeled: DataFrame, key: str, seg_col: str) -> DataFrame:
     """A1 in full: (issue, pos, key, segment), the segments of every issue in
-    order of the key.  ``pos`` is counted in two steps, so a hot issue is cut into
-    buckets of the key and never ranked in one task."""
+    order of the key (of any type that orders).  ``pos`` is counted in two steps, so a hot issue is cut into
+    Spark's range partitions of the key and never ranked in one task."""
     rows = explode_labels(labeled, key, [seg_col]).filter(F.col("issue") != "")
-    rows = rows.withColumn("_b", F.floor(F.col(key) / 10_000))
+    rows = checkpointed(rows.repartitionByRange(key).withColumn("_b", F.spark_partition_id()))
     before = Window.partitionBy("issue").orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
     start = (rows.groupBy("issue", "_b").agg(F.count(F.lit(1)).alias("_n"))
              .withColumn("_start", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n"))
@@ -84,8 +85,9 @@ def with_supported_issue(labeled: DataFrame, issues: DataFrame, key: str, carry=
     columns..., issues); a semi join on the exploded labels, whatever the size
     of the vocabulary."""
     cols = [key, *carry, "issues"]
-    long = labeled.select(*cols, F.explode("issues").alias("issue")).join(issues.select("issue"), "issue", "left_semi")
-    return long.select(*cols).dropDuplicates([key])
+    rows = labeled.select(*cols, F.monotonically_increasing_id().alias("_row"))      # rows may repeat the key
+    long = rows.select(*cols, "_row", F.explode("issues").alias("issue")).join(issues.select("issue"), "issue", "left_semi")
+    return long.dropDuplicates(["_row"]).select(*cols)
 
 
 def template_key_norm(c) -> Column:

@@ -124,7 +124,8 @@ def parse_review_dict(df: DataFrame, c: str, out: str = "review_map") -> DataFra
     ``ast.literal_eval``.  The split is done on rows, because a Python UDF
     inside a CASE would still be evaluated for every row.  A literal that is
     not a dict stays NULL (``review_parse_reason`` names it)."""
-    parsed = df.withColumn(out, review_dict_json(c))
+    from ..session import checkpointed
+    parsed = checkpointed(df.withColumn(out, review_dict_json(c)))      # both sides below read it
     ok = parsed.filter(F.col(out).isNotNull() | F.col(c).isNull())
     slow = parsed.filter(F.col(out).isNull() & F.col(c).isNotNull()).withColumn(out, _literal_eval_udf(F.col(c)))
     return ok.unionByName(slow)
