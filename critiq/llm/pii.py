@@ -5,15 +5,19 @@ searched in time linear in the text (a long run that never becomes a match is pa
 
 The CRF labels the tokens (runs of non-blanks) that hold a digit or ``@``; all other tokens are clean by
 definition.  Node potentials come from token shapes, chain potentials link neighbouring tokens, and skip
-potentials link a token to the next with the same key (its letters and digits, lower-cased; for
-tokens with many digits the digits alone) anywhere in the document.  Tokens inside base spans
-are observed.  Loopy belief propagation (synchronous, damped) runs over all tokens of the
+potentials link distant tokens that are the same or similar, anywhere in the document: a token to the next with the
+same key (its letters and digits, lower-cased; for tokens with many digits the digits alone), and numbers to
+numbers.  A number is a token, a base span or a run of neighbouring digit tokens; two are linked if the digits of one
+end in the digits of the other (``MIN_SUFFIX`` or more: ``+1 (706) 555-3138``, ``706-555-3138``, ``7065553138``) or, from
+``MIN_SIMILAR`` digits on, differ in one digit; their tokens are linked where their digits lie over
+each other.  Tokens inside base spans are observed.  Loopy belief propagation (synchronous, damped) runs over all tokens of the
 document; a token outside the base spans gets a label if its marginal is at least ``LEAST`` and
 skip links tie it to a base span.  So a value that is recognised once is found in all its mentions.
 
 All potentials are learned piecewise from a bounded sample of texts (``SAMPLE`` texts of at most
 ``SAMPLE_CHARS`` code points with a digit or @): nodes by softmax regression on shapes, both
-kinds of links by smoothed pointwise mutual information of the labels at their ends.
+kinds of links by the log odds that the labels at their ends agree.  Phone numbers of the sample also
+train in the other ways of writing them (``rewritten``), which no base pattern finds.
 
 Rows: null text = empty text: no spans.  Repeated rows, null ids: a result row each.  Empty
 table: empty result."""
@@ -37,6 +41,11 @@ LEAST = 0.5
 ROUNDS = 20
 DAMPING = 0.3
 MIN_KEY = 5
+MIN_SUFFIX = 7
+MIN_SIMILAR = 13
+MAX_DIGITS = 19
+FULL_NUMBER = 10
+STRONGEST = 5.0
 
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -46,6 +55,7 @@ _PHONE = re.compile(r"\+[0-9][ ().0-9-]+[0-9]")
 _HINT = re.compile(r"[0-9@]")
 _TOKEN = re.compile(r"\S+")
 _DIGITS = re.compile(r"[^0-9]+")
+_NUMERIC = re.compile(r"[0-9()+.,;:!?-]*[0-9][0-9()+.,;:!?-]*")
 
 
 def emails(text: str) -> list[tuple[int, int]]:
@@ -143,12 +153,58 @@ class Graph:
                 k += 1
         order = [k for k, _ in numbered]
         self.chain = [(i, i + 1) for i in range(len(order) - 1) if order[i + 1] == order[i] + 1]
-        self.skip, last = [], {}
+        self.equal, last = [], {}
         for i, w in enumerate(self.words):
             if k := key(w):
                 if k in last:
-                    self.skip.append((last[k], i))
+                    self.equal.append((last[k], i))
                 last[k] = i
+        linked = lambda a, b: key(self.words[a]) == key(self.words[b]) != ""
+        self.skip = self.equal + sorted(p for p in set(self._alike()) - set(self.chain) if not linked(*p))
+
+    def _numbers(self) -> list[tuple[int, int]]:
+        """Numbers as ranges of tokens: base spans, other runs of neighbouring digit tokens, and of such a
+        run's tokens those of ``FULL_NUMBER`` digits or more."""
+        neighbour = {a for a, _ in self.chain}
+        found, start = set(), 0
+        plain = [s <= 0 and bool(_NUMERIC.fullmatch(w)) for s, w in zip(self.seen, self.words)]
+        for i, w in enumerate(self.words):
+            if plain[i] and len(_DIGITS.sub("", w)) >= FULL_NUMBER:
+                found.add((i, i + 1))
+            ends = i not in neighbour or self.seen[i + 1] != self.seen[i] or plain[i + 1] != plain[i]
+            if ends or (plain[i] and w[-1] in ".,;:!?"):
+                if plain[i] or self.seen[i] > 0:
+                    found.add((start, i + 1))
+                start = i + 1
+        return sorted(found)
+
+    def _alike(self):
+        """Links between the tokens of numbers that end alike or differ in one digit.  Every number is
+        compared with the first one under each of its keys, base spans being first, so the work is linear."""
+        whole, endings, masked = {}, {}, {}
+        for unit in sorted(self._numbers(), key=lambda u: self.seen[u[0]] <= 0):
+            if unit[1] - unit[0] > MAX_DIGITS:
+                continue
+            own = [_DIGITS.sub("", w) for w in self.words[unit[0]:unit[1]]]
+            digits = "".join(own)
+            if not MIN_SUFFIX <= len(digits) <= MAX_DIGITS or any("@" in w for w in self.words[unit[0]:unit[1]]):
+                continue
+            at, places = len(digits), []                    # each token's digits, counted from the end
+            for i, d in zip(range(*unit), own):
+                places.append((i, at - len(d), at))
+                at -= len(d)
+            ends = [digits[-n:] for n in range(MIN_SUFFIX, len(digits) + 1)]
+            masks = ([digits[:k] + "*" + digits[k + 1:] for k in range(len(digits))]
+                     if len(digits) >= MIN_SIMILAR else [])
+            others = [endings.get(digits)] + [whole.get(e) for e in ends] + [masked.get(m) for m in masks]
+            for other in {id(o): o for o in others if o}.values():
+                for i, a, b in other:
+                    for j, c, d in places:
+                        if max(a, c) < min(b, d) and i != j:
+                            yield min(i, j), max(i, j)
+            for table, keys in ((whole, [digits]), (endings, ends), (masked, masks)):
+                for k in keys:
+                    table.setdefault(k, places)
 
 
 class Model:
@@ -160,7 +216,7 @@ class Model:
         n, c = len(graph.words), len(LABELS)
         unary = np.array([shape(w) for w in graph.words]) @ self.nodes
         known = graph.seen > 0
-        unary[known] = -30.0
+        unary[known] = -1000.0
         unary[known, graph.seen[known]] = 0.0
         pairs = np.array(graph.chain + graph.skip, dtype=np.int64).reshape(-1, 2)
         weight = np.concatenate([np.broadcast_to(self.chain, (len(graph.chain), c, c)),
@@ -192,9 +248,15 @@ class Model:
             return []
         tied = np.zeros(len(graph.words), bool)
         tied[graph.seen > 0] = True
-        group = list(range(len(graph.words)))             # skip links run forwards: one pass finds the first mention
+        root = list(range(len(graph.words)))
+
+        def find(i):
+            while root[i] != i:
+                root[i] = i = root[root[i]]
+            return i
         for a, b in graph.skip:
-            group[b] = group[a]
+            root[find(b)] = find(a)
+        group = [find(i) for i in range(len(root))]
         marked = {group[i] for i in np.flatnonzero(tied)}
         p, out = self.marginals(graph), []
         best = p.argmax(axis=1)
@@ -203,11 +265,13 @@ class Model:
                 continue
             a, b = graph.tokens[i]
             word = text[a:b]
-            a, b = a + len(word) - len(word.lstrip("(\"'<[")), b - (len(word) - len(word.rstrip(".,;:!?)\"'>]")))
+            pair = "(" in word and ")" in word               # an area code's brackets belong to it
+            a += len(word) - len(word.lstrip("\"'<[" if pair else "(\"'<["))
+            b -= len(word) - len(word.rstrip(".,;:!?\"'>]" if pair else ".,;:!?)\"'>]"))
             if a >= b:
                 continue
             kind = LABELS[best[i]]
-            if out and out[-1][0] == kind and out[-1][3] == i - 1 and (i - 1, i) in graph.chain:
+            if out and out[-1][0] == kind and out[-1][3] == i - 1 and (i - 1, i) in graph.chain and graph.words[i - 1][-1] not in ".,;:!?":
                 out[-1] = (kind, out[-1][1], b, i)
             else:
                 out.append((kind, a, b, i))
@@ -221,22 +285,31 @@ class Model:
         return base, sorted(base + self.added(text), key=lambda s: (KINDS.index(s[0]), s[1], s[2]))
 
 
-def _pmi(pairs: list[tuple[int, int]], alpha: float = 0.5) -> np.ndarray:
-    """Smoothed pointwise mutual information of the labels at a link's ends (symmetric).
-    Both ends agreeing is the prior's belief."""
-    c = len(LABELS)
-    counts = np.full((c, c), alpha / c) + alpha * np.eye(c)
-    for a, b in pairs:
-        counts[a, b] += 1
-        counts[b, a] += 1
-    total, side = counts.sum(), counts.sum(axis=1)
-    return np.log(counts * total / (side[:, None] * side[None, :]))
+def _agreement(pairs: list[tuple[int, int]]) -> np.ndarray:
+    """A link's potential: the log odds that the labels at its ends agree, at most ``STRONGEST``,
+    for every pair of equal labels."""
+    same = sum(a == b for a, b in pairs)
+    odds = np.log((same + 1.0) / (len(pairs) - same + 0.5))
+    return np.eye(len(LABELS)) * np.clip(odds, 0.0, STRONGEST)
+
+
+def rewritten(text: str) -> list[str]:
+    """The phone numbers of a text as they are written without their country's code or blanks."""
+    out = []
+    for a, b in phones(text) if "+" in text else []:
+        digits = _DIGITS.sub("", text[a:b])
+        short = digits[-10:]
+        out += [digits, short, f"{short[:-7]}-{short[-7:-4]}-{short[-4:]}".lstrip("-")]
+    return out
 
 
 def fit(texts: list[str], steps: int = 300) -> Model:
     graphs = [Graph(t) for t in texts]
+    others = [w for t in texts for w in rewritten(t)]
     words = [shape(w) for g in graphs for w in g.words]
     y = np.concatenate([np.maximum(g.seen, 0) for g in graphs]) if words else np.empty(0, int)
+    words += [shape(w) for w in others]
+    y = np.concatenate([y, np.full(len(others), LABELS.index("phone"))]).astype(int)
     w = np.zeros((len(shape("")), len(LABELS)))
     w[0, 0] = 2.0
     if words:
@@ -250,8 +323,8 @@ def fit(texts: list[str], steps: int = 300) -> Model:
             m, v = 0.9 * m + 0.1 * g, 0.99 * v + 0.01 * g * g
             w -= 0.1 * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     label = lambda g, i: max(int(g.seen[i]), 0)
-    chain = _pmi([(label(g, a), label(g, b)) for g in graphs for a, b in g.chain])
-    skip = _pmi([(label(g, a), label(g, b)) for g in graphs for a, b in g.skip])
+    chain = _agreement([(label(g, a), label(g, b)) for g in graphs for a, b in g.chain])
+    skip = _agreement([(label(g, a), label(g, b)) for g in graphs for a, b in g.equal])
     return Model(w, chain, skip)
 
 

@@ -1,7 +1,9 @@
 import hashlib
+import itertools
 import random
 import re
-import time
+
+import numpy as np
 
 from critiq.llm import pii
 
@@ -31,11 +33,11 @@ def test_base_equals_patterns():
     assert pii.base_spans(s) == plain(s) and {k for k, _, _ in plain(s)} == set(pii.KINDS)
 
 
-def test_linear_in_long_runs():
-    t = time.time()
-    for s in ("a" * 300_000, "1" * 300_000, "1." * 150_000, "+1" + " " * 300_000, "@" * 300_000, "a@" * 150_000, "1 " * 150_000):
-        pii.base_spans(s)
-    assert time.time() - t < 20
+def test_long_runs():
+    n = 300_000
+    assert pii.base_spans("a" * n) == pii.base_spans("@" * n) == pii.base_spans("+1" + " " * n) == []
+    assert pii.base_spans("1." * (n // 2)) == [("ip", 8 * k, 8 * k + 7) for k in range(n // 8)]
+    assert pii.base_spans("1" * n) == pii.base_spans("1 " * n) == pii.base_spans("a@" * n) == []
 
 
 def sample():
@@ -64,6 +66,53 @@ def test_labels_travel_along_skip_links():
         assert set(base) <= set(spans)
 
 
+def test_similar_numbers_are_linked():
+    model = pii.fit(sample())
+    text = ("Call +1 (706) 555-3138 now. Later 706-555-3138 or 7065553138 or 706 555 3138, (706) 555-3138, not 415-555-3138 nor 8005550000. "
+            "Order 20240011 of 2019.")
+    base, spans = model.spans(text)
+    assert base == plain(text)
+    assert [text[a:b] for _, a, b in spans] == ["+1 (706) 555-3138", "706-555-3138", "7065553138", "706 555 3138", "(706) 555-3138"]
+    assert {k for k, _, _ in spans} == {"phone"}
+    links = lambda t: {(g.words[a], g.words[b]) for g in [pii.Graph(t)] for a, b in g.skip}
+    assert links("4111111111111111 is not 4111111111111112") == {("4111111111111111", "4111111111111112")}
+    assert links("4111111111111111 is not 4111111111111122") == set()
+    assert ("4111", "41111111") in links("4111 1111 1111 1111 and 41111111 1111 1112")
+    assert links("5551234 and 9995551234 and 8885551234") == {("5551234", "9995551234"), ("5551234", "8885551234")}
+    assert links("7065553138 or +17065553138") == {("7065553138", "+17065553138")}
+
+
+def exact(model, graph):
+    """Marginals by enumeration of all labellings."""
+    n, c = len(graph.words), len(pii.LABELS)
+    node = np.array([pii.shape(w) for w in graph.words]) @ model.nodes
+    total = np.zeros((n, c))
+    for y in itertools.product(range(c), repeat=n):
+        if any(s > 0 and s != v for s, v in zip(graph.seen, y)):
+            continue
+        z = sum(node[i, v] for i, v in enumerate(y) if graph.seen[i] <= 0)
+        z += sum(model.chain[y[a], y[b]] for a, b in graph.chain) + sum(model.skip[y[a], y[b]] for a, b in graph.skip)
+        total[range(n), y] += np.exp(z)
+    return total / total.sum(axis=1, keepdims=True)
+
+
+def test_marginals_equal_enumeration():
+    rng = np.random.default_rng(3)
+    trees = ["5551234 x 5551234 y 5551234", "12 34 56", "a@b.example.com of 5551234 z a@b.example.com 77"]
+    loops = ["5551234 8887654 x 5551234 8887654", "+17065553138 now 7065553138 z 555-3138 y 7065553138"]
+    for k, text in enumerate(trees + loops):
+        size = len(pii.LABELS)
+        sym = lambda: (lambda m: (m + m.T) / 2)(rng.normal(0, 0.7, (size, size)))
+        model = pii.Model(rng.normal(0, 0.5, (len(pii.shape("")), size)), sym(), sym())
+        graph = pii.Graph(text)
+        got, want = model.marginals(graph), exact(model, graph)
+        if k < len(trees):
+            assert np.abs(got - want).max() < 2e-3
+        else:
+            assert len(graph.chain) + len(graph.skip) >= len(graph.words)         # a loop
+            assert np.abs(got - want).max() < 0.12
+
+
 def test_query_columns(spark, messy, nothing):
     docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
     for df in (docs, messy):
