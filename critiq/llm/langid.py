@@ -173,8 +173,37 @@ class Predictor:
         return lang, score
 
 
-def train(docs: DataFrame) -> Predictor:
-    """Fit on a bounded sample of the rows that are not held out."""
+def junk_windows(texts: list[str], n: int, seed: int = 5) -> list[str]:
+    """``n`` texts in no language: by turns the characters of a sample text shuffled, random consonants, random
+    letters, digits and signs, random characters of one stretch of Unicode, and random bytes."""
+    rng, out = np.random.default_rng(seed), []
+    pick = lambda chars, size: "".join(chars[i] for i in rng.integers(0, len(chars), size))
+    blanked = lambda s: " ".join(s[a:b] for a, b in zip(ends, ends[1:]))
+    for k in range(n):
+        size = int(rng.integers(12, TRAIN_SPAN))
+        ends = [0, *np.cumsum(rng.integers(2, 12, TRAIN_SPAN // 2))]
+        if k % 5 == 0 and texts:
+            chars = list(texts[int(rng.integers(len(texts)))])
+            rng.shuffle(chars)
+            made = "".join(chars)
+        elif k % 5 == 1:
+            made = blanked(pick("bcdfghjklmnpqrstvwxz", size))
+        elif k % 5 == 2:
+            made = blanked(pick("abcdefghijklmnopqrstuvwxyz0123456789!#$%&*+-/:;<=>?@^_{|}~"[::int(rng.choice([1, -1]))], size))
+        elif k % 5 == 3:
+            start = int(rng.integers(0x250, 0xD700))
+            made = blanked("".join(chr(start + int(i)) for i in rng.integers(0, int(rng.choice([60, 200, 2000])), size)
+                                   if start + int(i) < 0xD800))
+        else:
+            made = rng.integers(33, 256, size).astype(np.uint8).tobytes().decode("latin-1")
+        out.append(made or "0")
+    return out
+
+
+def train(docs: DataFrame, junk: bool = False) -> Predictor:
+    """Fit on a bounded sample of the rows that are not held out.  With ``junk`` the network has one more class,
+    ``und``, learned from as many windows of ``junk_windows`` as a language has at most; a text is ``und`` if that
+    class is the likeliest."""
     known = docs.filter(~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.col("text").isNotNull())
     counts = known.groupBy("lang").count().collect()
     if not counts:
@@ -194,8 +223,12 @@ def train(docs: DataFrame) -> Predictor:
     if not pairs:
         return Predictor(Network(1), [])
     pairs.sort(key=lambda p: (p[1], p[0].tobytes()))
+    if junk:
+        known_texts = [p[0].tobytes().decode("utf-8", "ignore") for p in pairs]
+        pairs += [(_raw(t), len(languages)) for t in junk_windows(known_texts, max(len(pairs) // len(languages), 200))]
+        languages = languages + ["und"]
     net = Network(len(languages))
-    net.fit([p[0] for p in pairs], np.array([p[1] for p in pairs]))
+    net.fit([p[0] for p in pairs], np.array([p[1] for p in pairs]), steps=STEPS * (1 + junk))
     return Predictor(net, languages)
 
 
@@ -219,12 +252,15 @@ def digest(docs: DataFrame) -> DataFrame:
         "doc_id", held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score")
 
 
-def identified(docs: DataFrame, least_score: float = 0.3) -> DataFrame:
-    """``docs`` (all its columns) without the texts that have no language: ``und``, or no
-    language with a score of ``least_score``."""
+def identified(docs: DataFrame, least_score: float = 0.3, least_junk: float = 0.9,
+               least_chars: int = TRAIN_SPAN) -> DataFrame:
+    """``docs`` (all its columns) without the texts that have no language: those without a letter, those where
+    nothing reaches a score of ``least_score``, and those of ``least_chars`` code points or more that are
+    shuffled or random characters with a score of ``least_junk`` (a few words of boilerplate are not enough to tell)."""
     marked = docs.withColumn("__text", F.col("text"))
     found = predict(marked.withColumnsRenamed({c: f"__own_{c}" for c in ("lang_pred", "score") if c in docs.columns}),
-                    train(docs))
-    found = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= least_score))
+                    train(docs, junk=True))
+    sure = (F.col("score") >= least_junk) & (F.length("text") >= least_chars)
+    found = found.filter((F.col("score") >= least_score) & ~((F.col("lang_pred") == "und") & sure))
     back = [F.col(f"__own_{c}").alias(c) if c in ("lang_pred", "score") else F.col(c) for c in docs.columns]
     return found.select(*back)

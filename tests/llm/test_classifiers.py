@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -83,6 +85,20 @@ def test_language_messy(messy, nothing, docs):
     assert {r.lang_pred for r in langid.digest(unlabelled).collect()} == {"und"}
 
 
+
+def test_texts_in_no_language_go(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text", "lang")
+    rng = random.Random(8)
+    drawn = lambda chars, n: "".join(rng.choice(chars) for _ in range(n))
+    texts = [drawn("bcdfghjklmnpqrstvwxz  ", 400) for _ in range(20)] + [drawn("abcdefgh0123456789#$%& ", 400) for _ in range(20)]
+    texts += [drawn([chr(c) for c in range(a, a + 1000)], 300) for a in (0x4e00, 0x6000, 0xac00, 0x900)]
+    texts += ["".join(rng.sample(r.text, len(r.text))) for r in docs.limit(20).collect()]
+    junk = spark.createDataFrame([(-1 - k, t, None) for k, t in enumerate(texts)], docs.schema)
+    kept = {r.doc_id for r in langid.identified(docs.unionByName(junk)).select("doc_id").collect()}
+    assert {r.doc_id for r in docs.select("doc_id").collect()} == {i for i in kept if i >= 0}
+    assert sum(i < 0 for i in kept) <= 0.05 * len(texts)
+
+
 def test_toxicity_held_out(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     got = toxicity.digest(docs, labels).join(labels.select(F.col("doc_id").alias("i"), "toxic"), F.col("i") == F.col("doc_id"))

@@ -18,8 +18,8 @@ def test_stages():
 def test_run_against_plain_version(spark):
     table = spark.read.parquet(f"{SF}/documents.parquet")
     docs = sorted(((r.doc_id, r.text, r.source) for r in table.collect()))
-    lang, score = langid.train(table)([t for _, t, _ in docs])
-    docs = [d for d, a, s in zip(docs, lang, score) if a != "und" and s >= 0.3]
+    lang, score = langid.train(table, junk=True)([t for _, t, _ in docs])
+    docs = [d for d, a, s in zip(docs, lang, score) if s >= 0.3 and not (a == "und" and s >= 0.9 and len(d[1]) >= 128)]
     cut = dedup([(i, t) for i, t, _ in docs])
     docs = [(i, t, d[2]) for (i, _, gone, t), d in zip(cut, docs) if not (gone and not t.split())]
     group = classes([simhash.fingerprint(t) for _, t, _ in docs])
