@@ -98,16 +98,19 @@ def digest(docs: DataFrame) -> DataFrame:
 
 def mix(docs: DataFrame) -> DataFrame:
     """``docs`` (all its columns), each row once per copy that the mix takes, and
-    ``copy`` (long, from 1; a column of that name is replaced).  Of rows that repeat id and
-    text, each gets the copies that they have together, divided by their number (the
-    first get the remainder)."""
-    wanted = (plan(docs).groupBy("doc_id", "__th").agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
-              .withColumnRenamed("doc_id", "__id"))
+    ``copy`` (long, from 1; a column of that name is replaced).  Of rows that repeat id,
+    text and source, each gets the copies that they have together, divided by their number (the
+    first by their other columns get the remainder)."""
+    wanted = (plan(docs).groupBy("doc_id", "__th", "source")
+              .agg(F.sum("copies").alias("__copies"), F.count("*").alias("__rows"))
+              .withColumnsRenamed({"doc_id": "__id", "source": "__source"}))
     wanted = wanted.filter("__copies > 0 OR __rows > 1")
     named = docs.withColumn("__hash", text_hash(F.col("text")))
-    both = named.join(wanted, named["doc_id"].eqNullSafe(wanted["__id"]) & (named["__hash"] == wanted["__th"]))
+    both = named.join(wanted, named["doc_id"].eqNullSafe(wanted["__id"]) & (named["__hash"] == wanted["__th"])
+                      & named["source"].eqNullSafe(wanted["__source"]))
     # Equal rows are told apart by a number only where there are any.
-    same = Window.partitionBy("doc_id", "__hash").orderBy(F.lit(1))
+    whole_row = F.to_json(F.struct(*[named[c] for c in docs.columns]))
+    same = Window.partitionBy("doc_id", "__hash", "source").orderBy(F.md5(whole_row.cast("binary")))
     one = both.filter("__rows = 1").withColumn("__n", F.col("__copies"))
     more = both.filter("__rows > 1").withColumn("__i", F.row_number().over(same))
     more = more.withColumn("__n", F.expr("__copies div __rows + if(__i <= __copies % __rows, 1, 0)")).drop("__i")

@@ -2,6 +2,7 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 from critiq.llm import mixing
 
@@ -74,6 +75,16 @@ def test_messy(messy, nothing):
     assert mixing.plan(nothing).count() == 0 and mixing.mix(nothing).count() == 0
 
 
+def test_equal_rows_keep_their_source(spark):
+    rows = [(1, "a b c", "x", k) for k in range(7)] + [(1, "a b c", "y", k) for k in range(3)] + [(2, "d e", None, k) for k in range(4)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string, other int")
+    want = {r.source: r.n for r in mixing.plan(docs).groupBy("source").agg(F.sum("copies").alias("n")).collect()}
+    got = mixing.mix(docs).collect()
+    assert {s: sum(r.source == s for r in got) for s in want} == want
+    again = mixing.mix(docs.repartition(5, "other")).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got))
+
+
 @pytest.mark.parametrize("texts", [["", None], ["", "a"]])
 def test_sources_without_words(spark, texts):
     rows = [(k, t, f"s{k}") for k, t in enumerate(texts)]
