@@ -47,7 +47,7 @@ def _resolve(backend) -> Backend:
 
 def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
               keys: Optional[Sequence[str]] = None, dedupe: bool = True, seed: Optional[str] = None,
-              keep_prompt: bool = True, materialize: bool = True) -> DataFrame:
+              keep_prompt: bool = True, materialize: bool = True, store=None) -> DataFrame:
     """M0: add ``out`` = backend(prompt) to every row.
 
     With ``dedupe`` each distinct prompt is sent once (duplicate segments ask
@@ -64,7 +64,12 @@ def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
     With ``materialize`` (default) the completions are checkpointed as soon
     as they exist: model calls are the expensive step, and a sampling model
     may answer differently when a lost partition is recomputed, so they are
-    made once and read back from the shared checkpoint folder afterwards."""
+    made once and read back from the shared checkpoint folder afterwards.
+
+    With ``store`` (a ``CompletionStore``; needs ``dedupe``) only prompts that no
+    earlier run has stored are sent, and their completions are stored."""
+    if store is not None and not dedupe:
+        raise ValueError("a store of completions needs dedupe")
     from ..session import checkpointed
     keep = checkpointed if materialize else (lambda d: d)
     if dedupe:
@@ -72,7 +77,8 @@ def model_map(df: DataFrame, prompt: str, backend, out: str = "completion",
         keyed = df.withColumn("_h", F.sha2(F.col(prompt), 256))
         distinct = (keyed.filter(F.col(prompt).isNotNull())
                     .select(*jk, prompt).dropDuplicates(jk))
-        done = keep(_map_prompts(distinct, prompt, backend, out, seed).select(*jk, out))
+        ask = lambda d: _map_prompts(d.select(*jk, prompt), prompt, backend, out, seed).select(*jk, out)
+        done = keep(ask(distinct) if store is None else store.complete(distinct, seed, out, ask))
         rows = keyed if keep_prompt else keyed.drop(prompt)
         return rows.join(done, jk, "left").drop("_h")
     cols = list(keys or []) + [prompt] + ([seed] if seed else [])

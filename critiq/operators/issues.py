@@ -141,16 +141,16 @@ def rules_question_completion(issue, keywords) -> Column:
 
 
 def mine_questions(segments: DataFrame, rationale: DataFrame, backend, issue: str = "issue", rank: str = "rank",
-                   text: str = "text") -> DataFrame:
+                   text: str = "text", store=None) -> DataFrame:
     """M5 with a model: (issue, completion) from the mining prompt over label,
-    reason (J2) and the selected segments in order."""
+    reason (J2) and the selected segments in order; with ``store`` only unseen prompts are sent."""
     from ..functions.prompts import render
     from .backend import model_map
     per = (segments.groupBy(issue).agg(F.array_sort(F.collect_list(F.struct(rank, text))).alias("_s"))
            .select(issue, F.array_join(F.transform("_s", lambda x: x[text]), "\n").alias("segments")))
     per = attach_rationale(per, rationale).withColumn(
         "prompt", render("question_mining", issue=issue, reason="reason", segments="segments"))
-    return model_map(per.select(issue, "prompt"), "prompt", backend, "completion", keep_prompt=False)
+    return model_map(per.select(issue, "prompt"), "prompt", backend, "completion", keep_prompt=False, store=store)
 
 
 def parse_questions(completions: DataFrame, issue_col: str = "issue", text_col: str = "completion") -> DataFrame:

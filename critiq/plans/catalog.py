@@ -27,6 +27,7 @@ from ..operators import neighbors as nbr
 from ..operators import split as spl
 from ..operators import tagging
 from ..operators.backend import BackendFactory
+from ..operators.store import CompletionStore
 from ..sources import dimensions as dims
 from ..sources import io as sio
 from ..session import checkpointed, shared_path
@@ -1229,6 +1230,18 @@ def question_store(spark, sf_dir):
     return sio.read_questions(spark, path, "rules/v1").drop("model")
 
 
+@register("question_sets_resumed", sql=ORACLE["question_sets"])
+def question_sets_resumed(spark, sf_dir):
+    """M0 + S3: a run that mined every other issue left its completions in a store; this one asks for the rest only."""
+    groups, top = _mined_segments(spark, sf_dir)
+    store = CompletionStore(shared_path(spark, "completions"), "miner/v1")
+    reasons, miner = dims.rationale_df(spark), BackendFactory("miner", doubles.questions)
+    iss.mine_questions(top.filter(F.crc32(F.col("issue").cast("binary")) % 2 == 0), reasons, miner, store=store)
+    done = iss.mine_questions(top, reasons, miner, store=store)
+    qt = iss.question_table(done, groups.select("issue", F.col("first_key").alias("order_key")))
+    return qt.filter(F.col("question").isNotNull()).select("issue", "issue_idx", "q_idx", "question")
+
+
 @register("review_tsv", sql="""
 SELECT CAST(conv_id AS VARCHAR) AS id, text AS sentence, count(*) AS n FROM conversations GROUP BY ALL
 """)
