@@ -13,7 +13,7 @@ into Python; results are joined back on the key.
 from __future__ import annotations
 
 import uuid
-from typing import Callable, Iterator, List, Optional, Sequence
+from typing import Callable, Iterable, Iterator, List, Optional, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -22,8 +22,9 @@ from pyspark.sql import functions as F
 Backend = Callable[[List[str]], List[str]]
 
 _CACHE: dict = {}
-# prompts in one call of a backend (list_map, sample_map)
+# prompts in one call of a backend (list_map, array_map, sample_map), and the characters after which a call is made anyway
 BATCH = 256
+BATCH_CHARS = 4 << 20
 
 
 class BackendFactory:
@@ -116,22 +117,79 @@ def list_map(df: DataFrame, text: str, items: str, backend, out: str, prompt: Ca
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = _resolve(backend)
         for pdf in batches:
-            lists = [[] if x is None else list(x) for x in pdf["_items"]]
-            prompts = [prompt(t, i) for t, x in zip(pdf["_text"], lists) for i in x]
-            answers: list = []
-            for k in range(0, len(prompts), BATCH):
-                answers += fn(prompts[k:k + BATCH])
-            if len(answers) != len(prompts):
-                raise ValueError(f"backend returned {len(answers)} completions for {len(prompts)} prompts")
-            ends = [0]
-            for x in lists:
-                ends.append(ends[-1] + len(x))
-            yield pd.DataFrame({"_h": pdf["_h"], out: [answers[a:b] for a, b in zip(ends, ends[1:])]})
+            asked = ((h, ([] if x is None else x), t) for h, t, x in zip(pdf["_h"], pdf["_text"], pdf["_items"]))
+            yield from _answered(((h, len(x), (prompt(t, i) for i in x)) for h, x, t in asked), fn, out)
 
     done = checkpointed(distinct.mapInPandas(run, f"_h string, {out} array<string>"))
     return keyed.join(done, "_h", "left").drop("_h")
 
 
+def array_map(df: DataFrame, inputs: Sequence[str], prompts, backend, out: str) -> DataFrame:
+    """M0 for several prompts about one row: ``out`` = the completions of the array ``prompts`` (a column over
+    ``inputs``), in order.
+
+    The distinct ``inputs`` are shuffled once, keyed by SHA-256, and the prompts are rendered behind that shuffle, so the
+    same long texts are not moved once for every prompt; ``inputs`` are dropped from the rows before the completions,
+    which are checkpointed as in ``model_map``, are joined back."""
+    from ..session import checkpointed
+    keyed = df.withColumn("_h", F.sha2(F.to_json(F.struct(*inputs)), 256))
+    distinct = keyed.select("_h", *inputs).dropDuplicates(["_h"]).select("_h", prompts.alias("_prompts"))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        fn = _resolve(backend)
+        for pdf in batches:
+            lists = ((h, [] if x is None else x) for h, x in zip(pdf["_h"], pdf["_prompts"]))
+            yield from _answered(((h, len(x), iter(x)) for h, x in lists), fn, out)
+
+    done = checkpointed(distinct.mapInPandas(run, f"_h string, {out} array<string>"))
+    return keyed.drop(*inputs).join(done, "_h", "left").drop("_h")
+
+
+def _answered(rows: Iterable, fn: Backend, out: str) -> Iterator[pd.DataFrame]:
+    """(_h, ``out``) frames of rows (key, number of prompts, iterator of prompts).  The backend is called as soon as ``BATCH``
+    prompts or ``BATCH_CHARS`` characters are there, and rows go out ``BATCH`` at a time: however many rows an Arrow batch
+    has, only the prompts of one call exist at once."""
+    asked: list = []
+    answers: list = []
+    keys: list = []
+    sizes: list = []
+
+    def ask():
+        got = fn(asked)
+        if len(got) != len(asked):
+            raise ValueError(f"backend returned {len(got)} completions for {len(asked)} prompts")
+        answers.extend(got)
+        asked.clear()
+
+    def frame(n):
+        ends = [0]
+        for size in sizes[:n]:
+            ends.append(ends[-1] + size)
+        made = pd.DataFrame({"_h": keys[:n], out: [answers[a:b] for a, b in zip(ends, ends[1:])]})
+        del keys[:n], sizes[:n], answers[:ends[-1]]
+        return made
+
+    chars = 0
+    for key, size, prompts in rows:
+        keys.append(key)
+        sizes.append(size)
+        for p in prompts:
+            asked.append(p)
+            chars += len(p or "")
+            if len(asked) >= BATCH or chars >= BATCH_CHARS:
+                ask()
+                chars = 0
+        if len(keys) >= BATCH:
+            if asked:
+                ask()
+                chars = 0
+            yield frame(len(keys))
+    if asked:
+        ask()
+    if keys:
+        yield frame(len(keys))
+
+
 def sample_map(df: DataFrame, prompt: str, n: int, backend, out: str) -> DataFrame:
     """M0 for a sampling model: ``out`` = array of ``n`` completions of the prompt,
     drawn with seeds 0 .. n-1 (``fn(prompts, seeds)``).  A distinct prompt is
@@ -143,16 +201,18 @@ def sample_map(df: DataFrame, prompt: str, n: int, backend, out: str) -> DataFra
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         fn = _resolve(backend)
         for pdf in batches:
-            texts = pdf["_p"].fillna("").astype(str).tolist()
-            flat: list = []
-            per = max(1, BATCH // max(n, 1))
-            for k in range(0, len(texts), per):
-                part = texts[k:k + per]
-                got = fn([t for t in part for _ in range(n)], list(range(n)) * len(part))
-                if len(got) != n * len(part):
-                    raise ValueError(f"backend returned {len(got)} completions for {n * len(part)} prompts")
-                flat += got
-            yield pd.DataFrame({"_h": pdf["_h"], out: [flat[k * n:(k + 1) * n] for k in range(len(texts))]})
+            yield from _sampled(pdf["_h"].tolist(), pdf["_p"].fillna("").astype(str).tolist(), n, fn, out)
 
     done = checkpointed(distinct.mapInPandas(run, f"_h string, {out} array<string>"))
     return keyed.drop(prompt).join(done, "_h", "left").drop("_h")
+
+
+def _sampled(keys: list, texts: list, n: int, fn: Callable, out: str) -> Iterator[pd.DataFrame]:
+    """(_h, ``out``) frames, one for each call of the backend: ``n`` completions of a text may be many times its size."""
+    per = max(1, BATCH // max(n, 1))
+    for k in range(0, len(texts), per):
+        part = texts[k:k + per]
+        got = fn([t for t in part for _ in range(n)], list(range(n)) * len(part))
+        if len(got) != n * len(part):
+            raise ValueError(f"backend returned {len(got)} completions for {n * len(part)} prompts")
+        yield pd.DataFrame({"_h": keys[k:k + per], out: [got[i * n:(i + 1) * n] for i in range(len(part))]})

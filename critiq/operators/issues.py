@@ -258,9 +258,10 @@ def vote_with_model(segments: DataFrame, key: str, seg_col: str, questions: Data
     qs = F.concat(*blocks) if blocks else F.array().cast("array<struct<issue_idx:int,q_idx:int,question:string,keyword:string>>")
     asked = F.transform(F.filter("_qs", lambda q: q["question"].isNotNull()), lambda q: q["question"])
     assert "yes_no_vote" in PROMPTS
-    rows = segments.select(key, F.col(seg_col).alias("_t"), qs.alias("_qs")).withColumn("_asked", asked)
+    rows = segments.select(key, F.col(seg_col).alias("_t"), qs.alias("_qs")).withColumn("_asked", asked).drop("_qs")
     rows = list_map(rows, "_t", "_asked", backend, "_answers",
                     lambda text, question: fill("yes_no_vote", segment=text or "", question=question or ""))
+    rows = rows.select(key, "_answers", qs.alias("_qs"))         # behind the join: the set is never shuffled with each row
     held = F.filter("_qs", lambda q: q["question"].isNotNull())
     coded = F.transform(F.arrays_zip(held.alias("q"), F.col("_answers").alias("a")), lambda z: F.struct(
         z["q"]["issue_idx"].alias("issue_idx"), vote_code(z["a"]).alias("vote")))

@@ -102,3 +102,55 @@ def test_row_ids_over_uneven_partitions(spark):
     df = spark.range(100).repartition(7, "id").union(spark.range(3).coalesce(1))
     ids = [r["row_id"] for r in io.with_row_id(df).collect()]
     assert sorted(ids) == list(range(103))
+
+
+def test_list_map_never_holds_the_prompts_of_a_whole_batch():
+    """Many items a text: prompts are rendered, sent and dropped call by call, and rows go out in order."""
+    from critiq.operators import backend
+    made, seen = [], []
+
+    def prompts(k):
+        for i in range(40):
+            made.append(1)
+            yield f"{k}-{i}" + "x" * 1000
+
+    def fn(ps):
+        seen.append((len(ps), len(made) - sum(n for n, _ in seen)))
+        return [p[:6].rstrip("x") for p in ps]
+
+    frames = list(backend._answered(((str(k), 40, prompts(k)) for k in range(1000)), fn, "a"))
+    assert max(n for n, _ in seen) <= backend.BATCH and max(alive for _, alive in seen) <= backend.BATCH
+    assert max(map(len, frames)) <= backend.BATCH
+    got = [(h, list(a)) for f in frames for h, a in zip(f["_h"], f["a"])]
+    assert got == [(str(k), [f"{k}-{i}" for i in range(40)]) for k in range(1000)]
+
+
+def test_long_prompts_are_sent_before_the_call_is_full(monkeypatch):
+    from critiq.operators import backend
+    monkeypatch.setattr(backend, "BATCH_CHARS", 1000)
+    calls = []
+
+    def fn(ps):
+        calls.append(sum(map(len, ps)))
+        return ps
+    list(backend._answered((("k", 9, iter(["y" * 400] * 9)) for _ in range(3)), fn, "a"))
+    assert max(calls) <= 1400 and sum(calls) == 27 * 400
+
+
+def test_sample_map_hands_on_each_call():
+    """A batch of many prompts leaves the worker a call at a time."""
+    from critiq.operators import backend
+    frames = list(backend._sampled([f"h{k}" for k in range(2000)], [f"p{k}" for k in range(2000)], 15,
+                                   lambda ps, seeds: [f"{p}:{s}" for p, s in zip(ps, seeds)], "out"))
+    assert max(map(len, frames)) * 15 <= backend.BATCH
+    got = [(h, list(o)) for f in frames for h, o in zip(f["_h"], f["out"])]
+    assert got == [(f"h{k}", [f"p{k}:{i}" for i in range(15)]) for k in range(2000)]
+
+
+def test_array_map_moves_inputs_once(spark):
+    from pyspark.sql import functions as F
+    from critiq.operators.backend import array_map
+    df = spark.createDataFrame([(1, "s", "t"), (2, "s", "t"), (3, "u", None)], "k int, a string, b string")
+    got = array_map(df, ["a", "b"], F.array(F.concat_ws("+", "a", "b"), F.col("a")), lambda ps: [p.upper() for p in ps], "out")
+    assert got.columns == ["k", "out"]
+    assert sorted((r["k"], r["out"]) for r in got.collect()) == [(1, ["S+T", "S"]), (2, ["S+T", "S"]), (3, ["U", "U"])]
