@@ -1,17 +1,21 @@
 """Exact k nearest neighbours by metric pivots.
 
-Every training vector goes to the nearest of a bounded number of centres (its cell), and keeps a
-table of its distances to a few landmarks.  A cell is known by the least and the greatest
-distance of its members to each landmark.  By the triangle inequality a member of cell c is at least
-max_j(d(q, L_j) - hi_cj, lo_cj - d(q, L_j)) away from a query q, so the cells of a query can be
-visited in the order of these bounds, and none whose bound exceeds the query's k-th distance so far has to be
-visited at all: best first, in a few rounds of growing size.  Inside a cell the same inequality over
-the landmark tables leaves out single pairs.  The answer is exact; how much is computed depends on the data
-(vectors in clusters: little; random directions in many dimensions: nearly everything).
+Every training vector goes to the nearest of a bounded number of centres (its cell).  A cell is known by the
+least and the greatest distance of its members to each of a few landmarks.  By the triangle inequality a
+member of cell c is at least max_j(d(q, L_j) - hi_cj, lo_cj - d(q, L_j)) away from a query q, so no cell whose
+bound exceeds the query's k-th distance so far has to be looked at.  The answer is exact; how much is
+computed depends on the data (vectors in clusters: little; random directions in many dimensions: nearly everything).
+
+Cells that lie next to each other make up blocks of about ``TRAIN_CHUNK`` rows, and a query is sent to
+blocks, not to cells: first to the block of its own cell, then to all other blocks that its k-th distance
+leaves.  So a vector is copied at most as often as there are blocks on the other side, whatever the number of
+cells.  Inside a block the queries of ``QUERY_CHUNK`` rows look cell by cell, with one matrix product for the
+candidates; only pairs that may be among the k nearest are computed in the SQL's own order of sums.  A
+vector that many training rows share counts with its k + 1 lowest ids (no query can take more).
 
 Centres and landmarks are rows of a sample of at most ``SAMPLE`` training vectors (landmarks: farthest
 first), and only they and the cells' ranges travel to the tasks: at most ``MAX_CELLS`` rows, whatever the
-corpus.  A cell with many rows is cut into chunks by its own counts, so no task holds a whole hot cell.
+corpus.  A cell with many rows is cut into blocks by its own counts, so no task holds a whole hot cell.
 """
 from __future__ import annotations
 
@@ -26,10 +30,11 @@ from ..session import checkpointed
 SAMPLE = 4096
 LANDMARKS = 16
 MAX_CELLS = 1024
-#: Cells that a query visits in each round; the last round visits all that its bounds leave.
-ROUNDS = (1, 16, None)
-QUERY_CHUNK = 4096
-TRAIN_CHUNK = 4096
+#: Rows of a task's block of queries and of training vectors.
+QUERY_CHUNK = 16384
+TRAIN_CHUNK = 16384
+#: Queries whose distances to a block exist at once.
+TILE = 256
 #: Distances are compared after rounding to 9 places; bounds leave this much room.
 SLACK = 1e-8
 
@@ -39,6 +44,11 @@ def _distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     return np.sqrt(np.maximum(square, 0.0))
 
 
+def _to_landmarks(v: np.ndarray, landmarks: np.ndarray) -> np.ndarray:
+    """Distances without cancellation: the bounds are made of them."""
+    return np.sqrt(((v[:, None, :] - landmarks[None]) ** 2).sum(2))
+
+
 def farthest_first(x: np.ndarray, n: int) -> np.ndarray:
     """Up to ``n`` rows of ``x``, each the farthest from those before."""
     picked = [0]
@@ -59,39 +69,78 @@ def cell_bounds(q: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
 
 
 class _Space:
-    """Centres, landmarks and, once the training rows are dealt out, the cells' ranges."""
+    """Centres, landmarks and, once the training rows are dealt out, the cells' ranges and blocks."""
 
     def __init__(self, sample: np.ndarray, cells: int):
         self.centres, self.landmarks = sample[:cells], farthest_first(sample, LANDMARKS)
-        self.used = self.lo = self.hi = None
+        self.used = self.lo = self.hi = self.first = self.many = None
 
     def deal(self, frames):
         for df in frames:
-            if len(df):
-                v = np.stack(df["_tv"].to_numpy())
-                out = df.assign(_c=_distances(v, self.centres).argmin(1).astype(np.int32))
-                out["_td"] = list(np.sqrt(((v[:, None, :] - self.landmarks[None]) ** 2).sum(2)))
+            for s in range(0, len(df), 1024):
+                part = df.iloc[s:s + 1024]
+                v = np.stack(part["_tv"].to_numpy())
+                out = part.assign(_c=_distances(v, self.centres).argmin(1).astype(np.int32))
+                out["_td"] = list(_to_landmarks(v, self.landmarks))
                 yield out[["_c", "_t", "_tv", "_td"]]
 
-    def visits(self, skip: int, step: int | None):
-        """Next cells of each query: after the first ``skip`` of its order, at most ``step``, none
-        beyond its k-th distance."""
-        def run(frames):
-            for df in frames:
-                for s in range(0, len(df), 512):
-                    part = df.iloc[s:s + 512]
-                    v = np.stack(part["_qv"].to_numpy())
-                    d = np.sqrt(((v[:, None, :] - self.landmarks[None]) ** 2).sum(2))
-                    b = cell_bounds(d, self.lo, self.hi)
-                    order = np.lexsort((_distances(v, self.centres[self.used]), b))[:, skip:None if step is None else skip + step]
-                    kth = part["_kth"].to_numpy()
-                    at, col = np.nonzero(np.take_along_axis(b, order, 1) <= (kth * (1 + SLACK) + SLACK)[:, None])
-                    if len(at):
-                        out = part.iloc[at].copy()
-                        out["_c"] = self.used[order[at, col]].astype(np.int32)
-                        out["_qd"] = list(d[at])
-                        yield out[["_c", "_q", "_qv", "_qd", "_kth"]]
-        return run
+    def lay_out(self, ranges: list) -> int:
+        """Takes the cells' counts and ranges; deals the cells, along a walk from each to a near one, into blocks of
+        about ``TRAIN_CHUNK`` rows.  A larger cell has blocks of its own.  Returns the number of blocks."""
+        rest = list(range(len(ranges)))
+        centres = self.centres[[r["_c"] for r in ranges]]
+        far, walk = _distances(centres, centres), []
+        while rest:
+            at = rest[0] if not walk else min(rest, key=lambda i: far[walk[-1], i])
+            rest.remove(at)
+            walk.append(at)
+        ranges = [ranges[i] for i in walk]
+        self.used = np.array([r["_c"] for r in ranges])
+        self.lo, self.hi = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
+        first, many, block, filled = [], [], 0, 0
+        for r in ranges:
+            n = -(-r["n"] // TRAIN_CHUNK)
+            if filled and (n > 1 or filled + r["n"] > TRAIN_CHUNK):
+                block, filled = block + 1, 0
+            first.append(block)
+            many.append(n)
+            block, filled = (block + n, 0) if n > 1 else (block, filled + r["n"])
+        self.first, self.many = np.array(first), np.array(many)
+        return block + (filled > 0)
+
+    def homes(self, frames):
+        """Block, or blocks of a large cell, that each query is sent to first."""
+        for df in frames:
+            for s in range(0, len(df), 4096):
+                part = df.iloc[s:s + 4096]
+                v = np.stack(part["_qv"].to_numpy())
+                near = _distances(v, self.centres[self.used]).argmin(1)
+                out = part.assign(_b=self.first[near].astype(np.int32))
+                yield out[["_b", "_q", "_qv", "_kth"]]
+
+    def others(self, frames):
+        """All other blocks that the bounds leave."""
+        ends = self.first + self.many
+        for df in frames:
+            for s in range(0, len(df), 1024):
+                part = df.iloc[s:s + 1024]
+                v = np.stack(part["_qv"].to_numpy())
+                kth = part["_kth"].to_numpy(dtype=float)
+                open_ = self.bounds(v) <= (kth * (1 + SLACK) + SLACK)[:, None]
+                near = self.first[_distances(v, self.centres[self.used]).argmin(1)]
+                at, cell = np.nonzero(open_)
+                grown = np.repeat(np.arange(len(at)), self.many[cell])
+                step = np.arange(len(grown)) - np.repeat(np.cumsum(self.many[cell]) - self.many[cell], self.many[cell])
+                sent = np.unique(at[grown] * np.int64(ends.max()) + self.first[cell[grown]] + step)
+                at, block = np.divmod(sent, ends.max())
+                at, block = at[block != near[at]], block[block != near[at]]
+                for t in range(0, len(at), 4096):
+                    out = part.iloc[at[t:t + 4096]].copy()
+                    out["_b"] = block[t:t + 4096].astype(np.int32)
+                    yield out[["_b", "_q", "_qv", "_kth"]]
+
+    def bounds(self, v: np.ndarray) -> np.ndarray:
+        return cell_bounds(_to_landmarks(v, self.landmarks), self.lo, self.hi)
 
 
 def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int = 5,
@@ -110,84 +159,118 @@ def knn(train: DataFrame, test: DataFrame, tid: str, qid: str, vec: str, k: int
         return queries.filter("false").select(F.col("_q").alias(qid), F.lit(1).alias("rank"), F.col("_q").alias(tid),
                                               F.lit(0.0).alias("dist"))
     space = _Space(np.stack(sample["_tv"].to_numpy()), max(1, min(MAX_CELLS, len(sample), -(-n // target))))
+    copies = Window.partitionBy("_tv").orderBy("_t")
+    tr = tr.withColumn("_r", F.dense_rank().over(copies)).filter(F.col("_r") <= k + 1).drop("_r")
     tr = checkpointed(tr.mapInPandas(space.deal, "_c int, _t long, _tv array<double>, _td array<double>"))
     n_marks = len(space.landmarks)
-    ranges = sorted(tr.groupBy("_c").agg(                                   # at most MAX_CELLS rows
+    blocks = space.lay_out(sorted(tr.groupBy("_c").agg(                     # at most MAX_CELLS rows
+        F.count(F.lit(1)).alias("n"),
         F.array(*[F.min(F.col("_td")[j]) for j in range(n_marks)]).alias("lo"),
-        F.array(*[F.max(F.col("_td")[j]) for j in range(n_marks)]).alias("hi")).collect())
-    space.used = np.array([r["_c"] for r in ranges])
-    space.lo, space.hi = np.array([r["lo"] for r in ranges]), np.array([r["hi"] for r in ranges])
+        F.array(*[F.max(F.col("_td")[j]) for j in range(n_marks)]).alias("hi")).collect()))
+    place = spark.createDataFrame([(int(c), int(b), int(m)) for c, b, m in zip(space.used, space.first, space.many)],
+                                  "_c int, _first int, _many int")
+    tr = tr.select("_c", "_t", "_tv").join(F.broadcast(place), "_c").select(
+        (F.col("_first") + F.pmod(F.xxhash64("_t"), F.col("_many"))).cast("int").alias("_b"), "_c", "_t", "_tv")
     computed = spark.sparkContext.accumulator(0)
 
-    def searched(q):
-        """The ``k`` nearest of each query in the cells it is sent to, one numpy block per (cell, query chunk,
-        training chunk)."""
-        n_q = q.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("_nq"))
-        n_t = tr.groupBy("_c").agg(F.ceil(F.count(F.lit(1)) / TRAIN_CHUNK).alias("_nt"))
-        chunks = n_q.join(n_t, "_c")
-        upto = lambda c: F.explode(F.sequence(F.lit(0).cast("long"), F.col(c) - 1))
-        qs = q.join(chunks, "_c").select("_c", F.pmod(F.xxhash64("_q"), F.col("_nq")).alias("_qc"), upto("_nt").alias("_tc"),
-                                         "_q", "_qv", "_qd", "_kth")
-        ts = tr.join(chunks, "_c").select("_c", F.pmod(F.xxhash64("_t"), F.col("_nt")).alias("_tc"), upto("_nq").alias("_qc"),
-                                          "_t", "_tv", "_td")
-        return (qs.groupBy("_c", "_qc", "_tc").cogroup(ts.groupBy("_c", "_qc", "_tc"))
-                .applyInPandas(_block(k, exclude_self, computed), "_q long, _t long, dist double"))
+    def searched(sent):
+        """The ``k`` nearest of each query in the blocks it is sent to, one task per (block, query chunk)."""
+        sent = checkpointed(sent)
+        chunks = sent.groupBy("_b").agg(F.ceil(F.count(F.lit(1)) / QUERY_CHUNK).alias("_n"))
+        chunks = F.broadcast(spark.createDataFrame([(r["_b"], int(r["_n"])) for r in chunks.collect()],   # a row a block
+                                                   "_b int, _n long"))
+        qs = sent.join(chunks, "_b").select("_b", F.pmod(F.xxhash64("_q"), F.col("_n")).alias("_qc"), "_q", "_qv", "_kth")
+        ts = tr.join(chunks, "_b").select("_b", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_n") - 1)).alias("_qc"),
+                                          "_c", "_t", "_tv")
+        return (qs.groupBy("_b", "_qc").cogroup(ts.groupBy("_b", "_qc"))
+                .applyInPandas(_block(k, exclude_self, computed, space), "_q long, _t long, dist double"))
 
     win = Window.partitionBy("_q").orderBy(F.round("dist", 9), "_t")
-    best, seen = None, 0
-    for step in ROUNDS:
-        if best is None:
-            active = queries.withColumn("_kth", F.lit(float("inf")))
-        else:
-            kth = best.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_far"))
-            active = queries.join(kth, "_q", "left").select(
-                "_q", "_qv", F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(float("inf"))).alias("_kth"))
-        sent = active.mapInPandas(space.visits(seen, step), "_c int, _q long, _qv array<double>, _qd array<double>, _kth double")
-        sent = checkpointed(sent)
-        if sent.isEmpty():
-            break
-        found = searched(sent) if best is None else searched(sent).unionByName(best.drop("rank"))
+    first = queries.withColumn("_kth", F.lit(float("inf"))).mapInPandas(
+        space.homes, "_b int, _q long, _qv array<double>, _kth double")
+    best = checkpointed(searched(first).withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k))
+    if blocks > 1:
+        kth = best.groupBy("_q").agg(F.count(F.lit(1)).alias("_n"), F.max("dist").alias("_far"))
+        left = queries.join(kth, "_q", "left").select(
+            "_q", "_qv", F.when(F.col("_n") >= k, F.col("_far")).otherwise(F.lit(float("inf"))).alias("_kth"))
+        more = searched(left.mapInPandas(space.others, "_b int, _q long, _qv array<double>, _kth double"))
+        found = more.unionByName(best.drop("rank"))
         best = checkpointed(found.withColumn("rank", F.row_number().over(win)).filter(F.col("rank") <= k))
-        if step is None or seen + step >= len(space.used):
-            break
-        seen += step
-    if best is None:                                               # no queries
-        best = queries.filter("false").select("_q", F.col("_q").alias("_t"), F.lit(0.0).alias("dist"), F.lit(1).alias("rank"))
     if report is not None:
         report.update(pairs=n * queries.count(), computed=computed.value)
     return best.select(F.col("_q").alias(qid), "rank", F.col("_t").alias(tid), "dist")
 
 
-def _block(k: int, exclude_self: bool, computed):
+def _block(k: int, exclude_self: bool, computed, space: _Space):
+    at_cell = {int(c): i for i, c in enumerate(space.used)}
+
     def run(qdf: pd.DataFrame, tdf: pd.DataFrame) -> pd.DataFrame:
         out_q, out_t, out_d = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         if not qdf.empty and not tdf.empty:
+            tdf = tdf.sort_values(["_c", "_t"], kind="stable")
             tid = tdf["_t"].to_numpy(dtype=np.int64)
-            tv, td = np.stack(tdf["_tv"].to_numpy()), np.stack(tdf["_td"].to_numpy())
-            for s in range(0, len(qdf), 512):
-                part = qdf.iloc[s:s + 512]
+            tv = np.stack(tdf["_tv"].to_numpy())
+            middle = tv.mean(0)                                    # near the origin the matrix product cancels less
+            tm = tv - middle
+            tn = (tm * tm).sum(1)
+            cells, starts = np.unique(tdf["_c"].to_numpy(), return_index=True)
+            ends = np.append(starts[1:], len(tid))
+            held = np.array([at_cell[int(c)] for c in cells])
+            for s in range(0, len(qdf), TILE):
+                part = qdf.iloc[s:s + TILE]
                 qid = part["_q"].to_numpy(dtype=np.int64)
-                qv, qd = np.stack(part["_qv"].to_numpy()), np.stack(part["_qd"].to_numpy())
-                limit = part["_kth"].to_numpy()
-                limit = (limit * (1 + SLACK) + SLACK)[:, None]
-                near = np.ones((len(qid), len(tid)), bool)
-                if np.isfinite(limit).any():                       # the landmarks' own look at single pairs
-                    for j in range(qd.shape[1]):
-                        near &= np.abs(qd[:, j][:, None] - td[:, j][None, :]) <= limit
-                if exclude_self:
-                    near &= qid[:, None] != tid[None, :]
+                qv = np.stack(part["_qv"].to_numpy())
+                qm = qv - middle
+                qn = (qm * qm).sum(1)
+                limit = part["_kth"].to_numpy(dtype=float) * (1 + SLACK) + SLACK
+                bound = space.bounds(qv)[:, held]
+                room = 1e-12 * (qn + tn.max()) + 1e-300            # error of the squares, as the product has them
+                square = np.full((len(qid), len(tid)), np.inf)
+
+                def fill(rows, a, b):
+                    got = np.maximum(qn[rows, None] + tn[None, a:b] - 2 * qm[rows] @ tm[a:b].T, 0.0)
+                    if exclude_self:
+                        got[qid[rows, None] == tid[None, a:b]] = np.inf
+                    square[rows, a:b] = got
+                    computed.add(int(got.size))
+
+                def tighten(rows, values):
+                    """No limit beyond the k-th of ``values``, with the room twice."""
+                    if values.shape[1] > k:
+                        kth = np.partition(values, k - 1, axis=1)[:, k - 1]
+                        limit[rows] = np.minimum(limit[rows], np.sqrt(kth + 2 * room[rows]) * (1 + SLACK) + SLACK)
+
+                every = np.arange(len(qid))
+                home = np.lexsort((_distances(qv, space.centres[cells]), bound))[:, 0]
+                for at in np.unique(home):                         # each query's nearest cell gives it a first limit
+                    rows = every[(home == at) & (bound[:, at] <= limit)]
+                    if len(rows):
+                        fill(rows, starts[at], ends[at])
+                        tighten(rows, square[rows, starts[at]:ends[at]])
+                open_ = bound <= limit[:, None]
+                open_[every, home] = False
+                if 2 * (open_ @ (ends - starts)).sum() > square.size:
+                    fill(every, 0, len(tid))                       # most pairs: one product is faster than many
+                else:
+                    for at in np.nonzero(open_.any(0))[0]:
+                        fill(every[open_[:, at]], starts[at], ends[at])
+                near = square <= (limit ** 2 + room)[:, None]
+                near &= np.isfinite(square)
+                if near.sum() > 16 * k * len(qid):
+                    tighten(every, square)
+                    near = square <= (limit ** 2 + room)[:, None]
+                    near &= np.isfinite(square)
                 rows, cols = np.nonzero(near)
-                computed.add(len(rows))
-                dense = 4 * len(rows) > near.size                  # most pairs: whole tables are faster than picked pairs
-                acc = np.zeros(near.shape if dense else len(rows))
-                for d in range(qv.shape[1]):                       # same left-to-right sum as the SQL fold
-                    diff = qv[:, d][:, None] - tv[:, d][None, :] if dense else qv[rows, d] - tv[cols, d]
-                    acc += diff * diff
-                dist = np.sqrt(acc[rows, cols] if dense else acc)
-                if dense and len(tid) > k:                         # only what may be among the k nearest is sorted
-                    kth = np.partition(np.where(near, np.round(np.sqrt(acc), 9), np.inf), k - 1, axis=1)[:, k - 1]
-                    few = np.round(dist, 9) <= kth[rows]
-                    rows, cols, dist = rows[few], cols[few], dist[few]
+                if not len(rows):
+                    continue
+                dist = np.empty(len(rows))
+                for t in range(0, len(rows), 1 << 18):
+                    r, c = rows[t:t + (1 << 18)], cols[t:t + (1 << 18)]
+                    acc = np.zeros(len(r))
+                    for d in range(qv.shape[1]):                   # same left-to-right sum as the SQL fold
+                        diff = qv[r, d] - tv[c, d]
+                        acc += diff * diff
+                    dist[t:t + (1 << 18)] = np.sqrt(acc)
                 order = np.lexsort((tid[cols], np.round(dist, 9), rows))
                 rows, cols, dist = rows[order], cols[order], dist[order]
                 first = np.arange(len(rows)) - np.searchsorted(rows, rows) < k

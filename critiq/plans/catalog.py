@@ -1010,7 +1010,7 @@ SELECT q AS vec_id, CAST(rank AS INTEGER) AS rank, t AS neighbor_id, round(dist,
 """)
 def knn_neighbors(spark, sf_dir):
     """W5 + J8: the 5 nearest other embeddings of every embedding, exact,
-    through a widening band join on a random projection."""
+    through blocks of cells that the k-th distance leaves."""
     e = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     e2 = e.withColumnRenamed("vec_id", "qid")
     n = nbr.knn(e.withColumnRenamed("vec_id", "tid"), e2, "tid", "qid", "embedding", 5, exclude_self=True)

@@ -161,3 +161,41 @@ def test_knn_empty_sides(spark):
     assert nbr.knn(t.limit(0), q, "t", "q", "v").count() == 0
     assert nbr.knn(t, q.limit(0), "t", "q", "v").count() == 0
     assert nbr.knn(t, q, "t", "q", "v", 1, exclude_self=True).count() == 2
+
+
+def test_knn_copies_a_vector_once_a_block_not_once_a_cell(spark, monkeypatch):
+    """Random directions leave nearly every cell open; what is sent must not grow with the cells."""
+    import random
+    from critiq.operators import neighbors as nbr
+    monkeypatch.setattr(nbr, "TRAIN_CHUNK", 400)
+    sent = []
+    keep = nbr.checkpointed
+
+    def counted(df):
+        out = keep(df)
+        if "_qv" in df.columns:
+            sent.append(out.count())
+        return out
+    monkeypatch.setattr(nbr, "checkpointed", counted)
+    rnd = random.Random(4)
+    pts = [(i, [rnd.gauss(0, 1) for _ in range(24)]) for i in range(1200)]
+    df = spark.createDataFrame(pts, "id int, v array<double>")
+    got = nbr.knn(df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q"), "t", "q", "v", 5, exclude_self=True, target=8)
+    assert got.count() == 1200 * 5
+    assert sum(sent) <= 1200 * 5, sent                    # 3 or 4 blocks of 150 cells
+
+
+def test_knn_one_vector_many_ids(spark):
+    """A large group of copies costs its k + 1 lowest ids, and a repeated id counts as often as it stands."""
+    from critiq.operators import neighbors as nbr
+    pts = [(i, [1.0, 2.0]) for i in range(3000)] + [(5000 + i, [float(i), 0.0]) for i in range(20)] + [(5003, [3.0, 0.0])]
+    df = spark.createDataFrame(pts, "id int, v array<double>")
+    report = {}
+    got = nbr.knn(df.withColumnRenamed("id", "t"), df.withColumnRenamed("id", "q"), "t", "q", "v", 2, exclude_self=True,
+                  report=report).collect()
+    near = {}
+    for r in got:
+        near.setdefault(r["q"], []).append((r["rank"], r["t"]))
+    assert [t for _, t in sorted(near[2999])] == [0, 1] and [t for _, t in sorted(near[0])] == [1, 2]
+    assert [t for _, t in sorted(near[5004])] == [5003, 5003]
+    assert report["computed"] < 0.1 * report["pairs"]
