@@ -127,20 +127,21 @@ def evolve(pairs: DataFrame, keys: Sequence[str], template: str = "template", ba
     an array of the pair's row from beginning to end: map-only."""
     def child(ps, g):
         made = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), template_crossover(ps).alias("text")))
-        return scored(made, F.col("_tt"), -1, F.col("_seg"))
+        return scored(made, F.col("_tt"), -1, F.col("_base"))
 
-    rows = _prepared(pairs, template, segment)
-    rows = rows.withColumn("_pop", scored(candidates(n_candidates, base), F.col("_tt"), -1, F.col("_seg")))
+    rows = _prepared(pairs, template, base)
+    rows = rows.withColumn("_pop", scored(candidates(n_candidates, base), F.col("_tt"), -1, F.col("_base")))
     for g in range(n_generations):
         parents = parents_in_row(F.col("_pop"), keys, n_parents, tau, seed, g)
         rows = rows.withColumn("_pop", F.concat("_pop", let(parents, lambda ps: child(ps, g))))  # noqa: B023
     return rows.select(*keys, best_first(F.col("_pop")).alias("_b")).select(*keys, "_b.*")
 
 
-def _prepared(pairs: DataFrame, template: str, segment: str) -> DataFrame:
-    """``pairs`` with the template's tokens and the segment's summary.  Columns of their own, as each is
-    read many times: Spark does not inline such a column, and the expressions over it stay shallow."""
-    return pairs.withColumn("_tt", _template_tokens(template)).withColumn("_seg", known(segment, F.col("_tt")))
+def _prepared(pairs: DataFrame, template: str, base: str) -> DataFrame:
+    """``pairs`` with the template's tokens and the summary of the filled template, which nearly every candidate
+    quotes whole.  Columns of their own, as each is read many times: Spark does not inline such a column, and
+    the expressions over it stay shallow."""
+    return pairs.withColumn("_tt", _template_tokens(template)).withColumn("_base", known(base, F.col("_tt")))
 
 
 def best_of_n(pairs: DataFrame, keys: Sequence[str], template: str = "template", base: str = "base",
@@ -186,9 +187,9 @@ def baselines(pairs: DataFrame, keys: Sequence[str], template: str = "template",
     }
 
     def best(name):
-        found = best_first(scored(made[name](), F.col("_tt"), 1, F.col("_seg")))
+        found = best_first(scored(made[name](), F.col("_tt"), 1, None if name == "1-pass" else F.col("_base")))
         return let(found, lambda x: F.struct(F.lit(name).alias("strategy"), x["cand_id"].alias("cand_id"),
                                              x["fitness"].alias("fitness"), x["text"].alias("text")))
 
-    rows = _prepared(pairs, template, segment)
+    rows = _prepared(pairs, template, base)
     return rows.select(*keys, F.inline(F.array(*[best(s) for s in made if s in strategies])))

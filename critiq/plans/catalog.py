@@ -33,7 +33,7 @@ from ..sources import io as sio
 from ..session import checkpointed, shared_path
 from . import bindings, doubles
 from . import sqlgen as q
-from .tables import table
+from .tables import fine, spread, table
 
 QUERIES: Dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: Dict[str, str] = {}
@@ -137,8 +137,8 @@ _LABELED_SQL = (f"WITH src AS (SELECT doc_id, text, source, {bindings.issue_stri
                 f"FROM documents), " + q.parse_labels_ctes("src", "doc_id", "issue_types", "text").strip())
 
 
-def _labeled(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source", "n_chars")
+def _labeled(spark, sf_dir, deal=spread):
+    docs = deal(table(spark, sf_dir, "documents", heavy=False)).select("doc_id", "text", "lang", "source", "n_chars")
     d = docs.withColumn("issue_types", bindings.issue_string())
     return iss.label_rows(d, "doc_id", "issue_types", "text")
 
@@ -462,7 +462,7 @@ def group_kfold(spark, sf_dir):
 def _pairs(spark, sf_dir):
     """(doc_id, issue, segment, template, knowledge, base) for every parsed
     label that has a template (J3); unmatched labels have no template."""
-    lab = iss.explode_labels(_labeled(spark, sf_dir), "doc_id", ["text"]).select(
+    lab = iss.explode_labels(_labeled(spark, sf_dir, deal=fine), "doc_id", ["text"]).select(
         "doc_id", "issue", F.col("text").alias("segment"))
     p = iss.attach_templates(lab, dims.templates_df(spark)).filter(F.col("template").isNotNull())
     return p.select("doc_id", "issue", "segment", "template", "knowledge",

@@ -27,6 +27,17 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism) if size <= SPREAD_BYTES else df
 
 
+# bytes of a larger table in one task, where each row is much work
+FINE_BYTES = 16 << 20
+
+
+def fine(df: DataFrame) -> DataFrame:
+    """``spread`` for queries that work on a row for milliseconds: a larger table is dealt out too, ``FINE_BYTES`` a
+    task, as a task of one split of it (``spark.sql.files.maxPartitionBytes``) would run for many minutes."""
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return spread(df) if size <= SPREAD_BYTES else df.repartition(-(-size // FINE_BYTES))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str, heavy: bool = True) -> DataFrame:
     """Scan a driver table; ``heavy`` (per-row text work follows) deals a small
     text table out over the cores."""
