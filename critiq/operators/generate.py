@@ -18,6 +18,7 @@ from ..functions.prompts import render
 from ..functions.scoring import best_first, let
 from ..functions.text import safe_name, tokens
 from ..functions.textstats import known, scored
+from ..session import checkpointed
 from .backend import model_map, sample_map
 from .feedback import knowledge_context, parents_in_row
 
@@ -100,18 +101,20 @@ def evolve(pairs: DataFrame, keys: Sequence[str], backend, n_candidates: int = f
     """A plan (M8), candidates from it (M9), then per generation the drawn
     parents (W4) are numbered and joined into the crossover prompt (M10) and the
     child is appended (U1); the best at the end (W3).  The population is an array
-    of the pair's row; only the model map moves rows."""
+    of the pair's row, written once when its candidates are scored; only the model
+    map moves rows."""
     p = make_plan(_prepared(pairs, keys), backend)
     p = _sample(p, "candidate", n_candidates, backend, "_texts", segment="segment", template="template", plan="plan")
     p = p.select(*keys, "template", F.array_distinct(tokens("template")).alias("_tt"), "segment", "_texts")
     p = p.select(*keys, "template", "_tt", known("segment", F.col("_tt")).alias("_seg"), "_texts")
-    p = p.select(*keys, "template", "_tt", "_seg", scored(_array(F.col("_texts")), F.col("_tt"), -1, F.col("_seg")).alias("_pop"))
+    p = p.select(*keys, "_tt", scored(_array(F.col("_texts")), F.col("_tt"), -1, F.col("_seg")).alias("_pop"))
+    p = checkpointed(p)        # every generation reads the population twice: its candidates are scored once
     for g in range(n_generations):
         numbered = let(parents_in_row(F.col("_pop"), keys, n_parents, tau, seed, g), lambda ps: F.array_join(F.transform(
             ps, lambda x, i: F.concat(F.lit("Parent "), (i + 1).cast("string"), F.lit(": "), x["text"])), "\n"))
         p = _ask(p.withColumn("_parents", numbered), "crossover", backend, "_child", parents="_parents").drop("_parents")
         child = F.array(F.struct(F.lit(n_candidates + g).alias("cand_id"), F.coalesce("_child", F.lit("")).alias("text")))
-        p = p.withColumn("_pop", F.concat("_pop", scored(child, F.col("_tt"), -1, F.col("_seg")))).drop("_child")
+        p = p.withColumn("_pop", F.concat("_pop", scored(child, F.col("_tt"), -1))).drop("_child")
     return p.select(*keys, best_first(F.col("_pop")).alias("_b")).select(*keys, "_b.*")
 
 

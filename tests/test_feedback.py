@@ -54,3 +54,46 @@ def test_judge_input_drops_nulls_and_cuts(spark):
     df = spark.createDataFrame([("a; b", "fb"), (None, "fb")], "seg string, out string")
     r = jd.judge_input(df, "seg", "out").collect()
     assert [x["seg"] for x in r] == ["a"]
+
+
+def test_larger_table_is_dealt_out_finely(spark, tmp_path, monkeypatch):
+    """A task of the feedback queries holds ``FINE_BYTES`` of a table, however large its splits are."""
+    from critiq.plans import tables
+    path = str(tmp_path / "documents.parquet")
+    spark.range(4000).selectExpr("id doc_id", "sha2(cast(id as string), 512) text").coalesce(1).write.parquet(path)
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 1000)
+    monkeypatch.setattr(tables, "FINE_BYTES", 20000)
+    read = spark.read.parquet(path)
+    assert tables.spread(read).rdd.getNumPartitions() == 1
+    dealt = tables.fine(read)
+    assert dealt.rdd.getNumPartitions() > 10
+    assert sorted(dealt.collect()) == sorted(read.collect())
+
+
+def test_evolution_writes_its_population_once(spark, monkeypatch):
+    """The candidates of a pair are scored once, not again for every generation."""
+    from critiq.operators import generate as gen
+    from critiq.operators.backend import BackendFactory
+    from critiq.plans import doubles
+    kept = []
+    keep = gen.checkpointed
+    monkeypatch.setattr(gen, "checkpointed", lambda df: kept.append(df.columns) or keep(df))
+    pairs = spark.createDataFrame([(1, "i", "A segment of some words that is quoted here.", "Please fix it.")],
+                                  "doc_id int, issue string, segment string, template string")
+    got = gen.evolve(pairs, ["doc_id", "issue"], BackendFactory("f", doubles.feedback)).collect()
+    assert len(got) == 1 and any("_pop" in c for c in kept)
+
+
+def test_judge_sends_a_repeated_row_once_and_reads_four_answers(spark):
+    from critiq.operators.backend import BackendFactory
+    from critiq.plans import doubles
+    rows = [(k, "The method; is simple", "Please cite 3 papers. \"Thanks\" now!") for k in range(3)] + [(7, "Other", "Fine")]
+    df = spark.createDataFrame(rows, "k int, segment string, outputs string")
+    asked = spark.sparkContext.accumulator(0)
+
+    def make():
+        judge = doubles.judge()
+        return lambda ps: asked.add(len(ps)) or judge(ps)
+    got = jd.judge_with_model(df, "k", "segment", "outputs", BackendFactory("j", make), "template")
+    plain = jd.judge_wide(jd.judge_input(df, "segment", "outputs"), "segment", "outputs", "template")
+    assert sorted(got.collect()) == sorted(plain.select(got.columns).collect()) and asked.value == 8
