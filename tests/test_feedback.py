@@ -97,3 +97,26 @@ def test_judge_sends_a_repeated_row_once_and_reads_four_answers(spark):
     got = jd.judge_with_model(df, "k", "segment", "outputs", BackendFactory("j", make), "template")
     plain = jd.judge_wide(jd.judge_input(df, "segment", "outputs"), "segment", "outputs", "template")
     assert sorted(got.collect()) == sorted(plain.select(got.columns).collect()) and asked.value == 8
+
+
+def test_baselines_with_a_model_make_the_pairs_once(spark):
+    """Every strategy reads the same written pairs: none goes back to the documents."""
+    from critiq.operators import generate as gen
+    from critiq.operators.backend import BackendFactory
+    from critiq.plans import doubles
+    made = spark.sparkContext.accumulator(0)
+
+    def count(text):
+        made.add(1)
+        return text
+
+    counted = F.udf(count, "string").asNondeterministic()
+    pairs = spark.createDataFrame([(k, "i", f"A segment of {k} words that is quoted here.", "Please fix it.") for k in range(3)],
+                                  "doc_id int, issue string, segment string, template string")
+    names = ["1-pass", "Temp", "Plan", "Self-Ref."]
+    model = BackendFactory("f", doubles.feedback)
+    got = gen.baselines(pairs.withColumn("segment", counted("segment")), ["doc_id", "issue"], model, names).collect()
+    assert made.value == 3 and len(got) == 12
+    alone = [r for n in names for r in gen.STRATEGIES[n](pairs, ["doc_id", "issue"], model)
+             .select("doc_id", "issue", F.lit(n), "cand_id", "fitness", "text").collect()]
+    assert sorted(map(tuple, got)) == sorted(map(tuple, alone))
