@@ -3,14 +3,16 @@
 A pass reads the rows once and returns one bounded array of sums over them, for every (fold, label) at
 once: the tasks' partial sums are added up by Spark in two levels.  A fold's training rows are all
 rows but its own, so its statistics are the totals less the fold's, and no row is copied for a fold or
-a label.  Features are standardised per fold (G3) inside the algebra: a model that is linear, or sums of squares,
+a label.  The rows are packed into blocks of matrices, dealt evenly over the cores, so that a pass does no work row by
+row in Python.  Features are standardised per fold (G3) inside the algebra: a model that is linear, or sums of squares,
 in (x - m) / s follows from sums over x.
 
 * Gaussian naive Bayes: one pass of counts, sums and squares per (fold, label).
 * Logistic regression (L2): Newton-like steps with the fold's Gram matrix, which bounds the curvature
   of every label's loss (Boehning, 1992), as the starting metric of L-BFGS; one pass a step, whatever the labels.
 * AdaBoost over stumps: a contingency cube of weights by (feature, value, class) per (fold, label);
-  every stump of a round follows from it; one pass a round.
+  every stump of a round follows from it; one pass a round.  The stumps so far are a table by (feature, threshold),
+  so that a round costs the same however many rounds went before it.
 
 The number of Spark jobs depends on steps and rounds, never on labels or folds.
 """
@@ -32,15 +34,18 @@ from .metrics import _div
 
 #: Rows whose mean is taken off all features first, so that squares do not cancel.
 SHIFT_ROWS = 1000
+#: Bytes of features in one block of rows.
+BLOCK_BYTES = 4 << 20
 LEVELS = 32
 VARIANCE_SHARE = 1e-9
 
 
 @dataclass
 class Data:
-    """Rows (x array<double>, y array<int> label numbers, part int), written once, and their shape."""
+    """Blocks of rows (n long, and as bytes x double (n, width), y 0/1 (n, labels), part int (n)), written once, and
+    their shape."""
 
-    rows: DataFrame
+    blocks: DataFrame
     vocab: list
     parts: int
     width: int
@@ -54,12 +59,11 @@ class Data:
 
         def run(frames):
             total = np.zeros(size)
-            for df in frames:
-                if len(df):
-                    total += np.asarray(fn(*_arrays(df, n_labels, width, shift))).ravel()
+            for x, y, part in _unpacked(frames, n_labels, width, shift):
+                total += np.asarray(fn(x, y, part)).ravel()
             yield pd.DataFrame({"k": [TaskContext.get().partitionId() % LEVELS], "v": [total]})
 
-        sums = self.rows.mapInPandas(run, "k int, v array<double>").withColumn("v", array_to_vector("v"))
+        sums = self.blocks.mapInPandas(run, "k int, v array<double>").withColumn("v", array_to_vector("v"))
         sums = sums.groupBy("k").agg(Summarizer.sum(F.col("v")).alias("v")).agg(Summarizer.sum(F.col("v")).alias("v"))
         got = sums.select(vector_to_array("v").alias("v")).first()["v"]
         return np.array(got if got else np.zeros(size))
@@ -71,10 +75,7 @@ class Data:
 
         def run(frames):
             out = []
-            for df in frames:
-                if not len(df):
-                    continue
-                x, y, part = _arrays(df, n_labels, width, shift)
+            for x, y, part in _unpacked(frames, n_labels, width, shift):
                 for name, fn in models.items():
                     for p in np.unique(part):
                         own = part == p
@@ -82,16 +83,31 @@ class Data:
                         out.append((name, int(p), float((t * hit).sum()), float(((1 - t) * hit).sum()), float((t * (1 - hit)).sum())))
             yield pd.DataFrame(out, columns=["model", "part", "tp", "fp", "fn"])
 
-        return self.rows.mapInPandas(run, "model string, part int, tp double, fp double, fn double").groupBy("model", "part").agg(
+        return self.blocks.mapInPandas(run, "model string, part int, tp double, fp double, fn double").groupBy("model", "part").agg(
             *[F.sum(c).alias(c) for c in ("tp", "fp", "fn")])
 
 
-def _arrays(df: pd.DataFrame, n_labels: int, width: int, shift: np.ndarray):
-    x = np.stack(df["x"].to_numpy()).astype(float).reshape(len(df), width) - shift
-    y = np.zeros((len(df), n_labels))
-    for k, own in enumerate(df["y"].to_numpy()):
-        y[k, own] = 1.0
-    return x, y, df["part"].to_numpy()
+def _packed(frames, n_labels: int):
+    """Frames of rows (x, y label numbers, part) as blocks of ``BLOCK_BYTES`` of features."""
+    for df in frames:
+        if not len(df):
+            continue
+        step = max(1, BLOCK_BYTES // (8 * max(len(df["x"].iloc[0]), 1)))
+        for at in range(0, len(df), step):
+            some = df.iloc[at:at + step]
+            y = np.zeros((len(some), n_labels), dtype=np.int8)
+            for k, own in enumerate(some["y"].to_numpy()):
+                y[k, own] = 1
+            yield pd.DataFrame({"n": [len(some)], "x": [np.stack(some["x"].to_numpy()).astype(float).tobytes()],
+                                "y": [y.tobytes()], "part": [some["part"].to_numpy(dtype=np.int32).tobytes()]})
+
+
+def _unpacked(frames, n_labels: int, width: int, shift: np.ndarray):
+    """(x less the shift, y 0/1, part) of every block."""
+    for df in frames:
+        for n, x, y, part in zip(df["n"], df["x"], df["y"], df["part"]):
+            yield (np.frombuffer(x).reshape(n, width) - shift, np.frombuffer(y, dtype=np.int8).reshape(n, n_labels).astype(float),
+                   np.frombuffer(part, dtype=np.int32))
 
 
 def data(df: DataFrame, features: str, labels: str, part: str, vocab: Sequence[str], parts: int) -> Data:
@@ -99,11 +115,15 @@ def data(df: DataFrame, features: str, labels: str, part: str, vocab: Sequence[s
     index = F.create_map(*[F.lit(v) for k, name in enumerate(vocab) for v in (name, k)]) if vocab else None
     own = F.transform(F.array_intersect(F.col(labels), F.array(*[F.lit(v) for v in vocab])), lambda x: index[x]) if vocab else \
         F.array().cast("array<int>")
-    rows = checkpointed(df.select(F.col(features).cast("array<double>").alias("x"), F.coalesce(own, F.array().cast("array<int>")).alias("y"),
-                                  F.col(part).cast("int").alias("part")).filter(F.col("x").isNotNull()))
-    first = [r["x"] for r in rows.select("x").limit(SHIFT_ROWS).collect()]
-    width = len(first[0]) if first else 0
-    return Data(rows, list(vocab), parts, width, np.array(first).reshape(len(first), width).mean(0) if first else np.zeros(0))
+    rows = df.select(F.col(features).cast("array<double>").alias("x"), F.coalesce(own, F.array().cast("array<int>")).alias("y"),
+                     F.col(part).cast("int").alias("part")).filter(F.col("x").isNotNull())
+    n_labels = len(vocab)
+    # dealt evenly: a shuffle is coalesced by its compressed bytes, and vote vectors are few bytes for much work
+    blocks = checkpointed(rows.repartition(df.sparkSession.sparkContext.defaultParallelism).mapInPandas(
+        lambda frames: _packed(frames, n_labels), "n long, x binary, y binary, part binary"))
+    first = [np.frombuffer(bytes(r["x"])).reshape(r["n"], -1) for r in blocks.select("n", "x").limit(2).collect()]
+    first = np.concatenate(first)[:SHIFT_ROWS] if first else np.zeros((0, 0))
+    return Data(blocks, list(vocab), parts, first.shape[1], first.mean(0) if len(first) else np.zeros(0))
 
 
 @dataclass
@@ -281,6 +301,8 @@ def boosted_stumps(d: Data, st: Statistics, values: Sequence[float], rounds: int
     ``values``.  Ties go to the lower feature, then the lower threshold; an empty split is none."""
     p, m, w, cuts = d.parts, len(d.vocab), d.width, sorted(values)
     stumps = [[[] for _ in range(m)] for _ in range(p)]            # (feature, cut, below, above, alpha)
+    # all stumps of a (part, label) vote base + sum of table over the (threshold, feature) that a row is not above
+    table, base, alphas = np.zeros((p * m, (len(cuts) - 1) * w)), np.zeros(p * m), np.zeros(p * m)
     offset = np.zeros((p, m))
     active = (st.n_l > 0) & (st.n_l < st.n[:, None])
     shift = d.shift
@@ -297,19 +319,18 @@ def boosted_stumps(d: Data, st: Statistics, values: Sequence[float], rounds: int
         if not active.any():
             break
 
+        live = np.flatnonzero(active)
+
         def fn(x, y, part):
-            cube = np.zeros((p, m, w, len(cuts), 2))
-            codes = [np.abs(x + shift - c) < 1e-9 for c in cuts]
-            for f in range(p):
-                own = part != f
-                for k in range(m):
-                    if active[f, k] and own.any():
-                        v, alpha = votes(x[own], stumps[f][k])
-                        t = y[own, k]
-                        weight = np.exp(((v != (2 * t - 1)[:, None]) @ alpha) - offset[f, k])
-                        for j, code in enumerate(codes):
-                            cube[f, k, :, j, 0] = (weight * (1 - t)) @ code[own]
-                            cube[f, k, :, j, 1] = (weight * t) @ code[own]
+            cube, value = np.zeros((p * m, w, len(cuts), 2)), x + shift
+            under = np.concatenate([value <= c + 1e-9 for c in cuts[:-1]], axis=1).astype(float)
+            codes = np.concatenate([np.abs(value - c) < 1e-9 for c in cuts], axis=1).astype(float)
+            t = y[:, live % m]
+            wrong = (alphas[live] - (2 * t - 1) * (under @ table[live].T + base[live])) / 2    # alphas of the stumps that miss
+            own = part[:, None] != live // m                       # all but the part's own rows train it
+            weight = np.exp(np.where(own, wrong - offset.ravel()[live], -np.inf))
+            for c, side in enumerate((weight * (1 - t), weight * t)):
+                cube[live, :, :, c] = (side.T @ codes).reshape(len(live), len(cuts), w).transpose(0, 2, 1)
             return cube.ravel()
 
         cube = d.summed(fn, p * m * w * len(cuts) * 2).reshape(p, m, w, len(cuts), 2)
@@ -324,6 +345,9 @@ def boosted_stumps(d: Data, st: Statistics, values: Sequence[float], rounds: int
                 continue
             alpha = rate * float(np.log((1 - error) / max(error, 1e-12)))
             stumps[f][k].append((feature, cut, below, above, alpha))
+            table[f * m + k, cuts.index(cut) * w + feature] += 2 * alpha * (below - above)
+            base[f * m + k] += alpha * (2 * above - 1)
+            alphas[f * m + k] += alpha
             if error <= 1e-12:
                 active[f, k] = False
             total = cube[f, k, 0].sum()

@@ -173,3 +173,24 @@ def test_rows_and_labels_may_be_few(spark):
     got = op.cross_validate(df, "f", "labels", "fold", ["a"], 2, ["Gaussian Naive Bayes", "AdaBoost"]).collect()
     assert {r["model"] for r in got} == {"Gaussian Naive Bayes", "AdaBoost"}
     assert op.cross_validate(df.limit(0), "f", "labels", "fold", ["a"], 2, ["Gaussian Naive Bayes"]).count() == 0
+
+
+def test_blocks_are_dealt_over_the_cores(spark):
+    """A pass is Python work: its tasks must not follow from the few bytes that vote vectors have."""
+    df = spark.range(4000).selectExpr("cast(id as int) id", "array(1.0D, 0.0D, cast(id % 3 - 1 as double)) f",
+                                      "array('a') labels", "cast(id % 3 as int) fold").coalesce(1)
+    d = op.data(df, "f", "labels", "fold", ["a"], PARTS)
+    n = spark.sparkContext.defaultParallelism
+    sizes = [r["count"] for r in d.blocks.groupBy(F.spark_partition_id()).agg(F.sum("n").alias("count")).collect()]
+    assert len(sizes) == n and sum(sizes) == 4000 and max(sizes) < 2 * 4000 / n
+
+
+def test_a_round_costs_the_same_after_many_rounds(sample, monkeypatch):
+    """What a task is sent for a round does not grow with the rounds before it."""
+    from pyspark import cloudpickle
+    _, d, *_ = sample
+    sent = []
+    real = op.Data.summed
+    monkeypatch.setattr(op.Data, "summed", lambda self, fn, size: sent.append(len(cloudpickle.dumps(fn))) or real(self, fn, size))
+    fitted = op.boosted_stumps(d, op.statistics(d, gram=False), (-1.0, 0.0, 1.0), rounds=8)
+    assert max(map(len, fitted.stumps[0])) == 8 and sent[-1] <= sent[1] * 1.1
