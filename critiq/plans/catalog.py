@@ -72,8 +72,7 @@ FROM ({_DOC_TAGS_SQL}) s
 """)
 def sentence_tags(spark, sf_dir):
     """Chained BIO tags (rules backend) for every sentence of every document."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    t = tagging.tag_document_sentences(docs)
+    t = tagging.tag_document_sentences(_texts(spark, sf_dir))
     return t.select("doc_id", F.col("pos").cast("bigint").alias("pos"), "tag",
                     F.col("seg_id").cast("bigint").alias("seg_id"),
                     F.size(tagging.tokens("sentence")).cast("bigint").alias("n_words"))
@@ -104,8 +103,12 @@ def doc_segments(spark, sf_dir):
 
 
 def _segments(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return tagging.segments_from_tags(tagging.tag_document_sentences(docs), "doc_id")
+    return tagging.segments_from_tags(tagging.tag_document_sentences(_texts(spark, sf_dir)), "doc_id")
+
+
+def _texts(spark, sf_dir):
+    """(doc_id, text), dealt out finely: tagging and voting work on a text for milliseconds."""
+    return fine(table(spark, sf_dir, "documents", heavy=False).select("doc_id", "text"))
 
 
 @register("best_segment", sql=f"""

@@ -130,3 +130,19 @@ def test_long_document_equals_review_rows(spark):
     b = {(r["doc_id"], r["pos"]): (r["bio_pred"], r["seg_id"])
          for r in tagging.tag_review_rows(rows, "doc_id", "pos", "sentence", chunk_rows=5).collect()}
     assert {k: v[:2] for k, v in a.items()} == b and len(a) == 300 + 3 + tagging.SLICE + 1
+
+
+def test_larger_table_is_tagged_in_fine_tasks(spark, tmp_path, monkeypatch):
+    """Beyond ``SPREAD_BYTES`` the texts were tagged in as few tasks as the file has splits."""
+    from critiq.plans import catalog, tables
+    text = "concat_ws(' ', transform(sequence(1, 20), i -> concat(sha2(concat(id, i), 256), ' is a word.'))) text"
+    spark.range(400).selectExpr("id doc_id", text).coalesce(1).write.parquet(str(tmp_path / "documents.parquet"))
+    seen = []
+    real = catalog.tagging.tag_document_sentences
+    monkeypatch.setattr(catalog.tagging, "tag_document_sentences",
+                        lambda docs: seen.append(docs.rdd.getNumPartitions()) or real(docs))
+    whole = sorted(map(tuple, catalog.doc_segments(spark, str(tmp_path)).collect()))
+    monkeypatch.setattr(tables, "SPREAD_BYTES", 1000)
+    monkeypatch.setattr(tables, "FINE_BYTES", 20000)
+    assert whole and sorted(map(tuple, catalog.doc_segments(spark, str(tmp_path)).collect())) == whole
+    assert seen[1] > 2 * spark.sparkContext.defaultParallelism
