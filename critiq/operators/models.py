@@ -223,13 +223,15 @@ def binary_relevance(train: DataFrame, test: DataFrame, key: str, features: str,
     # before the concurrent fits share them
     tr = checkpointed(train.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels))
     te = checkpointed(test.select(key, array_to_vector(F.col(features).cast("array<double>")).alias("features"), labels))
-    n = tr.count()
+    # all labels are counted in one pass
+    counts = tr.agg(F.count(F.lit(1)), *[F.count_if(F.array_contains(labels, v)) for v in vocab]).first()
+    n, held = counts[0], dict(zip(vocab, counts[1:]))
     width = tr.select(F.size(vector_to_array("features")).alias("d")).first()["d"] if n else 0
 
     def one(label):
         y = F.array_contains(labels, label).cast("double")
         trl = tr.withColumn("label", y)
-        pos = trl.filter("label = 1").count()
+        pos = held[label]
         t = te.withColumn("label", y)
         if pos in (0, n):
             const = 1.0 if pos == n else 0.0

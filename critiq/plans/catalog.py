@@ -245,19 +245,19 @@ questions AS (SELECT issue, issue_idx, CAST(unnest(range(len(qs))) AS INTEGER) A
               FROM qparsed)"""
 
 
-def _question_table(spark, sf_dir):
+def _question_table(spark, sf_dir, **how):
     """(issue, issue_idx, q_idx, question, keyword); an issue whose list
     parsed to no question keeps its slot with NULL q_idx/question."""
-    groups, top = _mined_segments(spark, sf_dir)
+    groups, top = _mined_segments(spark, sf_dir, **how)
     comp = iss.frequent_words(top).select(
         "issue", iss.rules_question_completion("issue", "keywords").alias("completion"))
     return iss.question_table(comp, groups.select("issue", F.col("first_key").alias("order_key")))
 
 
-def _mined_segments(spark, sf_dir):
-    """Supported issues, and (issue, rank, doc_id, text) of their first five segments."""
-    lab = _labeled(spark, sf_dir)
-    groups = iss.supported(iss.group_by_issue(lab, "doc_id"))
+def _mined_segments(spark, sf_dir, deal=spread, groups=None):
+    """Supported issues (``groups``, where they are known), and (issue, rank, doc_id, text) of their first five segments."""
+    lab = _labeled(spark, sf_dir, deal)
+    groups = iss.supported(iss.group_by_issue(lab, "doc_id")) if groups is None else groups
     top = iss.top_segments(lab, "doc_id", carry=["text"]).join(groups.select("issue"), "issue", "left_semi")
     return groups, top
 
@@ -813,18 +813,24 @@ def classifier_holdout(spark, sf_dir):
     return _holdout(spark, sf_dir, _HOLDOUT_MODELS)
 
 
+def _voted_data(spark, sf_dir):
+    """P7 + J1: (rows with their vote vectors, label vocabulary).  Labels and questions are written once (shared
+    checkpoint folder), so the texts are read three times: for the labels, the questions and the votes."""
+    lab = checkpointed(_labeled(spark, sf_dir, deal=fine).select("doc_id", "source", "issues"))
+    sup = checkpointed(iss.supported(iss.group_by_issue(lab, "doc_id")))
+    ds = iss.with_supported_issue(lab, sup, "doc_id", ["source"])
+    qt = checkpointed(_question_table(spark, sf_dir, deal=fine, groups=sup))
+    vec = iss.vote_vectors(_texts(spark, sf_dir), "doc_id", "text", qt).select("doc_id", "features")
+    # checkpointed so the split's subqueries and every fit start from the materialized rows; dealt evenly, as a
+    # shuffle is coalesced by its compressed bytes, and vote vectors are few bytes for much work
+    data = checkpointed(ds.join(vec, "doc_id", "left").repartition(spark.sparkContext.defaultParallelism))
+    return data, [r["issue"] for r in sup.orderBy("issue").collect()]          # bounded label vocabulary
+
+
 def _holdout_data(spark, sf_dir):
     """(rows with their vote vectors, sides of the split, label vocabulary)."""
-    ds = _issue_dataset(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
-    # J1; checkpointed (shared checkpoint folder) so the split's subqueries
-    # and every per-label fit start from the materialized rows
-    data = checkpointed(ds.join(vec, "doc_id", "left"))
-    sides = spl.stratified_group_split(data, "issues", "source", 0.1, 1000, 42)
-    vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
-             .orderBy("issue").collect()]          # bounded label vocabulary
-    return data, sides, vocab
+    data, vocab = _voted_data(spark, sf_dir)
+    return data, spl.stratified_group_split(data, "issues", "source", 0.1, 1000, 42), vocab
 
 
 def _holdout(spark, sf_dir, models):
@@ -984,13 +990,8 @@ def classifier_cv_onepass(spark, sf_dir):
 
 
 def _cross_validated(spark, sf_dir, names):
-    ds = _issue_dataset(spark, sf_dir)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    vec = iss.vote_vectors(docs, "doc_id", "text", _question_table(spark, sf_dir)).select("doc_id", "features")
-    data = checkpointed(ds.join(vec, "doc_id", "left"))
+    data, vocab = _voted_data(spark, sf_dir)
     folds = spl.stratified_group_kfold(data, "issues", "source", 5, 100, 42).select("source", "fold")
-    vocab = [r["issue"] for r in iss.supported(iss.group_by_issue(_labeled(spark, sf_dir), "doc_id"))
-             .orderBy("issue").collect()]          # bounded label vocabulary
     res = onepass.cross_validate(data.join(folds, "source"), "features", "issues", "fold", vocab, 5, names)
     return res.select("model", round6("mean_f05").alias("mean_f05"), round6("mean_precision").alias("mean_precision"),
                       round6("mean_recall").alias("mean_recall"))

@@ -199,3 +199,29 @@ def test_knn_one_vector_many_ids(spark):
     assert [t for _, t in sorted(near[2999])] == [0, 1] and [t for _, t in sorted(near[0])] == [1, 2]
     assert [t for _, t in sorted(near[5004])] == [5003, 5003]
     assert report["computed"] < 0.1 * report["pairs"]
+
+
+def test_documents_are_labelled_twice_for_the_classifiers(spark, monkeypatch):
+    """Once for all labels and once for the questions' segments, not again for every use of them; the rows are dealt evenly."""
+    from critiq.plans import catalog
+    sf = "/root/testdata/sf0.001"
+    made, real = [], catalog._labeled
+    monkeypatch.setattr(catalog, "_labeled", lambda *a, **k: made.append(k) or real(*a, **k))
+    data, vocab = catalog._voted_data(spark, sf)
+    assert len(made) == 2 and vocab == sorted(vocab) and data.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    labels = {r["doc_id"]: r["issues"] for r in catalog._issue_dataset(spark, sf).collect()}
+    assert {r["doc_id"]: r["issues"] for r in data.collect()} == labels
+    docs = catalog.table(spark, sf, "documents").select("doc_id", "text")
+    votes = catalog.iss.vote_vectors(docs, "doc_id", "text", catalog._question_table(spark, sf))
+    want = {r["doc_id"]: r["features"] for r in votes.collect() if r["doc_id"] in labels}
+    assert {r["doc_id"]: r["features"] for r in data.collect()} == want
+
+
+def test_labels_are_counted_in_one_pass(spark, monkeypatch):
+    from pyspark.sql import DataFrame
+    counted, real = [], DataFrame.count
+    monkeypatch.setattr(type(spark.range(0)), "count", lambda self: counted.append(1) or real(self))
+    df = spark.createDataFrame([(i, [float(i % 2), 1.0], ["a"] if i % 2 else ["b", "a"]) for i in range(20)],
+                               "id int, x array<double>, labels array<string>")
+    got = mdl.binary_relevance(df, df, "id", "x", "labels", ["a", "b", "c"], mdl.CLASSIFIERS["Gaussian Naive Bayes"]).collect()
+    assert not counted and {(r["label_name"], r["y_true"]) for r in got} == {("a", 1.0), ("b", 0.0), ("b", 1.0), ("c", 0.0)}
