@@ -156,3 +156,21 @@ def test_native_baselines_are_scored_in_one_pass(spark):
         assert have == {**want, 12: have[12]} and len(have) == 14
     missing = got.filter("doc_id = 12 AND strategy = '1-pass'").first()
     assert (missing.cand_id, missing.fitness, missing.text) == (0, None, None)
+
+
+def test_native_evolution_is_one_pass(spark):
+    """A pair's generations are one step, with the parents that ``boltzmann_parents`` draws."""
+    from critiq.functions.scoring import fitness
+    pairs = _some_pairs(spark)
+    got = fb.evolve(pairs, ["doc_id", "issue"])
+    assert "lambdafunction" not in _plan(got) and "MapInArrow" in _plan(got)
+    pop = pairs.select("doc_id", "issue", "template", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(9)), lambda c: fb.template_candidate(
+        "base", c))).alias("cand_id", "text"))
+    keys = ["doc_id", "issue"]
+    for g in range(3):
+        drawn = fb.boltzmann_parents(pop.withColumn("fitness", fitness("text", "template", -1)), keys, 5, 1.0, 42, g)
+        ps = drawn.groupBy(*keys, "template").agg(F.array_sort(F.collect_list(F.struct("rank", "text"))).alias("ps"))
+        pop = pop.unionByName(ps.select(*keys, "template", F.lit(10 + g).alias("cand_id"), fb.template_crossover("ps").alias("text"))).localCheckpoint()
+    best = fb.argmax_first(pop.withColumn("fitness", fitness("text", "template", -1)), keys)
+    show = lambda df: sorted((r.doc_id, r.cand_id, round(r.fitness, 6), r.text) for r in df.collect())
+    assert show(got) == show(best)
