@@ -13,6 +13,7 @@ into Python; results are joined back on the key.
 from __future__ import annotations
 
 import uuid
+from itertools import islice
 from typing import Callable, Iterable, Iterator, List, Optional, Sequence
 
 import pandas as pd
@@ -42,7 +43,7 @@ class BackendFactory:
         return fn
 
 
-def _resolve(backend) -> Backend:
+def resolve(backend) -> Backend:
     return backend.get() if isinstance(backend, BackendFactory) else backend
 
 
@@ -91,7 +92,7 @@ def _map_prompts(df: DataFrame, prompt: str, backend, out: str, seed: Optional[s
     schema = StructType(list(df.schema.fields) + [StructField(out, StringType(), True)])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _resolve(backend)
+        fn = resolve(backend)
         for pdf in batches:
             texts = pdf[prompt].fillna("").astype(str).tolist()
             res = fn(texts, pdf[seed].astype("int64").tolist()) if seed else fn(texts)
@@ -115,7 +116,7 @@ def list_map(df: DataFrame, text: str, items: str, backend, out: str, prompt: Ca
     distinct = keyed.select("_h", F.col(text).alias("_text"), F.col(items).alias("_items")).dropDuplicates(["_h"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _resolve(backend)
+        fn = resolve(backend)
         for pdf in batches:
             asked = ((h, ([] if x is None else x), t) for h, t, x in zip(pdf["_h"], pdf["_text"], pdf["_items"]))
             yield from _answered(((h, len(x), (prompt(t, i) for i in x)) for h, x, t in asked), fn, out)
@@ -136,7 +137,7 @@ def array_map(df: DataFrame, inputs: Sequence[str], prompts, backend, out: str)
     distinct = keyed.select("_h", *inputs).dropDuplicates(["_h"]).select("_h", prompts.alias("_prompts"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _resolve(backend)
+        fn = resolve(backend)
         for pdf in batches:
             lists = ((h, [] if x is None else x) for h, x in zip(pdf["_h"], pdf["_prompts"]))
             yield from _answered(((h, len(x), iter(x)) for h, x in lists), fn, out)
@@ -190,6 +191,27 @@ def _answered(rows: Iterable, fn: Backend, out: str) -> Iterator[pd.DataFrame]:
         yield frame(len(keys))
 
 
+def in_calls(prompts: Iterable, fn: Backend) -> Iterator:
+    """The answers to ``prompts`` in order, asked ``BATCH`` prompts or ``BATCH_CHARS`` characters at a time."""
+    asked: list = []
+    chars = 0
+
+    def answers():
+        got = fn(asked)
+        if len(got) != len(asked):
+            raise ValueError(f"backend returned {len(got)} completions for {len(asked)} prompts")
+        return got
+
+    for p in prompts:
+        asked.append(p)
+        chars += len(p)
+        if len(asked) >= BATCH or chars >= BATCH_CHARS:
+            yield from answers()
+            asked, chars = [], 0
+    if asked:
+        yield from answers()
+
+
 def sample_map(df: DataFrame, prompt: str, n: int, backend, out: str) -> DataFrame:
     """M0 for a sampling model: ``out`` = array of ``n`` completions of the prompt,
     drawn with seeds 0 .. n-1 (``fn(prompts, seeds)``).  A distinct prompt is
@@ -199,7 +221,7 @@ def sample_map(df: DataFrame, prompt: str, n: int, backend, out: str) -> DataFra
     distinct = keyed.select("_h", F.col(prompt).alias("_p")).dropDuplicates(["_h"])
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        fn = _resolve(backend)
+        fn = resolve(backend)
         for pdf in batches:
             yield from _sampled(pdf["_h"].tolist(), pdf["_p"].fillna("").astype(str).tolist(), n, fn, out)
 
@@ -211,8 +233,16 @@ def _sampled(keys: list, texts: list, n: int, fn: Callable, out: str) -> Iterato
     """(_h, ``out``) frames, one for each call of the backend: ``n`` completions of a text may be many times its size."""
     per = max(1, BATCH // max(n, 1))
     for k in range(0, len(texts), per):
-        part = texts[k:k + per]
-        got = fn([t for t in part for _ in range(n)], list(range(n)) * len(part))
+        got = [*sampled(keys[k:k + per], texts[k:k + per], n, fn)]
+        yield pd.DataFrame({"_h": [h for h, _ in got], out: [x for _, x in got]})
+
+
+def sampled(keys: Iterable, texts: Iterable, n: int, fn: Callable) -> Iterator:
+    """(key, ``n`` completions) of each text, asked as many texts at a time as make ``BATCH`` prompts."""
+    rows, per = zip(keys, texts), max(1, BATCH // max(n, 1))
+    while part := [*islice(rows, per)]:
+        got = fn([t for _, t in part for _ in range(n)], list(range(n)) * len(part))
         if len(got) != n * len(part):
             raise ValueError(f"backend returned {len(got)} completions for {n * len(part)} prompts")
-        yield pd.DataFrame({"_h": keys[k:k + per], out: [got[i * n:(i + 1) * n] for i in range(len(part))]})
+        for i, (key, _) in enumerate(part):
+            yield key, got[i * n:(i + 1) * n]

@@ -174,3 +174,24 @@ def test_native_evolution_is_one_pass(spark):
     best = fb.argmax_first(pop.withColumn("fitness", fitness("text", "template", -1)), keys)
     show = lambda df: sorted((r.doc_id, r.cand_id, round(r.fitness, 6), r.text) for r in df.collect())
     assert show(got) == show(best)
+
+
+def test_best_of_n_writes_the_best_only_and_sends_equal_rows_once(spark, monkeypatch):
+    """The other completions are neither written nor shuffled, and a segment's summary is not made anew for each."""
+    from critiq.operators import generate as gen
+    from critiq.operators.backend import BackendFactory
+    from critiq.plans import doubles
+    pairs = _some_pairs(spark).filter("issue IS NOT NULL").drop("base")
+    pairs = pairs.unionByName(pairs.withColumn("doc_id", F.col("doc_id") + 100)).unionByName(pairs.limit(2))
+    asked, kept = spark.sparkContext.accumulator(0), []
+
+    def make():
+        answer = doubles.feedback()
+        return lambda ps, seeds=None: asked.add(len(ps)) or answer(ps, seeds)
+
+    keep = gen.written
+    monkeypatch.setattr(gen, "written", lambda df, name: kept.append(keep(df, name)) or kept[-1])
+    got = gen.best_of_n(pairs, ["doc_id", "issue"], BackendFactory("f", make))
+    assert kept[-1].count() == 13 and asked.value == 13 * 15 and "lambdafunction" not in _plan(got)
+    plain = fb.best_of_n(pairs.withColumn("base", fb.fill_template("template", "segment")), ["doc_id", "issue"])
+    assert sorted(got.collect()) == sorted(plain.collect()) and got.count() == 28
