@@ -195,3 +195,24 @@ def test_best_of_n_writes_the_best_only_and_sends_equal_rows_once(spark, monkeyp
     assert kept[-1].count() == 13 and asked.value == 13 * 15 and "lambdafunction" not in _plan(got)
     plain = fb.best_of_n(pairs.withColumn("base", fb.fill_template("template", "segment")), ["doc_id", "issue"])
     assert sorted(got.collect()) == sorted(plain.collect()) and got.count() == 28
+
+
+def test_baselines_with_a_model_shuffle_no_text(spark, monkeypatch):
+    """Answers stay where they are made: the rows that repeat a text are joined by their numbers."""
+    from critiq.operators import generate as gen
+    from critiq.operators.backend import BackendFactory
+    from critiq.plans import doubles
+    pairs = _some_pairs(spark).filter("issue IS NOT NULL").drop("base")
+    pairs = pairs.unionByName(pairs.withColumn("doc_id", F.col("doc_id") + 100))
+    model = BackendFactory("f", doubles.feedback)
+    got = gen.baselines(pairs, ["doc_id", "issue"], model, ["1-pass", "Temp", "BoN"])
+    assert "Exchange hashpartitioning" not in _plan(got) and got.count() == 78
+    names = ["1-pass", "Temp", "Plan", "Self-Ref."]
+    small = gen.baselines(pairs, ["doc_id", "issue"], model, names).collect()
+    monkeypatch.setattr(gen, "BROADCAST_ROWS", -1)
+    large = gen.baselines(pairs, ["doc_id", "issue"], model, names).collect()
+    alone = [r for n in names for r in gen.STRATEGIES[n](pairs, ["doc_id", "issue"], model)
+             .select("doc_id", "issue", F.lit(n), "cand_id", "fitness", "text").collect()]
+    assert sorted(small) == sorted(large) and sorted(map(tuple, small)) == sorted(map(tuple, alone)) and len(small) == 104
+    first = {(r.strategy, r.doc_id): r[3:] for r in small if r.doc_id < 100}
+    assert all(first[r.strategy, r.doc_id - 100] == r[3:] for r in small if r.doc_id >= 100)
