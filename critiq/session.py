@@ -70,14 +70,19 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a Parquet table in the shared checkpoint folder: what ``checkpointed`` does, but compressed (a checkpoint
-    is not) and read back by column.  For long texts."""
-    path = shared_path(df.sparkSession, name)
+def written(df: DataFrame, path: str) -> DataFrame:
+    """``df`` as a Parquet table at a ``shared_path``: what ``checkpointed`` does, but compressed (a checkpoint is not) and
+    read back by column.  For long texts."""
     df.write.option("compression", "zstd").parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Give back the disk of a ``written`` table that nothing reads any more."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
 _SHIPPED: set = set()
 
 
